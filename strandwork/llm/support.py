@@ -46,3 +46,16 @@ def words_of(text: Column) -> Column:
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the column's text modulo n; null counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that long texts don't add up in a Python worker; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    bound = 16 << 20
+    try:
+        small = now is not None and 0 < int(now) <= bound
+    except ValueError:
+        small = False
+    if not small:
+        spark.conf.set(key, str(bound))
