@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandwork.llm.line_dedup import dedup_lines
+from strandwork.llm.mixing import mix_plan
 from strandwork.llm.near_dedup import near_duplicates
 from strandwork.llm.quality_rules import judge_quality
 from strandwork.llm.url_filter import Rule, judge_urls
@@ -23,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -32,18 +40,42 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select(F.col("id").alias("doc_id"), "source", "n_tokens", "epoch", "block", "position")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op7_near_dedup": op7_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, source, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+            FROM (SELECT doc_id, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+        keyed AS (SELECT doc_id, source, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines),
+        common AS (
+            SELECT line, min(doc_id * 1000000000 + pos) AS first FROM keyed WHERE line <> ''
+            GROUP BY line HAVING count(DISTINCT source) >= 10),
+        gone AS (SELECT k.doc_id, k.pos FROM keyed k JOIN common c USING (line) WHERE k.doc_id * 1000000000 + k.pos <> c.first),
+        kept AS (
+            SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text,
+                count(*) AS n_lines, count(g.pos) AS n_removed
+            FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+        SELECT d.doc_id, CASE WHEN k.n_removed > 0 THEN coalesce(k.text, '') ELSE d.text END AS text,
+            CASE WHEN d.text <> '' THEN k.n_lines ELSE 0 END AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN kept k USING (doc_id)
+    """,
     "op4_url_filter": """
         WITH cut AS (
             SELECT page_id, CASE WHEN contains(url, '://')
