@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.llm.decontaminate import judge_contamination
 from strandwork.llm.line_dedup import dedup_lines
+from strandwork.llm.lm_score import lm_scores
 from strandwork.llm.mixing import mix_plan
 from strandwork.llm.near_dedup import near_duplicates
 from strandwork.llm.quality_rules import judge_quality
@@ -31,6 +33,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -40,6 +46,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_items", F.col("item").alias("item_id"), "coverage", "contaminated")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select(F.col("id").alias("doc_id"), "source", "n_tokens", "epoch", "block", "position")
@@ -52,8 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_score": op2_lm_score,
     "op4_url_filter": op4_url_filter,
     "op7_near_dedup": op7_near_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
