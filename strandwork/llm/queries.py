@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.llm.decontaminate import judge_contamination
+from strandwork.llm.lang_id import identify
 from strandwork.llm.line_dedup import dedup_lines
 from strandwork.llm.lm_score import lm_scores
 from strandwork.llm.mixing import mix_plan
 from strandwork.llm.near_dedup import near_duplicates
+from strandwork.llm.quality_model import quality_scores
 from strandwork.llm.quality_rules import judge_quality
 from strandwork.llm.url_filter import Rule, judge_urls
 
@@ -42,6 +44,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
