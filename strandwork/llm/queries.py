@@ -13,6 +13,7 @@ from strandwork.llm.line_dedup import dedup_lines
 from strandwork.llm.lm_score import lm_scores
 from strandwork.llm.mixing import mix_plan
 from strandwork.llm.near_dedup import near_duplicates
+from strandwork.llm.pii import find_personal_data
 from strandwork.llm.quality_model import quality_scores
 from strandwork.llm.quality_rules import judge_quality
 from strandwork.llm.url_filter import Rule, judge_urls
@@ -39,6 +40,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -76,6 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
+    "op3_personal_data": op3_personal_data,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
