@@ -9,24 +9,32 @@ from pyspark.sql.window import Window
 from strandwork import config
 
 
+def containing(strings: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, s): which distinct words (of three letters or more) stand in which distinct strings s.
+
+    A string that holds a word holds its first three letters, so the join is on those and
+    no string meets words it has nothing in common with.
+    """
+    trigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substr("s", i, F.lit(3))))
+    pieces = strings.select("s").distinct().where("length(s) >= 3").select("s", F.explode(trigrams).alias("__key"))
+    keyed = words.select("word").distinct().select("word", F.left("word", F.lit(3)).alias("__key"))
+    return pieces.join(keyed, "__key").where(F.contains("s", F.col("word"))).select("word", "s")
+
+
 def word_scores(tasks: DataFrame, files: DataFrame, *, mode: str = "static") -> DataFrame:
     """(task_id, path, score) of tasks(task_id, words) over files(path, symbols, imports, tags, important, summary, complete).
 
     A word counts in the path, in each symbol that holds it, and, where the row is complete
-    and mode is ai, in tags, important symbols and summary, else in each import. Words meet
-    files by their pieces: only rows that score at all have one.
+    and mode is ai, in tags, important symbols and summary, else in each import.
     """
-    holds = lambda arr, w: F.size(F.filter(arr, lambda x: F.contains(F.lower(x), w)))
+    points = lambda arr, n: F.transform(arr, lambda x: F.struct(F.lower(x).alias("s"), F.lit(n).alias("points")))
+    own = F.concat(points(F.array("path"), config.PATH_SCORE), points(F.col("symbols"), config.SYMBOL_SCORE))
+    ai = F.concat(points(F.col("tags"), config.TAG_SCORE), points(F.col("important"), config.IMPORTANT_SCORE), points(F.array("summary"), config.SUMMARY_SCORE))
+    rest = F.when(F.col("complete") & F.lit(mode == "ai"), ai).otherwise(points(F.col("imports"), config.IMPORT_SCORE))
+    strings = files.select("path", F.explode(F.concat(own, rest)).alias("x")).groupBy("path", "x.s").agg(F.sum("x.points").alias("points"))
     words = tasks.select("task_id", F.explode("words").alias("word"))
-    ai = F.col("complete") & F.lit(mode == "ai")
-    score = (
-        F.contains(F.lower("path"), F.col("word")).cast("int") * config.PATH_SCORE + holds(F.col("symbols"), F.col("word")) * config.SYMBOL_SCORE
-        + F.when(ai, holds(F.col("tags"), F.col("word")) * config.TAG_SCORE + holds(F.col("important"), F.col("word")) * config.IMPORTANT_SCORE + F.contains(F.lower("summary"), F.col("word")).cast("int") * config.SUMMARY_SCORE)
-        .otherwise(holds(F.col("imports"), F.col("word")) * config.IMPORT_SCORE)
-    )
-    # the distinct words of all tasks are scored once; a task is a short text, its words a small table
-    scored = files.join(F.broadcast(words.select("word").distinct()), F.lit(True)).select("word", "path", score.alias("score")).where("score > 0")
-    return words.join(scored, "word").groupBy("task_id", "path").agg(F.sum("score").alias("score"))
+    scored = containing(strings, words).join(strings, "s").groupBy("word", "path").agg(F.sum("points").alias("points"))
+    return words.join(scored, "word").groupBy("task_id", "path").agg(F.sum("points").alias("score"))
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork import config
 from strandwork.functions import paths, text, times
-from strandwork.operators import extract
+from strandwork.operators import extract, ranking
 from strandwork.plans.registry import query, values
 from strandwork.sources.tables import capitalised, documents_as_files, inline, table
 
@@ -79,13 +79,12 @@ _WORDS = f"""list_distinct(list_filter(list_transform(regexp_extract_all(text, '
 def q_textscan_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the first twelve words of each task, up to 80 files whose text holds the word."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.array_sort(text.task_words(F.col("text"), synonyms={})), 1, 12)).alias("word")).distinct()
-    listed = words.agg(F.collect_set("word").alias("words"))  # twelve words a task: short texts, few rows
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t")).join(F.broadcast(listed), F.lit(True))
-    hits = docs.select("doc_id", F.explode(F.filter("words", lambda w: F.contains("t", w))).alias("word"))
-    from pyspark.sql.window import Window
-
-    nth = F.row_number().over(Window.partitionBy("word").orderBy("doc_id"))
-    return hits.withColumn("nth", nth).where("nth <= 80").groupBy("word").agg(F.count(F.lit(1)).alias("files"), F.max("doc_id").alias("last_doc"))
+    # a word stands in a text if it stands in one of its runs of word characters
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(text.WORD), F.lit(0)))
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("s"))
+    hits = ranking.containing(runs, words).join(runs, "s").select("word", "doc_id").distinct()
+    best = ranking.top_k(hits, 80, ["word"], [F.col("doc_id")])
+    return best.groupBy("word").agg(F.count(F.lit(1)).alias("files"), F.max("doc_id").alias("last_doc"))
 
 
 REPORTS = [
