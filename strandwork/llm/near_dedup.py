@@ -6,8 +6,10 @@
    first compared with the least one it shares a bucket with, which joins up large groups
    without listing their pairs.
 3. What is left are buckets whose members still belong to different groups. Their members
-   meet in cells of two blocks of at most CELL rows, and only pairs of different groups are
-   compared, inside the task.
+   meet in cells of two blocks of CELL rows each, on average. Pairs of different groups are
+   compared inside the task, each in the first band it shares: first to keep the rows that
+   have a pair to confirm, then, with the full sets of those rows, to confirm them. Only
+   links that join groups come out, never the pairs.
 4. A comparison reads the signatures a piece at a time and stops as soon as the posterior
    probability of reaching the wanted similarity falls under the miss probability; pairs
    that pass are confirmed on the full shingle sets.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm.components import connected
-from strandwork.llm.support import bounded_batches, whole_text, written
+from strandwork.llm.support import bounded_batches, id_bitmap, in_bitmap, whole_text, written
 from strandwork.llm.text_kernel import buffers, mix64, shingles, word_hashes
 
 #: Rows of a block in the cells of step 3, and pairs that are compared at once.
@@ -151,51 +153,110 @@ def _prune(op: NearDedup):
     return run
 
 
-def _cells(op: NearDedup):
-    """Rows come sorted by cell (key, i, j); block: 0 if the row is in the cell's first block, 1 if in its second."""
-    needs = least_matches(op)
-
-    def within(ids, labels, blocks, sig, diagonal):
-        m = len(ids)
-        for lo in range(0, m, max(1, PAIRS // max(m, 1))):
-            rows = np.arange(lo, min(m, lo + max(1, PAIRS // max(m, 1))))
-            left, right = (x.ravel() for x in np.meshgrid(rows, np.arange(m), indexing="ij"))
-            wanted = (labels[left] != labels[right]) & (ids[left] < ids[right])
-            wanted &= True if diagonal else blocks[left] != blocks[right]
-            left, right = left[wanted], right[wanted]
-            passed = survivors(sig, sig, left, right, needs)
-            yield ids[left[passed]], ids[right[passed]]
+def _by_cell(solve) -> Callable:
+    """A mapInArrow function over rows sorted by cell (key, i, j): solve gets a table of whole cells and their bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(t: pa.Table) -> pa.RecordBatch:
+        def solved(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            keys, i, j, ids, labels, blocks = (t.column(c).to_numpy() for c in ("key", "i", "j", "id", "label", "block"))
-            sig = _matrix(t.column("sig"), op.hashes)
+            keys, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
             edge = np.flatnonzero((keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found = [np.zeros((2, 0), np.int64)]
-            for lo, hi in zip(np.append(0, edge), np.append(edge, len(keys)), strict=True):
-                if hi - lo > 1:
-                    for a, b in within(ids[lo:hi], labels[lo:hi], blocks[lo:hi], sig[lo:hi], i[lo] == j[lo]):
-                        found.append(np.stack([a, b]))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return solve(t, np.append(0, edge), np.append(edge, len(keys)))
 
         held: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
             keys, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            last = np.flatnonzero((keys != keys[-1]) | (i != i[-1]) | (j != j[-1])) if len(keys) else []
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
+            other = np.flatnonzero((keys != keys[-1]) | (i != i[-1]) | (j != j[-1])) if len(keys) else []
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on in the next batch
             if cut:
-                yield solve(t.slice(0, cut))
+                yield solved(t.slice(0, cut))
             held = t.slice(cut)
         if held is not None and held.num_rows:
-            yield solve(held)
+            yield solved(held)
 
     return run
 
 
+def _met(op: NearDedup, t: dict[str, np.ndarray], sig: np.ndarray, needs: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell that pass the bounds: of different groups, here first by band, at most PAIRS compared at once."""
+    m, band = len(sig), int(t["band"][0])
+    rows = max(1, PAIRS // m)
+    for lo in range(0, m, rows):
+        left, right = (x.ravel() for x in np.meshgrid(np.arange(lo, min(m, lo + rows)), np.arange(m), indexing="ij"))
+        wanted = (t["label"][left] != t["label"][right]) & (t["id"][left] < t["id"][right])
+        if t["i"][0] != t["j"][0]:
+            wanted &= t["block"][left] != t["block"][right]
+        left, right = left[wanted], right[wanted]
+        passed = survivors(sig, sig, left, right, needs)
+        left, right = left[passed], right[passed]
+        if band and len(left):  # a pair is left to the first band that it shares
+            at = slice(0, band * op.rows)
+            before = (sig[left, at] == sig[right, at]).reshape(len(left), band, op.rows).all(axis=2).any(axis=1)
+            left, right = left[~before], right[~before]
+        yield left, right
+
+
+def _cell_columns(t: pa.Table, lo: int, hi: int) -> dict[str, np.ndarray]:
+    return {c: t.column(c).to_numpy()[lo:hi] for c in ("band", "i", "j", "id", "label", "block")}
+
+
+def _mark_rows(op: NearDedup):
+    """Keeps the rows of a cell that have a pair to confirm."""
+    needs = least_matches(op)
+    names = ["key", "band", "i", "j", "id", "label", "block"]
+
+    def solve(t: pa.Table, los: np.ndarray, his: np.ndarray) -> pa.RecordBatch:
+        sig, wanted = _matrix(t.column("sig"), op.hashes), np.zeros(t.num_rows, bool)
+        for lo, hi in zip(los, his, strict=True):
+            if hi - lo > 1:
+                for left, right in _met(op, _cell_columns(t, lo, hi), sig[lo:hi], needs):
+                    wanted[lo + left] = wanted[lo + right] = True
+        return t.select(names).filter(pa.array(wanted)).combine_chunks().to_batches()[0] if wanted.any() else pa.RecordBatch.from_pylist([], t.select(names).schema)
+
+    return _by_cell(solve)
+
+
+def _link_rows(op: NearDedup):
+    """Confirms the pairs of a cell on full sets and returns links that join up its groups, a tree for each joined set."""
+    needs = least_matches(op)
+
+    def solve(t: pa.Table, los: np.ndarray, his: np.ndarray) -> pa.RecordBatch:
+        sig, found = _matrix(t.column("sig"), op.hashes), []
+        data, offsets = buffers(t.column("set"))
+        data, offsets = data.view(np.uint64), offsets // 8
+        for lo, hi in zip(los, his, strict=True):
+            if hi - lo < 2:
+                continue
+            columns = _cell_columns(t, lo, hi)
+            sizes = np.diff(offsets[lo : hi + 1])
+            vocabulary, shingle = np.unique(data[offsets[lo] : offsets[hi]], return_inverse=True)
+            first = offsets[lo:hi] - offsets[lo]
+            top = {int(x): int(x) for x in columns["label"]}
+
+            def root(x: int, top=top) -> int:
+                while top[x] != x:
+                    top[x] = top[top[x]]
+                    x = top[x]
+                return x
+
+            for left, right in _met(op, columns, sig[lo:hi], needs):
+                for row in np.unique(left):
+                    own = np.zeros(len(vocabulary), np.int64)
+                    own[shingle[first[row] : first[row] + sizes[row]]] = 1
+                    partners = right[left == row]
+                    both = np.add.reduceat(own[shingle], first)[partners]
+                    for y in partners[100 * both >= op.percent * (sizes[row] + sizes[partners] - both)]:
+                        a, b = root(int(columns["label"][row])), root(int(columns["label"][y]))
+                        if a != b:
+                            top[max(a, b)] = min(a, b)
+                            found.append((int(columns["id"][row]), int(columns["id"][y])))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return _by_cell(solve)
+
+
 def _confirm(op: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +271,10 @@ def _confirm(op: NearDedup):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, op: NearDedup) -> DataFrame:
-    """Those of pairs(a, b) whose full shingle sets reach the similarity; written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(texts.join(ids, "id", "left_semi").mapInArrow(_sets(op), "id long, set binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return written(both.mapInArrow(_confirm(op), "a long, b long"), "confirmed")
+def _sets_of(ids: DataFrame, texts: DataFrame, op: NearDedup) -> DataFrame:
+    """(id, set) of the given ids; written. A bitmap of the ids spares most other texts the shuffle."""
+    near = in_bitmap(texts, "id", id_bitmap(ids, "id"))
+    return written(near.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets(op), "id long, set binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", op: NearDedup = NearDedup()) -> DataFrame:
@@ -238,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     width = 4 * op.rows
     band = F.transform(F.sequence(F.lit(0), F.lit(op.bands - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
-    bands = reps.select("id", F.explode(band).alias("key"))
+    bands = reps.select("id", F.posexplode(band).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     bands = written(bands.join(shared.select("key", "first"), "key"), "buckets")  # only buckets of two or more
 
@@ -246,20 +305,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sig = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
     pairs = bands.groupBy("id").agg(F.min("first").alias("a")).where("a < id").withColumnRenamed("id", "b")
     passed = pairs.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_prune(op), "a long, b long").distinct()
-    stars = _confirmed(written(passed, "pairs"), texts, op)
+    passed = written(passed, "pairs")
+    sets = _sets_of(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, op)
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
+    stars = written(passed.join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm(op), "a long, b long"), "stars")
     groups = connected(stars)
 
     # step 3: buckets in which different groups still meet
-    rows = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    rows = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"))
     rows = written(rows, "members")
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
     blocks = F.ceil(F.col("m") / CELL).cast("int")
     rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
-    rows = rows.select("key", "id", "label", "own", F.explode(cell).alias("cell")).select("key", "cell.*", "id", "label", (F.col("own") == F.col("cell.j")).cast("int").alias("block"))
-    rows = rows.join(reps, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = rows.select("key", "i", "j", "id", "label", "block", "sig").mapInArrow(_cells(op), "a long, b long").distinct()
-    rest = _confirmed(written(rest, "pairs"), texts, op)
+    rows = rows.select("key", "band", "id", "label", "own", F.explode(cell).alias("cell")).select("key", "band", "cell.*", "id", "label", (F.col("own") == F.col("cell.j")).cast("int").alias("block"))
+    names = ["key", "band", "i", "j", "id", "label", "block"]
+    cells = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = cells(rows.select(*names).join(reps, "id").select(*names, "sig")).mapInArrow(_mark_rows(op), "key long, band int, i int, j int, id long, label long, block int")
+    rows = written(rows, "marked")
+    sets = _sets_of(rows.select("id").distinct(), texts, op)
+    rest = cells(rows.join(reps, "id").join(sets, "id").select(*names, "sig", "set")).mapInArrow(_link_rows(op), "a long, b long").distinct()
 
     label = lambda x: groups.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     between = rest.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))

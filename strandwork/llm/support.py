@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,26 @@ def bounded_batches(spark: SparkSession) -> None:
         small = False
     if not small:
         spark.conf.set(key, str(bound))
+
+
+def id_bitmap(ids: DataFrame, col: str, lg_bits: int = 22) -> bytes:
+    """A bitmap of 2**lg_bits bits, set at the hashes of a long column: bounded whatever the table's size."""
+    spot = F.pmod(F.xxhash64(col), F.lit(1 << lg_bits))
+    cells = ids.select(spot.alias("spot")).select(F.expr("shiftrightunsigned(spot, 3)").alias("byte"), F.expr("shiftleft(1, cast(spot & 7 AS int))").alias("bit"))
+    cells = cells.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (lg_bits - 3), np.uint8)
+    out[cells.column("byte").to_numpy()] = cells.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def in_bitmap(df: DataFrame, col: str, bitmap: bytes) -> DataFrame:
+    """Rows whose column may be in the bitmap: all that are, and few others while the bitmap is sparse."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    bits = len(bitmap) * 8
+
+    @F.pandas_udf("boolean")
+    def held(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series(np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return df.where(held(F.pmod(F.xxhash64(col), F.lit(bits))))
