@@ -54,7 +54,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that long texts don't add up in a Python worker; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
-    bound = 16 << 20
+    bound = 4 << 20
     try:
         small = now is not None and 0 < int(now) <= bound
     except ValueError:
