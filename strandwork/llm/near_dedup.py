@@ -32,7 +32,7 @@ from strandwork.llm.support import bounded_batches, id_bitmap, in_bitmap, whole_
 from strandwork.llm.text_kernel import buffers, mix64, shingles, word_hashes
 
 #: Rows of a block in the cells of step 3, and pairs that are compared at once.
-CELL = 256
+CELL = 1024
 PAIRS = 1 << 16
 _CHUNK = 1 << 16
 
