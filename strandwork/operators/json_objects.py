@@ -69,8 +69,11 @@ def _object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def load_object(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def load_object(body: Column) -> Column:
     """The one JSON object of each text, null without."""
-    for s in bodies:
-        yield s.map(_object)
+
+    def run(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in bodies:
+            yield s.map(_object)
+
+    return F.pandas_udf(run, "string")(body)
