@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if not picks.num_rows:
         return np.zeros(1 << LG_FEATURES, np.float32), 0.0
     picks = F.broadcast(spark.createDataFrame(picks))
-    chosen = docs.join(picks, F.col(id_col) == F.col("__id")).select(order.alias("order"), F.xxhash64(whole_text(text)).alias("tie"), "label", whole_text(text).cast("binary").alias("t"))
+    texts = docs.select(order.alias("order"), F.col(id_col).alias("__doc"), whole_text(text).alias("t"))
+    chosen = texts.join(picks, F.col("__doc") == F.col("__id")).select("order", F.xxhash64("t").alias("tie"), "label", F.col("t").cast("binary").alias("t"))
     got = chosen.repartition(1).sortWithinPartitions("order", "tie").mapInArrow(_training(passes), "weights binary, bias double").first()
     return np.frombuffer(got["weights"], np.float32), got["bias"]
 
