@@ -353,3 +353,13 @@ def repaired(text: str, sources: dict[str, str]) -> str:
         if all(h.old_start >= end for h, end in zip(fresh, ends, strict=False)):
             f.hunks = fresh
     return serialize(files)
+
+
+def repair(body: Column, sources: dict[str, str]) -> Column:
+    """Each diff repaired against the given current sources."""
+
+    def run(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in bodies:
+            yield s.map(lambda b: repaired(b, sources))
+
+    return F.pandas_udf(run, "string")(body)

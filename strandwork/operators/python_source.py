@@ -1,0 +1,215 @@
+"""Extraction from Python sources by syntax tree, Arrow batches of files at a time."""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandwork import config
+
+SYMBOLS = "path string, pos int, name string, qualified_name string, kind string, definition_name string"
+IMPORTS = "path string, pos int, imported string"
+DEFINITIONS = "path string, name string, qualified_name string, owner string, kind string, start_line int, end_line int, line_count int, text string"
+CALLS = "path string, definition string, pos int, callee string, receiver string"
+TERMS = "path string, definition string, word string, weight int"
+ERRORS = "path string, error string"
+_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def _last_name(node: ast.AST) -> str:
+    return node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
+
+
+def _command(node: ast.AST) -> tuple[bool, str | None]:
+    """Whether a decorator makes the function a command, and the name it gives."""
+    for d in node.decorator_list:
+        if isinstance(d, ast.Call) and _last_name(d.func) == "command":
+            named = next((k.value.value for k in d.keywords if k.arg == "name" and isinstance(k.value, ast.Constant)), None)
+            return True, named or next((a.value for a in d.args if isinstance(a, ast.Constant) and isinstance(a.value, str)), None)
+    return False, None
+
+
+def symbols_of(tree: ast.Module) -> list[tuple[str, str, str, str | None]]:
+    """(name, qualified name, kind, definition name): classes, methods and functions outside functions; commands under their own name."""
+    found: list[tuple[str, str, str, str | None]] = []
+
+    def visit(body: list[ast.stmt], owner: str) -> None:
+        for node in body:
+            if not isinstance(node, (*_FUNCTION, ast.ClassDef)):
+                for inner in ast.iter_child_nodes(node):  # definitions under if and try count too
+                    if isinstance(inner, ast.stmt):
+                        visit([inner], owner)
+                continue
+            full = f"{owner}.{node.name}" if owner else node.name
+            is_command, named = _command(node)
+            kind = "class" if isinstance(node, ast.ClassDef) else "method" if owner else "function"
+            found.append((node.name, full, "command" if is_command and named in (None, node.name) else kind, None))
+            if is_command and named not in (None, node.name):
+                found.append((named, named, "command", node.name))
+            if isinstance(node, ast.ClassDef):
+                visit(node.body, full)
+
+    visit(tree.body, "")
+    return found[: config.MAX_SYMBOLS]
+
+
+def imports_of(tree: ast.Module) -> list[str]:
+    """Imported names in order, distinct; from m import a gives m and m.a. Those in classes of functions don't count."""
+    found: dict[str, None] = {}
+
+    def visit(node: ast.AST, in_function: bool) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.Import):
+                found.update(dict.fromkeys(a.name for a in child.names))
+            elif isinstance(child, ast.ImportFrom):
+                base = "." * child.level + (child.module or "")
+                found[base] = None
+                found.update(dict.fromkeys(base + ("" if base.endswith(".") else ".") + a.name for a in child.names if a.name != "*"))
+            elif not (isinstance(child, ast.ClassDef) and in_function):
+                visit(child, in_function or isinstance(child, _FUNCTION))
+
+    visit(tree, False)
+    return list(found)[: config.MAX_IMPORTS]
+
+
+def definitions_of(tree: ast.Module, text: str) -> list[tuple]:
+    """(name, qualified name, owner, kind, start, end, lines, text) of top-level definitions and class members, decorators included."""
+    lines, out = text.splitlines(keepends=True), []
+
+    def put(node: ast.AST, owner: str | None) -> None:
+        start = min([node.lineno, *[d.lineno for d in node.decorator_list]])
+        kind = "class" if isinstance(node, ast.ClassDef) else "method" if owner else "function"
+        out.append((node.name, f"{owner}.{node.name}" if owner else node.name, owner, kind, start, node.end_lineno, max(1, node.end_lineno - start + 1), "".join(lines[start - 1 : node.end_lineno])))
+
+    for node in tree.body:
+        if isinstance(node, (*_FUNCTION, ast.ClassDef)):
+            put(node, None)
+            for member in node.body if isinstance(node, ast.ClassDef) else []:
+                if isinstance(member, _FUNCTION):
+                    put(member, node.name)
+    return out
+
+
+def _functions(tree: ast.Module) -> Iterator[tuple[str, ast.AST]]:
+    for node in tree.body:
+        if isinstance(node, _FUNCTION):
+            yield node.name, node
+        elif isinstance(node, ast.ClassDef):
+            yield from ((f"{node.name}.{m.name}", m) for m in node.body if isinstance(m, _FUNCTION))
+
+
+def calls_of(node: ast.AST) -> list[tuple[str, str]]:
+    """(callee, receiver) in source order, distinct: self, member of a name, qualified by more, or bare; decorator callbacks last."""
+    found: dict[tuple[str, str], None] = {}
+    calls = [x for part in node.body for x in ast.walk(part) if isinstance(x, ast.Call)]
+    for call in sorted(calls, key=lambda c: (c.lineno, c.col_offset)):
+        f = call.func
+        if isinstance(f, ast.Name):
+            found[f.id, "bare"] = None
+        elif isinstance(f, ast.Attribute):
+            base = f.value
+            receiver = "self" if isinstance(base, ast.Name) and base.id in ("self", "cls") else "member" if isinstance(base, ast.Name) else "qualified"
+            found[f.attr, receiver] = None
+    for d in node.decorator_list:
+        for k in d.keywords if isinstance(d, ast.Call) else []:
+            if isinstance(k.value, ast.Name):
+                found[k.value.id, "bare"] = None
+    return list(found)
+
+
+def literal_terms_of(node: ast.AST) -> dict[str, int]:
+    """Words of three letters or more in strings (1) and in the fixed parts of f-strings (2), the docstring aside."""
+    doc = node.body[0].value if node.body and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) else None
+    in_f = {id(v) for x in ast.walk(node) if isinstance(x, ast.JoinedStr) for v in x.values}
+    out: dict[str, int] = {}
+    for x in ast.walk(node):
+        if isinstance(x, ast.Constant) and isinstance(x.value, str) and x is not doc:
+            for w in re.findall("[a-z0-9]{3,}", x.value.lower()):
+                out[w] = max(out.get(w, 0), 2 if id(x) in in_f else 1)
+    return out
+
+
+def _each(files: DataFrame, rows: Callable[[str, str, ast.Module], list[tuple]], schema: str) -> DataFrame:
+    """rows of every file(path, content) that parses; others give none."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    tree = ast.parse(content or "")
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                out += rows(path, content or "", tree)
+            yield pd.DataFrame(out, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    return _each(files, lambda path, text, tree: [(path, i, *s) for i, s in enumerate(symbols_of(tree))], SYMBOLS)
+
+
+def imports(files: DataFrame) -> DataFrame:
+    return _each(files, lambda path, text, tree: [(path, i, x) for i, x in enumerate(imports_of(tree))], IMPORTS)
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """Definitions, and whether a name stands more than once in its file."""
+    found = _each(files, lambda path, text, tree: [(path, *d) for d in definitions_of(tree, text)], DEFINITIONS)
+    return found.withColumn("ambiguous", F.count(F.lit(1)).over(Window.partitionBy("path", "name")) > 1)
+
+
+def calls(files: DataFrame) -> DataFrame:
+    """Call edges of every definition whose name is the only one of its file."""
+
+    def rows(path: str, text: str, tree: ast.Module) -> list[tuple]:
+        own = list(_functions(tree))
+        names = [n for n, _ in own]
+        return [(path, n, i, *c) for n, node in own if names.count(n) == 1 for i, c in enumerate(calls_of(node))]
+
+    return _each(files, rows, CALLS)
+
+
+def literal_terms(files: DataFrame) -> DataFrame:
+    return _each(files, lambda path, text, tree: [(path, n, w, k) for n, node in _functions(tree) for w, k in sorted(literal_terms_of(node).items())], TERMS)
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """(path, error) of files that don't parse."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    ast.parse(content or "")
+                except (SyntaxError, ValueError, RecursionError) as e:
+                    out.append((path, f"{type(e).__name__}: {getattr(e, 'msg', e)}"))
+            yield pd.DataFrame(out, columns=["path", "error"])
+
+    return files.select("path", "content").mapInPandas(run, ERRORS)
+
+
+def locate(definitions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(path, locator, pos) with the one definition each names: a bare name that is unique in its file, or owner.name."""
+    known = definitions.select("path", "name", "qualified_name", "start_line", "end_line", "text")
+    met = wanted.join(known, "path").where((F.col("locator") == F.col("qualified_name")) | (F.col("locator") == F.col("name")))
+    exact = F.count_if(F.col("locator") == F.col("qualified_name")).over(Window.partitionBy("path", "locator"))
+    met = met.withColumn("__exact", exact).where((F.col("__exact") == 0) | (F.col("locator") == F.col("qualified_name")))
+    met = met.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("path", "locator")))
+    return met.where("__n = 1").drop("__n", "__exact", "name", "qualified_name")
+
+
+def changed_definitions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, name) of functions whose text differs or that stand on one side only."""
+    side = lambda df, c: df.where("kind <> 'class'").groupBy("path", F.col("qualified_name").alias("name")).agg(F.min("text").alias(c))
+    both = side(old, "was").join(side(new, "now"), ["path", "name"], "full_outer")
+    return both.where(~F.col("was").eqNullSafe(F.col("now"))).select("path", "name")
