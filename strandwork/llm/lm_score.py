@@ -33,7 +33,7 @@ from strandwork.llm.text_kernel import mix64, window_hashes, word_hashes
 
 START, END = (mix64(np.array([x], np.uint64))[0] for x in (0x57A7, 0xE0D))
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 18 << 20
+BLOCK_BYTES = 12 << 20
 ASK = "range int, block int, ones binary, one_counts binary, pairs binary, pair_counts binary"
 TOLD = "block int, range int, one_counts binary, pair_counts binary, n long, v long, starts long"
 
