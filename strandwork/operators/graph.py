@@ -20,11 +20,15 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, *, depth: int = config.BFS_D
     reached = seeds.select("task_id", "node", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("rank")).cache()
     frontier = reached
     for d in range(1, depth + 1):
+        if limit is not None:  # nearer nodes rank first, so a task that has enough needs no further level
+            full = reached.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+            frontier = frontier.join(full.select("task_id"), "task_id", "left_anti")
         step = frontier.join(edges, F.col("node") == F.col("src")).select("task_id", F.col("dst").alias("node"), F.col("rank").alias("__from"), "__n")
         step = step.join(reached.select("task_id", "node"), ["task_id", "node"], "left_anti")
         step = step.groupBy("task_id", "node").agg(F.min(F.struct("__from", "__n")).alias("x"))
         order = F.row_number().over(Window.partitionBy("task_id").orderBy("x.__from", "x.__n", "node"))
-        frontier = step.select("task_id", "node", F.lit(d).alias("depth"), order.cast("long").alias("rank")).cache()
+        frontier = step.select("task_id", "node", F.lit(d).alias("depth"), order.cast("long").alias("rank"))
+        frontier = (frontier if limit is None else frontier.where(F.col("rank") <= limit)).cache()
         reached = reached.union(frontier)
     order = F.row_number().over(Window.partitionBy("task_id").orderBy("depth", "rank", "node"))
     out = reached.select("task_id", "node", "depth", order.cast("long").alias("rank"))

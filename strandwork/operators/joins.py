@@ -63,13 +63,17 @@ def unique_owner(calls: DataFrame, owners: DataFrame, deps: DataFrame) -> DataFr
     1. the same file; 2. a direct dependency(src, dst); 3. anywhere, for bare and member
     calls. A self call never leaves its file. Other calls go without a row.
     """
-    hit = calls.join(owners.select(F.col("name").alias("callee"), "path"), "callee").distinct()
-    near = deps.select("src", F.col("dst").alias("path"), F.lit(True).alias("__near")).distinct()
-    hit = hit.join(near, ["src", "path"], "left")
-    same, direct, free = F.col("path") == F.col("src"), F.col("__near").isNotNull() & (F.col("receiver") != "self"), F.col("receiver").isin("bare", "member")
-    one = lambda cond: F.when(F.count_if(cond) == 1, F.max(F.when(cond, F.col("path"))))
-    out = hit.groupBy("src", "callee", "receiver").agg(one(same).alias("a"), one(direct).alias("b"), one(free).alias("c"))
-    return out.select("src", "callee", "receiver", F.coalesce("a", "b", "c").alias("path")).where("path IS NOT NULL")
+    owners = owners.select("name", "path").distinct()
+    calls = calls.select("src", "callee", "receiver").distinct()
+    # each rule's single owners first, so that no call meets all owners of a common name
+    same = owners.select(F.col("path").alias("src"), F.col("name").alias("callee"), F.col("path").alias("a"))
+    near = deps.select("src", F.col("dst").alias("path")).distinct().join(owners, "path")
+    near = near.groupBy("src", F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("b")).where("n = 1").drop("n")
+    free = owners.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("c")).where("n = 1").drop("n")
+    out = calls.join(same, ["src", "callee"], "left").join(near, ["src", "callee"], "left").join(free, "callee", "left")
+    leaves = F.col("receiver") != "self"
+    path = F.coalesce("a", F.when(leaves, F.col("b")), F.when(F.col("receiver").isin("bare", "member"), F.col("c")))
+    return out.select("src", "callee", "receiver", path.alias("path")).where("path IS NOT NULL")
 
 
 def smallest_overlap(ranges: DataFrame, definitions: DataFrame, *keys: str, width: int = 256) -> DataFrame:

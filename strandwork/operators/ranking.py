@@ -83,13 +83,15 @@ def skip_budget(df: DataFrame, size: str, order: str, budget: int, *keys: str) -
 
 
 def line_weights(words: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., line_no, weight) of words(keys..., line_no, word, n): rarer and longer words weigh more.
+    """(keys..., line_no, weight) of words(keys..., line_no, word), a row an occurrence: rarer and longer words weigh more.
 
-    weight = min(5000, max(1, len**3 * 100 // max(1, floor(sqrt(df))))) * max(1, n), summed over a line's words.
+    weight = min(5000, max(1, len**3 * 100 // max(1, floor(sqrt(df))))) * n, summed over a line's
+    words. Rows are dealt by keys once; every step after that works where they lie.
     """
-    df = words.groupBy(*keys, "word").agg(F.count_distinct("line_no").alias("df"))
+    n = words.repartition(*keys).groupBy(*keys, "line_no", "word").agg(F.count(F.lit(1)).alias("n"))
+    df = n.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*keys, "word")))
     one = F.least(F.lit(5000), F.greatest(F.lit(1), F.floor(F.pow(F.length("word"), F.lit(3)) * 100 / F.greatest(F.lit(1), F.floor(F.sqrt("df"))))))
-    return words.join(df, [*keys, "word"]).groupBy(*keys, "line_no").agg(F.sum(one.cast("long") * F.greatest(F.lit(1), F.col("n"))).alias("weight"))
+    return df.groupBy(*keys, "line_no").agg(F.sum(one.cast("long") * F.col("n")).alias("weight"))
 
 
 def retention(df: DataFrame, order: list[Column], *keys: str, keep: int = config.HISTORY_PER_STATUS) -> DataFrame:

@@ -55,7 +55,6 @@ def q_line_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64 heaviest lines of every text, each with its surroundings."""
     numbered = extract.lines(table(spark, sf_dir, "documents"), "text", "doc_id")
     words = numbered.select("doc_id", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("length(word) >= 6")
-    words = words.groupBy("doc_id", "line_no", "word").agg(F.count(F.lit(1)).alias("n"))
     best = ranking.top_k(ranking.line_weights(words, "doc_id"), config.EXCERPT_LINES, ["doc_id"], [F.desc("weight"), F.col("line_no")])
     no = F.col("line_no").cast("long")
     return best.select("doc_id", no.alias("line_no"), "weight", F.greatest(F.lit(1), no - config.EXCERPT_RADIUS).alias("start_line"), (no + config.EXCERPT_RADIUS).alias("end_line"))
