@@ -25,7 +25,7 @@ def scan(spark: SparkSession, root: str, wanted: Callable[[Column], Column] = pa
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace("path", "^.*?" + base.replace(".", r"\."), "")
     df = found.withColumn("path", relative).where(wanted(F.col("path")))
-    return df.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"))
+    return df.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"))
 
 
 def git(repo: str) -> Run:
