@@ -109,6 +109,26 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN d.text <> '' THEN k.n_lines ELSE 0 END AS n_lines, coalesce(k.n_removed, 0) AS n_removed
         FROM documents d LEFT JOIN kept k USING (doc_id)
     """,
+    "op7_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id
+            WHERE 100 * both_n >= 75 * (p.n + q.n - both_n)),
+        reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT l.y, r.low FROM reach r JOIN links l ON l.x = r.node),
+        least AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.low AS component_id, d.doc_id = l.low AS kept
+        FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN least l ON d.doc_id = l.node
+    """,
     "op4_url_filter": """
         WITH cut AS (
             SELECT page_id, CASE WHEN contains(url, '://')
