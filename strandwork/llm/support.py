@@ -29,9 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/strandwork-{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandwork-{tag}-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("_strandwork_written", []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the session's intermediate tables once their results are written; how many there were."""
+    paths = spark.__dict__.pop("_strandwork_written", [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def whole_text(col: str | Column = "text") -> Column:
