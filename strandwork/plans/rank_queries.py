@@ -154,11 +154,12 @@ def q_bfs_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, 24 * least(5, len(list_intersect(tokens, terms))) + CASE WHEN source = 'src0' THEN 35 ELSE 0 END - CASE WHEN lines > 40 THEN 20 ELSE 0 END AS score FROM t, d""")
 def q_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of each text for the tasks' terms: capped body hits, a path bonus, a size penalty."""
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).agg(F.collect_set("term").alias("terms"))
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(terms), F.lit(True))
-    hits = F.least(F.lit(5), F.size(F.array_intersect(text.tokens(F.col("text")), "terms")))
-    lines = F.size(F.split("text", "\n"))
-    return docs.select("doc_id", (24 * hits + F.when(F.col("source") == "src0", 35).otherwise(0) - F.when(lines > 40, 20).otherwise(0)).cast("long").alias("score"))
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
+    docs = table(spark, sf_dir, "documents")
+    hits = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).join(terms, "token", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    scored = docs.select("doc_id", "source", F.size(F.split("text", "\n")).alias("lines")).join(hits, "doc_id", "left")
+    points = 24 * F.least(F.lit(5), F.coalesce("hits", F.lit(0))) + F.when(F.col("source") == "src0", 35).otherwise(0) - F.when(F.col("lines") > 40, 20).otherwise(0)
+    return scored.select("doc_id", points.cast("long").alias("score"))
 
 
 ANCHORS = [("f", 1, "def a", 5), ("f", 4, "x", 90), ("f", 9, "def b", 2), ("f", 12, "y", 95), ("g", 2, "z", 7)]
