@@ -28,8 +28,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that stand on ten sites or more but where they stand first; texts left without a word go."""
-    left = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Removes lines that stand on ten sites or more but where they stand first; texts left without a word go.
+
+    Of fewer than twenty sites half are enough, three at least, so few sources lose lines too.
+    """
+    sites = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(""))).distinct().count()
+    left = dedup_lines(docs, min_sites=max(3, min(10, (sites + 1) // 2))).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)
 
