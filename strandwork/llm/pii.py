@@ -4,8 +4,8 @@ Every text is scanned once. Matches of the fixed shapes are spans as they stand
 seeds of the bootstrap; looser shapes give candidates. What stands before a match, its last
 word or two, is a lexical pattern. Patterns and the values found behind them form a graph
 that is scored in rounds: a pattern's confidence in a kind is the summed belief in its
-values over all its values, a candidate's belief the noisy-or of its patterns'
-confidences. Candidates that end with enough belief become spans of that kind.
+values over that and the number of its values that can't be of the kind, a candidate's
+belief the noisy-or of its patterns' confidences. Candidates that end with enough belief become spans of that kind.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ _BLOCK = 64
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds of scoring; a pattern counts from confidence on if seeds values of the kind support it; a value from belief on."""
+    """rounds of scoring; a pattern counts from confidence on if support values of the kind, seeds or believed, stand behind it; a value from belief on."""
 
     rounds: int = 3
     confidence: float = 0.8
@@ -118,33 +118,48 @@ def scan(docs: DataFrame, id_col: str, text: str, context: int) -> DataFrame:
     return df.select("id", "digest", base.alias("base"), "found")
 
 
+def _plausible(kind: str) -> Column:
+    """Whether a candidate that fits the kind also passes its check, as far as other writings of it can."""
+    if kind == "ip":
+        return F.translate("value", ":", ".").rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}\.?$")
+    return _luhn(F.col("value")) if kind == "card" else F.lit(True)
+
+
 def bootstrap(found: DataFrame, op: Bootstrap) -> DataFrame:
     """(value, kind) of candidate values that end with enough belief; found: (kind, left, value), kind -1 for candidates.
 
+    Support is counted anew each round, from seeds and values believed by then, so these induce
+    patterns of their own. A pattern's own share in a belief doesn't count for it. Unseen
+    values that can be of the kind don't speak against a pattern; all others do.
     A value takes the kind it is believed in most, of equals the first listed.
     """
     word = F.regexp_extract("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     edges = found.where(F.trim("left") != "").select("kind", "value", F.explode(F.array_distinct(F.array(word, F.trim("left")))).alias("pattern")).distinct()
     edges = written(edges, "edges")
     values = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values"))
-    fits = F.array_compact(F.array(*[F.when(F.col("value").rlike(FITS[k]), F.lit(i)) for i, k in enumerate(KINDS)]))
-    open_ = edges.where("kind = -1").select("pattern", "value", F.explode(fits).alias("kind"))
-    seeds = edges.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("belief")).distinct()
-    sown = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support"))
-    sown = written(sown.where(F.col("support") >= op.support).join(values, "pattern"), "patterns")  # others never count
-    open_ = written(open_.join(sown, ["pattern", "kind"]), "candidates")
-    beliefs = None
+    fits = F.array_compact(F.array(*[F.when(F.col("value").rlike(FITS[k]), F.struct(F.lit(i).alias("kind"), _plausible(k).alias("able"))) for i, k in enumerate(KINDS)]))
+    loose = edges.where("kind = -1").select("pattern", "value", F.explode(fits).alias("x")).select("pattern", "x.kind", "value", F.lit(0).alias("seed"), F.col("x.able").cast("int").alias("able"))
+    seeds = edges.where("kind >= 0").select("pattern", "kind", "value", F.lit(1).alias("seed"), F.lit(1).alias("able"))
+    both = seeds.union(loose).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"), F.max("able").alias("able"))
+    both = written(both, "graph")
+    patterns = both.groupBy("pattern", "kind").agg(F.sum("seed").alias("support"), F.sum("able").alias("able"), F.count(F.lit(1)).alias("reach"))
+    patterns = patterns.where(F.col("reach") >= op.support).join(values, "pattern")  # others never count
+    patterns = written(patterns.select("pattern", "kind", "support", (F.col("values") - F.col("able")).alias("against")), "patterns")
+    open_ = written(both.where("seed = 0").join(patterns.select("pattern", "kind"), ["pattern", "kind"]).select("pattern", "kind", "value", "able"), "candidates")
+    sure = beliefs = None
     for _ in range(op.rounds):
-        extra = F.lit(0.0)
-        patterns = sown
+        scored = patterns.withColumns({"more": F.lit(0), "extra": F.lit(0.0), "spared": F.lit(0.0)})
         if beliefs is not None:
-            gained = open_.join(beliefs, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("extra"))
-            patterns, extra = sown.join(gained, ["pattern", "kind"], "left"), F.coalesce("extra", F.lit(0.0))
+            without = 1 - F.exp(F.col("rest") - F.coalesce(F.log1p(-F.col("sure")), F.lit(0.0)))
+            gained = open_.join(beliefs, ["value", "kind"]).join(sure, ["pattern", "kind"], "left").withColumn("belief", without).where(F.col("belief") >= op.belief)
+            gained = gained.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("more"), F.sum("belief").alias("extra"), F.sum(F.when(F.col("able") == 0, F.col("belief")).otherwise(0.0)).alias("spared"))
+            scored = patterns.join(gained, ["pattern", "kind"], "left").fillna(0, ["more", "extra", "spared"])
+        held = F.col("support") + F.col("extra")
         # one more value than seen keeps the confidence under 1
-        sure = patterns.withColumn("sure", (F.col("support") + extra) / (F.col("values") + 1)).where(F.col("sure") >= op.confidence)
-        beliefs = open_.join(sure.select("pattern", "kind", "sure"), ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("sure"))))).alias("belief"))
-        beliefs = written(beliefs, "beliefs")
-    believed = beliefs.where(F.col("belief") >= op.belief).groupBy("value").agg(F.min(F.struct(-F.col("belief"), "kind")).alias("best"))
+        scored = scored.where(F.col("support") + F.col("more") >= op.support).withColumn("sure", held / (held + F.col("against") - F.col("spared") + 1))
+        sure = written(scored.where(F.col("sure") >= op.confidence).select("pattern", "kind", "sure"), "sure")
+        beliefs = written(open_.join(sure, ["pattern", "kind"]).groupBy("value", "kind").agg(F.sum(F.log1p(-F.col("sure"))).alias("rest")), "beliefs")
+    believed = beliefs.withColumn("belief", 1 - F.exp("rest")).where(F.col("belief") >= op.belief).groupBy("value").agg(F.min(F.struct(-F.col("belief"), "kind")).alias("best"))
     return believed.join(seeds.select("value").distinct(), "value", "left_anti").select("value", F.col("best.kind").alias("kind"))
 
 

@@ -59,6 +59,31 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[52].spans == ""
 
 
+def spans_of(spark, texts):
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    return {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+
+
+def test_many_unseen_values_and_patterns_of_the_second_generation(spark):
+    seeds = [f"my tel: +1 202 555 01{i:02d} now" for i in range(20)]
+    unseen = [f"my tel: 202 555 02{i:02d} now" for i in range(30)]
+    again = [f"dial 202 555 02{i:02d} now" for i in range(12)]
+    second = [f"dial 202 555 03{i:02d} now" for i in range(5)]
+    other = [f"item 202 555 04{i:02d} now" for i in range(30)]
+    got = spans_of(spark, seeds + unseen + again + second + other)
+    assert [got[i] for i in range(20, 50)] == ["phone:8:20"] * 30
+    assert [got[i] for i in range(50, 67)] == ["phone:5:17"] * 17
+    assert [got[i] for i in range(67, 97)] == [""] * 30
+
+
+def test_values_that_fail_the_check_speak_against_a_pattern(spark):
+    digits = lambda i: f"4539{i:04d}88034364"
+    luhn = lambda x: sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(x)))) % 10 == 0
+    numbers = [digits(i) + f"{j:02d}" for i in range(5) for j in range(10)]
+    got = spans_of(spark, [f"order {x} sent" for x in numbers])
+    assert [got[i] != "" for i in range(len(numbers))] == [luhn(x) for x in numbers]
+
+
 def test_awkward_documents(spark):
     out = find_personal_data(clashing(spark.createDataFrame(ROWS, DOCS))).collect()
     assert len(out) == len(ROWS) and all(r.n_found == 0 for r in out)
