@@ -51,7 +51,7 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.95, max_repeats: f
     is the least at which every source is passed through once: the largest source repeats
     once, none more than max_repeats times. With one, sources too small to reach their
     weight within max_repeats end there, and what they leave over stays unused. Sources
-    without tokens get weight 0.
+    without tokens get no row.
     """
     full = sizes.where("tokens > 0")
     one = full.agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("all"), F.max("tokens").alias("top"), F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("k"))
@@ -92,21 +92,26 @@ def mix_plan(
     position (0 to 1) is how far into its source's quota the document's block starts; ordering
     all rows by it mixes the sources by weight throughout. Tokens are words. A null source is
     a source of its own. Rows that repeat id, text and source are one unit with the sum of
-    their tokens; documents without words cost nothing and come once with every pass. An
-    empty table gives an empty plan.
+    their tokens; documents without words cost nothing and come once with every pass, those of
+    a source without any words in one pass. An empty table gives an empty plan.
     """
     t = whole_text(text)
     units = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("digest"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.size(words_of(t)).cast("long").alias("n"))
     units = written(units.groupBy("id", "digest", "source").agg(F.sum("n").alias("n_tokens")), "units")
-    sizes = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("rows"))
     sizes = written(sizes, "sizes")
     weights = source_weights(sizes.select("source", "tokens"), entropy_share, max_repeats, budget_tokens)
-    quotas = written(sizes.join(weights.select("source", "quota", "repeats"), "source"), "quotas")
+    # a source without words has no weight: one pass, in which each of its documents counts as one token
+    wordless = F.col("tokens") == 0
+    quotas = sizes.join(weights.select("source", "quota"), "source", "left").withColumn("wordless", wordless)
+    quotas = quotas.withColumns({"tokens": F.when(wordless, F.col("rows")).otherwise(F.col("tokens")), "quota": F.when(wordless, F.col("rows")).otherwise(F.col("quota"))})
+    quotas = written(quotas.drop("rows"), "quotas")
 
     dealt = units.join(quotas, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "digest"), F.col("blocks")).cast("int"))
-    dealt = written(dealt.select("id", "digest", "source", "n_tokens", "block", "tokens", "quota"), "dealt")
+    dealt = dealt.withColumn("cost", F.when(F.col("wordless"), F.lit(1).cast("long")).otherwise(F.col("n_tokens")))
+    dealt = written(dealt.select("id", "digest", "source", "n_tokens", "cost", "block", "tokens", "quota"), "dealt")
     epochs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("tokens")))
-    blocks = dealt.groupBy("source", "block", "tokens", "quota").agg(F.sum("n_tokens").alias("size"))
+    blocks = dealt.groupBy("source", "block", "tokens", "quota").agg(F.sum("cost").alias("size"))
     blocks = blocks.where("quota > 0").withColumn("epoch", F.explode(epochs))
     in_pass = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")
     before = F.sum("size").over(in_pass.rowsBetween(Window.unboundedPreceding, -1))
@@ -118,7 +123,7 @@ def mix_plan(
     out = ["id", "digest", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", position]
     whole = rows.where("before + size <= quota").select(*out)
     in_block = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "id", "digest"), "id", "digest")
-    cut = rows.where("before + size > quota").withColumn("used", F.col("before") + F.sum("n_tokens").over(in_block)).where("used <= quota").select(*out)
+    cut = rows.where("before + size > quota").withColumn("used", F.col("before") + F.sum("cost").over(in_block)).where("used <= quota").select(*out)
     return whole.union(cut)
 
 

@@ -83,3 +83,12 @@ def test_awkward_documents_come_once_or_more(spark):
     want = collections.Counter(r[0] for r in ROWS if r[1] and r[1].split())
     assert all(counts[i] == n for i, n in want.items())
     assert mix_sources(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_sources_without_words_come_once(spark):
+    blank = [(i, [None, "", " \n"][i % 3], None, "blank", None) for i in range(9)]
+    rows = [*blank, *((10 + i, "w w w", None, "big", None) for i in range(30))]
+    plan = mix_plan(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.id, r.epoch, r.n_tokens) for r in plan if r.source == "blank") == [(i, 0, 0) for i in range(9)]
+    assert {r.id for r in plan} == {r[0] for r in rows} and all(0 <= r.position < 1 for r in plan)
+    assert mix_sources(spark.createDataFrame(blank, DOCS)).count() == 9
