@@ -331,6 +331,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     merged = connected(between).withColumnRenamed("label", "top")
     of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d0", "d1", F.coalesce("label", "rep").alias("node"))
     of = written(of.join(merged, "node", "left").select("d0", "d1", F.coalesce("top", "node").alias("component_id")), "components")
-    out = slim.join(of, ["d0", "d1"], "left")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id"))
+    judged = written(slim.join(of, ["d0", "d1"], "left").select("id", "n", own.alias("own")), "judged")
+    # rows that repeat an id with other texts join their components
+    split = judged.where("id IS NOT NULL").groupBy("id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("id", "lo")
+    same = connected(judged.join(split, "id").select(F.col("own").alias("a"), F.col("lo").alias("b"))).withColumnRenamed("node", "own")
+    own = F.coalesce("label", "own")
+    out = judged.join(same, "own", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))

@@ -45,6 +45,11 @@ def test_awkward_documents(spark):
     check(spark, [(r[0], r[1]) for r in ROWS])
 
 
+def test_rows_that_repeat_an_id_with_other_texts_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    check(spark, [(3, a), (5, a), (5, b), (9, b), (9, c), (12, c), (20, c + " more"), (30, ""), (30, "x y"), (31, "x y"), (2, None), (40, "p q"), (40, "x y")])
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
