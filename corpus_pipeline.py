@@ -52,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold half the words of a benchmark item or more."""
+    """Drops documents that hold half the words of a benchmark item or more, or a verbatim excerpt of fifty."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return judge_contamination(docs, items).where(~F.col("contaminated")).select(*COLUMNS)
 

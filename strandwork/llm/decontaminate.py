@@ -5,7 +5,8 @@ benchmark's fingerprints, of fixed size whatever the benchmark's, is broadcast a
 the documents' windows; what passes meets the benchmark's windows in an equi-join. For
 each document and item that share a seed, the longest match of unmarked words is marked
 again and again until none of k words is left. The marked share of the item's words
-decides, so a passage is found however its parts are ordered.
+decides, so a passage is found however its parts are ordered; of long items a verbatim
+excerpt decides as well.
 """
 
 from __future__ import annotations
@@ -68,7 +69,12 @@ def _doc_seeds(k: int, bitmap):
 
 
 def tile(matches: np.ndarray, k: int) -> int:
-    """Words marked by greedy string tiling; matches: (document position, item position) of equal k-word windows."""
+    """Words marked by greedy string tiling; see tiles."""
+    return sum(tiles(matches, k))
+
+
+def tiles(matches: np.ndarray, k: int) -> list[int]:
+    """Lengths of the tiles of greedy string tiling; matches: (document position, item position) of equal k-word windows."""
     matches = np.unique(matches, axis=0)
     diagonal = matches[:, 0] - matches[:, 1]
     order = np.lexsort((matches[:, 1], diagonal))
@@ -77,13 +83,14 @@ def tile(matches: np.ndarray, k: int) -> int:
     # maximal matches, longest first; ties by item position, then document position
     heap = [(-int(at[hi - 1] - at[lo] + k), int(at[lo]), int(at[lo] + diagonal[lo])) for lo, hi in zip(np.append(0, cut), np.append(cut, len(at)), strict=True)]
     heapq.heapify(heap)
-    in_item, in_doc = set(), set()
+    in_item, in_doc, lengths = set(), set(), []
     while heap:
         length, i, d = heapq.heappop(heap)
         free = [i + x not in in_item and d + x not in in_doc for x in range(-length)]
         if all(free):
             in_item.update(range(i, i - length))
             in_doc.update(range(d, d - length))
+            lengths.append(-length)
             continue
         start = None
         for x, is_free in enumerate([*free, False]):  # what is left of the match goes back, if long enough
@@ -93,14 +100,15 @@ def tile(matches: np.ndarray, k: int) -> int:
                 if x - start >= k:
                     heapq.heappush(heap, (start - x, i + start, d + start))
                 start = None
-    return len(in_item)
+    return lengths
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
-    k: int = 5, coverage: float = 0.5,
+    k: int = 5, coverage: float = 0.5, excerpt: int = 50,
 ) -> DataFrame:
-    """(id, digest, item, covered, item_words, coverage) of each document and item at or over the coverage.
+    """(id, digest, item, covered, item_words, coverage) of each document and item at or over the coverage,
+    or with excerpt words of the item in tiles of 2 * k words or more, whatever the item's length.
 
     digest is xxhash64 of the text: rows that repeat id and text are one here. Texts are
     lower-cased, accented letters too. Null or empty texts and items of fewer than k words share nothing.
@@ -123,15 +131,17 @@ def contamination(
     id_type = texts.schema["id"].dataType.simpleString()
     found = written(texts.mapInArrow(_doc_seeds(k, bitmap), f"id {id_type}, digest long, pos long, seed long"), "found")
     hits = found.join(seeds, "seed").groupBy("id", "digest", "item", "item_words").agg(F.collect_set(F.struct("pos", "item_pos")).alias("hits"))
-    # each seed covers k words at most, so fewer seeds than this can't reach the coverage
-    hits = hits.where(F.size("hits") * k >= F.col("item_words") * coverage)
+    # each seed covers k words at most, and a tile of 2 * k words has k + 1: fewer seeds than this can't reach either
+    hits = hits.where((F.size("hits") * k >= F.col("item_words") * coverage) | (F.size("hits") * 2 * k >= excerpt * (k + 1)))
 
-    @F.pandas_udf("long")
-    def tiled(rows: pd.Series) -> pd.Series:
-        return pd.Series([tile(np.array([(x["pos"], x["item_pos"]) for x in row], np.int64), k) for row in rows], dtype="int64")
+    @F.pandas_udf("covered long, verbatim long")
+    def tiled(rows: pd.Series) -> pd.DataFrame:
+        found = [tiles(np.array([(x["pos"], x["item_pos"]) for x in row], np.int64), k) for row in rows]
+        return pd.DataFrame({"covered": [sum(x) for x in found], "verbatim": [sum(n for n in x if n >= 2 * k) for x in found]}, dtype="int64")
 
-    out = hits.select("id", "digest", "item", tiled("hits").alias("covered"), "item_words")
-    return out.withColumn("coverage", F.col("covered") / F.col("item_words")).where(F.col("coverage") >= coverage)
+    out = hits.select("id", "digest", "item", tiled("hits").alias("tiled"), "item_words").select("id", "digest", "item", "tiled.*", "item_words")
+    out = out.withColumn("coverage", F.col("covered") / F.col("item_words"))
+    return out.where((F.col("coverage") >= coverage) | (F.col("verbatim") >= excerpt)).drop("verbatim")
 
 
 def judge_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -51,6 +51,14 @@ def test_reordered_passages_are_caught_and_clean_texts_left(spark):
     assert not any(r.contaminated for i, r in got.items() if i not in (100, 101))
 
 
+def test_long_excerpts_of_long_items_are_caught(spark):
+    item = [f"q{i}" for i in range(300)]
+    phrases = [w for i in range(12) for w in [*item[i * 20 : i * 20 + 6], f"o{i}"]]
+    rows = [(i, " ".join(w), "en", "a", 0) for i, w in enumerate([["lead", *item[90:210], "tail"], item[10:59], item[10:60], phrases])]
+    got = dc.judge_contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.contaminated, r.coverage) for r in got} == {0: (True, 0.4), 1: (False, 0.0), 2: (True, 50 / 300), 3: (False, 0.0)}
+
+
 @pytest.mark.parametrize("empty", ["docs", "items"])
 def test_empty_tables(spark, empty):
     docs = spark.createDataFrame(ROWS if empty == "items" else [], DOCS)
