@@ -144,12 +144,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """A network from at most per_language texts of each language and at most windows of each; None without any.
 
     The sample is bounded: of each language and each of per_language hash classes of the
-    id, the row with the least hash. Rows without language or letters don't count.
+    id, the row with the least hash. Rows without language or letters don't count. A sample
+    that only more than MAX_LANGUAGES languages can give is an error.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = F.xxhash64(F.lit(seed), id_col)
     least = known.groupBy(F.col(lang).alias("__lang"), F.pmod(order, F.lit(per_language)).alias("__class")).agg(F.min(order).alias("__order"))
-    picks = least.limit(per_language * MAX_LANGUAGES).toArrow()
+    picks = least.limit(per_language * MAX_LANGUAGES + 1).toArrow()
+    if picks.num_rows > per_language * MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not picks.num_rows:
         return None
     picks = docs.sparkSession.createDataFrame(picks.select(["__lang", "__order"]))

@@ -84,3 +84,10 @@ def test_features_stay_within_their_text():
     both, offsets = quality_model.features(pa.array([b"a b c", b"", b"x y"], pa.binary()))
     one, _ = quality_model.features(pa.array([b"a b c"], pa.binary()))
     assert all((b[:3] == o).all() for b, o in zip(both, one, strict=True)) and offsets.tolist() == [0, 3, 3, 5]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 3}", None, None) for i in range(30)], DOCS)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        lang_id.train(df, per_language=1)
