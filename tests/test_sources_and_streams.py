@@ -4,6 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork.operators import history
 from strandwork.sources import repository
 from strandwork.sources.tables import inline
 from strandwork.streaming import index_stream
@@ -55,6 +56,15 @@ def test_a_failed_write_leaves_the_old_text(tmp_path):
     assert target.read_text() == "old" and len(list(tmp_path.iterdir())) == 1
 
 
+def test_runs_are_consistent_with_entry_patch_and_snapshot(spark):
+    run = inline(spark, "run_id string, entry_id string", [("r1", "e1"), ("r2", "e2"), ("r3", "e3"), ("r4", "e4"), ("r5", "e5")])
+    entries = [("e1", "APPLIED", [("a",), ("b",)]), ("e2", "UNDONE", [("a",)]), ("e3", "APPLIED", [("a",), ("b",)]), ("e4", "APPLIED", [("gone",)])]
+    entries = inline(spark, "id string, status string, files array<struct<path: string>>", entries)
+    patch = inline(spark, "entry_id string, path string", [("e1", "b"), ("e1", "a"), ("e2", "a"), ("e3", "a"), ("e4", "gone"), ("e5", "a")])
+    got = history.consistent(run, entries, patch, inline(spark, "path string", [("a",), ("b",)])).collect()
+    assert [r.run_id for r in got] == ["r1"]
+
+
 def test_settings():
     assert repository.setting("A", {"A": "1"}, "A=2") == "1" and repository.setting("A", {}, "# A=0\nA = '2'") == "2" and repository.setting("A", {}) is None
     assert [repository.index_mode(*x) for x in ((None, None, None), ("AI", "0", None), (None, "yes", None), (None, None, "m"))] == ["static", "ai", "ai", "ai"]
