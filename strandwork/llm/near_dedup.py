@@ -1,15 +1,19 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact confirmation.
 
 1. Each text becomes a set of hashed word shingles, a digest of that set and a MinHash
-   signature. Equal sets form one class with one representative.
+   signature. Equal sets form one class, a node, whose number is half the digest; the least
+   id that has it represents it.
 2. Bands of the signature put representatives into buckets. Each representative is
    first compared with the least one it shares a bucket with, which joins up large groups
-   without listing their pairs.
+   without listing their pairs. Where buckets of more than CELL rows still hold several
+   groups, rows are compared with another leader, one a round, as long as rounds join many.
 3. What is left are buckets whose members still belong to different groups. Their members
-   meet in cells of two blocks of CELL rows each, on average. Pairs of different groups are
-   compared inside the task, each in the first band it shares: first to keep the rows that
-   have a pair to confirm, then, with the full sets of those rows, to confirm them. Only
-   links that join groups come out, never the pairs.
+   meet in cells of two blocks of CELL rows each, on average. The largest group's rows need
+   not meet each other, so in a larger bucket they and the others are dealt to blocks apart:
+   a row of the largest group is sent once for each block of the others, mostly once. Pairs
+   of different groups are compared inside the task, each in the first band it shares: first
+   to keep the rows that have a pair to confirm, then, with the full sets of those rows, to
+   confirm them. Only links that join groups come out, never the pairs.
 4. A comparison reads the signatures a piece at a time and stops as soon as the posterior
    probability of reaching the wanted similarity falls under the miss probability; pairs
    that pass are confirmed on the full shingle sets.
@@ -31,7 +35,7 @@ from strandwork.llm.components import connected
 from strandwork.llm.support import bounded_batches, id_bitmap, in_bitmap, whole_text, written
 from strandwork.llm.text_kernel import buffers, mix64, shingles, word_hashes
 
-#: Rows of a block in the cells of step 3, and pairs that are compared at once.
+#: Rows of a block in the cells of step 3, partners that share one copy of a leader, and pairs that are compared at once.
 CELL = 1024
 PAIRS = 1 << 16
 _CHUNK = 1 << 16
@@ -43,7 +47,8 @@ class NearDedup:
 
     bands * rows hashes: at similarity 0.75 a pair shares no band with probability 5e-6.
     miss: posterior probability under which a pair is dropped, at each of the
-    signature's pieces of step hashes.
+    signature's pieces of step hashes. turns: rounds with other leaders at most; the next one
+    is worth while if this share of the compared rows was joined.
     """
 
     size: int = 5
@@ -52,6 +57,8 @@ class NearDedup:
     rows: int = 4
     step: int = 16
     miss: float = 1e-6
+    turns: int = 4
+    worth: float = 0.1
 
     @property
     def hashes(self) -> int:
@@ -96,6 +103,10 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _digest(own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def _sketches(op: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +118,7 @@ def _sketches(op: NearDedup):
             n, d0, d1 = [], [], []
             for i in range(len(offsets) - 1):
                 own = np.unique(sets[offsets[i] : offsets[i + 1]])
-                digest = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                digest = _digest(own)
                 n.append(len(own)), d0.append(digest[0]), d1.append(digest[1])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "n", "d0", "d1", "sig"])
 
@@ -118,12 +129,16 @@ def _sets(op: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, offsets = shingles(*word_hashes(batch.column("t")), op.size)
-            own = [np.unique(sets[offsets[i] : offsets[i + 1]]).tobytes() for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.binary())], names=["id", "set"])
+            own = [np.unique(sets[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x)[0] for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "set"])
 
     return run
 
 
+#: What identifies a row in a cell of step 3, besides its signature.
+CELL_COLUMNS = ("key", "band", "i", "j", "id", "label", "block", "n")
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return buffers(column)[0].view(np.uint32).reshape(-1, width)
 
@@ -186,6 +201,8 @@ def _met(op: NearDedup, t: dict[str, np.ndarray], sig: np.ndarray, needs: list)
     for lo in range(0, m, rows):
         left, right = (x.ravel() for x in np.meshgrid(np.arange(lo, min(m, lo + rows)), np.arange(m), indexing="ij"))
         wanted = (t["label"][left] != t["label"][right]) & (t["id"][left] < t["id"][right])
+        # sets whose sizes are too far apart can't be similar enough
+        wanted &= 100 * np.minimum(t["n"][left], t["n"][right]) >= op.percent * np.maximum(t["n"][left], t["n"][right])
         if t["i"][0] != t["j"][0]:
             wanted &= t["block"][left] != t["block"][right]
         left, right = left[wanted], right[wanted]
@@ -199,13 +216,13 @@ def _met(op: NearDedup, t: dict[str, np.ndarray], sig: np.ndarray, needs: list)
 
 
 def _cell_columns(t: pa.Table, lo: int, hi: int) -> dict[str, np.ndarray]:
-    return {c: t.column(c).to_numpy()[lo:hi] for c in ("band", "i", "j", "id", "label", "block")}
+    return {c: t.column(c).to_numpy()[lo:hi] for c in CELL_COLUMNS[1:]}
 
 
 def _mark_rows(op: NearDedup):
     """Keeps the rows of a cell that have a pair to confirm."""
     needs = least_matches(op)
-    names = ["key", "band", "i", "j", "id", "label", "block"]
+    names = [*CELL_COLUMNS, "sig"]
 
     def solve(t: pa.Table, los: np.ndarray, his: np.ndarray) -> pa.RecordBatch:
         sig, wanted = _matrix(t.column("sig"), op.hashes), np.zeros(t.num_rows, bool)
@@ -271,10 +288,68 @@ def _confirm(op: NearDedup):
     return run
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame, op: NearDedup) -> DataFrame:
-    """(id, set) of the given ids; written. A bitmap of the ids spares most other texts the shuffle."""
+def _once(df: DataFrame, n: int, tag: str) -> DataFrame:
+    """A written df with one row for each id; n: how many ids it has. Rows that repeat id and text make it larger."""
+    return df if df.count() <= n else written(df.dropDuplicates(["id"]), tag)
+
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, op: NearDedup) -> DataFrame:
+    """(id, set) of the given nodes; written. A bitmap of their representatives spares most other texts the shuffle."""
+    ids = written(classes.join(nodes.withColumnRenamed("id", "d0"), "d0", "left_semi").select(F.col("rep").alias("id")).distinct(), "near")
     near = in_bitmap(texts, "id", id_bitmap(ids, "id"))
-    return written(near.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets(op), "id long, set binary"), "sets")
+    sets = written(near.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets(op), "id long, set binary"), "sets")
+    return _once(sets, sets.select("id").distinct().count(), "sets")
+
+
+def _ends(pairs: DataFrame, data: DataFrame, value: str) -> DataFrame:
+    """pairs(a, b) with the value of both; a is copied once for every CELL of its partners, so it is no hot key."""
+    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("copies"))
+    heads = n.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).join(data.select(F.col("id").alias("a"), F.col(value).alias(f"{value}_a")), "a")
+    dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    return dealt.join(heads, ["a", "copy"]).join(data.select(F.col("id").alias("b"), F.col(value).alias(f"{value}_b")), "b")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFrame, op: NearDedup) -> tuple[DataFrame, DataFrame]:
+    """(the pairs that pass the bounds, those of them that are links); written."""
+    passed = written(_ends(pairs, reps, "sig").mapInArrow(_prune(op), "a long, b long").distinct(), "pairs")
+    sets = _sets_of(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, texts, op)
+    return passed, written(_ends(passed, sets, "set").mapInArrow(_confirm(op), "a long, b long"), "stars")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups(node, label) once links(a, b) between nodes, with a group or without, have joined them; written."""
+    label = lambda x: groups.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    tops = connected(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    fresh = tops.join(groups.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return written(groups.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")).union(fresh), "groups")
+
+
+def _members(bands: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the buckets with their groups, (key, m, top) of the buckets that hold several); top: (n, label) of the largest group."""
+    rows = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"))
+    rows = written(rows, "members")
+    of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"))
+    return rows, written(mixed.where("lo < hi").select("key", "m", "top"), "mixed")
+
+
+def _cells(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows of mixed buckets, once for each cell (key, i, j) that they are in, with their own block's side of it.
+
+    Blocks 0 to p - 1 hold the largest group, p to p + q - 1 the others; a bucket of up to
+    CELL rows is one block. No cell has two blocks of the largest group.
+    """
+    large = F.col("m") > CELL
+    p = F.when(large, F.ceil(F.col("top.n") / CELL)).otherwise(0).cast("int").alias("p")
+    q = F.when(large, F.ceil((F.col("m") - F.col("top.n")) / CELL)).otherwise(1).cast("int").alias("q")
+    rows = rows.join(mixed.select("key", p, q, F.col("top.label").alias("top")), "key")
+    apart, spot = (F.col("p") > 0) & (F.col("label") == F.col("top")), F.xxhash64("id")
+    own = F.when(apart, F.pmod(spot, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(spot, F.col("q"))).cast("int")
+    rows = rows.withColumns({"own": own, "from": F.when(apart, F.col("p")).otherwise(0)})
+    cell = F.transform(F.sequence(F.col("from"), F.col("p") + F.col("q") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
+    rows = rows.select("key", "band", "id", "label", "own", F.explode(cell).alias("cell"))
+    return rows.select("key", "band", "cell.*", "id", "label", (F.col("own") == F.col("cell.j")).cast("int").alias("block"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", op: NearDedup = NearDedup()) -> DataFrame:
@@ -282,9 +357,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     component_id is the least id reachable over links, the row's own included; kept is
     whether it is the row's own. Texts are lower-cased (A-Z); one with fewer words than a
-    shingle has its whole sequence as its only shingle. Null or empty texts have no shingle
-    and link with nothing. Rows that repeat an id are one node and each return a row. A null
-    id links with nothing, has a null component and is kept. An empty table gives an empty result.
+    shingle has its whole sequence as its only shingle; one of any length is hashed whole.
+    Null or empty texts have no shingle and link with nothing. Rows that repeat an id are in
+    one component, with equal texts or not, and each return a row. A null id links with
+    nothing, has a null component and is kept. Other columns of docs are not read. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -292,45 +369,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sketch = written(texts.mapInArrow(_sketches(op), "id long, n long, d0 long, d1 long, sig binary"), "sketch")
     slim = sketch.select("id", "n", "d0", "d1")
     classes = written(slim.where("n > 0 AND id IS NOT NULL").groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
-    reps = sketch.where("n > 0").join(classes.withColumnRenamed("rep", "id"), ["id", "d0", "d1"]).select("id", "sig")
-    reps = written(reps, "reps")
+    reps = sketch.where("n > 0").join(classes.withColumnRenamed("rep", "id"), ["id", "d0", "d1"])
+    reps = _once(written(reps.select(F.col("d0").alias("id"), F.col("id").alias("rep"), "n", "sig"), "reps"), classes.count(), "reps")
 
     width = 4 * op.rows
     band = F.transform(F.sequence(F.lit(0), F.lit(op.bands - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
-    bands = reps.select("id", F.posexplode(band).alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    bands = written(bands.join(shared.select("key", "first"), "key"), "buckets")  # only buckets of two or more
+    bands = reps.select("id", "rep", F.posexplode(band).alias("band", "key"))
+    by_rep = F.struct("rep", "id")
+    shared = bands.groupBy("key").agg(F.min(by_rep).alias("first"), F.max(by_rep).alias("last")).where("first < last")
+    bands = written(bands.drop("rep").join(shared.select("key", "first"), "key"), "buckets")  # only buckets of two or more
 
     # step 2: one pair for each representative, with the least it meets
-    sig = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
-    pairs = bands.groupBy("id").agg(F.min("first").alias("a")).where("a < id").withColumnRenamed("id", "b")
-    passed = pairs.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_prune(op), "a long, b long").distinct()
-    passed = written(passed, "pairs")
-    sets = _sets_of(passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, op)
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    stars = written(passed.join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm(op), "a long, b long"), "stars")
-    groups = connected(stars)
+    pairs = bands.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("first")).select("b", F.col("first.id").alias("a")).where("a <> b")
+    groups = connected(_confirmed(pairs, reps, classes, texts, op)[1])
+    rows, mixed = _members(bands, groups)
+    for turn in range(1, op.turns + 1):
+        order = F.xxhash64(F.lit(turn), "id")
+        large = rows.join(mixed.where(F.col("m") > CELL).select("key"), "key", "left_semi")
+        leaders = large.groupBy("key").agg(F.min_by(F.struct("id", "label"), order).alias("leader"))
+        pairs = large.join(leaders, "key").where("label <> leader.label").groupBy("id").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key"), F.col("leader.id").alias("a"))).alias("of"))
+        pairs = written(pairs.select(F.col("id").alias("b"), "of.a"), "turn")
+        if pairs.isEmpty():
+            break
+        links = _confirmed(pairs, reps, classes, texts, op)[1]
+        if links.isEmpty():
+            break
+        groups = _joined(groups, links)
+        rows, mixed = _members(bands, groups)
+        if links.count() < op.worth * pairs.count():
+            break
 
     # step 3: buckets in which different groups still meet
-    rows = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"))
-    rows = written(rows, "members")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    blocks = F.ceil(F.col("m") / CELL).cast("int")
-    rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
-    rows = rows.select("key", "band", "id", "label", "own", F.explode(cell).alias("cell")).select("key", "band", "cell.*", "id", "label", (F.col("own") == F.col("cell.j")).cast("int").alias("block"))
-    names = ["key", "band", "i", "j", "id", "label", "block"]
-    cells = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rows = cells(rows.select(*names).join(reps, "id").select(*names, "sig")).mapInArrow(_mark_rows(op), "key long, band int, i int, j int, id long, label long, block int")
-    rows = written(rows, "marked")
-    sets = _sets_of(rows.select("id").distinct(), texts, op)
-    rest = cells(rows.join(reps, "id").join(sets, "id").select(*names, "sig", "set")).mapInArrow(_link_rows(op), "a long, b long").distinct()
-
-    label = lambda x: groups.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    between = rest.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    merged = connected(between).withColumnRenamed("label", "top")
-    of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d0", "d1", F.coalesce("label", "rep").alias("node"))
-    of = written(of.join(merged, "node", "left").select("d0", "d1", F.coalesce("top", "node").alias("component_id")), "components")
+    together = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names, schema = [*CELL_COLUMNS, "sig"], "key long, band int, i int, j int, id long, label long, block int, n long, sig binary"
+    marked = written(together(_cells(rows, mixed).join(reps.drop("rep"), "id").select(*names)).mapInArrow(_mark_rows(op), schema), "marked")
+    sets = _sets_of(marked.select("id").distinct(), classes, texts, op)
+    links = together(marked.join(sets, "id").select(*names, "set")).mapInArrow(_link_rows(op), "a long, b long").distinct()
+    groups = _joined(groups, links)
+
+    of = written(classes.join(groups.withColumnRenamed("node", "d0"), "d0", "left"), "grouped")
+    least = of.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
+    of = written(of.join(least, "label", "left").select("d0", "d1", F.coalesce("least", "rep").alias("component_id")), "components")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id"))
     judged = written(slim.join(of, ["d0", "d1"], "left").select("id", "n", own.alias("own")), "judged")
     # rows that repeat an id with other texts join their components

@@ -100,3 +100,21 @@ def test_sketch_of_empty_values_only():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"", b" "], pa.binary())], names=["id", "t"])
     (out,) = nd._sketches(nd.NearDedup())(iter([batch]))
     assert out.column("n").to_pylist() == [0, 0]
+
+
+def test_many_rows_of_one_id_and_of_one_text(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, f"{same} v{i}") for i in range(60)] + [(7, same)] * 60 + [(3, same)] * 20 + [(2, f"other text {i} of id two") for i in range(60)] + [(9, "other text 5 of id two")]
+    check(spark, rows)
+
+
+def test_blocks_of_the_largest_group_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL", 10)
+    rows = spark.createDataFrame([(1, 0, i, 0 if i < 95 else i) for i in range(100)] + [(2, 1, i, i % 3) for i in range(8)], "key long, band int, id long, label long")
+    cells = nd._cells(rows, spark.createDataFrame([(1, 100, (95, 0)), (2, 8, (3, 0))], "key long, m long, top struct<n:long,label:long>")).collect()
+    sent = {}
+    for r in cells:
+        sent.setdefault((r.key, r.id), []).append((r.i, r.j, r.block))
+    assert all(len(sent[1, i]) == 1 for i in range(95)) and all(len(sent[1, i]) == 11 for i in range(95, 100)) and all(sent[2, i] == [(0, 0, 1)] for i in range(8))
+    for x, y in [(0, 97), (50, 99), (95, 96)]:
+        assert len({c[:2] for c in sent[1, x]} & {c[:2] for c in sent[1, y]}) >= 1
