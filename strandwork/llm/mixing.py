@@ -1,47 +1,75 @@
 """Mixing sources to target weights by temperature, in DataFrame operations only.
 
-Source shares p become weights in proportion to p**a. The exponent a is bisected between 0
-(all alike) and 1 (as found): the largest at which the weights reach the target entropy,
-or, if sources would repeat too often there, the smallest that keeps to the repetition
-limit. The weights are realised by block permutations: each source is dealt into hashed
-blocks, every pass orders the blocks and the rows within them anew, and the last pass stops
-where the source's token budget is used up.
+Source shares p become weights in proportion to p**a. The exponent a is searched between 0
+(all alike) and 1 (as found), by cutting the interval again and again: the largest at which
+the weights reach the target entropy, or, if sources would repeat too often there, the
+smallest that keeps to the repetition limit. Each cut sums over the sources where they are,
+so their number is not bounded by a task. The weights are realised by block permutations:
+each source is dealt into hashed blocks, every pass orders the blocks and the rows within
+them anew, and the last pass stops where the source's token budget is used up. A row's
+position is its own place in its source's quota, so by position all sources run through
+side by side, at the rates of their weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandwork.llm.support import whole_text, words_of, written
 
-#: Halvings of [0, 1]: the exponent is exact to a double.
-HALVINGS = 54
-#: Documents of a block, on average.
+#: The interval of an exponent is cut into PARTS, CUTS times: to about 1e-12.
+PARTS, CUTS = 64, 7
+#: Documents of a block, on average, in sources of up to its square.
 BLOCK = 1024
 
 
-def _entropy(logs: Column, a: Column) -> Column:
-    """Entropy of weights in proportion to exp(a * logs)."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m"))
-    step = lambda z, x: F.struct((z["s"] + F.exp(a * x)).alias("s"), (z["m"] + x * F.exp(a * x)).alias("m"))
-    return F.aggregate(logs, start, step, lambda z: F.log(z["s"]) - a * z["m"] / z["s"])
-
-
-def _total(logs: Column, a: Column) -> Column:
-    return F.aggregate(logs, F.lit(0.0), lambda z, x: z + F.exp(a * x))
+def _narrowed(bracket: tuple[float, float], holds: dict[float, bool], below: bool) -> tuple[float, float]:
+    """The part of a bracket in which a condition changes that holds below the change, or else above it."""
+    lo, hi = bracket
+    for a in sorted(x for x in holds if lo <= x <= hi):
+        if holds[a] == below:
+            lo = a
+        else:
+            return lo, a
+    return lo, hi
 
 
-def _bisect(holds) -> Column:
-    """The largest a in [0, 1] at which holds(a), which holds below it too; 0 if none."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+def temperature(sizes: DataFrame, entropy_share: float, max_repeats: float, budget_tokens: int | None) -> tuple[float, float, float] | None:
+    """(exponent, sum of p**exponent over the largest p, tokens of the largest source) for sizes(tokens) over 0; None without any.
 
-    def step(z: Column, _: Column) -> Column:
-        mid = (z["lo"] + z["hi"]) / 2
-        return F.when(holds(mid), F.struct(mid.alias("lo"), z["hi"].alias("hi"))).otherwise(F.struct(z["lo"].alias("lo"), mid.alias("hi")))
-
-    return F.when(holds(F.lit(1.0)), F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, lambda z: z["lo"]))
+    What reaches the driver in each cut is one row for each exponent tried.
+    """
+    classes = written(sizes.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")), "classes")
+    k, top, least = classes.agg(F.sum("n"), F.max("tokens"), F.min("tokens")).first()
+    if not k:
+        return None
+    even, least = math.log(k) * entropy_share, math.log(least / top)
+    log = F.log(F.col("tokens") / F.lit(top))
+
+    def sums(tried: list[float]) -> dict[float, tuple[float, float]]:
+        each = classes.select("n", log.alias("x"), F.explode(F.array(*map(F.lit, tried))).alias("a"))
+        each = each.groupBy("a").agg(F.sum(F.col("n") * F.exp(F.col("a") * F.col("x"))).alias("s"), F.sum(F.col("n") * F.col("x") * F.exp(F.col("a") * F.col("x"))).alias("m"))
+        return {r["a"]: (r["s"], r["m"]) for r in each.collect()}  # a row for each exponent tried
+
+    def mixed_enough(a: float, s: float, m: float) -> bool:
+        return math.log(s) - a * m / s >= even - 1e-12
+
+    def within(a: float, s: float, m: float) -> bool:
+        """Whether the smallest source, which repeats most, keeps to the limit."""
+        return math.exp((a - 1) * least) * (1.0 if budget_tokens is None else budget_tokens / (s * top)) <= max_repeats * (1 + 1e-12)
+
+    by_entropy, by_limit = (0.0, 1.0), (0.0, 1.0)
+    for _ in range(CUTS):
+        tried = sorted({lo + (hi - lo) * i / PARTS for lo, hi in (by_entropy, by_limit) for i in range(PARTS + 1)})
+        found = sums(tried)
+        by_entropy = _narrowed(by_entropy, {a: mixed_enough(a, *x) for a, x in found.items()}, True)
+        by_limit = _narrowed(by_limit, {a: within(a, *x) for a, x in found.items()}, False)
+    exponent = round(max(by_entropy[0], by_limit[1]), 12)
+    return exponent, sums([exponent])[exponent][0], top
 
 
 def source_weights(sizes: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget_tokens: int | None = None) -> DataFrame:
@@ -49,57 +77,41 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.95, max_repeats: f
 
     entropy_share: the target as a share of the entropy of equal weights. Without a budget it
     is the least at which every source is passed through once: the largest source repeats
-    once, none more than max_repeats times. With one, sources too small to reach their
-    weight within max_repeats end there, and what they leave over stays unused. Sources
+    once, none more than max_repeats times. With one, quotas are the weights' shares of it;
+    a budget over max_repeats times all tokens ends there, for every source alike. Sources
     without tokens get no row.
     """
     full = sizes.where("tokens > 0")
-    one = full.agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("all"), F.max("tokens").alias("top"), F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("k"))
-    one = one.withColumn("logs", F.transform("all", lambda x: F.log(x["tokens"] / F.col("top"))))
-    logs, least = F.col("logs"), F.array_min("logs")
-    even = F.log(F.col("k").cast("double")) * entropy_share
-    by_entropy = _bisect(lambda a: _entropy(logs, a) >= even)
-    # repeats of the smallest source, most of all: (p / p_top)**(a - 1) passes of the budget's share
-    passes = lambda a: F.lit(1.0) if budget_tokens is None else F.lit(float(budget_tokens)) / (_total(logs, a) * F.col("top"))
-    within = lambda a: F.exp((a - 1) * least) * passes(a) <= max_repeats
-    by_limit = F.when(within(F.lit(0.0)), F.lit(0.0)).when(~within(F.lit(1.0)), F.lit(1.0)).otherwise(_bisect_up(within))
-    one = one.withColumn("exponent", F.greatest(by_entropy, by_limit))
-    one = one.withColumn("sum", _total(logs, F.col("exponent"))).withColumn("passes", passes(F.col("exponent")))
-    each = one.select("exponent", "sum", "passes", "top", F.explode("all").alias("x"))
-    log = F.log(F.col("x.tokens") / F.col("top"))
-    repeats = F.least(F.exp((F.col("exponent") - 1) * log) * F.col("passes"), F.lit(float(max_repeats)))
-    each = each.select(F.col("x.source").alias("source"), F.col("x.tokens").alias("tokens"), (F.exp(F.col("exponent") * log) / F.col("sum")).alias("weight"), repeats.alias("repeats"), "exponent")
+    found = temperature(full.select("tokens"), entropy_share, max_repeats, budget_tokens)
+    exponent, total, top = found or (1.0, 1.0, 1)
+    passes = 1.0 if budget_tokens is None else budget_tokens / (total * top)
+    log = F.log(F.col("tokens") / F.lit(top))
+    repeats = F.round(F.least(F.exp((exponent - 1) * log) * passes, F.lit(float(max_repeats))), 12)
+    each = full.select("source", "tokens", (F.exp(exponent * log) / total).alias("weight"), repeats.alias("repeats"), F.lit(exponent).alias("exponent"))
     return each.withColumn("quota", F.floor(F.col("tokens") * F.col("repeats")).cast("long"))
 
 
-def _bisect_up(holds) -> Column:
-    """The smallest a in [0, 1] at which holds(a), which holds above it too."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-
-    def step(z: Column, _: Column) -> Column:
-        mid = (z["lo"] + z["hi"]) / 2
-        return F.when(holds(mid), F.struct(z["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), z["hi"].alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, lambda z: z["hi"])
-
-
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *,
     entropy_share: float = 0.95, max_repeats: float = 4.0, budget_tokens: int | None = None, seed: int = 0,
 ) -> DataFrame:
     """One row for each document and pass: (id, digest, source, n_tokens, epoch, block, position).
 
-    position (0 to 1) is how far into its source's quota the document's block starts; ordering
-    all rows by it mixes the sources by weight throughout. Tokens are words. A null source is
-    a source of its own. Rows that repeat id, text and source are one unit with the sum of
-    their tokens; documents without words cost nothing and come once with every pass, those of
-    a source without any words in one pass. An empty table gives an empty plan.
+    position (0 to 1) is the row's place in its source's quota: the tokens that the source
+    puts before it over all that it may put, and no two rows of a source share one. Ordering
+    all rows by position, then source, mixes the sources by weight throughout. Tokens are
+    words; texts of any length are read whole. A null source is a source of its own. Rows
+    that repeat id, text and source are one unit with the sum of their tokens; documents
+    without words cost nothing and come once with every pass, those of a source without any
+    words in one pass. Columns of docs other than those three are not read. An empty table
+    gives an empty plan.
     """
     t = whole_text(text)
     units = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("digest"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.size(words_of(t)).cast("long").alias("n"))
     units = written(units.groupBy("id", "digest", "source").agg(F.sum("n").alias("n_tokens")), "units")
-    sizes = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("rows"))
-    sizes = written(sizes, "sizes")
+    sizes = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    # neither a source's blocks nor a block's rows grow faster than the root of its rows
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("rows") / F.greatest(F.lit(float(BLOCK)), F.sqrt("rows")))), "sizes")
     weights = source_weights(sizes.select("source", "tokens"), entropy_share, max_repeats, budget_tokens)
     # a source without words has no weight: one pass, in which each of its documents counts as one token
     wordless = F.col("tokens") == 0
@@ -109,22 +121,24 @@ def mix_plan(
 
     dealt = units.join(quotas, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "digest"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("cost", F.when(F.col("wordless"), F.lit(1).cast("long")).otherwise(F.col("n_tokens")))
-    dealt = written(dealt.select("id", "digest", "source", "n_tokens", "cost", "block", "tokens", "quota"), "dealt")
+    dealt = written(dealt.select("id", "digest", "source", "n_tokens", "cost", "block", "blocks", "tokens", "quota"), "dealt")
     epochs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("tokens")))
-    blocks = dealt.groupBy("source", "block", "tokens", "quota").agg(F.sum("cost").alias("size"))
+    blocks = dealt.groupBy("source", "block", "tokens", "quota", "blocks").agg(F.sum("cost").alias("size"))
     blocks = blocks.where("quota > 0").withColumn("epoch", F.explode(epochs))
     in_pass = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")
     before = F.sum("size").over(in_pass.rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0)) + F.col("epoch") * F.col("tokens"))
-    blocks = written(blocks.where("before < quota").select("source", "block", "epoch", "before", "size"), "blocks")
-
-    rows = dealt.join(blocks, ["source", "block"])
-    position = (F.col("before") / F.col("quota")).alias("position")
-    out = ["id", "digest", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", position]
-    whole = rows.where("before + size <= quota").select(*out)
-    in_block = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "id", "digest"), "id", "digest")
-    cut = rows.where("before + size > quota").withColumn("used", F.col("before") + F.sum("cost").over(in_block)).where("used <= quota").select(*out)
-    return whole.union(cut)
+    blocks = blocks.withColumn("turn", F.col("epoch") * F.col("blocks") + F.row_number().over(in_pass)).withColumn("turns", F.floor((F.col("quota") - 1) / F.col("tokens") + 1) * F.col("blocks") + 2)
+    blocks = written(blocks.where("before < quota").select("source", "block", "epoch", "before", "turn", "turns", "quota"), "blocks")
+
+    rows = dealt.select("id", "digest", "source", "n_tokens", "cost", "block").join(blocks, ["source", "block"])
+    # documents that cost nothing go first in a block, so that its last row has a token
+    in_block = Window.partitionBy("source", "epoch", "block").orderBy(F.col("cost") > 0, F.xxhash64(F.lit(seed), "epoch", "id", "digest"), "id", "digest")
+    rows = rows.withColumns({"place": F.col("before") + F.sum("cost").over(in_block) - F.col("cost"), "nth": F.row_number().over(in_block), "of": F.count(F.lit(1)).over(in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # a fraction of one token that grows from row to row keeps rows apart that cost nothing
+    apart = (F.col("turn") + F.col("nth") / (F.col("of") + 1)) / F.col("turns")
+    rows = rows.where("place + cost <= quota").withColumn("position", (F.col("place") + apart) / F.col("quota"))
+    return rows.select("id", "digest", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", "position")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

@@ -408,8 +408,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     groups = _joined(groups, links)
 
     of = written(classes.join(groups.withColumnRenamed("node", "d0"), "d0", "left"), "grouped")
-    least = of.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
-    of = written(of.join(least, "label", "left").select("d0", "d1", F.coalesce("least", "rep").alias("component_id")), "components")
+    linked = of.where(F.col("label").isNotNull())
+    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    alone = of.where(F.col("label").isNull()).select("d0", "d1", F.col("rep").alias("component_id"))
+    of = written(linked.join(least, "label").select("d0", "d1", "component_id").union(alone), "components")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id"))
     judged = written(slim.join(of, ["d0", "d1"], "left").select("id", "n", own.alias("own")), "judged")
     # rows that repeat an id with other texts join their components

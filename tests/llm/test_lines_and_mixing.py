@@ -92,3 +92,80 @@ def test_sources_without_words_come_once(spark):
     assert sorted((r.id, r.epoch, r.n_tokens) for r in plan if r.source == "blank") == [(i, 0, 0) for i in range(9)]
     assert {r.id for r in plan} == {r[0] for r in rows} and all(0 <= r.position < 1 for r in plan)
     assert mix_sources(spark.createDataFrame(blank, DOCS)).count() == 9
+
+
+def plain_exponent(tokens, share, limit, budget=None):
+    """By halving, over plain lists."""
+    import math
+
+    top, k = max(tokens), len(tokens)
+
+    def weights(a):
+        w = [(t / top) ** a for t in tokens]
+        return [x / sum(w) for x in w]
+
+    def spread(a):
+        return -sum(x * math.log(x) for x in weights(a)) >= share * math.log(k) - 1e-12
+
+    def within(a):
+        w = weights(a)
+        spend = budget if budget is not None else top / w[tokens.index(top)]
+        return max(x * spend / t for x, t in zip(w, tokens)) <= limit * (1 + 1e-12)
+
+    def change(holds, below):
+        lo, hi = 0.0, 1.0
+        if holds(1.0) == below:
+            return 1.0
+        if holds(0.0) != below:
+            return 0.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if holds(mid) == below else (lo, mid)
+        return lo
+
+    return max(change(spread, True), change(within, False))
+
+
+@pytest.mark.parametrize(("share", "limit", "budget"), [(0.95, 4.0, None), (0.7, 50.0, None), (1.0, 2.0, None), (0.9, 3.0, 900), (0.9, 1.5, 2500), (0.9, 2.0, 10**6)])
+def test_exponent_is_that_of_plain_halving(spark, share, limit, budget):
+    tokens = [1000, 400, 400, 37, 12, 3]
+    rows = source_weights(sizes(spark, *tokens), share, limit, budget).collect()
+    want = plain_exponent(tokens, share, limit, budget)
+    assert all(r.exponent == pytest.approx(want, abs=1e-9) for r in rows)
+    if budget == 10**6:  # more than all sources may repeat
+        assert all(r.quota == r.tokens * 2 for r in rows)
+    elif budget:  # the weights share it out, but for the fractions of tokens
+        assert budget - len(tokens) <= sum(r.quota for r in rows) <= budget
+        assert all(abs(r.quota - r.weight * budget) <= 1 for r in rows)
+
+
+def test_positions_are_places_in_the_quota_and_sources_run_side_by_side(spark):
+    rows = [(i, " ".join(["w"] * (i * 7 % 6)), None, "big" if i < 2600 else f"s{i % 3}", None) for i in range(2900)]
+    plan = mix_plan(spark.createDataFrame(rows, DOCS), max_repeats=3.0).collect()
+    quota = {}
+    for source in {r.source for r in plan}:
+        own = sorted((r for r in plan if r.source == source), key=lambda r: r.position)
+        assert len({r.position for r in own}) == len(own)
+        assert [r.epoch for r in own] == sorted(r.epoch for r in own)
+        blocks = [(r.epoch, r.block) for r in own]
+        assert len(set(blocks)) == 1 + sum(a != b for a, b in zip(blocks, blocks[1:]))  # a pass takes its blocks one after the other
+        total = sum(r.n_tokens for r in own)
+        spent = 0
+        for r in own:
+            # places count whole tokens; quotas leave less than a document unspent
+            assert spent / (total + 6) <= r.position <= (spent + 1) / total
+            spent += r.n_tokens
+        quota[source] = total
+        passes = {e: [r.id for r in own if r.epoch == e] for e in {r.epoch for r in own}}
+        if len(passes.get(1, [])) > 20:
+            assert passes[0][: len(passes[1])] != passes[1]  # each pass has its own order
+    assert len({r.block for r in plan if r.source == "big"}) == 3
+    for cut in (0.25, 0.5, 0.75):  # of every source the same share is through
+        for source, total in quota.items():
+            assert abs(sum(r.n_tokens for r in plan if r.source == source and r.position < cut) / total - cut) <= 12 / total
+
+
+def test_repeated_ids_and_texts_have_one_place_each(spark):
+    rows = [(1, "a b", None, "x", None)] * 3 + [(1, "c", None, "x", None), (None, "a b", None, "x", None), (None, None, None, "x", None), (2, "", None, "x", None)]
+    plan = mix_plan(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.id or 0, r.n_tokens) for r in plan) == [(0, 0), (0, 2), (1, 1), (1, 6), (2, 0)] and len({r.position for r in plan}) == 5
