@@ -36,14 +36,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Deletes the session's intermediate tables once their results are written; how many there were."""
-    paths = spark.__dict__.pop("_strandwork_written", [])
+def written_so_far(spark: SparkSession) -> int:
+    """How many intermediate tables of the session are left."""
+    return len(spark.__dict__.get("_strandwork_written", []))
+
+
+def drop_written(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Deletes the session's intermediate tables once their results are written; how many there were.
+
+    since: leaves so many that were written first; but: and so many that were written last.
+    """
+    paths = spark.__dict__.get("_strandwork_written", [])
+    gone = paths[since : len(paths) - but]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
+    for p in gone:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
-    return len(paths)
+    paths[since : len(paths) - but] = []
+    return len(gone)
 
 
 def whole_text(col: str | Column = "text") -> Column:
