@@ -13,15 +13,17 @@ from strandwork.llm.lang_id import identify
 from strandwork.llm.line_dedup import dedup_lines
 from strandwork.llm.mixing import mix_sources
 from strandwork.llm.near_dedup import near_duplicates
-from strandwork.llm.support import written
+from strandwork.llm.support import drop_written, written, written_so_far
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, which have no language; lang becomes the predicted one.
+    """Drops texts without a letter, null and empty ones too, which have no language; lang becomes the predicted one.
 
-    Uncertain texts stay: a low score alone doesn't tell a mixed text from a bad one.
+    Uncertain texts stay: a low score alone doesn't tell a mixed text from a bad one. Repeated
+    rows are judged each. Without a row that has a language and letters, nothing is learned and
+    every row goes. An empty table gives an empty one.
     """
     found = identify(docs)
     return found.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -31,6 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that stand on ten sites or more but where they stand first; texts left without a word go.
 
     Of fewer than twenty sites half are enough, three at least, so few sources lose lines too.
+    A null source is a site of its own. Null and empty texts have no line to lose and stay;
+    rows that repeat id and text are treated alike. An empty table gives an empty one.
     """
     sites = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(""))).distinct().count()
     left = dedup_lines(docs, min_sites=max(3, min(10, (sites + 1) // 2))).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -39,26 +43,38 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; of rows that repeat an id one stays, whichever.
+    """Keeps the document with the least id of each group.
 
-    Rows without an id stay, as they belong to no group.
+    Rows that repeat an id belong to one group, and those of them that stay all stay, but of
+    rows equal in id and text only the one with the least lang, source and n_chars. Rows
+    without an id stay, as they belong to no group, and so do empty texts.
     """
     judged = written(near_duplicates(docs).select("doc_id", "kept"), "judged")
     twice = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     twice = written(twice, "twice")
     gone = judged.where(~F.col("kept")).select("doc_id").union(twice).distinct()
-    one_each = docs.join(twice.join(judged.where("kept").select("doc_id").distinct(), "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").unionByName(one_each).select(*COLUMNS)
+    stay = twice.join(judged.where("kept").select("doc_id").distinct(), "doc_id")
+    of = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("digest"), F.col("text").isNull().alias("blank"))
+    one_each = of.agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("one")).select("doc_id", "one.*")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).unionByName(one_each.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold half the words of a benchmark item or more, or a verbatim excerpt of fifty."""
+    """Drops documents that hold half the words of a benchmark item or more, or a verbatim excerpt of fifty.
+
+    Null and empty texts hold nothing and stay. Repeated rows are judged each; a null id is
+    judged by its text. Empty documents or an empty benchmark drop nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return judge_contamination(docs, items).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, small sources up to four times, in mixed order by position."""
+    """Every document at least once, small sources up to four times, in mixed order by position.
+
+    A null source is a source of its own; null and empty texts come with every pass of theirs.
+    Rows that repeat id, text and source come each, at one position. An empty table gives an empty one.
+    """
     return mix_sources(docs).select(*COLUMNS, "epoch", "block", "position")
 
 
@@ -75,8 +91,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each keeps is written to the shared folder.
+
+    Once a stage's result is written, the intermediate tables it was made from are deleted.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, since=mark, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
