@@ -38,3 +38,19 @@ def test_few_sources_lose_their_shared_lines_too(spark, sf):
 def test_every_operator_has_its_query():
     names = {n.split("_")[0] for n in queries.QUERIES}
     assert names == {f"op{i}" for i in range(1, 11)}
+
+
+def test_texts_that_share_an_id_all_stay_and_equal_rows_once(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "de", "s", 1), (5, None, "en", "s", None), (8, a, "en", "s", 1), (9, c, "en", None, 1), (9, c, "en", None, 1), (None, c, "en", "s", 1)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [spark.createDataFrame([r], DOCS).first() for r in (rows[0], rows[2], rows[3], rows[5], rows[7])]))
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, sf):
+    from strandwork.llm.support import written_so_far
+
+    before = written_so_far(spark)
+    out = corpus_pipeline.run(spark, sf)
+    read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+    assert out.count() and written_so_far(spark) - before <= 8 and len(read) >= 2
