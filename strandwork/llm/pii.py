@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandwork.llm.support import whole_text, written
 
@@ -101,7 +102,7 @@ def _found(df: DataFrame, name: str, text: str, shape: str, needed: Column, cont
 
 
 def scan(docs: DataFrame, id_col: str, text: str, context: int) -> DataFrame:
-    """(id, digest, base, found): base are the fixed shapes' spans, found those and the candidates with their patterns and values."""
+    """(id, digest, base, fixed, loose): base are the fixed shapes' spans, fixed and loose their and the looser shape's matches with patterns and values."""
     t = F.col("__t")
     df = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole_text(text)).alias("digest"), whole_text(text).alias("__t"))
     digit = t.rlike("[0-9]")
@@ -112,10 +113,26 @@ def scan(docs: DataFrame, id_col: str, text: str, context: int) -> DataFrame:
     with_kind = lambda k, arr: F.transform(arr, lambda x: F.struct(k.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["left"].alias("left"), x["value"].alias("value")))
     fixed = [F.coalesce(with_kind(F.lit(i), F.filter(f"__{kind}", _keeps(kind))), F.array()) for i, kind in enumerate(KINDS)]
     df = df.withColumn("fixed", F.concat(*fixed))
-    free = F.filter("__loose", lambda x: ~F.exists("fixed", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    df = df.withColumn("found", F.concat("fixed", F.coalesce(with_kind(F.lit(-1), free), F.array())))
+    df = df.withColumn("loose", F.coalesce(with_kind(F.lit(-1), F.col("__loose")), F.array()))
     base = F.array_sort(F.transform("fixed", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
-    return df.select("id", "digest", base.alias("base"), "found")
+    return df.select("id", "digest", base.alias("base"), "fixed", "loose")
+
+
+def matches(scanned: DataFrame) -> DataFrame:
+    """(id, digest, kind, start, end, left, value) of a written scan's fixed matches and of the candidates (kind -1) apart from them.
+
+    Each row of the scan is swept from left to right, and back, so a text's matches are never compared in pairs.
+    """
+    each = scanned.where((F.size("fixed") > 0) | (F.size("loose") > 0)).withColumn("__row", F.monotonically_increasing_id())
+    each = each.select("__row", "id", "digest", F.explode(F.concat("fixed", "loose")).alias("x")).select("__row", "id", "digest", "x.*")
+    fixed = F.col("kind") >= 0
+    # of matches that start together, candidates see all fixed ones
+    sweep = Window.partitionBy("__row").orderBy("start", F.when(fixed, 0).otherwise(1))
+    reached = F.max(F.when(fixed, F.col("end"))).over(sweep.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(fixed, F.col("start"))).over(Window.partitionBy("__row").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, 0))
+    swept = each.withColumns({"reached": reached, "ahead": ahead})
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
+    return swept.where(fixed | free).drop("__row", "reached", "ahead")
 
 
 def _plausible(kind: str) -> Column:
@@ -172,18 +189,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) of every row of docs.
 
     The counts and the digest are of the fixed shapes; spans and n_found also hold what the
-    bootstrap found. Null texts count as empty: no spans, the digest of an empty string. Rows
-    that repeat give the same result each. Without seeds nothing is added.
+    bootstrap found. Null texts count as empty: no spans, the digest of an empty string. Texts
+    of any length are scanned whole. Rows that repeat give the same result each, with a null id
+    or not; other columns of docs are not read. Without seeds, and so in an empty table,
+    nothing is added.
     """
     scanned = written(scan(docs, id_col, text, op.context), "scan")
-    found = scanned.select("id", "digest", F.explode("found").alias("x")).select("id", "digest", "x.*")
+    found = written(matches(scanned), "matches")
     values = written(bootstrap(found.select("kind", "left", "value"), op), "values")
     spots = found.where("kind = -1").select("id", "digest", "start", "end", "value").join(values, "value")
     more = spots.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     more = written(more.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "more"), "more")
     slim = scanned.select("id", "digest", "base")
     out = slim.join(more, slim["id"].eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
-    all_ = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.array_union("base", "more")))
+    all_ = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     return out.withColumn("all", all_).select(
         F.col("id").alias(id_col), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],

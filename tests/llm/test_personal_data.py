@@ -88,3 +88,90 @@ def test_awkward_documents(spark):
     out = find_personal_data(clashing(spark.createDataFrame(ROWS, DOCS))).collect()
     assert len(out) == len(ROWS) and all(r.n_found == 0 for r in out)
     assert find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def plain_bootstrap(found, op):
+    """Belief by belief, over plain sets."""
+    import math
+    import re
+
+    from strandwork.llm.pii import FITS
+
+    def able(kind, value):
+        if kind == 1:
+            parts = value.replace(":", ".").rstrip(".").split(".")
+            return len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
+        digits = [int(d) for d in re.sub("[^0-9]", "", value)][::-1]
+        return kind != 2 or sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+    edges = {(k, v, p) for k, left, v in found if left.strip() for p in {left.split()[-1], left.strip()}}
+    graph = {}
+    for k, v, p in edges:
+        for kind in range(4):
+            if k == kind:
+                graph[p, kind, v] = (1, 1)
+            elif k == -1 and re.search(FITS[KINDS[kind]], v):
+                graph.setdefault((p, kind, v), (0, int(able(kind, v))))
+    values = {p: len({v for _, v, q in edges if q == p}) for _, _, p in edges}
+    sure, rest = {}, {}
+    for _ in range(op.rounds):
+        last, sure = sure, {}
+        for p, kind in {x[:2] for x in graph}:
+            own = {v: x for (q, k, v), x in graph.items() if (q, k) == (p, kind)}
+            support, against = sum(s for s, _ in own.values()), values[p] - sum(a for _, a in own.values())
+            held, n, spared = support, support, 0
+            for v, (s, a) in own.items():
+                if not s and (v, kind) in rest:
+                    belief = 1 - math.exp(rest[v, kind] - (math.log1p(-last[p, kind]) if (p, kind) in last else 0))
+                    if belief >= op.belief:
+                        held, n, spared = held + belief, n + 1, spared + (0 if a else belief)
+            if len(own) >= op.support and n >= op.support and held / (held + against - spared + 1) >= op.confidence:
+                sure[p, kind] = held / (held + against - spared + 1)
+        rest = {}
+        for (p, kind, v), (s, _) in graph.items():
+            if not s and (p, kind) in sure:
+                rest[v, kind] = rest.get((v, kind), 0) + math.log1p(-sure[p, kind])
+    best = {}
+    for (v, kind), x in rest.items():
+        if 1 - math.exp(x) >= op.belief:
+            best[v] = min(best.get(v, (0, 9)), (-(1 - math.exp(x)), kind))
+    return {v: kind for v, (_, kind) in best.items() if v not in {w for k, w, _ in edges if k >= 0}}
+
+
+def test_graph_scores_are_those_of_plain_sets(spark):
+    import random
+
+    from strandwork.llm.pii import bootstrap
+
+    rng, some = random.Random(4), 0
+    numbers = [f"202 555 0{i}" for i in range(100, 160)] + [f"10.{i}.3.{i * 9}" for i in range(40)] + [f"4539{i:04d}88034364{i % 97:02d}" for i in range(40)]
+    for _ in range(3):
+        likes = {f"w{p}": rng.choice([numbers[:60], numbers[60:100], numbers[100:], numbers]) for p in range(12)}
+        found = []
+        for _ in range(700):
+            word = rng.choice(list(likes))
+            value = rng.choice(likes[word])
+            kind = -1 if rng.random() < 0.4 else 3 if " " in value else 1 if "." in value else 2
+            found.append((kind, rng.choice(["", "a ", "b "]) + word + " ", value))
+        seeds = {v for k, _, v in found if k >= 0 and len(v) % 3 + int(v[-1]) % 3}  # a third of the values is never a seed
+        found = [(k if v in seeds else -1, left, v) for k, left, v in found]
+        for op in (Bootstrap(), Bootstrap(confidence=0.6, belief=0.7)):
+            got = {r.value: r.kind for r in bootstrap(spark.createDataFrame(found, "kind int, left string, value string"), op).collect()}
+            want = plain_bootstrap(found, op)
+            assert got == want
+            some += len(want)
+    assert some > 30
+
+
+def test_candidates_that_touch_fixed_matches_are_left_out(spark):
+    import random
+
+    from strandwork.llm.pii import matches
+
+    rng = random.Random(5)
+    spans = lambda n, kind: [(kind if kind < 0 else rng.randrange(4), a := rng.randrange(300), a + rng.randrange(1, 12), "l", "v") for _ in range(n)]
+    rows = [(i, 7, spans(rng.randrange(12), 0), spans(rng.randrange(12), -1)) for i in range(60)] + [(None, 7, spans(5, 0), spans(9, -1))] * 2
+    span = "array<struct<kind:int,start:int,end:int,left:string,value:string>>"
+    got = matches(spark.createDataFrame(rows, f"id long, digest long, fixed {span}, loose {span}")).collect()
+    want = [(i, d, *x) for i, d, fixed, loose in rows for x in fixed + [x for x in loose if all(y[1] >= x[2] or x[1] >= y[2] for y in fixed)]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
