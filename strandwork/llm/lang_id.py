@@ -143,12 +143,13 @@ def _sample_windows(each: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", *, per_language: int = 800, windows: int = 4, passes: int = 4, seed: int = 1) -> ByteNet | None:
     """A network from at most per_language texts of each language and at most windows of each; None without any.
 
-    The sample is bounded: of each language and each of per_language hash classes of the
-    id, the row with the least hash. Rows without language or letters don't count. A sample
-    that only more than MAX_LANGUAGES languages can give is an error.
+    The sample is bounded whatever repeats: of each language and each of per_language hash
+    classes of id and text, the row with the least hash, once. Rows without language or letters
+    don't count. A sample that only more than MAX_LANGUAGES languages can give is an error.
+    Of a text of any length the sampled windows are spread over the whole.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = F.xxhash64(F.lit(seed), id_col)
+    order = F.xxhash64(F.lit(seed), id_col, text)
     least = known.groupBy(F.col(lang).alias("__lang"), F.pmod(order, F.lit(per_language)).alias("__class")).agg(F.min(order).alias("__order"))
     picks = least.limit(per_language * MAX_LANGUAGES + 1).toArrow()
     if picks.num_rows > per_language * MAX_LANGUAGES:
@@ -158,13 +159,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     picks = docs.sparkSession.createDataFrame(picks.select(["__lang", "__order"]))
     found = known.join(F.broadcast(picks), (F.col(lang) == F.col("__lang")) & (order == F.col("__order")))
     bounded_batches(docs.sparkSession)
-    found = found.select(F.col(lang).alias("lang"), whole_text(text).cast("binary").alias("t"))
-    rows = sorted(found.mapInArrow(_sample_windows(windows), "lang string, window binary").toArrow().to_pylist(), key=lambda r: (r["lang"], r["window"]))
-    languages = sorted({r["lang"] for r in rows})
-    number = {x: i for i, x in enumerate(languages)}
-    data = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, LENGTH)
+    found = found.select(F.col(lang).alias("lang"), "__order", whole_text(text).cast("binary").alias("t")).dropDuplicates(["lang", "__order"])
+    rows = found.select("lang", "t").mapInArrow(_sample_windows(windows), "lang string, window binary").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+    languages, label = np.unique(np.array(rows.column("lang").to_pylist(), object), return_inverse=True)
+    languages, data = languages.tolist(), buffers(rows.column("window"))[0].reshape(-1, LENGTH)
     net = ByteNet.fresh(languages, seed)
-    net.fit(data, np.array([number[r["lang"]] for r in rows]), passes, seed)
+    net.fit(data, label, passes, seed)
     return net
 
 
@@ -172,8 +172,9 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", unknown: s
     """docs with lang_pred and score (0 to 1) added; columns of those names are replaced.
 
     A text that is null or has no letter, and any text without a network, gets unknown and
-    score 0. Equal probabilities go to the language that sorts first. Repeated rows are
-    predicted each; the text itself passes through unchanged.
+    score 0. Equal probabilities go to the language that sorts first. A text of any length is
+    read whole, windows end to end. Repeated rows are predicted each; the text itself passes
+    through unchanged. An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")

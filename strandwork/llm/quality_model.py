@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """(weights, bias) from at most sample labelled rows of docs.
 
     labels has the id and quality; of repeated labels the least counts, nulls don't. The
-    sample is bounded: in each of sample hash classes of the id, the least hash.
+    sample is bounded whatever repeats: in each of sample hash classes of the id, the least
+    hash, and of documents with that id the text with the least hash.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -140,15 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return np.zeros(1 << LG_FEATURES, np.float32), 0.0
     picks = F.broadcast(spark.createDataFrame(picks))
     texts = docs.select(order.alias("order"), F.col(id_col).alias("__doc"), whole_text(text).alias("t"))
-    chosen = texts.join(picks, F.col("__doc") == F.col("__id")).select("order", F.xxhash64("t").alias("tie"), "label", F.col("t").cast("binary").alias("t"))
-    got = chosen.repartition(1).sortWithinPartitions("order", "tie").mapInArrow(_training(passes), "weights binary, bias double").first()
+    chosen = texts.join(picks, F.col("__doc") == F.col("__id")).groupBy("order", "label").agg(F.min(F.struct(F.xxhash64("t").alias("tie"), "t")).alias("of"))
+    chosen = chosen.select("order", "label", F.col("of.t").cast("binary").alias("t"))
+    got = chosen.repartition(1).sortWithinPartitions("order").mapInArrow(_training(passes), "weights binary, bias double").first()
     return np.frombuffer(got["weights"], np.float32), got["bias"]
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted (1 from threshold on) added; columns of those names are replaced.
 
-    Null and empty texts have no n-gram and get the bias alone.
+    Null and empty texts have no n-gram and get the bias alone; a text of any length counts
+    whole. Repeated rows are scored each. An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
