@@ -27,6 +27,11 @@ def in_excluded_directory(path: Column) -> Column:
     return F.exists(F.split(F.lower(path), "/"), lambda p: F.array_contains(array_of(config.EXCLUDED_DIRECTORIES), p) | p.endswith(".egg-info"))
 
 
+def is_pruned_name(name: str) -> bool:
+    """Whether a folder of this name is never entered."""
+    return name.lower() in config.EXCLUDED_DIRECTORIES or name.lower().endswith(".egg-info")
+
+
 def is_secret(path: Column) -> Column:
     name = F.lower(file_name(path))
     return (name == ".env") | name.startswith(".env.") | name.isin(*config.SECRET_NAMES) | suffix(path).isin(*config.SECRET_SUFFIXES)
@@ -53,7 +58,7 @@ def is_source(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    name = file_name(path)
+    name = F.lower(file_name(path))
     return name.startswith("test_") | name.rlike(r"(?:_test\.py|\.(?:test|spec)\.(?:ts|js))$")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -29,11 +30,14 @@ COVERAGE, CONTRACT = Caps(), Caps(64, 16, 10**9, True)
 
 
 def path_roles(path: Column, roles=config.ROLE_TERMS) -> Column:
-    """Roles of a path by prefix matching; page components are ui, test names tests."""
+    """Roles of a path by prefix matching; page components are ui, test names tests. Python transport is ui only if a term says so."""
     found = text.tokens(path)
-    hit = [F.when(F.size(text.matching_terms(text.array_of(terms), found)) > 0, F.lit(role)) for role, terms in sorted(roles.items())]
-    extra = [F.when(paths.suffix(path).isin("tsx", "jsx"), F.lit("ui")), F.when(paths.is_test(path), F.lit("tests"))]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hit, *extra))))
+    matches = lambda terms: F.size(text.matching_terms(text.array_of(terms), found)) > 0
+    hit = [F.when(matches(terms), F.lit(role)) for role, terms in sorted(roles.items())]
+    hit = F.array_compact(F.array(*hit, F.when(paths.suffix(path).isin("tsx", "jsx"), F.lit("ui"))))
+    not_ui = F.array_contains(hit, "transport") & (paths.suffix(path) == "py") & ~matches(config.EXPLICIT_UI_TERMS)
+    hit = F.when(not_ui, F.array_remove(hit, "ui")).otherwise(hit)
+    return F.array_sort(F.array_distinct(F.array_compact(F.array_append(hit, F.when(paths.is_test(path), F.lit("tests"))))))
 
 
 def kinds_of(roles: Column) -> Column:
@@ -76,37 +80,40 @@ def plan(candidates: DataFrame, caps: Caps = COVERAGE, threshold: int = config.E
     """(task_id, order_no, kind, path, name, score) taken from candidates(task_id, kind_no, kind, limit, path, name, score, lines).
 
     An ordered fold per task: kinds in order, within one the best score, fewest lines, path
-    and name. Caps hold over all kinds. A definition taken before is skipped; whether it uses
-    up its kind's limit is the caps' duplicates_count. Only the best limit + total rows of a
-    kind can matter, so no task's group is larger than its kinds times that.
+    and name without case. Caps hold over all kinds. A definition taken before is skipped;
+    whether it uses up its kind's limit is the caps' duplicates_count. A task's rows are sorted
+    and streamed, so what a task holds is the plan, however many candidates there are.
     """
-    order = [F.desc("score"), "lines", "path", "name"]
-    best = F.row_number().over(Window.partitionBy("task_id", "kind_no").orderBy(*order))
-    rows = candidates.where(F.col("score") >= threshold).withColumn("__n", best).where(F.col("__n") <= F.col("limit") + caps.total * 8)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken, per_file, out = set(), {}, []
-        group = group.sort_values(["kind_no", "__n"])
-        for _, rows_of_kind in group.groupby("kind_no", sort=True):
-            used = 0
-            for r in rows_of_kind.itertuples():
+    rows = candidates.where(F.col("score") >= threshold).select("task_id", "kind_no", "kind", "limit", "path", "name", F.col("score").cast("long").alias("score"), "lines")
+    if not caps.duplicates_count:
+        # a file that has given its best per_file definitions of a kind, or had them taken before, can give no more
+        keys = ["task_id", "kind_no", "path"]
+        rows = rows.groupBy(*keys, "kind", "limit", "name").agg(F.max(F.struct("score", (-F.col("lines")).alias("lines"))).alias("x")).select("task_id", "kind_no", "kind", "limit", "path", "name", "x.score", (-F.col("x.lines")).alias("lines"))
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "lines", F.lower("name"), "name"))
+        rows = rows.withColumn("__n", nth).where(F.col("__n") <= caps.per_file).drop("__n")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, kind, used, taken, per_file = None, None, 0, set(), {}
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.task_id != task:
+                    task, kind, taken, per_file = r.task_id, None, set(), {}
+                if r.kind_no != kind:
+                    kind, used = r.kind_no, 0
                 if used >= r.limit or len(taken) >= caps.total:
-                    break
-                key = (r.path, r.name)
-                if key in taken:
-                    used += caps.duplicates_count
-                    continue
-                if per_file.get(r.path, 0) >= caps.per_file or (r.path not in per_file and len(per_file) >= caps.files):
                     continue
-                taken.add(key)
-                per_file[r.path] = per_file.get(r.path, 0) + 1
-                used += 1
-                out.append((r.task_id, len(out), r.kind, r.path, r.name, r.score))
-        return pd.DataFrame(out, columns=["task_id", "order_no", "kind", "path", "name", "score"])
-
-    rows = rows.select("task_id", "kind_no", "kind", "limit", "path", "name", F.col("score").cast("long").alias("score"), "__n").withColumnRenamed("__n", "nth")
-    renamed = lambda g: fold(g.rename(columns={"nth": "__n"}))
-    return rows.groupBy("task_id").applyInPandas(renamed, f"task_id {rows.schema['task_id'].dataType.simpleString()}, order_no int, kind string, path string, name string, score long")
+                if (r.path, r.name) in taken:
+                    used += caps.duplicates_count
+                elif per_file.get(r.path, 0) < caps.per_file and (r.path in per_file or len(per_file) < caps.files):
+                    taken.add((r.path, r.name))
+                    per_file[r.path] = per_file.get(r.path, 0) + 1
+                    used += 1
+                    out.append((task, len(taken) - 1, r.kind, r.path, r.name, r.score))
+            yield pd.DataFrame(out, columns=["task_id", "order_no", "kind", "path", "name", "score"])
+
+    rows = rows.repartition("task_id").sortWithinPartitions("task_id", "kind_no", F.desc("score"), "lines", F.lower("path"), F.lower("name"), "path", "name")
+    return rows.mapInPandas(fold, f"task_id {rows.schema['task_id'].dataType.simpleString()}, order_no int, kind string, path string, name string, score long")
 
 
 def rooted_closure(roots: DataFrame, calls: DataFrame, *, depth: int = 3, symbols: int = 24, files: int = 12) -> DataFrame:

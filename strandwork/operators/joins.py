@@ -57,23 +57,46 @@ def owner_index(symbols: DataFrame) -> DataFrame:
     return symbols.select(F.explode(keys).alias("key"), "path", "name").distinct()
 
 
-def unique_owner(calls: DataFrame, owners: DataFrame, deps: DataFrame) -> DataFrame:
-    """calls(src, callee, receiver) with the one owner(path, name) that fits, by the first rule that has exactly one.
+def callable_owners(symbols: DataFrame) -> DataFrame:
+    """(key, path, name): the definition behind each symbol(path, name, definition_name), under its lower-cased names, distinct."""
+    keys = F.array_compact(F.array(F.lower("name"), F.lower("definition_name")))
+    return symbols.select(F.explode(keys).alias("key"), "path", F.coalesce("definition_name", "name").alias("name")).distinct()
+
+
+def lexical_path(path: Column) -> Column:
+    """A path with its . and .. parts resolved; a .. that leads above the root stays."""
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(kept) > 0)
+        return F.when(part.isin("", "."), kept).when(up, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+
+
+def unique_owner(calls: DataFrame, definitions: DataFrame, owners: DataFrame, deps: DataFrame) -> DataFrame:
+    """calls(src, owner, callee, receiver) with the (path, name) of the one definition that fits, by the first rule that has exactly one.
 
-    1. the same file; 2. a direct dependency(src, dst); 3. anywhere, for bare and member
-    calls. A self call never leaves its file. Other calls go without a row.
+    owner is the class that the call stands in. 1. Of definitions(path, name, owner) in the
+    same file: any for a bare call, those of its own class for a self call. A self call goes no
+    further. 2. Of owners(key, path, name), by lower-cased name: those in direct
+    dependencies(src, dst). 3. All owners, for bare and member calls. Others get no row.
     """
-    owners = owners.select("name", "path").distinct()
-    calls = calls.select("src", "callee", "receiver").distinct()
+    calls = calls.select("src", "owner", "callee", "receiver").distinct().withColumn("key", F.lower("callee"))
+    owners = owners.select("key", "path", "name").distinct()
     # each rule's single owners first, so that no call meets all owners of a common name
-    same = owners.select(F.col("path").alias("src"), F.col("name").alias("callee"), F.col("path").alias("a"))
-    near = deps.select("src", F.col("dst").alias("path")).distinct().join(owners, "path")
-    near = near.groupBy("src", F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("b")).where("n = 1").drop("n")
-    free = owners.groupBy(F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("c")).where("n = 1").drop("n")
-    out = calls.join(same, ["src", "callee"], "left").join(near, ["src", "callee"], "left").join(free, "callee", "left")
-    leaves = F.col("receiver") != "self"
-    path = F.coalesce("a", F.when(leaves, F.col("b")), F.when(F.col("receiver").isin("bare", "member"), F.col("c")))
-    return out.select("src", "callee", "receiver", path.alias("path")).where("path IS NOT NULL")
+    known = definitions.select(F.col("path").alias("src"), F.col("name").alias("callee"), "owner")
+    one = lambda df, value, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), value).where("n = 1").drop("n")
+    bare = one(known, F.first("src").alias("a"), "src", "callee").withColumn("receiver", F.lit("bare"))
+    own = one(known.where(F.col("owner").isNotNull()), F.first("src").alias("b"), "src", "owner", "callee").withColumn("receiver", F.lit("self"))
+    target = F.first(F.struct("path", "name"))
+    near = one(deps.select("src", F.col("dst").alias("path")).distinct().join(owners, "path"), target.alias("near"), "src", "key")
+    free = one(owners, target.alias("free"), "key")
+    out = calls.join(bare, ["src", "callee", "receiver"], "left").join(own, ["src", "owner", "callee", "receiver"], "left").join(near, ["src", "key"], "left").join(free, "key", "left")
+    here = F.coalesce("a", "b")
+    same = F.when(here.isNotNull(), F.struct(here.alias("path"), F.col("callee").alias("name")))
+    hit = F.coalesce(same, F.when(F.col("receiver") != "self", F.col("near")), F.when(F.col("receiver").isin("bare", "member"), F.col("free")))
+    return out.select("src", "owner", "callee", "receiver", hit.alias("hit")).where("hit IS NOT NULL").select("src", "owner", "callee", "receiver", "hit.*")
 
 
 def smallest_overlap(ranges: DataFrame, definitions: DataFrame, *keys: str, width: int = 256) -> DataFrame:
@@ -173,4 +196,4 @@ def failed_hunks(hunks: DataFrame, errors: DataFrame) -> DataFrame:
     exact = hunks.join(errors, ["path", "line"], "left_semi").withColumn("rule", F.lit(1))
     by_path = hunks.join(errors.select("path").distinct(), "path", "left_semi").withColumn("rule", F.lit(2))
     rows = exact.unionByName(by_path).unionByName(hunks.withColumn("rule", F.lit(3)))
-    return rows.withColumn("__least", F.min("rule").over(Window.partitionBy())).where("rule = __least").drop("__least")
+    return rows.join(rows.agg(F.min("rule").alias("rule")), "rule").select(*rows.columns)

@@ -97,7 +97,7 @@ def definitions_of(text: str) -> list[tuple[str, str, int, int, int, str]]:
             kind = "function"
         start = text.count("\n", 0, m.start()) + 1
         out.append((m[2], kind, start, start + body.rstrip("\n").count("\n"), body.rstrip("\n").count("\n") + 1, body))
-    return out[: config.MAX_SYMBOLS]
+    return out
 
 
 def definitions(files: DataFrame) -> DataFrame:

@@ -117,22 +117,28 @@ def q_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (holds("p_type") * 20 + holds("p_name") * 28).cast("long").alias("score")).where("score > 0")
 
 
-@query(f"""WITH calls AS (SELECT DISTINCT l_suppkey AS src, p_name AS callee, CASE l_returnflag WHEN 'R' THEN 'self' WHEN 'A' THEN 'bare' ELSE 'qualified' END AS receiver FROM lineitem JOIN part ON l_partkey = p_partkey),
-    owners AS (SELECT DISTINCT p_name AS name, p_partkey % 50 AS path FROM part), deps AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_discount = 0),
-    hit AS (SELECT DISTINCT c.src, c.callee, c.receiver, o.path, d.dst IS NOT NULL AS near FROM calls c JOIN owners o ON o.name = c.callee LEFT JOIN deps d ON d.src = c.src AND d.dst = o.path),
-    n AS (SELECT src, callee, receiver,
-        CASE WHEN count(*) FILTER (path = src) = 1 THEN max(path) FILTER (path = src) END AS a,
-        CASE WHEN count(*) FILTER (near AND receiver <> 'self') = 1 THEN max(path) FILTER (near AND receiver <> 'self') END AS b,
-        CASE WHEN count(*) FILTER (receiver IN ('bare', 'member')) = 1 THEN max(path) FILTER (receiver IN ('bare', 'member')) END AS c FROM hit GROUP BY ALL)
-    SELECT src, callee, receiver, coalesce(a, b, c) AS path FROM n WHERE coalesce(a, b, c) IS NOT NULL""")
+@query("""WITH calls AS (SELECT DISTINCT l_suppkey % 50 AS src, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS owner, p_name AS callee,
+        CASE WHEN l_returnflag = 'R' THEN 'self' WHEN l_returnflag = 'A' THEN 'bare' WHEN l_linenumber % 3 = 0 THEN 'member' ELSE 'qualified' END AS receiver FROM lineitem JOIN part ON l_partkey = p_partkey),
+    definitions AS (SELECT p_name AS name, p_partkey % 50 AS path, CASE WHEN p_size > 10 THEN p_brand END AS owner FROM part),
+    owners AS (SELECT DISTINCT name, path FROM definitions), deps AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_discount = 0 AND l_quantity > 45),
+    same AS (SELECT c.src, c.owner, c.callee, c.receiver, d.path FROM calls c JOIN definitions d ON d.name = c.callee AND d.path = c.src AND (c.receiver = 'bare' OR c.receiver = 'self' AND d.owner = c.owner)),
+    one AS (SELECT src, owner, callee, receiver, min(path) AS path FROM same GROUP BY ALL HAVING count(*) = 1),
+    near AS (SELECT d.src, o.name, min(o.path) AS path FROM deps d JOIN owners o ON o.path = d.dst GROUP BY ALL HAVING count(*) = 1),
+    free AS (SELECT name, min(path) AS path FROM owners GROUP BY name HAVING count(*) = 1),
+    hit AS (SELECT c.*, coalesce(one.path, CASE WHEN c.receiver <> 'self' THEN near.path END, CASE WHEN c.receiver IN ('bare', 'member') THEN free.path END) AS path
+        FROM calls c LEFT JOIN one ON one.src = c.src AND one.owner IS NOT DISTINCT FROM c.owner AND one.callee = c.callee AND one.receiver = c.receiver
+        LEFT JOIN near ON near.src = c.src AND near.name = c.callee LEFT JOIN free ON free.name = c.callee)
+    SELECT src, owner, callee, receiver, path, callee AS name FROM hit WHERE path IS NOT NULL""")
 def q_unique_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls to the one owner that fits, by file, then dependency, then anywhere."""
+    """Calls to the one definition that fits, in their file or class, then in dependencies, then anywhere."""
     item, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    receiver = F.when(F.col("l_returnflag") == "R", "self").when(F.col("l_returnflag") == "A", "bare").otherwise("qualified")
-    calls = item.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("src"), F.col("p_name").alias("callee"), receiver.alias("receiver")).distinct()
-    owners = part.select(F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("path")).distinct()
-    deps = item.where("l_discount = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst")).distinct()
-    return joins.unique_owner(calls, owners, deps)
+    receiver = F.when(F.col("l_returnflag") == "R", "self").when(F.col("l_returnflag") == "A", "bare").when(F.col("l_linenumber") % 3 == 0, "member").otherwise("qualified")
+    owner = F.when(F.col("l_linenumber") % 2 == 0, F.col("p_brand"))
+    calls = item.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey") % 50).alias("src"), owner.alias("owner"), F.col("p_name").alias("callee"), receiver.alias("receiver"))
+    definitions = part.select(F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("path"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("owner"))
+    symbols = definitions.select("path", "name", F.lit(None).cast("string").alias("definition_name"))
+    deps = item.where("l_discount = 0 AND l_quantity > 45").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")).distinct()
+    return joins.unique_owner(calls, definitions, joins.callable_owners(symbols), deps)
 
 
 @query("""WITH kinds AS (SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE user_id IN (SELECT o_custkey FROM orders) GROUP BY user_id HAVING count(DISTINCT event_type) >= 3),

@@ -58,9 +58,11 @@ def relevant_paths(reports: DataFrame, deps: DataFrame, patch_paths: DataFrame,
 
 
 def failure_document(reports: DataFrame, files: DataFrame, chosen: DataFrame, key: str, budget: int = REPAIR_BUDGET) -> DataFrame:
-    """One document for each report(key, body): the redacted tail of its output, then the chosen files' current source."""
+    """One document for each report(key, body): the redacted tail of its output, then the chosen files' current source, long ones around the line that the report's traceback names."""
     output = reports.select(key, F.lit(0).alias("pos"), F.lit("Failing output").alias("title"), F.right("body", F.lit(config.CONTEXT_REPORT_CHARS)).alias("body"))
-    source = chosen.join(files, "path").select(key, F.col("rank").cast("int").alias("pos"), F.concat(F.lit("Source "), F.col("path")).alias("title"), around(F.col("content"), F.lit(1)).alias("body"))
+    traced = extract.traceback_paths(reports, "body", key).select(key, "path", "line_no")
+    source = chosen.join(files, "path").join(traced, [key, "path"], "left")
+    source = source.select(key, F.col("rank").cast("int").alias("pos"), F.concat(F.lit("Source "), F.col("path")).alias("title"), around(F.col("content"), F.coalesce("line_no", F.lit(1))).alias("body"))
     return document(output.union(source), key, budget)
 
 
@@ -73,14 +75,23 @@ def reclassified(reports: DataFrame, key: str) -> DataFrame:
 
 
 def allowances(demands: DataFrame, budget: int, *keys: str) -> DataFrame:
-    """(keys..., order_no, allowance): shares of a budget by demand(n) = 1600 + 2800 * n, each of what the ones before left.
+    """(keys..., order_no, allowance) of demands(keys..., order_no, n, size): shares of a budget by demand 1600 + 2800 * n.
 
-    With every share fully used, what is left to the i-th is in proportion to its demand
-    among those that remain, so shares follow from running sums.
+    In order, each gets its share of what the ones before have really used (their size, their
+    allowance at most) left, in proportion to its demand among those that remain; one at least.
     """
-    need = (F.lit(1600) + 2800 * F.col("n")).cast("long")
-    total = F.sum(need).over(Window.partitionBy(*keys))
-    return demands.withColumn("allowance", F.floor(need * budget / total))
+    items = F.array_sort(F.collect_list(F.struct("order_no", (F.lit(1600) + 2800 * F.col("n")).cast("long").alias("need"), F.col("size").cast("long").alias("size"))))
+    one = demands.groupBy(*keys).agg(items.alias("items"))
+    every = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["need"])
+    none = F.array().cast("array<struct<order_no:%s,allowance:bigint>>" % demands.schema["order_no"].dataType.simpleString())
+    start = F.struct(F.lit(budget).cast("long").alias("left"), every.alias("remaining"), none.alias("rows"))
+
+    def step(z: Column, x: Column) -> Column:
+        share = F.greatest(F.lit(1).cast("long"), F.floor(F.greatest(z["left"], F.lit(0).cast("long")) * x["need"] / z["remaining"]))
+        row = F.array(F.struct(x["order_no"].alias("order_no"), share.alias("allowance")))
+        return F.struct((z["left"] - F.least(x["size"], share)).alias("left"), (z["remaining"] - x["need"]).alias("remaining"), F.concat(z["rows"], row).alias("rows"))
+
+    return one.select(*keys, F.explode(F.aggregate("items", start, step, lambda z: z["rows"])).alias("x")).select(*keys, "x.order_no", "x.allowance")
 
 
 def plan_excerpt(numbered: DataFrame, words: Column, key: str) -> DataFrame:

@@ -15,13 +15,14 @@ from strandwork.operators import evidence, extract, graph, joins, python_source,
 
 @dataclass(frozen=True)
 class Index:
-    """files(path, content, hash, language), definitions, calls, imports and resolved dependencies(src, dst, pos)."""
+    """files(path, content, hash, language), definitions, calls, imports, resolved dependencies(src, dst, pos) and symbols(path, name, definition_name)."""
 
     files: DataFrame
     definitions: DataFrame
     calls: DataFrame
     imports: DataFrame
     deps: DataFrame
+    symbols: DataFrame
 
     def cached(self) -> Index:
         """The same with its parts kept after first use, as several steps read each."""
@@ -44,21 +45,24 @@ def build_index(files: DataFrame) -> Index:
     full = imports.select(F.col("path").alias("src"), joins.rebased_import(F.col("imported"), package).alias("imported"))
     modules = python.select(module_name(F.col("path")).alias("module"), "path")
     found = joins.longest_prefix(full, modules, "src").select("src", "path")
-    relative = script.select(F.col("path").alias("src"), F.explode(extract.generic_imports(F.col("content"))).alias("target")).where("target LIKE './%'")
-    base = F.concat_ws("/", F.nullif(F.regexp_replace("src", "/?[^/]*$", ""), F.lit("")), F.substring("target", 3, 1000))
+    relative = script.select(F.col("path").alias("src"), F.explode(extract.generic_imports(F.col("content"))).alias("target")).where("target LIKE '.%'")
+    base = joins.lexical_path(F.concat_ws("/", F.regexp_replace("src", "/?[^/]*$", ""), F.col("target")))
     scripts_found = joins.first_choice(relative.withColumn("base", base), script.select("path"), joins.script_choices(F.col("base")), "src", "base").select("src", "path")
     deps = joins.dependencies(found.union(scripts_found)).select("src", F.posexplode("dependencies").alias("pos", "dst"))
-    return Index(files, definitions, python_source.calls(python), imports, deps)
+    symbols = python_source.symbols(python).select("path", "name", "definition_name").unionByName(scripts.select("path", "name", F.lit(None).cast("string").alias("definition_name")))
+    return Index(files, definitions, python_source.calls(python), imports, deps, symbols)
 
 
 def resolved_calls(index: Index) -> DataFrame:
     """(src_path, src, pos, dst_path, dst): calls whose owner is clear."""
-    calls = index.calls.select(F.col("path").alias("src"), "callee", "receiver", "definition", "pos")
-    owners = index.definitions.select("path", "name", "qualified_name").distinct()
-    clear = joins.unique_owner(calls.select("src", "callee", "receiver").distinct(), owners, index.deps)
-    one = owners.groupBy("path", "name").agg(F.min("qualified_name").alias("dst"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    met = calls.join(clear, ["src", "callee", "receiver"]).join(one, (clear["path"] == one["path"]) & (F.col("callee") == F.col("name")))
-    return met.select(F.col("src").alias("src_path"), F.col("definition").alias("src"), "pos", clear["path"].alias("dst_path"), "dst")
+    calls = index.calls.select(F.col("path").alias("src"), F.coalesce("owner", F.lit("")).alias("owner"), "callee", "receiver", "definition", "pos")
+    found = index.definitions.where("NOT (kind = 'class' AND owner IS NOT NULL)").select("path", "name", "owner", "qualified_name")
+    clear = joins.unique_owner(calls, found, joins.callable_owners(index.symbols), index.deps)
+    one = found.groupBy("path", "name").agg(F.min("qualified_name").alias("one"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    # a self call reaches its own class, whatever else has the name
+    dst = F.when(F.col("receiver") == "self", F.concat_ws(".", "owner", "name")).otherwise(F.col("one"))
+    met = calls.join(clear, ["src", "owner", "callee", "receiver"]).join(one, ["path", "name"], "left").withColumn("dst", dst).where("dst IS NOT NULL")
+    return met.select(F.col("src").alias("src_path"), F.col("definition").alias("src"), "pos", F.col("path").alias("dst_path"), "dst")
 
 
 def retrieve(index: Index, tasks: DataFrame, limit: int = config.DEFAULT_FILES) -> DataFrame:
@@ -126,6 +130,7 @@ def update_index(old: DataFrame, files: DataFrame, analyse) -> DataFrame:
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    """Of index rows written over time (path, seq, ...) the last of each path."""
+    """Of index rows written over time (path, seq, ...) the last of each path, unless that says it was deleted."""
     last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))
-    return rows.withColumn("__n", last).where("__n = 1").drop("__n")
+    rows = rows.withColumn("__n", last).where("__n = 1").drop("__n")
+    return rows.where("NOT deleted").drop("deleted") if "deleted" in rows.columns else rows

@@ -63,12 +63,12 @@ def q_py_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_source.definitions(sources(spark).where("path LIKE '%.py'")).select("path", "qualified_name", "owner", "kind", "start_line", "end_line")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/models.py', 'Invoice.total', 0, '_sum', 'self'), ('shop/models.py', 'Invoice._sum', 0, 'sum', 'bare'), ('shop/store.py', 'save_invoice', 0, 'open_table', 'bare'), ('shop/store.py', 'save_invoice', 1, 'write', 'member'),
-    ('shop/store.py', 'save_invoice', 2, 'Invoice', 'bare'), ('shop/store.py', 'open_table', 0, 'connect', 'member'), ('shop/api.py', 'post', 0, 'save_invoice', 'bare'), ('shop/api.py', 'Handler.get', 0, 'reply', 'self'),
+@query(f"""SELECT * FROM (VALUES {values([('shop/models.py', 'Invoice.total', 0, '_sum', 'self'), ('shop/models.py', 'Invoice._sum', 0, 'sum', 'bare'), ('shop/store.py', 'save_invoice', 0, 'open_table', 'bare'), ('shop/store.py', 'save_invoice', 1, 'write', 'qualified'),
+    ('shop/store.py', 'save_invoice', 2, 'Invoice', 'bare'), ('shop/store.py', 'open_table', 0, 'connect', 'qualified'), ('shop/api.py', 'post', 0, 'command', 'qualified'), ('shop/api.py', 'post', 1, 'save_invoice', 'bare'), ('shop/api.py', 'Handler.get', 0, 'reply', 'self'),
     ('shop/api.py', 'Handler.reply', 0, 'post', 'bare'), ('tests/test_store.py', 'test_save', 0, 'save_invoice', 'bare')])}) t(path, definition, pos, callee, receiver)""")
 def q_py_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call edges in source order with the kind of their receiver."""
-    return python_source.calls(sources(spark).where("path LIKE '%.py'"))
+    return python_source.calls(sources(spark).where("path LIKE '%.py'")).drop("owner")
 
 
 @query(f"""SELECT * FROM (VALUES {values([('save_invoice', 'invoice', 1), ('save_invoice', 'table', 1), ('save_invoice', 'saved', 2), ('save_invoice', 'rows', 2), ('post', 'post', 1), ('post', 'invoice', 1)])}) t(definition, word, weight)""")
@@ -316,15 +316,15 @@ def q_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.traceback_paths(inline(spark, "id int, body string", TRACE), "body", "id").drop("id")
 
 
-@query("""SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type) FILTER (event_type <> 'error'))), ',') AS new_ids,
-        CASE WHEN count(*) FILTER (event_type = 'error') > 50 THEN 'regressions' ELSE 'passed' END AS status FROM events GROUP BY user_id""")
+@query("""WITH e AS (SELECT user_id, list_sort(list_distinct(coalesce(list(event_type) FILTER (event_type <> 'error'), []))) AS fresh, count(*) FILTER (event_type = 'error') % 4 AS n FROM events GROUP BY user_id),
+    s AS (SELECT *, CASE n WHEN 0 THEN 'passed' WHEN 1 THEN 'regressions' WHEN 2 THEN 'targeted_failed' ELSE 'repair_failed' END AS status FROM e)
+    SELECT user_id, status, array_to_string(list_sort(CASE n WHEN 0 THEN [] WHEN 1 THEN fresh ELSE list_distinct(list_concat(['click', 'own'], fresh)) END), ',') AS targets FROM s""")
 def q_repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a repair is about, by status."""
-    by = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("event_type") != "error", F.col("event_type")))).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
-    none = F.array().cast("array<string>")
-    status = F.when(F.col("e") > 50, "regressions").otherwise("passed")
-    targets = verdict.repair_targets(F.lit("regressions"), none, none, F.col("n"))
-    return by.select("user_id", F.array_join(targets, ",").alias("new_ids"), status.alias("status"))
+    """What a repair is about: new failures after regressions, the targeted ones too where those failed, nothing after a pass."""
+    by = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_type") != "error", F.col("event_type"))).alias("n"), (F.count_if(F.col("event_type") == "error") % 4).alias("e"))
+    by = by.withColumn("status", F.when(F.col("e") == 0, "passed").when(F.col("e") == 1, "regressions").when(F.col("e") == 2, "targeted_failed").otherwise("repair_failed"))
+    targets = verdict.repair_targets(F.col("status"), F.col("n"), F.array(F.lit("click"), F.lit("own")), F.col("n"))
+    return by.select("user_id", "status", F.array_join(F.array_sort(targets), ",").alias("targets"))
 
 
 SURFACES = [(1, 0, "show the invoice table"), (1, 1, "save rows")]

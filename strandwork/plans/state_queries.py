@@ -172,12 +172,17 @@ def q_git_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inline(spark, "id int, paths string", rows)
 
 
-@query("""WITH n AS (SELECT conv_id, turn, length(text) % 5 AS n FROM conversations), t AS (SELECT *, 1600 + 2800 * n AS need FROM n)
-    SELECT conv_id, turn, CAST(floor(need * 90000.0 / sum(need) OVER (PARTITION BY conv_id)) AS BIGINT) AS allowance FROM t""")
+@query("""WITH RECURSIVE d AS (SELECT conv_id, turn, 1600 + 2800 * (length(coalesce(text, '')) % 5) AS need, length(coalesce(text, '')) * 40 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+    t AS (SELECT *, sum(need) OVER (PARTITION BY conv_id ORDER BY r DESC) AS remaining FROM d),
+    s AS (SELECT DISTINCT conv_id, 0::BIGINT AS turn, 0::BIGINT AS r, 90000::BIGINT AS budget, 0::BIGINT AS allowance FROM d
+        UNION ALL SELECT conv_id, turn, r, budget - least(size, share), share
+        FROM (SELECT t.conv_id, t.turn, t.r, s.budget, t.size, greatest(1, greatest(0, s.budget) * t.need // t.remaining)::BIGINT AS share FROM s JOIN t ON t.conv_id = s.conv_id AND t.r = s.r + 1))
+    SELECT conv_id, turn, allowance FROM s WHERE r > 0""")
 def q_allowances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a budget shared by demand."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 5).alias("n"))
-    return repair.allowances(turns, config.SOFT_BUDGET, "conv_id").select("conv_id", "turn", "allowance")
+    """a budget shared by demand, what one doesn't use handed on."""
+    length = F.length(F.coalesce("text", F.lit("")))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("order_no"), (length % 5).alias("n"), (length * 40).alias("size"))
+    return repair.allowances(turns, config.SOFT_BUDGET, "conv_id").withColumnRenamed("order_no", "turn")
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"

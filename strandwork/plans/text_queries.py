@@ -41,8 +41,8 @@ def q_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT path, {_IGNORED} AS ignored,
         NOT {_IGNORED} AND {_SUFFIX} IN {_list(config.INDEXED_SUFFIXES)} AS indexable,
         {_NAME} IN {_list(config.PROJECT_FILES)} OR {_SUFFIX} IN {_list(config.SOURCE_SUFFIXES)} AS source_file,
-        starts_with(list_extract(string_split(path, '/'), -1), 'test_')
-            OR regexp_matches(path, '(_test\\.py|\\.(test|spec)\\.(ts|js))$') AS test_file
+        starts_with(lower(list_extract(string_split(path, '/'), -1)), 'test_')
+            OR regexp_matches(lower(path), '(_test\\.py|\\.(test|spec)\\.(ts|js))$') AS test_file
     FROM (VALUES {values(PATHS)}) t(path)""")
 def q_path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each path is."""

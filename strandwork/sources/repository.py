@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 import tomllib
 from collections.abc import Callable, Mapping
@@ -19,15 +20,53 @@ MAP = "version int, files map<string, struct<hash: string, language: string, sum
 Run = Callable[[list[str]], str]
 
 
+def list_files(spark: SparkSession, root: str, pruned: Callable[[str], bool] = paths.is_pruned_name) -> list[tuple[str, str]]:
+    """(path under root, full path) of all files, folders that are pruned by name never entered; sorted."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found, folders = fs.makeQualified(top).toString().rstrip("/"), [], [top]
+    while folders:
+        for status in fs.listStatus(folders.pop()):
+            full = fs.makeQualified(status.getPath()).toString()
+            if not status.isDirectory():
+                found.append((full[len(base) + 1 :], full))
+            elif not pruned(status.getPath().getName()):
+                folders.append(status.getPath())
+    return sorted(found)
+
+
 def scan(spark: SparkSession, root: str, wanted: Callable[[Column], Column] = paths.is_indexable) -> DataFrame:
-    """(path, content, hash, size) of wanted files under root; text and hash come from one read, bytes that aren't UTF-8 are replaced."""
-    base = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace("path", "^.*?" + base.replace(".", r"\."), "")
-    df = found.withColumn("path", relative).where(wanted(F.col("path")))
+    """(path, content, hash, size) of wanted files under root; text and hash come from one read, bytes that aren't UTF-8 are replaced.
+
+    Folders are pruned before descent and paths are judged before any content is read. Spark's
+    readers pass over names with a leading _ or dot, so the driver hands those few files in.
+    """
+    every = spark.createDataFrame(list_files(spark, root), "path string, full string")
+    rows = [(r["path"], r["full"]) for r in every.where(wanted(F.col("path"))).collect()]  # names, as version control lists them
+    hidden = lambda p: p.rsplit("/", 1)[-1].startswith(("_", "."))
+    plain = [full for p, full in rows if not hidden(p)]
+    raw = "path string, content binary, length long"
+    df = spark.createDataFrame([], raw)
+    if plain:
+        base = rows[0][1][: -len(rows[0][0])]
+        found = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in plain])
+        df = found.select(F.substring("path", len(base) + 1, 1 << 30).alias("path"), "content", "length")
+    if len(plain) < len(rows):
+        df = df.union(spark.createDataFrame([(p, body := _read(spark, full), len(body)) for p, full in rows if hidden(p)], raw))
     return df.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"))
 
 
+def _read(spark: SparkSession, full: str) -> bytearray:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(full)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def git(repo: str) -> Run:
     """Runs git in a repository on the driver; a failure raises with what git says."""
 

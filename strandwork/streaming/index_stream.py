@@ -14,27 +14,43 @@ STATE = "group_key string, seen int, tripped boolean"
 
 
 def file_stream(spark: SparkSession, directory: str, schema: str = FILES) -> DataFrame:
-    """New Parquet files of (path, content) as they arrive."""
-    return spark.readStream.schema(schema).parquet(directory)
+    """New Parquet files of (path, content) as they arrive, with the time at which each was written; null content says that the file is gone."""
+    return spark.readStream.schema(schema).parquet(directory).withColumn("at", F.col("_metadata.file_modification_time"))
+
+
+def _heads(spark: SparkSession, target: str, before: int) -> DataFrame:
+    """(path, hash) of the files there are after the last batch before the given one."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{target}/_heads")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(top)) if fs.exists(top) else []
+    for old in [n for n in found if n < before][:-2]:  # the last two stay, in case a batch is run again
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{target}/_heads/batch={old}"), True)
+    last = max((n for n in found if n < before), default=None)
+    return spark.createDataFrame([], "path string, hash string") if last is None else spark.read.parquet(f"{target}/_heads/batch={last}")
 
 
 def keep_index(stream: DataFrame, target: str, checkpoint: str, analyse: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Appends to the Parquet index at target the analysed rows of contents it doesn't hold yet.
+    """Appends to the Parquet index at target the analysed rows of contents that differ from the newest ones.
 
-    Rows carry seq, the batch they came with; the newest of a path counts. A batch that is
-    run again writes its own partition anew, so a restart repeats nothing.
+    stream(path, content, at): of a path's rows in a batch the latest counts, of equally late
+    ones the greatest hash, content before none. Null content deletes: a row that only has the
+    path and deleted. Rows carry seq, the batch they came with; retrieval.newest reads the
+    state. Each batch leaves a table of paths and hashes for the next, so history isn't read
+    again. A batch that is run again writes its own partitions anew, so a restart repeats nothing.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["path"]).withColumn("hash", F.sha2("content", 256))
-        try:
-            known = spark.read.parquet(target).where(F.col("seq") < number).select("path", "hash")
-            fresh = fresh.join(known, ["path", "hash"], "left_anti")
-        except Exception as e:  # noqa: BLE001  the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        analyse(fresh).write.mode("overwrite").parquet(f"{target}/seq={number}")
+        last = batch.groupBy("path").agg(F.max(F.struct("at", F.sha2("content", 256).alias("hash"), "content")).alias("x")).select("path", "x.hash", "x.content")
+        heads = _heads(spark, target, number)
+        changed = last.join(heads.withColumnRenamed("hash", "was"), "path", "left").where(~F.col("hash").eqNullSafe(F.col("was"))).drop("was").persist()
+        rows = analyse(changed.where("content IS NOT NULL")).withColumn("deleted", F.lit(False))
+        gone = changed.where("content IS NULL").select("path", F.lit(True).alias("deleted"))
+        rows.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{target}/seq={number}")
+        now = heads.join(changed, "path", "left_anti").unionByName(changed.where("content IS NOT NULL").select("path", "hash"))
+        now.write.mode("overwrite").parquet(f"{target}/_heads/batch={number}")
+        changed.unpersist()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,8 +3,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandwork.functions import paths, text
-from strandwork.operators import extract, joins, json_objects, python_source, ranking, script_source, verdict
-from strandwork.plans.retrieval import update_index
+from strandwork.operators import evidence, extract, joins, json_objects, python_source, ranking, script_source, verdict
+from strandwork.plans import repair
+from strandwork.plans.retrieval import build_index, update_index
 from strandwork.sources.tables import inline
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -125,3 +126,118 @@ def test_complete_objects_are_disjoint_and_balanced(body):
 def test_lines_without_a_trailing_empty_one(spark):
     rows = extract.lines(inline(spark, "id int, text string", [(1, "a\r\nb\n"), (2, ""), (3, "\n\n")]), "text", "id").collect()
     assert sorted((r.id, r.line_no, r.line) for r in rows) == [(1, 1, "a"), (1, 2, "b"), (3, 1, ""), (3, 2, "")]
+
+
+def test_receivers_and_single_names_of_calls(spark):
+    code = """
+class A:
+    def get(self, x=make()):
+        self.b.run(); self.stop(); cls.x.y.go(); mod.f(); a.b.c.g(); h()(1); (lambda: 0).k()
+        def inner():
+            deep()
+    def put(self): one()
+class B:
+    def put(self): two()
+    class C:
+        def hidden(self): three()
+@app.route("/", handler=shown, also=wrap(key=passed))
+def top(): four()
+"""
+    files = inline(spark, "path string, content string", [("m.py", code)])
+    got = {}
+    for r in sorted(python_source.calls(files).collect(), key=lambda r: r.pos):
+        got.setdefault((r.definition, r.owner), []).append((r.callee, r.receiver))
+    assert got == {
+        ("A.get", "A"): [("make", "bare"), ("run", "member"), ("stop", "self"), ("go", "member"), ("f", "qualified"), ("g", "qualified"), ("h", "bare"), ("k", "qualified"), ("deep", "bare")],
+        ("top", None): [("route", "qualified"), ("wrap", "bare"), ("four", "bare"), ("shown", "bare"), ("passed", "bare")],
+    }
+    found = {(r.qualified_name, r.kind, r.ambiguous) for r in python_source.definitions(files).collect()}
+    assert found == {("A", "class", False), ("A.get", "method", False), ("A.put", "method", True), ("B", "class", False), ("B.put", "method", True), ("B.C", "class", False), ("top", "function", False)}
+
+
+def plain_owner(call, definitions, owners, deps):
+    src, owner, callee, receiver = call
+    same = [(p, n) for p, n, o in definitions if p == src and n == callee and (receiver == "bare" or receiver == "self" and owner is not None and o == owner)]
+    if len(same) == 1:
+        return same[0]
+    if receiver == "self":
+        return None
+    known = sorted({(p, n) for k, p, n in owners if k == callee.lower()})
+    near = [x for x in known if (src, x[0]) in deps]
+    if len(near) == 1:
+        return near[0]
+    return known[0] if receiver in ("bare", "member") and len(known) == 1 else None
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.randoms(use_true_random=False))
+def test_unique_owner_is_the_plain_rule(spark, rng):
+    names, files, classes = ["f", "F", "g", "h"], ["1", "2", "3"], [None, "K", "L"]
+    definitions = [(rng.choice(files), rng.choice(names), rng.choice(classes)) for _ in range(rng.randrange(1, 9))]
+    owners = [(n.lower(), p, n) for p, n, _ in definitions if rng.random() < 0.8]
+    deps = {(rng.choice(files), rng.choice(files)) for _ in range(3)}
+    calls = sorted({(rng.choice(files), rng.choice(classes), rng.choice(names), rng.choice(["bare", "self", "member", "qualified"])) for _ in range(25)}, key=str)
+    got = joins.unique_owner(
+        inline(spark, "src string, owner string, callee string, receiver string", calls), inline(spark, "path string, name string, owner string", definitions),
+        inline(spark, "key string, path string, name string", owners), inline(spark, "src string, dst string", sorted(deps)),
+    ).collect()
+    want = {c: plain_owner(c, definitions, owners, deps) for c in calls}
+    assert {(r.src, r.owner, r.callee, r.receiver): (r.path, r.name) for r in got} == {c: x for c, x in want.items() if x}
+
+
+def test_script_imports_above_the_folder(spark):
+    files = [("a/b/c.ts", "import x from '../d'\nimport y from './e/'\nimport z from '../../top'\nimport n from '../../../out'\nimport s from '../b/./../d.js'"), ("a/d.ts", ""), ("a/d.js", ""), ("a/b/e/index.tsx", ""), ("top.js", ""), ("out.js", "")]
+    deps = build_index(inline(spark, "path string, content string", files)).deps.collect()
+    assert sorted((r.src, r.dst) for r in deps) == [("a/b/c.ts", "a/b/e/index.tsx"), ("a/b/c.ts", "a/d.js"), ("a/b/c.ts", "a/d.ts"), ("a/b/c.ts", "top.js")]
+
+
+def test_all_declarations_of_a_long_script(spark):
+    body = "".join(f"function f{i}() {{}}\n" for i in range(250))
+    assert script_source.definitions(inline(spark, "path string, content string", [("x.js", body)])).count() == 250
+
+
+def plain_plan(rows, caps):
+    taken, per_file, out = set(), {}, []
+    for kind in sorted({r[1] for r in rows}):
+        used = 0
+        for r in sorted((r for r in rows if r[1] == kind and r[6] >= 120), key=lambda r: (-r[6], r[7], r[4].lower(), r[5].lower(), r[4], r[5])):
+            if used >= r[3]:
+                break
+            if (r[4], r[5]) in taken:
+                used += caps.duplicates_count
+            elif len(taken) < caps.total and per_file.get(r[4], 0) < caps.per_file and (r[4] in per_file or len(per_file) < caps.files):
+                taken.add((r[4], r[5]))
+                per_file[r[4]] = per_file.get(r[4], 0) + 1
+                out.append((len(out), r[2], r[4], r[5], r[6]))
+                used += 1
+    return out
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.randoms(use_true_random=False), st.booleans())
+def test_plan_is_the_plain_fold(spark, rng, duplicates):
+    caps = evidence.Caps(rng.randrange(3, 12), rng.randrange(1, 4), rng.randrange(1, 5), duplicates)
+    rows = [(t, k, f"kind{k}", 2 + k, f"{rng.choice('aB')}{rng.randrange(3)}.py", f"{rng.choice('xY')}{rng.randrange(6)}", rng.randrange(100, 140), rng.randrange(1, 4)) for t in (1, 2) for k in range(3) for _ in range(30)]
+    got = evidence.plan(inline(spark, "task_id int, kind_no int, kind string, limit int, path string, name string, score int, lines int", rows), caps).collect()
+    for t in (1, 2):
+        assert sorted((r.order_no, r.kind, r.path, r.name, r.score) for r in got if r.task_id == t) == plain_plan([r for r in rows if r[0] == t], caps)
+
+
+def test_plan_goes_on_beyond_a_full_file(spark):
+    rows = [(1, 0, "model", 9, "full.py", f"d{i:03d}", 500, 1) for i in range(300)] + [(1, 0, "model", 9, "other.py", "good", 200, 1)]
+    got = evidence.plan(inline(spark, "task_id int, kind_no int, kind string, limit int, path string, name string, score int, lines int", rows)).collect()
+    assert [(r.path, r.name) for r in sorted(got, key=lambda r: r.order_no)] == [("full.py", f"d{i:03d}") for i in range(6)] + [("other.py", "good")]
+
+
+def test_roles_of_python_transport_and_test_names(spark):
+    rows = [("app/api/pages/views.py",), ("app/api/web/views.py",), ("src/Cart.test.TS",), ("x/Test_a.py",)]
+    got = {r.p: (r.roles, r.t) for r in inline(spark, "p string", rows).select("p", evidence.path_roles(F.col("p")).alias("roles"), paths.is_test(F.col("p")).alias("t")).collect()}
+    assert got["src/Cart.test.TS"][1] and got["x/Test_a.py"][1] and "tests" in got["x/Test_a.py"][0]
+    assert "transport" in got["app/api/pages/views.py"][0] and "ui" not in got["app/api/pages/views.py"][0]
+
+
+def test_repair_source_stands_around_the_failing_line(spark):
+    content = "\n".join(f"line {i} {'x' * 60}" for i in range(1, 2001))
+    report = 'boom\n  File "big.py", line 1500, in f\n'
+    (r,) = repair.failure_document(inline(spark, "run int, body string", [(1, report)]), inline(spark, "path string, content string", [("big.py", content)]), inline(spark, "run int, path string, rank int", [(1, "big.py", 1)]), "run").collect()
+    assert "line 1500 " in r.document and "line 1455 " in r.document and "line 1 x" not in r.document

@@ -4,6 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork.functions import paths
 from strandwork.operators import history
 from strandwork.sources import repository
 from strandwork.sources.tables import inline
@@ -27,6 +28,22 @@ def test_scan_reads_text_and_hash_of_wanted_files(spark, repo):
     assert rows["src/a.py"].content == "x = 1\n" and rows["src/b.ts"].hash == hashlib.sha256(b"\xff bad").hexdigest() and rows["src/b.ts"].size == 5
 
 
+def test_scan_prunes_folders_and_takes_any_name(spark, tmp_path, monkeypatch):
+    root = tmp_path / "a+b (c) [d]"
+    names = ["__init__.py", "_own.py", "pages/[id]/x y.ts", "pages/{a}*.js", "ü/ß.py", ".eslintrc.js", "deep/node_modules/x/y.py", "lib.egg-info/z.py", "Build/NODE_MODULES/q.py"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"# {name}")
+    entered = []
+    pruned = paths.is_pruned_name
+    listed = repository.list_files(spark, str(root), lambda name: pruned(name) or entered.append(name))
+    assert sorted(entered) == sorted({"pages", "[id]", "ü", "deep", *({"Build"} - {x for x in ["Build"] if pruned(x)})}) and not any("node_modules" in p.lower() for p, _ in listed)
+    rows = {r.path: r.content for r in repository.scan(spark, str(root) + "/").collect()}
+    assert rows == {n: f"# {n}" for n in names[:6]}
+    (tmp_path / "empty").mkdir()
+    assert repository.scan(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_changed_files_of_a_repository(spark, repo):
     git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     git("init", "-q")
@@ -86,6 +103,32 @@ def test_index_stream_repeats_nothing(spark, tmp_path):
     assert rows.count() == 4 and {r.path: r.n for r in newest(rows).collect()} == {"a": 3, "b": 7, "c": 1}
 
 
+def test_index_stream_follows_changes_back_and_deletions(spark, tmp_path):
+    from strandwork.plans.retrieval import newest
+
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "index", "checkpoint"))
+    analyse = lambda df: df.select("path", "hash", F.col("content").alias("text"))
+    steps = [[("x", "A"), ("y", "1")], [("x", "B")], [("x", "A"), ("y", None), ("never", None)], [("x", "A")], [("y", "2")]]
+    wanted = [{"x": "A", "y": "1"}, {"x": "B", "y": "1"}, {"x": "A"}, {"x": "A"}, {"x": "A", "y": "2"}]
+    written = [2, 3, 5, 5, 6]
+    for rows, state, n in zip(steps, wanted, written, strict=True):
+        inline(spark, index_stream.FILES, rows).coalesce(1).write.mode("append").parquet(source)
+        index_stream.keep_index(index_stream.file_stream(spark, source), target, checkpoint, analyse).awaitTermination()
+        assert {r.path: r.text for r in newest(spark.read.parquet(target)).collect()} == state and spark.read.parquet(target).count() == n
+    # several versions in one batch: the latest counts; a batch that is run again changes nothing
+    import time
+
+    for text in ("C", "D"):
+        inline(spark, index_stream.FILES, [("x", text)]).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    for _ in range(2):
+        index_stream.keep_index(index_stream.file_stream(spark, source), target, checkpoint, analyse).awaitTermination()
+        assert {r.path: r.text for r in newest(spark.read.parquet(target)).collect()} == {"x": "D", "y": "2"}
+        last = max(p for p in (tmp_path / "checkpoint/commits").iterdir() if p.name.isdigit())
+        last.unlink()
+        (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+
+
 def test_streamed_counters(spark, tmp_path):
     schema = "at timestamp, who string, reason string"
     rows = [(f"2024-01-01 00:{i:02d}:00", "u", "boom" if i != 2 else "other") for i in range(6)] + [("2024-01-01 00:00:00", "v", None)]
