@@ -140,6 +140,30 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+@functools.cache
+def _inverse_powers(lg: int) -> np.ndarray:
+    out = np.ones(1 << lg, np.uint64)
+    np.multiply.accumulate(np.full((1 << lg) - 1, _INVERSE, np.uint64), out=out[1:])
+    return out
+
+
+def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hash of words[i:i+size] for every i: a running sum of words times powers, whatever the size.
+
+    The difference of two sums is a window's hash times the power it starts at, which is odd
+    and so can be divided out modulo 2**64.
+    """
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(len(words)), out=sums[1:])
+    return mix64((sums[size:] - sums[:-size]) * _inverse_powers(max(0, n - 1).bit_length())[:n])
+
+
 def shingles(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each size-word shingle, offsets): a value with fewer words has its whole sequence as one, one without words none."""
     counts = np.diff(offsets)

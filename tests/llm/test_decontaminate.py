@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.llm import decontaminate as dc
+from strandwork.llm.text_kernel import rolling_hashes
 from tests.llm.docs import DOCS, ROWS, clashing
 
 ITEM = " ".join(f"q{i}" for i in range(40))
@@ -28,14 +29,52 @@ def tiles(doc, item, k):
         in_doc.update(range(best[2], best[2] + best[0]))
 
 
-def test_tiling_marks_what_the_plain_form_marks():
+@pytest.mark.parametrize("listed", [dc.LISTED, 0])
+def test_tiling_marks_what_the_plain_form_marks(monkeypatch, listed):
+    monkeypatch.setattr(dc, "LISTED", listed)
     rng = random.Random(2)
-    for _ in range(60):
-        doc, item = ([rng.choice("abcde") for _ in range(n)] for n in (40, 25))
-        k = 3
-        hits = [(d, i) for d in range(len(doc) - k + 1) for i in range(len(item) - k + 1) if doc[d : d + k] == item[i : i + k]]
-        got = dc.tile(np.array(hits, np.int64).reshape(-1, 2), k) if hits else 0
-        assert abs(got - tiles(doc, item, k)) <= 2 * k  # ties may be broken otherwise
+    for letters, k in (("abcde", 3), ("ab", 3), ("a", 4), ("abc", 2)):
+        for _ in range(25):
+            doc, item = ([rng.choice(letters) for _ in range(n)] for n in (40, 25))
+            number = {x: np.uint64(ord(x) * 0x9E3779B97F4A7C15 % 2**64) for x in letters}
+            d, i = (rolling_hashes(np.array([number[x] for x in words], np.uint64), k) for words in (doc, item))
+            assert sum(dc.tiles_of(np.arange(len(d)), d, i, k)) == tiles(doc, item, k)
+            hits = [(x, y) for x in range(len(doc) - k + 1) for y in range(len(item) - k + 1) if doc[x : x + k] == item[y : y + k]]
+            assert (dc.tile(np.array(hits, np.int64).reshape(-1, 2), k) if hits else 0) == tiles(doc, item, k)
+
+
+def test_rolling_hashes_are_one_for_each_window():
+    rng = random.Random(3)
+    words = [rng.choice("abcd") for _ in range(3000)]
+    numbers = np.array([ord(x) * 0xBF58476D1CE4E5B9 % 2**64 for x in words], np.uint64)
+    for size in (1, 2, 5, 9):
+        pairs = set(zip((tuple(words[i : i + size]) for i in range(len(words) - size + 1)), rolling_hashes(numbers, size).tolist(), strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert len(rolling_hashes(numbers[:3], 5)) == 0
+
+
+def test_contamination_is_that_of_plain_tiling(spark):
+    """Common phrases, repeated items, repetitive texts and rows that repeat: all pairs over the thresholds, and no others."""
+    rng = random.Random(6)
+    common = "this is what everyone says here and there".split()
+    items = [(i, " ".join([*common, *(f"i{i}w{j}" for j in range(rng.randrange(3, 30))), *common])) for i in range(12)]
+    items += [(20, " ".join(["again"] * 30)), (21, items[0][1]), (22, "four words are few"), (22, " ".join(f"n{j}" for j in range(9))), (23, " ".join(common)), (None, items[1][1])]
+    texts = [" ".join([*common, *(f"t{i}w{j}" for j in range(10))]) for i in range(30)] + ["again " * 400, " ".join(common * 6)]
+    for i in range(20):
+        words = rng.choice(items)[1].split()
+        cut = rng.randrange(len(words))
+        texts.append(" ".join(["x", *words[cut:], "y", *words[: rng.randrange(cut + 1)]]))
+    rows = [(i if i % 7 else None, t, None, None, None) for i, t in enumerate(texts)] * 2
+    got = dc.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for i, t, *_ in rows:
+        for item, body in items:
+            words = body.split()
+            n = tiles(t.split(), words, 5) if set(t.split()) & set(words) else 0
+            if len(words) >= 5 and n >= len(words) / 2:
+                want.add((i, item, n, len(words)))
+    by_text = {(r.id, r.item, r.covered, r.item_words) for r in got}
+    assert by_text == want and len(want) > 30 and len(got) == len({(r.id, r.digest, r.item) for r in got})
 
 
 def test_reordered_passages_are_caught_and_clean_texts_left(spark):
