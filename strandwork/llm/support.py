@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Word separators of every contract: space and the controls tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
+#: Whether Spark deletes a query's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
@@ -28,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors; its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandwork-{tag}-{uuid.uuid4().hex}"
     spark.__dict__.setdefault("_strandwork_written", []).append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # what was shuffled for the table is of no use beyond it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
