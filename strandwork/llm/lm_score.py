@@ -39,9 +39,9 @@ from strandwork.llm.text_kernel import buffers, mix64, window_hashes, word_hashe
 
 START, END = (mix64(np.array([x], np.uint64))[0] for x in (0x57A7, 0xE0D))
 #: Bytes of text in a block at which it is closed, and bytes of text whose n-grams a range answers for.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 #: Ranges at least, so that small corpora are spread as well.
-RANGES = 32
+RANGES = 12
 ASK = "gram int, range int, block long, hashes binary, counts binary"
 TOLD = "gram int, range int, block long, counts binary, n long, v long"
 
