@@ -30,7 +30,7 @@ LG_BITS = 24
 #: Pairs of equal windows of a document and an item that are listed; beyond, matches are searched by their length.
 LISTED = 1 << 16
 #: Parts that a window shared by many documents is dealt to.
-PARTS = 32
+PARTS = 8
 
 
 def _windows(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
