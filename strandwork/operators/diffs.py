@@ -355,11 +355,11 @@ def repaired(text: str, sources: dict[str, str]) -> str:
     return serialize(files)
 
 
-def repair(body: Column, sources: dict[str, str]) -> Column:
-    """Each diff repaired against the given current sources."""
+def repair(body: Column, sources: Column) -> Column:
+    """Each diff repaired against its current sources, a map of paths to texts: those that the diff names, joined to its row."""
 
-    def run(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in bodies:
-            yield s.map(lambda b: repaired(b, sources))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, maps in batches:
+            yield pd.Series([repaired(b, dict(m or {})) for b, m in zip(bodies, maps, strict=True)])
 
-    return F.pandas_udf(run, "string")(body)
+    return F.pandas_udf(run, "string")(body, sources)

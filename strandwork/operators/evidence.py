@@ -145,14 +145,6 @@ def scored_hops(roots: DataFrame, edges: DataFrame, points: list[int], top: int
     return fresh.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def mentioned(definitions: DataFrame) -> DataFrame:
-    """(path, name, other_path, other): definitions(path, name, text) whose text names another, whole identifiers only."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
-    named = definitions.select("path", "name", F.explode(words).alias("other"))
-    known = definitions.select(F.col("path").alias("other_path"), F.col("name").alias("other"))
-    return named.join(known, "other").where("NOT (path = other_path AND name = other)").select("path", "name", "other_path", "other").distinct()
-
-
 def owner_score(role: Column, *, name: Column, body: Column, roles: Column, path_hits: Column, term_hits: Column) -> Column:
     """How well a definition owns a role: dispatchers own transport, components ui, test classes tests; others are rejected."""
     fits = (

@@ -34,6 +34,11 @@ def generic_imports(text: Column) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit("(?m)" + IMPORT), F.lit(1))), 1, config.MAX_IMPORTS)
 
 
+def named_targets(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
+    """(keys..., target): what the first group of a pattern finds, a row each time."""
+    return df.select(*keys, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("target"))
+
+
 def literal_terms(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys..., word, weight): words of markup text weigh 2, of quoted strings 1; the heavier counts."""
     quoted = F.regexp_extract_all(F.col(text), F.lit("\"([^\"\\n]*)\""), F.lit(1))

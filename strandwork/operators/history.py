@@ -78,6 +78,33 @@ def consistent(run: DataFrame, history: DataFrame, patch: DataFrame, snapshot: D
     return run.join(entry, "entry_id").join(wanted, "entry_id").where("__files = __patch").drop("__files", "__patch").join(missing, "entry_id", "left_anti")
 
 
+def upsert_results(cache: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """cache(keys..., saved_at, returncode, duration, failed) after results of the same form: the newest of each key; runs without a return code aren't kept."""
+    fresh = results.where(F.col("returncode").isNotNull()).select(*cache.columns)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("saved_at"), F.desc("returncode")))
+    return cache.unionByName(fresh).withColumn("__n", last).where("__n = 1").drop("__n")
+
+
+def report(history: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., id, line): one line for each entry: its time, state, test status and how many files it has."""
+    n = F.coalesce(F.size("files"), F.lit(0))
+    files = F.concat(n.cast("string"), F.when(n == 1, " file").otherwise(" files"))
+    return history.select(*keep, "id", F.concat_ws("  ", times.shown_time(F.col("id")), F.col("status"), F.coalesce("test_status", F.lit("NOT_RUN")), files).alias("line"))
+
+
+def validation_report(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., report): status and the counts and first ten ids of new, existing and fixed failures of runs(keys..., status, before, after)."""
+    from strandwork.operators import verdict
+
+    def part(name: str, ids: Column) -> Column:
+        listed = F.array_join(F.slice(ids, 1, 10), ", ")
+        more = F.when(F.size(ids) > 10, F.concat(F.lit(" … and "), (F.size(ids) - 10).cast("string"), F.lit(" more"))).otherwise("")
+        return F.when(F.size(ids) > 0, F.concat(F.lit(f"{name} failures: "), F.size(ids).cast("string"), F.lit(" ("), listed, more, F.lit(")")))
+
+    sets = verdict.failure_sets(F.array_sort("before"), F.array_sort("after"))
+    return runs.select(*keys, F.concat_ws("\n", F.concat(F.lit("Status: "), "status"), *[part(k, v) for k, v in sets.items()]).alias("report"))
+
+
 def progress(df: DataFrame, total: Column, order: str, seconds: str, *keys: str) -> DataFrame:
     """Progress events: done, remaining, mean and expected seconds at every item."""
     out = ranking.eta(df, seconds, order, total, *keys)

@@ -32,6 +32,12 @@ def validated(body: Column) -> Column:
     )
 
 
+def tolerant_object(body: Column) -> Column:
+    """The text from the first { to the last }, whatever stands around it, if it is a JSON object; else null."""
+    found = F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+
+
 def complete_objects(text: str) -> list[str]:
     """Every outermost balanced {...} of a text; braces in strings don't count."""
     found, depth, start, quoted, escaped = [], 0, 0, False, False

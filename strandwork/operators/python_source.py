@@ -19,6 +19,7 @@ IMPORTS = "path string, pos int, imported string"
 DEFINITIONS = "path string, name string, qualified_name string, owner string, kind string, start_line int, end_line int, line_count int, text string"
 CALLS = "path string, definition string, owner string, pos int, callee string, receiver string"
 TERMS = "path string, definition string, word string, weight int"
+BINDINGS = "path string, command string, parameter string, callback string"
 ERRORS = "path string, error string"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -184,6 +185,16 @@ def calls(files: DataFrame) -> DataFrame:
     return _each(files, rows, CALLS)
 
 
+def bindings_of(tree: ast.Module) -> list[tuple[str, str, str]]:
+    """(function, parameter, callback) of decorators whose name ends with autocomplete."""
+    decorated = ((f, d) for f in ast.walk(tree) if isinstance(f, _FUNCTION) for d in f.decorator_list if isinstance(d, ast.Call) and _last_name(d.func).lower().endswith("autocomplete"))
+    return [(f.name, k.arg, k.value.id) for f, d in decorated for k in d.keywords if k.arg and isinstance(k.value, ast.Name)]
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    return _each(files, lambda path, text, tree: [(path, *b) for b in bindings_of(tree)], BINDINGS)
+
+
 def literal_terms(files: DataFrame) -> DataFrame:
     return _each(files, lambda path, text, tree: [(path, n, w, k) for n, _, node in _functions(tree) for w, k in sorted(literal_terms_of(node).items())], TERMS)
 

@@ -114,6 +114,12 @@ def tripped(df: DataFrame, reason: str, order: str, *keys: str, first: int = 5,
     return by.groupBy(*keys).agg((F.max("c") >= most).alias("tripped"))
 
 
+def reason_histogram(df: DataFrame, reason: str, order: list[str], *keys: str, first: int = 5) -> DataFrame:
+    """(reason, n, in_first): how often each reason stands, in all and among each group's first items."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__n", nth).groupBy(reason).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__n") <= first).alias("in_first"))
+
+
 def ordered_union(*sources: tuple[DataFrame, str], keys: list[str], value: str, order: str) -> DataFrame:
     """(keys..., value, source, rank): distinct values, sources in the given priority, then by order within one."""
     all_ = None

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from strandwork import config
 
 DEFINITIONS = "path string, name string, kind string, start_line int, end_line int, line_count int, text string"
 _START = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|function|enum|type|const|let|var)\s+\*?\s*([A-Za-z_$][\w$]*)", re.M)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandwork.operators import graph, joins, ranking
 from strandwork.plans.registry import query, values
@@ -53,29 +52,6 @@ def q_owner_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.owner_index(symbols).select("key", "path").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.min("path").alias("first_owner"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) IN (SELECT lower(c_mktsegment) FROM customer) OR lower(p_type) IN (SELECT DISTINCT lower(p_type) FROM part WHERE p_size = 1)")
-def q_semi_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose name or type is among the hints, without regard to case."""
-    part = table(spark, sf_dir, "part")
-    hints = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("hint")).union(part.where("p_size = 1").select(F.lower("p_type"))).distinct()
-    each = part.select("p_partkey", "p_name", F.explode(F.array(F.lower("p_name"), F.lower("p_type"))).alias("hint"))
-    return each.join(hints, "hint", "left_semi").select("p_partkey", "p_name").distinct()
-
-
-@query("""WITH hits AS (SELECT p_partkey, 200 AS points FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 1)
-        UNION ALL SELECT p_partkey, 180 FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50)),
-    scored AS (SELECT p_partkey, sum(points)::BIGINT AS score FROM hits GROUP BY p_partkey)
-    SELECT p_partkey, score, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM scored ORDER BY rank LIMIT 8""")
-def q_explicit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts named by tokens of two kinds, the best eight."""
-    part = table(spark, sf_dir, "part")
-    named = part.join(part.where("p_size = 1").select("p_name").distinct(), "p_name", "left_semi").select("p_partkey", F.lit(200).alias("points"))
-    branded = part.join(part.where("p_size = 50").select("p_brand").distinct(), "p_brand", "left_semi").select("p_partkey", F.lit(180).alias("points"))
-    scored = named.union(branded).groupBy("p_partkey").agg(F.sum("points").alias("score"))
-    best = scored.orderBy(F.desc("score"), "p_partkey").limit(8)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "p_partkey")))
-
-
 _EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey)"""
 
 
@@ -104,19 +80,6 @@ def q_seed_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(scored, 24, ["task_id"], [F.desc("score"), F.col("path")])
 
 
-WORDS = [("steel",), ("brass",), ("red",), ("blue",), ("nut",), ("PROMO",), ("ring",), ("green",)]
-
-
-@query(f"""WITH words(word) AS (SELECT lower(column0) FROM (VALUES {values(WORDS)}))
-    SELECT p_partkey, (sum(CASE WHEN contains(lower(p_type), word) THEN 20 ELSE 0 END) + sum(CASE WHEN contains(lower(p_name), word) THEN 28 ELSE 0 END))::BIGINT AS score
-    FROM part, words GROUP BY p_partkey HAVING score > 0""".replace("column0", "col0"))
-def q_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points for each word that a part's type or name holds."""
-    words = F.array(*[F.lit(w.lower()) for (w,) in WORDS])
-    holds = lambda c: F.size(F.filter(words, lambda w: F.contains(F.lower(c), w)))
-    return table(spark, sf_dir, "part").select("p_partkey", (holds("p_type") * 20 + holds("p_name") * 28).cast("long").alias("score")).where("score > 0")
-
-
 @query("""WITH calls AS (SELECT DISTINCT l_suppkey % 50 AS src, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS owner, p_name AS callee,
         CASE WHEN l_returnflag = 'R' THEN 'self' WHEN l_returnflag = 'A' THEN 'bare' WHEN l_linenumber % 3 = 0 THEN 'member' ELSE 'qualified' END AS receiver FROM lineitem JOIN part ON l_partkey = p_partkey),
     definitions AS (SELECT p_name AS name, p_partkey % 50 AS path, CASE WHEN p_size > 10 THEN p_brand END AS owner FROM part),
@@ -141,30 +104,6 @@ def q_unique_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.unique_owner(calls, definitions, joins.callable_owners(symbols), deps)
 
 
-@query("""WITH kinds AS (SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE user_id IN (SELECT o_custkey FROM orders) GROUP BY user_id HAVING count(DISTINCT event_type) >= 3),
-    scored AS (SELECT user_id, 20 * kinds + 120 + CASE WHEN errors > 0 THEN 50 ELSE 0 END AS score FROM kinds)
-    SELECT user_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, user_id) AS rank FROM scored) WHERE rank <= 2""")
-def q_handlers_having(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with three kinds or more among those that a semi-join leaves, the best two."""
-    users = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
-    kinds = table(spark, sf_dir, "events").join(users, "user_id", "left_semi").groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("errors")).where("kinds >= 3")
-    scored = kinds.select("user_id", (20 * F.col("kinds") + 120 + F.when(F.col("errors") > 0, 50).otherwise(0)).alias("score"))
-    return scored.orderBy(F.desc("score"), "user_id").limit(2).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "user_id")))
-
-
-@query("""WITH bind AS (SELECT DISTINCT l_suppkey AS parameter, l_partkey AS callback FROM lineitem), tried AS (SELECT DISTINCT l_partkey AS callback FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
-    other AS (SELECT b.callback, count(DISTINCT b.parameter) AS shared FROM bind b WHERE b.parameter IN (SELECT parameter FROM bind WHERE callback IN (SELECT callback FROM tried)) AND b.callback NOT IN (SELECT callback FROM tried) GROUP BY b.callback)
-    SELECT callback, 300 + 70 * shared AS score FROM other ORDER BY score DESC, callback LIMIT 3""")
-def q_alt_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callbacks bound to a parameter of an attempted one, attempts left out, the best three."""
-    item = table(spark, sf_dir, "lineitem")
-    bind = item.select(F.col("l_suppkey").alias("parameter"), F.col("l_partkey").alias("callback")).distinct()
-    tried = item.where("l_returnflag = 'R' AND l_quantity >= 49").select(F.col("l_partkey").alias("callback")).distinct()
-    parameters = bind.join(tried, "callback", "left_semi").select("parameter").distinct()
-    other = bind.join(parameters, "parameter", "left_semi").join(tried, "callback", "left_anti").groupBy("callback").agg(F.count_distinct("parameter").alias("shared"))
-    return other.select("callback", (300 + 70 * F.col("shared")).alias("score")).orderBy(F.desc("score"), "callback").limit(3)
-
-
 _SNAPSHOTS = """old AS (SELECT source || '/' || doc_id AS path, sha256(text) AS hash FROM documents WHERE lang <> 'es'),
     new AS (SELECT CASE WHEN source = 'src7' THEN 'moved/' ELSE '' END || source || '/' || doc_id AS path, sha256(CASE WHEN source = 'src11' THEN text || '!' ELSE text END) AS hash FROM documents WHERE lang <> 'de')"""
 

@@ -114,15 +114,6 @@ def q_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.tripped(table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id")), "event_type", "at", "user_id")
 
 
-@query("""SELECT event_type, count(*) AS n, count(*) FILTER (nth <= 5) AS in_first_five FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) GROUP BY event_type""")
-def q_reason_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures by reason, in all and among the first five."""
-    from pyspark.sql.window import Window
-
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("nth", nth).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nth") <= 5).alias("in_first_five"))
-
-
 _BFS_SEEDS = "seeds AS (SELECT o_custkey AS task_id, l_partkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'))"
 
 

@@ -216,19 +216,7 @@ REPAIRED = [
 @query("SELECT * FROM (VALUES " + values(REPAIRED).replace("\n", "' || chr(10) || '") + ") t(id, patch)")
 def q_hunk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thin and drifted hunks with the current source's lines around them."""
-    return inline(spark, "id int, body string", DRIFTED).select("id", diffs.repair(F.col("body"), {"f": CURRENT}).alias("patch"))
-
-
-@query("""WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS name FROM documents), own AS (SELECT doc_id, regexp_extract(text, '[A-Z][a-z]+') AS name FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+')),
-    one AS (SELECT name, min(doc_id) AS doc_id FROM own GROUP BY name)
-    SELECT d.doc_id, count(*) AS named, min(o.doc_id) AS first_named FROM d JOIN one o ON d.name = o.name AND d.doc_id <> o.doc_id GROUP BY d.doc_id""")
-def q_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that name what another defines, whole identifiers only."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Z][a-z]+"))
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))
-    one = docs.select(F.regexp_extract("text", "[A-Z][a-z]+", 0).alias("name"), "doc_id").groupBy("name").agg(F.min("doc_id").alias("other"))
-    met = docs.select("doc_id", F.explode(names).alias("name")).join(one, "name").where("doc_id <> other")
-    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("named"), F.min("other").alias("first_named"))
+    return inline(spark, "id int, body string", DRIFTED).select("id", diffs.repair(F.col("body"), F.create_map(F.lit("f"), F.lit(CURRENT))).alias("patch"))
 
 
 @query("""WITH e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
@@ -242,20 +230,6 @@ def q_scored_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.scored_hops(roots, part_edges(spark, sf_dir), [150, 120])
 
 
-LEGACY = "least(10, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3) * 5"
-
-
-@query(f"""SELECT doc_id, (CASE WHEN toxic = 1 THEN 1000 ELSE 0 END + CASE WHEN source = 'src0' THEN 50 ELSE 0 END + CASE WHEN contains(lower(lang), 'en') THEN 100 ELSE 0 END + {LEGACY})::BIGINT AS score
-    FROM documents LEFT JOIN labels USING (doc_id)""")
-def q_legacy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed and important files, words in names, and occurrences up to ten."""
-    t = F.lower("text")
-    times = F.floor((F.length(t) - F.length(F.replace(t, F.lit("the"), F.lit("")))) / 3)
-    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    score = F.when(F.col("toxic") == 1, 1000).otherwise(0) + F.when(F.col("source") == "src0", 50).otherwise(0) + F.when(F.contains(F.lower("lang"), F.lit("en")), 100).otherwise(0) + F.least(F.lit(10), times) * 5
-    return df.select("doc_id", score.cast("long").alias("score"))
-
-
 OUTPUTS = [(1, "a\nb\n"), (2, ""), (3, "  "), (4, "x" * 30)]
 
 
@@ -291,13 +265,6 @@ def q_status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.exists(F.split("path", " -> "), paths.is_ignored).alias("hidden"))
 
 
-@query("""SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS shown, greatest(count(*) FILTER (o_orderstatus = 'F') - 10, 0) AS more FROM orders GROUP BY o_custkey""")
-def q_first_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many there are, and how many beyond the first ten."""
-    n = F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(n.alias("shown"), F.greatest(n - 10, F.lit(0)).alias("more"))
-
-
 RANGES = [(1, "@@ -1,2 +3,4 @@\n x\n@@ -9 +20,0 @@\n@@ -5 +7 @@")]
 
 

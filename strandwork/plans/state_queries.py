@@ -238,26 +238,6 @@ def q_owner_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("name", evidence.owner_score(F.col("role"), name=F.col("name"), body=F.col("body"), roles=F.split("roles", ","), path_hits=F.col("path_hits"), term_hits=F.col("term_hits")).alias("score"))
 
 
-@query("""SELECT d.doc_id, d.source || CASE WHEN l.doc_id IS NULL THEN ' (unavailable)' ELSE '' END AS shown FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def q_selected_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """selected files, marked where they were not rendered."""
-    rendered = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("there"))
-    df = table(spark, sf_dir, "documents").join(rendered, "doc_id", "left")
-    return df.select("doc_id", F.concat("source", F.when(F.col("there").isNull(), " (unavailable)").otherwise("")).alias("shown"))
-
-
-COMMANDS = [("app.py", "go", "start"), ("app.py", "stop", None)]
-COMMAND_TASKS = [(1, "run `start` now"), (2, "the stop command"), (3, "unstoppable starts")]
-
-
-@query(f"SELECT * FROM (VALUES {values([(1, 'app.py', 'go', 240), (2, 'app.py', 'stop', 240)])}) t(task_id, path, function_name, score)")
-def q_command_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands that a task names, by their own name or their function's."""
-    commands = inline(spark, "path string, function_name string, name string", COMMANDS).withColumn("word", F.coalesce("name", "function_name"))
-    words = inline(spark, "task_id int, task string", COMMAND_TASKS).select("task_id", F.explode(F.array_distinct(F.regexp_extract_all("task", F.lit("[A-Za-z0-9_-]+"), F.lit(0)))).alias("word"))
-    return words.join(commands, "word").select("task_id", "path", "function_name", F.lit(240).alias("score"))
-
-
 SAFE = [("src/a.py", "+token = 'abcdefghij'"), (".env", "+SECRET=1"), ("b.py", "+x")]
 
 

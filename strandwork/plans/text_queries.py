@@ -52,16 +52,6 @@ def q_path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT path, line FROM (
-        (SELECT {PATH} AS path, {PATH} AS line FROM documents ORDER BY 1 LIMIT {config.TREE_FILES})
-        UNION ALL SELECT '~', '[tree truncated]' FROM (SELECT count(*) AS n FROM documents) WHERE n > {config.TREE_FILES})""")
-def q_tree_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 paths and a mark if there are more."""
-    files = documents_as_files(spark, sf_dir).select("path", F.col("path").alias("line"))
-    more = files.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > config.TREE_FILES).select(F.lit("~").alias("path"), F.lit("[tree truncated]").alias("line"))
-    return files.orderBy("path").limit(config.TREE_FILES).union(more)
-
-
 @query(f"SELECT {PATH} AS path, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
 def q_snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and hash of every file from one read."""
@@ -115,14 +105,6 @@ def q_failing_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.test_failures(inline(spark, "run_id string, body string", REPORTS), "body", "run_id")
 
 
-@query("""WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"\\n]*)"', 1)) AS target FROM pages)
-    SELECT page_id, count(*) AS links, count(DISTINCT target) AS targets, min(target) AS first_target FROM found GROUP BY page_id""")
-def q_imports_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2: targets named in a text, by pattern."""
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"\\n]*)"'), F.lit(1))).alias("target"))
-    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("target").alias("targets"), F.min("target").alias("first_target"))
-
-
 SCRIPTS = [
     ("a.ts", "import x from './b'\nexport class Alpha {}\nexport const run = async (a, b) => a\nconst plain = 3\ninterface Shape {}\n"),
     ("b.js", "const fs = require('fs')\nfunction beta() {}\nexport default function gamma() {}\nimport 'side'\n"),
@@ -192,13 +174,6 @@ def q_json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "v.status", "v.summary", F.size("v.tags").cast("long").alias("tags"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events""")
-def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON text read by schema."""
-    props = F.from_json("props", "k bigint")
-    return table(spark, sf_dir, "events").select("event_id", props["k"].alias("k"), (F.get_json_object("props", "$").isNotNull()).alias("valid"))
-
-
 _LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"""
 
 
