@@ -39,6 +39,8 @@ from strandwork.llm.text_kernel import buffers, mix64, shingles, word_hashes
 CELL = 1024
 PAIRS = 1 << 16
 _CHUNK = 1 << 16
+#: Bytes of text that are hashed into sets at once; a longer text is taken whole.
+PART = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,9 +109,19 @@ def _digest(own: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about PART bytes of text, so that the arrays worked on stay small."""
+    for batch in batches:
+        offsets, at = buffers(batch.column("t"))[1], 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _sketches(op: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets, offsets = shingles(*word_hashes(batch.column("t")), op.size)
             full = np.flatnonzero(np.diff(offsets))
             sig = np.zeros((len(offsets) - 1, op.hashes), np.uint32)
@@ -127,7 +139,7 @@ def _sketches(op: NearDedup):
 
 def _sets(op: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets, offsets = shingles(*word_hashes(batch.column("t")), op.size)
             own = [np.unique(sets[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x)[0] for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "set"])

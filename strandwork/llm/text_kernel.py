@@ -17,7 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Piece of a batch that is hashed at once, in bytes; bounds the work arrays.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
