@@ -16,6 +16,7 @@ from strandwork.llm.near_dedup import near_duplicates
 from strandwork.llm.pii import find_personal_data
 from strandwork.llm.quality_model import quality_scores
 from strandwork.llm.quality_rules import judge_quality
+from strandwork.llm.spelling import spelling_variants
 from strandwork.llm.url_filter import Rule, judge_urls
 
 URL_RULES = (
@@ -78,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -149,4 +155,36 @@ ORACLE_SQL: dict[str, str] = {
                 ON (p.host = r.r_host OR ends_with(p.host, '.' || r.r_host)) AND starts_with(p.path, r.r_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1
     """,
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE crc AS MATERIALIZED (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+            FROM range(256) AS t(i)),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+            FROM documents),
+        counted AS (SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+        bytes AS (
+            SELECT run, n, list_transform(range(1, length(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1) AS b FROM counted),
+        summed AS (
+            SELECT run, n, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, crc.steps[xor(c & 255, x) + 1]), 4294967295)) AS h FROM bytes, crc),
+        torn AS (
+            SELECT n, CASE WHEN h % 97 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word FROM summed),
+        words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM torn WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        cut AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM spots),
+        pairs AS (
+            SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+        best AS (
+            SELECT word, count(*) AS n_near, min({'less': -n, 'near': near}) AS top FROM pairs GROUP BY word),
+        named AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.top.less >= 2 * w.n THEN b.top.near END AS form,
+                CASE WHEN -b.top.less >= 2 * w.n THEN -b.top.less END AS form_n
+            FROM words w LEFT JOIN best b USING (word)),
+        walk AS (
+            SELECT word, word AS at, form AS next FROM named
+            UNION ALL SELECT k.word, k.next, v.form FROM walk k JOIN named v ON v.word = k.next)
+        SELECT n.word, n.form, k.at AS root, n.n, n.n_near, n.form_n FROM named n JOIN walk k ON k.word = n.word AND k.next IS NULL
+    """,
 }
