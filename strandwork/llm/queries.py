@@ -16,6 +16,7 @@ from strandwork.llm.near_dedup import near_duplicates
 from strandwork.llm.pii import find_personal_data
 from strandwork.llm.quality_model import quality_scores
 from strandwork.llm.quality_rules import judge_quality
+from strandwork.llm.ranked_search import ranked_search
 from strandwork.llm.spelling import spelling_variants
 from strandwork.llm.url_filter import Rule, judge_urls
 
@@ -83,6 +84,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked_search(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -187,4 +194,26 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT k.word, k.next, v.form FROM walk k JOIN named v ON v.word = k.next)
         SELECT n.word, n.form, k.at AS root, n.n, n.n_near, n.form_n FROM named n JOIN walk k ON k.word = n.word AND k.next IS NULL
     """,
+    "op12_ranked_search": r"""
+        WITH doc_terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL),
+        size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        query AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+        weighed AS (
+            SELECT q.item_id, q.term, q.times * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df.df + 1)::DOUBLE))::BIGINT AS w
+            FROM query q JOIN df USING (term), total),
+        sized AS (SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM size, total),
+        scored AS (
+            SELECT w.item_id, t.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * s.m)))::BIGINT AS score
+            FROM weighed w JOIN tf t USING (term) JOIN sized s ON s.doc_id = t.doc_id GROUP BY w.item_id, t.doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
 }

@@ -94,9 +94,9 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, words per value) of the words of each value."""
-    inside = ~_IS_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words per value) of the words of each value; breaks: for each byte, whether it ends a word."""
+    inside = ~breaks[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -109,7 +109,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(ends) + 1, np.diff(np.searchsorted(starts, offsets))
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = True, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, offsets of each value's words)."""
     data, offsets = buffers(column)
     counts = np.zeros(len(offsets) - 1, np.int64)
@@ -119,7 +119,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
         # whole values up to a piece's size; a longer value is a piece of its own
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
         piece = data[offsets[at] : offsets[to]]
-        starts, ends, n = word_spans(piece, offsets[at : to + 1] - offsets[at])
+        starts, ends, n = word_spans(piece, offsets[at : to + 1] - offsets[at], breaks)
         counts[at:to] = n
         found.append(_hash_spans(piece, starts, ends, lower))
         at = to
