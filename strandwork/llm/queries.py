@@ -17,6 +17,7 @@ from strandwork.llm.pii import find_personal_data
 from strandwork.llm.quality_model import quality_scores
 from strandwork.llm.quality_rules import judge_quality
 from strandwork.llm.ranked_search import ranked_search
+from strandwork.llm.repeat_index import remove_repeats
 from strandwork.llm.spelling import spelling_variants
 from strandwork.llm.url_filter import Rule, judge_urls
 
@@ -89,6 +90,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(docs.select("doc_id", "text"), items.select("item_id", "text"))
 
 
+def op13_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_ranked_search": op12_ranked_search,
+    "op13_repeat_index": op13_repeat_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -216,4 +223,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
         FROM scored WHERE score > 0 QUALIFY rank <= 10
     """,
+    "op13_repeat_index": r"""
+        WITH hexed AS MATERIALIZED (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+        starts AS (SELECT doc_id, h, unnest(range(0, n_bytes - 199)) AS i FROM hexed),
+        windows AS MATERIALIZED (SELECT doc_id, i, hash(h[2 * i + 1:2 * i + 400]) AS k FROM starts),
+        again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+        marked AS (SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 200 AS opens FROM windows SEMI JOIN again USING (k)),
+        numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+        runs AS (SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY doc_id, run),
+        between AS (SELECT doc_id, run, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS prior FROM runs),
+        cut AS (
+            SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, max(hi) AS last,
+                string_agg(h[2 * prior + 1:2 * lo], '' ORDER BY run) AS head
+            FROM between JOIN hexed USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+        FROM hexed LEFT JOIN cut USING (doc_id)
+    """,
 }

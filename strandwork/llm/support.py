@@ -103,14 +103,14 @@ def id_bitmap(ids: DataFrame, col: str, lg_bits: int = 22) -> bytes:
     return out.tobytes()
 
 
-def in_bitmap(df: DataFrame, col: str, bitmap: bytes) -> DataFrame:
-    """Rows whose column may be in the bitmap: all that are, and few others while the bitmap is sparse."""
+def in_bitmap(df: DataFrame, col: str, bitmap: bytes, without: bool = False) -> DataFrame:
+    """Rows whose column may be in the bitmap: all that are, and few others while the bitmap is sparse. without: the other rows."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     bits = len(bitmap) * 8
 
     @F.pandas_udf("boolean")
     def held(spots: pd.Series) -> pd.Series:
         at = spots.to_numpy()
-        return pd.Series(np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+        return pd.Series(np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == (0 if without else 1))
 
     return df.where(held(F.pmod(F.xxhash64(col), F.lit(bits))))

@@ -164,6 +164,18 @@ def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64((sums[size:] - sums[:-size]) * _inverse_powers(max(0, n - 1).bit_length())[:n])
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of byte values times powers: (sums[j] - sums[i]) * inverse_powers(j)[i] is the hash of data[i:j]."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_byte_values(False)[data] * powers(len(data)), out=out[1:])
+    return out
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """_BASE**0 ... _BASE**-(n-1) modulo 2**64, or more of them."""
+    return _inverse_powers(max(0, n - 1).bit_length())
+
+
 def shingles(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each size-word shingle, offsets): a value with fewer words has its whole sequence as one, one without words none."""
     counts = np.diff(offsets)
