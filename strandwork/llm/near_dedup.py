@@ -8,7 +8,7 @@
    without listing their pairs. Where buckets of more than CELL rows still hold several
    groups, rows are compared with another leader, one a round, as long as rounds join many.
 3. What is left are buckets whose members still belong to different groups. Their members
-   meet in cells of two blocks of CELL rows each, on average. The largest group's rows need
+   meet in cells of two blocks of CELL rows each, on average, of fewer if texts are long. The largest group's rows need
    not meet each other, so in a larger bucket they and the others are dealt to blocks apart:
    a row of the largest group is sent once for each block of the others, mostly once. Pairs
    of different groups are compared inside the task, each in the first band it shares: first
@@ -38,6 +38,9 @@ from strandwork.llm.text_kernel import buffers, mix64, shingles, word_hashes
 #: Rows of a block in the cells of step 3, partners that share one copy of a leader, and pairs that are compared at once.
 CELL = 1024
 PAIRS = 1 << 16
+#: A text of more shingles counts as several rows of a cell; values of partners' sets that are compared at once.
+ROW_SHINGLES = 1024
+COMPARED = 1 << 17
 _CHUNK = 1 << 16
 #: Bytes of text that are hashed into sets at once; a longer text is taken whole.
 PART = 1 << 20
@@ -190,18 +193,23 @@ def _by_cell(solve) -> Callable:
             edge = np.flatnonzero((keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             return solve(t, np.append(0, edge), np.append(edge, len(keys)))
 
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
             keys, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            other = np.flatnonzero((keys != keys[-1]) | (i != i[-1]) | (j != j[-1])) if len(keys) else []
+            other = np.flatnonzero((keys != keys[-1]) | (i != i[-1]) | (j != j[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on in the next batch
+            if held and not cut and any(held[-1].column(c)[-1].as_py() != t.column(c)[0].as_py() for c in ("key", "i", "j")):
+                yield solved(pa.concat_tables(held))
+                held = []
             if cut:
-                yield solved(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield solved(held)
+                yield solved(pa.concat_tables([*held, t.slice(0, cut)]))
+                held = []
+            held.append(t.slice(cut))
+        if held:
+            yield solved(pa.concat_tables(held))
 
     return run
 
@@ -247,6 +255,19 @@ def _mark_rows(op: NearDedup):
     return _by_cell(solve)
 
 
+def _similar(op: NearDedup, data: np.ndarray, offsets: np.ndarray, row: int, partners: np.ndarray) -> np.ndarray:
+    """Whether each partner's sorted set is similar enough to the row's; sets are read COMPARED values at a time."""
+    own, sizes = data[offsets[row] : offsets[row + 1]], offsets[partners + 1] - offsets[partners]
+    both, at, ends = np.zeros(len(partners), np.int64), 0, np.cumsum(sizes)
+    while at < len(partners):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + COMPARED, "right")))
+        values = np.concatenate([data[offsets[y] : offsets[y + 1]] for y in partners[at:to]])
+        found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        both[at:to] = np.add.reduceat(found, ends[at:to] - sizes[at:to] - (ends[at] - sizes[at]), dtype=np.int64)
+        at = to
+    return 100 * both >= op.percent * (len(own) + sizes - both)
+
+
 def _link_rows(op: NearDedup):
     """Confirms the pairs of a cell on full sets and returns links that join up its groups, a tree for each joined set."""
     needs = least_matches(op)
@@ -259,9 +280,6 @@ def _link_rows(op: NearDedup):
             if hi - lo < 2:
                 continue
             columns = _cell_columns(t, lo, hi)
-            sizes = np.diff(offsets[lo : hi + 1])
-            vocabulary, shingle = np.unique(data[offsets[lo] : offsets[hi]], return_inverse=True)
-            first = offsets[lo:hi] - offsets[lo]
             top = {int(x): int(x) for x in columns["label"]}
 
             def root(x: int, top=top) -> int:
@@ -272,11 +290,8 @@ def _link_rows(op: NearDedup):
 
             for left, right in _met(op, columns, sig[lo:hi], needs):
                 for row in np.unique(left):
-                    own = np.zeros(len(vocabulary), np.int64)
-                    own[shingle[first[row] : first[row] + sizes[row]]] = 1
-                    partners = right[left == row]
-                    both = np.add.reduceat(own[shingle], first)[partners]
-                    for y in partners[100 * both >= op.percent * (sizes[row] + sizes[partners] - both)]:
+                    partners = lo + right[left == row]
+                    for y in partners[_similar(op, data, offsets, lo + row, partners)] - lo:
                         a, b = root(int(columns["label"][row])), root(int(columns["label"][y]))
                         if a != b:
                             top[max(a, b)] = min(a, b)
@@ -338,10 +353,13 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _members(bands: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of the buckets with their groups, (key, m, top) of the buckets that hold several); top: (n, label) of the largest group."""
-    rows = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"))
+    """(rows of the buckets with their groups, (key, m, top) of the buckets that hold several); top: (n, label) of the largest group.
+
+    m and n count rows, and a row of a long text as one for each ROW_SHINGLES of its shingles.
+    """
+    rows = bands.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"), "weight")
     rows = written(rows, "members")
-    of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    of = rows.groupBy("key", "label").agg(F.sum("weight").alias("n"))
     mixed = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"))
     return rows, written(mixed.where("lo < hi").select("key", "m", "top"), "mixed")
 
@@ -386,7 +404,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     width = 4 * op.rows
     band = F.transform(F.sequence(F.lit(0), F.lit(op.bands - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
-    bands = reps.select("id", "rep", F.posexplode(band).alias("band", "key"))
+    weight = F.expr(f"1 + n div {ROW_SHINGLES}").alias("weight")
+    bands = reps.select("id", "rep", weight, F.posexplode(band).alias("band", "key"))
     by_rep = F.struct("rep", "id")
     shared = bands.groupBy("key").agg(F.min(by_rep).alias("first"), F.max(by_rep).alias("last")).where("first < last")
     bands = written(bands.drop("rep").join(shared.select("key", "first"), "key"), "buckets")  # only buckets of two or more
