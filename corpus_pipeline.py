@@ -15,6 +15,8 @@ from strandwork.llm.mixing import mix_sources
 from strandwork.llm.near_dedup import near_duplicates
 from strandwork.llm.support import drop_written, written, written_so_far
 
+#: Sites on which a line counts as boilerplate, however many sites there are.
+LINE_SITES = 10
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,14 +32,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that stand on ten sites or more but where they stand first; texts left without a word go.
+    """Removes lines that stand on LINE_SITES sites or more but where they stand first; texts left without a word go.
 
-    Of fewer than twenty sites half are enough, three at least, so few sources lose lines too.
     A null source is a site of its own. Null and empty texts have no line to lose and stay;
     rows that repeat id and text are treated alike. An empty table gives an empty one.
     """
-    sites = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(""))).distinct().count()
-    left = dedup_lines(docs, min_sites=max(3, min(10, (sites + 1) // 2))).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = dedup_lines(docs, min_sites=LINE_SITES).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)
 
