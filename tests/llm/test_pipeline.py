@@ -28,16 +28,18 @@ def test_stages_on_awkward_documents(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
-def test_few_sources_lose_their_shared_lines_too(spark, sf):
-    rows = [(i, f"own text {i}\nshared line\nline of two {i // 2}", "en", f"s{i % 6}", 0) for i in range(18)]
-    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), sf).collect()}
-    assert len(got) == 18 and [i for i, lines in got.items() if "shared line" in lines] == [0]
-    assert all(f"line of two {i // 2}" in lines for i, lines in got.items())
+def test_lines_of_ten_sites_go_however_many_sites_there_are(spark, sf):
+    n = corpus_pipeline.LINE_SITES
+    rows = [(i, f"own text {i}\nshared line\n" + ("nine sites" if i % n else "tenth"), "en", f"s{i % n}", 0) for i in range(3 * n)]
+    for more in ([], [(100 + i, f"other {i}", "en", f"t{i}", 0) for i in range(40)]):
+        got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows + more, DOCS), sf).collect()}
+        assert len(got) == 3 * n + len(more) and [i for i, lines in got.items() if "shared line" in lines] == [0]
+        assert sum("nine sites" in lines for lines in got.values()) == 3 * n - 3
 
 
 def test_every_operator_has_its_query():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
 
 
 def test_texts_that_share_an_id_all_stay_and_equal_rows_once(spark, sf):
