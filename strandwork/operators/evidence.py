@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from strandwork import config
 from strandwork.functions import paths, text
-from strandwork.operators import graph
+from strandwork.operators.settle import settled
 
 # Evidence kinds of each role, in order, and how many definitions of each a plan takes.
 KINDS = (("domain", "model", 2), ("domain", "domain_flow", 2), ("persistence", "schema", 1), ("persistence", "persistence_crud", 2), ("transport", "transport", 2), ("ui", "ui", 2), ("tests", "tests", 1))
@@ -117,20 +117,37 @@ def plan(candidates: DataFrame, caps: Caps = COVERAGE, threshold: int = config.E
 
 
 def rooted_closure(roots: DataFrame, calls: DataFrame, *, depth: int = 3, symbols: int = 24, files: int = 12) -> DataFrame:
-    """(task_id, path, name, depth, rank) reached from roots(task_id, path, name, rank) over resolved calls(src_path, src, pos, dst_path, dst).
+    """(task_id, path, name, depth, rank) discovered from roots(task_id, path, name, rank) over resolved calls(src_path, src, pos, dst_path, dst).
 
-    At most symbols definitions in at most files files, in the order of their discovery.
+    Roots are walked through but not among the result, which is in the order of discovery: by
+    level, the caller's rank and the call's position. At most `symbols` definitions in at most
+    `files` files are discovered: one in a further file is skipped, isn't counted and isn't
+    walked through. Each level is kept, at most `symbols` rows a task.
     """
-    node = lambda p, n: F.concat_ws("\u0000", p, n)
-    seeds = roots.select("task_id", node("path", "name").alias("node"), "rank")
-    edges = calls.select(node("src_path", "src").alias("src"), node("dst_path", "dst").alias("dst"), "pos").groupBy("src", "dst").agg(F.min("pos").alias("pos"))
-    reached = graph.bounded_bfs(seeds, edges, depth=depth - 1, fan_out=10**6, limit=symbols)
-    parts = F.split("node", "\u0000")
-    reached = reached.select("task_id", F.get(parts, F.lit(0)).alias("path"), F.get(parts, F.lit(1)).alias("name"), "depth", "rank")
-    first = F.min("rank").over(Window.partitionBy("task_id", "path"))
-    reached = reached.withColumn("__first", first)
-    nth = F.dense_rank().over(Window.partitionBy("task_id").orderBy("__first"))
-    return reached.withColumn("__file", nth).where(F.col("__file") <= files).drop("__first", "__file")
+    edges = calls.groupBy("src_path", "src", "dst_path", "dst").agg(F.min("pos").alias("pos"))
+    own = ["task_id", "path", "name"]
+    first = F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path", "name"))
+    frontier = known = settled(roots.groupBy(*own).agg(F.min("rank").alias("rank")).withColumn("rank", first))
+    found = None
+    for level in range(1, depth + 1):
+        met = frontier.join(edges, (F.col("path") == F.col("src_path")) & (F.col("name") == F.col("src")))
+        met = met.select("task_id", F.col("dst_path").alias("path"), F.col("dst").alias("name"), F.struct("rank", "pos").alias("at"))
+        step = met.join(known.select(*own), own, "left_anti").groupBy(*own).agg(F.min("at").alias("at"))
+        none = F.array().cast("array<string>")
+        if found is None:
+            step = step.withColumns({"held": none, "n": F.lit(0).cast("long")})
+        else:
+            counts = found.groupBy("task_id").agg(F.collect_set("path").alias("held"), F.count(F.lit(1)).alias("n"))
+            step = step.join(counts, "task_id", "left").withColumns({"held": F.coalesce("held", none), "n": F.coalesce("n", F.lit(0))})
+        order = F.struct("at", "path", "name")
+        step = step.withColumns({"fresh": ~F.array_contains("held", F.col("path")), "opens": F.min(order).over(Window.partitionBy("task_id", "path"))})
+        step = step.withColumn("nth", F.dense_rank().over(Window.partitionBy("task_id", "fresh").orderBy("opens")))
+        step = step.where(~F.col("fresh") | (F.col("nth") <= files - F.size("held")))
+        rank = F.col("n") + F.row_number().over(Window.partitionBy("task_id").orderBy("at", "path", "name"))
+        frontier = settled(step.withColumn("rank", rank).where(F.col("rank") <= symbols).select(*own, F.lit(level).alias("depth"), "rank"))
+        found = frontier if found is None else found.union(frontier)
+        known = known.select(*own).union(frontier.select(*own))
+    return found
 
 
 def scored_hops(roots: DataFrame, edges: DataFrame, points: list[int], top: int = 8) -> DataFrame:

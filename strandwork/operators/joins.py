@@ -112,16 +112,6 @@ def smallest_overlap(ranges: DataFrame, definitions: DataFrame, *keys: str, widt
     return met.groupBy(*keys, "start", "end").agg(F.min(best).alias("x")).select(*keys, "start", "end", "x.name", "x.d_start", "x.d_end")
 
 
-def without_containers(ranges: DataFrame, *keys: str) -> DataFrame:
-    """ranges(keys..., name, start, end) but those that hold another whole range of the same keys."""
-    inner = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("name").alias("__name"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    holds = same & (F.col("start") <= F.col("__s")) & (F.col("__e") <= F.col("end")) & (F.col("end") - F.col("start") > F.col("__e") - F.col("__s"))
-    return ranges.join(inner, holds, "left_anti")
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, old_hash, new_hash, change): added, changed, unchanged or deleted between (path, hash) snapshots."""
     both = old.withColumnRenamed("hash", "old_hash").join(new.withColumnRenamed("hash", "new_hash"), "path", "full_outer")

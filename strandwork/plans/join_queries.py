@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.operators import graph, joins, ranking
+from strandwork.operators import graph, joins, nesting, ranking
 from strandwork.plans.registry import query, values
 from strandwork.sources.tables import capitalised, document_path, inline, table
 
@@ -172,14 +172,35 @@ def q_overlap_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.smallest_overlap(ranges, defs, "user_id")
 
 
-SYMBOL_RANGES = [("a.py", "Box", 1, 40), ("a.py", "Box.open", 5, 9), ("a.py", "free", 50, 60), ("b.py", "Lid", 1, 10)]
+_ITEM_RANGES = """SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 's' || l_suppkey || l_returnflag END AS path,
+        l_orderkey || '.' || l_linenumber AS name, l_partkey AS start, (l_partkey + l_quantity)::BIGINT AS "end" FROM lineitem"""
 
 
-@query(f"""WITH r(path, name, start, stop) AS (VALUES {values(SYMBOL_RANGES)})
-    SELECT path, name, start, stop AS "end" FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.path = r.path AND r.start <= x.start AND x.stop <= r.stop AND r.stop - r.start > x.stop - x.start)""")
+@query(f"""WITH r AS ({_ITEM_RANGES}), d AS (SELECT DISTINCT path, start, "end" FROM r)
+    SELECT * FROM r WHERE NOT EXISTS (
+        SELECT 1 FROM d WHERE d.path = r.path AND r.start <= d.start AND d."end" <= r."end" AND r."end" - r.start > d."end" - d.start)""")
 def q_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested ranges without those that hold another."""
-    return joins.without_containers(inline(spark, "path string, name string, start int, end int", SYMBOL_RANGES), "path")
+    """Ranges of parts without those that hold another; a third of them are of one key."""
+    item = table(spark, sf_dir, "lineitem")
+    path = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), "l_returnflag"))
+    name, end = F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), (F.col("l_partkey") + F.col("l_quantity")).cast("long")
+    return nesting.without_containers(item.select(path.alias("path"), name.alias("name"), F.col("l_partkey").alias("start"), end.alias("end")), "path")
+
+
+@query("""WITH own AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem UNION SELECT DISTINCT l_orderkey, 0 FROM lineitem),
+    r AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'k' || l_orderkey % 50 END AS path, l_orderkey, l_orderkey || '.' || n AS name, l_orderkey * 10 + n AS start,
+        CASE WHEN n > 0 AND n % 2 = 0 THEN l_orderkey * 10 + n ELSE l_orderkey * 10 + 9 END AS "end" FROM own)
+    SELECT r.path, r.name, r.start, r."end", count(h.name)::INT AS depth, max_by(h.name, h.start) AS inside
+    FROM r LEFT JOIN r h ON h.l_orderkey = r.l_orderkey AND h.start < r.start AND h."end" >= r."end" GROUP BY ALL""")
+def q_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each range of an order's lines the innermost one that holds it, and how deep it lies."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"))
+    own = item.union(item.select("l_orderkey", F.lit(0))).distinct()
+    key = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("l_orderkey") % 50).cast("string")))
+    start = F.col("l_orderkey") * 10 + F.col("n")
+    end = F.when((F.col("n") > 0) & (F.col("n") % 2 == 0), start).otherwise(F.col("l_orderkey") * 10 + 9)
+    name = F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("n").cast("string"))
+    return nesting.enclosing(own.select(key.alias("path"), name.alias("name"), start.alias("start"), end.alias("end")), "path")
 
 
 @query("""WITH src AS (SELECT source || '/m' || doc_id % 400 || '.py' AS path FROM documents), tests AS (SELECT DISTINCT 'tests/' || quality || '/test_m' || doc_id % 400 || '.py' AS path FROM labels),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork import config
 from strandwork.functions import text
-from strandwork.operators import extract, graph, ranking
+from strandwork.operators import extract, graph, nesting, ranking
 from strandwork.plans.join_queries import _EDGES, PATH, part_edges
 from strandwork.plans.registry import query, values
 from strandwork.plans.text_queries import _LINES, _WORDS, _tokens_sql
@@ -153,15 +153,16 @@ def q_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", points.cast("long").alias("score"))
 
 
-ANCHORS = [("f", 1, "def a", 5), ("f", 4, "x", 90), ("f", 9, "def b", 2), ("f", 12, "y", 95), ("g", 2, "z", 7)]
+_DOC_LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
 
 
-@query(f"""WITH t(path, line_no, line, score) AS (VALUES {values(ANCHORS)}), d AS (SELECT *, max(CASE WHEN starts_with(line, 'def ') THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS definition_line FROM t)
-    SELECT path, line_no, score, definition_line FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no) AS n FROM d) WHERE n = 1""")
+@query(f"""WITH t AS ({_DOC_LINES}),
+    d AS (SELECT *, max(CASE WHEN regexp_matches(line, '^[A-M]') THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS definition_line FROM t)
+    SELECT doc_id, line_no, length(line) AS score, definition_line FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line_no) = 1""")
 def q_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the strongest line of each file and the definition line before it."""
-    from pyspark.sql.window import Window
-
-    df = inline(spark, "path string, line_no int, line string, score int", ANCHORS)
-    before = F.last(F.when(F.col("line").startswith("def "), F.col("line_no")), ignorenulls=True).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return ranking.top_k(df.withColumn("definition_line", before), 1, ["path"], [F.desc("score"), F.col("line_no")]).select("path", "line_no", "score", "definition_line")
+    """each text's strongest line and the last line before it that opens a definition, as an as-of step."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
+    best = ranking.top_k(lines.select("doc_id", "line_no", F.length("line").alias("score")), 1, ["doc_id"], [F.desc("score"), F.col("line_no")]).drop("rank")
+    marks = lines.where(F.col("line").rlike("^[A-M]")).select("doc_id", "line_no", F.lit("definition").alias("definition"))
+    found = nesting.last_before(best, marks, "doc_id", value="definition")
+    return found.select("doc_id", "line_no", "score", F.col("definition_line"))

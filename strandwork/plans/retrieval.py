@@ -88,7 +88,7 @@ def retrieve(index: Index, tasks: DataFrame, limit: int = config.DEFAULT_FILES)
     around = ranking.top_k(around, config.CANDIDATES, ["task_id"], order)
     ranked = lambda df, c: df.select("task_id", "path", F.col(c).cast("int").alias("at"))
     chosen = ranking.ordered_union(
-        (ranked(explicit, "at"), "explicit"), (ranked(seeds, "rank"), "ranked"), (ranked(closure, "rank"), "call"), (ranked(around, "rank"), "neighbour"), keys=["task_id"], value="path", order="at"
+        (ranked(explicit, "at"), "explicit"), (ranked(seeds, "rank"), "ranked"), (ranked(roots, "rank"), "root"), (ranked(closure, "rank"), "call"), (ranked(around, "rank"), "neighbour"), keys=["task_id"], value="path", order="at"
     )
     return chosen.where(F.col("rank") <= limit)
 

@@ -120,11 +120,34 @@ def q_resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.resolved_calls(indexed(spark)).select("src_path", "src", "dst_path", "dst")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/api.py', 'Handler.get', 0), ('shop/api.py', 'Handler.reply', 1), ('shop/api.py', 'post', 2)])}) t(path, name, depth)""")
+def _closure_level(d: int) -> str:
+    """One level of the closure in SQL, over k (roots and discovered) and x (discovered) of the levels before."""
+    known = " UNION ALL ".join(f"SELECT task_id, path, name FROM f{i}" for i in range(d))
+    found = " UNION ALL ".join(f"SELECT task_id, path, name FROM f{i}" for i in range(1, d)) or "SELECT task_id, path, name FROM f0 WHERE false"
+    return f"""k{d} AS ({known}), x{d} AS ({found}),
+        c{d} AS (SELECT f.task_id, e.dst_path AS path, e.dst AS name, min({{'a': f.rank, 'b': e.pos}}) AS met FROM f{d - 1} f JOIN calls e ON f.path = e.src_path AND f.name = e.src
+            WHERE NOT EXISTS (SELECT 1 FROM k{d} k WHERE k.task_id = f.task_id AND k.path = e.dst_path AND k.name = e.dst) GROUP BY ALL),
+        h{d} AS (SELECT task_id, count(*) AS n, count(DISTINCT path) AS m FROM x{d} GROUP BY task_id),
+        g{d} AS (SELECT c.*, coalesce(h.n, 0) AS n, coalesce(h.m, 0) AS m, NOT EXISTS (SELECT 1 FROM x{d} x WHERE x.task_id = c.task_id AND x.path = c.path) AS fresh,
+            min({{'met': c.met, 'path': c.path, 'name': c.name}}) OVER (PARTITION BY c.task_id, c.path) AS opens FROM c{d} c LEFT JOIN h{d} h ON h.task_id = c.task_id),
+        i{d} AS (SELECT *, dense_rank() OVER (PARTITION BY task_id, fresh ORDER BY opens) AS nth FROM g{d}),
+        j{d} AS (SELECT task_id, path, name, n + row_number() OVER (PARTITION BY task_id ORDER BY met, path, name) AS rank FROM i{d} WHERE NOT fresh OR nth <= 12 - m),
+        f{d} AS (SELECT task_id, path, name, {d} AS depth, rank FROM j{d} WHERE rank <= 24)"""
+
+
+@query(f"""WITH own AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+    calls AS MATERIALIZED (SELECT DISTINCT 'f' || a.l_partkey % 29 AS src_path, a.l_partkey::VARCHAR AS src, b.l_partkey AS pos, 'f' || b.l_partkey % 29 AS dst_path, b.l_partkey::VARCHAR AS dst
+        FROM own a JOIN own b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey AND (a.l_partkey + b.l_partkey) % 9 = 0),
+    f0 AS (SELECT l_suppkey AS task_id, 'f' || min(l_partkey) % 29 AS path, min(l_partkey)::VARCHAR AS name, 0 AS depth, 1 AS rank FROM lineitem GROUP BY l_suppkey),
+    {_closure_level(1)}, {_closure_level(2)}, {_closure_level(3)}
+    FROM f1 UNION ALL FROM f2 UNION ALL FROM f3""")
 def q_call_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H2: definitions that a root reaches within three levels, capped by definitions and files."""
-    roots = inline(spark, "task_id int, path string, name string, rank int", [(1, "shop/api.py", "Handler.get", 1)])
-    return evidence.rooted_closure(roots, retrieval.resolved_calls(indexed(spark))).select("path", "name", "depth")
+    """H2: what each supplier's first part reaches within three levels of parts bought together, by the caps of definitions and files."""
+    edges = part_edges(spark, sf_dir).where("(src + dst) % 9 = 0")
+    file, name = lambda c: F.concat(F.lit("f"), (F.col(c) % 29).cast("string")), lambda c: F.col(c).cast("string")
+    calls = edges.select(file("src").alias("src_path"), name("src").alias("src"), "pos", file("dst").alias("dst_path"), name("dst").alias("dst"))
+    roots = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("task_id")).agg(F.min("l_partkey").alias("part"))
+    return evidence.rooted_closure(roots.select("task_id", file("part").alias("path"), name("part").alias("name"), F.lit(1).alias("rank")), calls)
 
 
 @query()
