@@ -26,7 +26,7 @@ class Caps:
     duplicates_count: bool = False
 
 
-COVERAGE, CONTRACT = Caps(), Caps(64, 16, 10**9, True)
+COVERAGE = Caps()
 
 
 def path_roles(path: Column, roles=config.ROLE_TERMS) -> Column:

@@ -163,13 +163,6 @@ def q_coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.plan(retrieval.candidates(index, tasks(spark), retrieval.retrieve(index, tasks(spark))))
 
 
-@query()
-def q_contract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the same under the caps of a contract, where duplicates use up their kind's limit."""
-    index = indexed(spark)
-    return evidence.plan(retrieval.candidates(index, tasks(spark), retrieval.retrieve(index, tasks(spark))), evidence.CONTRACT)
-
-
 @query()
 def q_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document for each task within its budget."""
