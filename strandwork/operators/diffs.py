@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from strandwork import config
 from strandwork.functions import paths
+from strandwork.functions.text import redact
 from strandwork.operators.extract import lines
 
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
@@ -72,6 +73,16 @@ def unsafe_paths(found: DataFrame) -> DataFrame:
     return found.where(paths.is_unsafe_patch_path(F.col("path")))
 
 
+def safe_files(files: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., pos, path, body) of diffs' files(keys..., path, body): ignored ones left out, bodies redacted, last a note how many are missing."""
+    hidden = paths.is_ignored(F.col("path"))
+    kept = files.where(~hidden).select(*keys, "path", redact(F.col("body")).alias("body"))
+    kept = kept.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("path"))).cast("int"))
+    note = files.groupBy(*keys).agg(F.count_if(hidden).alias("n"), F.count_if(~hidden).alias("k")).where("n > 0")
+    note = note.select(*keys, (F.col("k") + 1).cast("int").alias("pos"), F.concat(F.col("n").cast("string"), F.lit(" omitted")).alias("path"), F.lit(None).cast("string").alias("body"))
+    return kept.select(*keys, "pos", "path", "body").union(note)
+
+
 def unique_start(source: Column, needle: Column) -> Column:
     """Index (from 0) at which a line sequence stands in another exactly once; null otherwise."""
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(source) - F.size(needle), F.lit(0))), lambda i: F.slice(source, i + 1, F.size(needle)) == needle)
@@ -143,6 +154,17 @@ def git_paths(row: str) -> tuple[str, str]:
     return parts[0], parts[1]
 
 
+_TOKEN = r"""(?:"(?:[^"\\\\]|\\\\.)*"|'[^']*'|[^\\s"'\\\\]|\\\\.)+""".replace("\\\\", "\\")
+
+
+def git_path_pair(row: Column) -> Column:
+    """The two paths of diff --git lines as an array, shell quotes resolved; null if there aren't two."""
+    rest = F.regexp_replace(row, "^diff --git ", "")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r'"((?:[^"\\]|\\.)*)"', "$1"), r"'([^']*)'", "$1"), r"\\(.)", "$1")
+    found = F.transform(F.regexp_extract_all(rest, F.lit(_TOKEN), F.lit(0)), bare)
+    return F.when(row.startswith("diff --git ") & rest.rlike(rf"^\s*{_TOKEN}\s+{_TOKEN}\s*$"), found)
+
+
 def _moved(headers: list[str]) -> tuple[str, str] | None:
     """Paths of a rename or copy: both ends or an error, never both kinds."""
     ends = {m[1]: m[2] for h in headers if (m := _META.match(h)) and m[1].split()[0] in ("rename", "copy")}

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from strandwork.functions import paths
 from strandwork.operators import diffs, verdict
 from strandwork.plans.join_queries import PATH
-from strandwork.plans.registry import query, values
-from strandwork.sources.tables import document_path, inline, table
+from strandwork.plans.registry import query, spread_sql, values
+from strandwork.sources.tables import document_path, spread, table
 
 DIFFS = [
-    (1, "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n one\n-two\n+2\n+3\n@@ -9 +10,1 @@ def f\n-old\n+new\n--- a/y.py\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-gone\n"),
-    (2, "--- a/q.sql\n+++ b/q.sql\n@@ -3,4 +3,9 @@\n keep\n--- looks like a header\n+++ so does this\n tail\n"),
+    (1, "--- a/x{n}.py\n+++ b/x{n}.py\n@@ -1,2 +1,3 @@\n one\n-two\n+2\n+3\n@@ -9 +10,1 @@ def f\n-old\n+new\n--- a/y.py\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-gone\n"),
+    (2, "--- a/q{n}.sql\n+++ b/q{n}.sql\n@@ -3,4 +3,9 @@\n keep\n--- looks like a header\n+++ so does this\n tail\n"),
     (3, "--- a/../evil\n+++ b/../evil\n@@ -1 +1 @@\n-a\n+b\n--- a/.git/config\n+++ b/.git/config\n@@ -1 +1 @@\n-a\n+b\n"),
     (4, "no diff at all\n"),
 ]
-_ROWS = values(DIFFS).replace("\n", "' || chr(10) || '")
-_SEGMENTS = f"""raw AS (SELECT id, unnest(string_split(rtrim(body, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(body, chr(10)), chr(10)), 1) AS line_no FROM (VALUES {_ROWS}) t(id, body)),
+_ROWS = spread_sql(DIFFS, "id, body")
+_SEGMENTS = f"""raw AS (SELECT id, unnest(string_split(rtrim(body, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(body, chr(10)), chr(10)), 1) AS line_no FROM {_ROWS} t),
     o AS (SELECT *, starts_with(line, '--- ') AND coalesce(starts_with(lead(line, 1) OVER w, '+++ '), FALSE) AND coalesce(starts_with(lead(line, 2) OVER w, '@@ '), FALSE) AS opens FROM raw WINDOW w AS (PARTITION BY id ORDER BY line_no)),
     p AS (SELECT *, coalesce(lag(opens) OVER w, FALSE) AS plus, regexp_matches(line, '^@@ -[0-9]+(,[0-9]+)? \\+[0-9]+(,[0-9]+)? @@') AS is_hunk, sum(opens::INT) OVER (PARTITION BY id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS file_no FROM o WINDOW w AS (PARTITION BY id ORDER BY line_no)),
     q AS (SELECT *, sum(is_hunk::INT) OVER (PARTITION BY id, file_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS hunk_no FROM p),
@@ -26,14 +26,14 @@ _SEGMENTS = f"""raw AS (SELECT id, unnest(string_split(rtrim(body, chr(10)), chr
         WHEN hunk_no > 0 AND left(line, 1) IN (' ', '-', '+', chr(92)) THEN left(line, 1) ELSE 'other' END AS kind FROM q)"""
 
 
-def diff_rows(spark: SparkSession) -> DataFrame:
-    return diffs.segments(inline(spark, "id int, body string", DIFFS), "body", "id")
+def diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.segments(spread(spark, sf_dir, "id int, body string", DIFFS), "body", "id")
 
 
 @query(f"WITH {_SEGMENTS} SELECT id, line_no, line, file_no, hunk_no, kind FROM seg")
 def q_diff_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff lines with their file, hunk and kind."""
-    return diff_rows(spark).withColumn("line_no", F.col("line_no").cast("long"))
+    return diff_rows(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(f"""WITH {_SEGMENTS}, h AS (SELECT id, file_no, hunk_no, max(line) FILTER (kind = 'hunk') AS head, count(*) FILTER (kind IN (' ', '-')) AS old_actual, count(*) FILTER (kind IN (' ', '+')) AS new_actual,
@@ -42,37 +42,37 @@ def q_diff_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, file_no, hunk_no, additions, deletions, old_actual, new_actual, old_declared = old_actual AND new_declared = new_actual AS matches FROM n""")
 def q_add_del(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additions, deletions, and whether declared counts hold."""
-    return diffs.hunk_counts(diff_rows(spark), "id").select("id", "file_no", "hunk_no", "additions", "deletions", "old_actual", "new_actual", "matches")
+    return diffs.hunk_counts(diff_rows(spark, sf_dir), "id").select("id", "file_no", "hunk_no", "additions", "deletions", "old_actual", "new_actual", "matches")
 
 
 @query(f"""WITH {_SEGMENTS}, h AS (SELECT id, file_no, hunk_no, try_cast(regexp_extract(max(line) FILTER (kind = 'hunk'), '-([0-9]+)', 1) AS INT) AS old_start, count(*) FILTER (kind IN (' ', '-')) AS n FROM seg WHERE hunk_no > 0 GROUP BY ALL),
     l AS (SELECT *, coalesce(old_start >= lag(old_start + n) OVER (PARTITION BY id, file_no ORDER BY hunk_no), TRUE) AS ok FROM h) SELECT id, file_no, bool_and(ok) AS ordered FROM l GROUP BY ALL""")
 def q_hunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whether the hunks of a file are in order and apart."""
-    return diffs.ordered_hunks(diffs.hunk_counts(diff_rows(spark), "id"), "id")
+    return diffs.ordered_hunks(diffs.hunk_counts(diff_rows(spark, sf_dir), "id"), "id")
 
 
 @query(f"""WITH {_SEGMENTS}, named AS (SELECT DISTINCT id, regexp_replace(trim(string_split(substr(line, 5), chr(9))[1]), '^[ab]/', '') AS path FROM seg WHERE kind = 'header')
     SELECT id, path, starts_with(path, '/') OR list_contains(string_split(path, '/'), '..') OR list_contains(string_split(path, '/'), '.git') AS unsafe FROM named WHERE path <> '/dev/null'""")
 def q_patch_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths a diff touches, and which are unsafe."""
-    return diffs.patch_paths(diff_rows(spark), "id").withColumn("unsafe", paths.is_unsafe_patch_path(F.col("path")))
+    return diffs.patch_paths(diff_rows(spark, sf_dir), "id").withColumn("unsafe", paths.is_unsafe_patch_path(F.col("path")))
 
 
 @query()
 def q_diff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict parse and canonical text, or the error and its line."""
-    out = inline(spark, "id int, body string", DIFFS).select("id", diffs.parsed(F.col("body")).alias("p"))
+    out = spread(spark, sf_dir, "id int, body string", DIFFS).select("id", diffs.parsed(F.col("body")).alias("p"))
     return out.select("id", "p.canonical", F.array_join("p.mismatches", ";").alias("mismatches"), "p.files", "p.hunks", "p.error", "p.error_line")
 
 
-SEQUENCES = [(1, "a\nb\nc\nd", "b\nc"), (2, "a\nb\na\nb", "a\nb"), (3, "a\nb", "z"), (4, "a", "a\nb")]
+SEQUENCES = [(1, "a\nb{n}\nc\nd", "b{n}\nc"), (2, "a\nb\na\nb", "a\nb"), (3, "a\nb", "z"), (4, "a", "a\nb")]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 1), (2, None), (3, None), (4, None)])}) t(id, at)".replace("(id, at)", "(id, found_at)"))
+@query(f"SELECT * FROM {spread_sql([(1, 1), (2, None), (3, None), (4, None)], "id, found_at")} t")
 def q_unique_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I8: where a line sequence stands exactly once."""
-    df = inline(spark, "id int, source string, needle string", SEQUENCES)
+    df = spread(spark, sf_dir, "id int, source string, needle string", SEQUENCES)
     return df.select("id", diffs.unique_start(F.split("source", "\n"), F.split("needle", "\n")).alias("found_at"))
 
 
@@ -117,10 +117,10 @@ CASES = [
 ]
 
 
-@query(f"SELECT name, status FROM (VALUES {values([(c[0], c[-1]) for c in CASES])}) t(name, status)")
+@query(f"SELECT name, status FROM {spread_sql([(c[0], c[-1]) for c in CASES], "name, status")} t")
 def q_verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case for every rule of the decision table."""
-    df = inline(spark, "name string, pending boolean, infra boolean, bc int, b string, tc int, t string, fc int, f string, targets string", [c[:-1] for c in CASES])
+    df = spread(spark, sf_dir, "name string, pending boolean, infra boolean, bc int, b string, tc int, t string, fc int, f string, targets string", [c[:-1] for c in CASES])
     ids = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     status = verdict.verdict(
         baseline_code=F.col("bc"), baseline_ids=ids("b"), targeted_code=F.col("tc"), targeted_ids=ids("t"), full_code=F.col("fc"), full_ids=ids("f"), targets=ids("targets"), pending=F.col("pending"), infrastructure=F.col("infra")

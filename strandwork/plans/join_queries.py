@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.operators import graph, joins, nesting, ranking
-from strandwork.plans.registry import query, values
-from strandwork.sources.tables import capitalised, document_path, inline, table
+from strandwork.plans.registry import query, spread_sql, values
+from strandwork.sources.tables import capitalised, document_path, spread, table
 
 PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
 
-MODULES = [("pkg", "pkg/__init__.py"), ("pkg.core", "pkg/core.py"), ("pkg.core.io", "pkg/core/io.py"), ("pkg.web", "pkg/web.py"), ("tools", "tools.py")]
+MODULES = [("pkg{n}", "pkg{n}/__init__.py"), ("pkg{n}.core", "pkg{n}/core.py"), ("pkg{n}.core.io", "pkg{n}/core/io.py"), ("pkg{n}.web", "pkg{n}/web.py"), ("tools{n}", "tools{n}.py")]
 IMPORTS = [
-    ("pkg/web.py", "pkg", "pkg.core.io.Reader"), ("pkg/web.py", "pkg", ".core"), ("pkg/web.py", "pkg", "os.path"), ("pkg/core/io.py", "pkg.core", "..web"),
-    ("tools.py", "", "pkg.core"), ("tools.py", "", "tools"), ("pkg/core/io.py", "pkg.core", "."),
+    ("pkg{n}/web.py", "pkg{n}", "pkg{n}.core.io.Reader"), ("pkg{n}/web.py", "pkg{n}", ".core"), ("pkg{n}/web.py", "pkg{n}", "os.path"), ("pkg{n}/core/io.py", "pkg{n}.core", "..web"),
+    ("tools{n}.py", "", "pkg{n}.core"), ("tools{n}.py", "", "tools{n}"), ("pkg{n}/core/io.py", "pkg{n}.core", "."),
 ]
 
 
-@query(f"""WITH imports(src, package, imported) AS (VALUES {values(IMPORTS)}), modules(module, path) AS (VALUES {values(MODULES)}),
+@query(f"""WITH imports AS {spread_sql(IMPORTS, "src, package, imported")}, modules AS {spread_sql(MODULES, "module, path")},
     rebased AS (SELECT src, imported, CASE WHEN NOT starts_with(imported, '.') THEN imported ELSE array_to_string(list_filter(
         [nullif(array_to_string(string_split(package, '.')[1:greatest(len(string_split(package, '.')) - length(regexp_extract(imported, '^(\\.*)', 1)) + 1, 0)], '.'), ''),
          nullif(regexp_replace(imported, '^\\.+', ''), '')], lambda x: x IS NOT NULL), '.') END AS full FROM imports),
@@ -27,21 +27,21 @@ IMPORTS = [
     SELECT src, string_agg(DISTINCT path, ',' ORDER BY path) AS dependencies FROM hit WHERE n = 1 AND src <> path GROUP BY src""")
 def q_import_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports to files by the longest module prefix, relative ones rebased."""
-    imports = inline(spark, "src string, package string, name string", IMPORTS)
+    imports = spread(spark, sf_dir, "src string, package string, name string", IMPORTS)
     full = imports.select("src", joins.rebased_import(F.col("name"), F.col("package")).alias("imported"))
-    found = joins.longest_prefix(full, inline(spark, "module string, path string", MODULES), "src")
+    found = joins.longest_prefix(full, spread(spark, sf_dir, "module string, path string", MODULES), "src")
     return joins.dependencies(found).select("src", F.array_join("dependencies", ",").alias("dependencies"))
 
 
-SCRIPT_FILES = [("web/a.ts",), ("web/b/index.js",), ("web/c.jsx",), ("web/c.ts",)]
-SCRIPT_IMPORTS = [("main.ts", "web/a"), ("main.ts", "web/b"), ("main.ts", "web/c"), ("main.ts", "web/d")]
+SCRIPT_FILES = [("web{n}/a.ts",), ("web{n}/b/index.js",), ("web{n}/c.jsx",), ("web{n}/c.ts",)]
+SCRIPT_IMPORTS = [("main{n}.ts", "web{n}/a"), ("main{n}.ts", "web{n}/b"), ("main{n}.ts", "web{n}/c"), ("main{n}.ts", "web{n}/d")]
 
 
-@query(f"SELECT * FROM (VALUES {values([('main.ts', 'web/a', 'web/a.ts'), ('main.ts', 'web/b', 'web/b/index.js'), ('main.ts', 'web/c', 'web/c.ts')])}) t(src, base, path)")
+@query(f"SELECT * FROM {spread_sql([('main{n}.ts', 'web{n}/a', 'web{n}/a.ts'), ('main{n}.ts', 'web{n}/b', 'web{n}/b/index.js'), ('main{n}.ts', 'web{n}/c', 'web{n}/c.ts')], "src, base, path")} t")
 def q_script_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script imports by the first candidate that exists."""
-    imports = inline(spark, "src string, base string", SCRIPT_IMPORTS)
-    return joins.first_choice(imports, inline(spark, "path string", SCRIPT_FILES), joins.script_choices(F.col("base")), "src", "base")
+    imports = spread(spark, sf_dir, "src string, base string", SCRIPT_IMPORTS)
+    return joins.first_choice(imports, spread(spark, sf_dir, "path string", SCRIPT_FILES), joins.script_choices(F.col("base")), "src", "base")
 
 
 @query("""WITH keys AS (SELECT DISTINCT lower(unnest([p_name, p_brand])) AS key, p_partkey FROM part)
@@ -213,24 +213,24 @@ def q_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.mapped_tests(sources, tests)
 
 
-HUNKS = [("a.py", 3), ("a.py", 90), ("b.py", 7)]
-ERRORS = [("a.py", 90), ("c.py", 1)]
+HUNKS = [("a{n}.py", 3), ("a{n}.py", 90), ("b{n}.py", 7)]
+ERRORS = [("a{n}.py", 90), ("c{n}.py", 1)]
 
 
-@query(f"SELECT * FROM (VALUES {values([('a.py', 90, 1)])}) t(path, line, rule)")
+@query(f"SELECT * FROM {spread_sql([('a{n}.py', 90, 1)], "path, line, rule")} t")
 def q_failed_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed hunks by path and line, else path, else all."""
-    return joins.failed_hunks(inline(spark, "path string, line int", HUNKS), inline(spark, "path string, line int", ERRORS))
+    return joins.failed_hunks(spread(spark, sf_dir, "path string, line int", HUNKS), spread(spark, sf_dir, "path string, line int", ERRORS))
 
 
-TOKENS = [("t1", "src/app/main.py"), ("t1", "MAIN.py"), ("t1", "util"), ("t2", "dup.py"), ("t2", "SRC/app/Main.py"), ("t2", "none.x")]
-FILES = [("src/app/main.py",), ("lib/util.ts",), ("a/dup.py",), ("b/dup.py",)]
+TOKENS = [("t1-{n}", "src/app/main{n}.py"), ("t1-{n}", "MAIN{n}.py"), ("t1-{n}", "util{n}"), ("t2-{n}", "dup{n}.py"), ("t2-{n}", "SRC/app/Main{n}.py"), ("t2-{n}", "none.x")]
+FILES = [("src/app/main{n}.py",), ("lib/util{n}.ts",), ("a/dup{n}.py",), ("b/dup{n}.py",)]
 
 
-@query(f"SELECT * FROM (VALUES {values([('t1', 'src/app/main.py', 'src/app/main.py'), ('t1', 'MAIN.py', 'src/app/main.py'), ('t1', 'util', 'lib/util.ts'), ('t2', 'SRC/app/Main.py', 'src/app/main.py')])}) t(task, token, path)")
+@query(f"SELECT * FROM {spread_sql([('t1-{n}', 'src/app/main{n}.py', 'src/app/main{n}.py'), ('t1-{n}', 'MAIN{n}.py', 'src/app/main{n}.py'), ('t1-{n}', 'util{n}', 'lib/util{n}.ts'), ('t2-{n}', 'SRC/app/Main{n}.py', 'src/app/main{n}.py')], "task, token, path")} t")
 def q_file_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a task to files, ambiguous names to none."""
-    return joins.file_references(inline(spark, "task string, token string", TOKENS), inline(spark, "path string", FILES), "task")
+    return joins.file_references(spread(spark, sf_dir, "task string, token string", TOKENS), spread(spark, sf_dir, "path string", FILES), "task")
 
 
 @query("SELECT p_name, count(*) AS owners, min(p_partkey) AS first_part FROM part GROUP BY p_name HAVING count(*) > 1")

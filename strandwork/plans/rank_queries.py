@@ -9,9 +9,9 @@ from strandwork import config
 from strandwork.functions import text
 from strandwork.operators import extract, graph, nesting, ranking
 from strandwork.plans.join_queries import _EDGES, PATH, part_edges
-from strandwork.plans.registry import query, values
+from strandwork.plans.registry import query, spread_sql, values
 from strandwork.plans.text_queries import _LINES, _WORDS, _tokens_sql
-from strandwork.sources.tables import capitalised, documents_as_files, inline, table
+from strandwork.sources.tables import capitalised, documents_as_files, spread, table
 
 _FILES = f"""files AS (SELECT {PATH} AS path, lower({PATH}) AS lpath, list_transform(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')), lambda x: lower(x)) AS symbols, lower(lang) AS tag FROM documents)"""
 

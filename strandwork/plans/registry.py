@@ -31,6 +31,25 @@ def values(rows: list[tuple]) -> str:
             return "NULL"
         if isinstance(x, bool):
             return "TRUE" if x else "FALSE"
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+        if isinstance(x, list):
+            return "[" + ", ".join(map(one, x)) + "]"
+        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\x00", "' || chr(0) || '") + "'" if isinstance(x, str) else repr(x)
 
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def spread_sql(rows: list[tuple], columns: str) -> str:
+    """SQL of sources.tables.spread: the rows for every supplier, its number in place of {n} and in integer ids."""
+    names = [c.strip() for c in columns.split(",")]
+    out = []
+    for i, c in enumerate(names):
+        kinds = {type(r[i]) for r in rows if r[i] is not None}
+        if kinds == {int} and c.strip('"').endswith("id"):
+            out.append(f"(s_suppkey * 100 + {c})::INT AS {c}")
+        elif str in kinds:
+            out.append(f"replace({c}, '{{n}}', s_suppkey::VARCHAR) AS {c}")
+        elif list in kinds:
+            out.append(f"list_transform({c}, lambda x: replace(x, '{{n}}', s_suppkey::VARCHAR)) AS {c}")
+        else:
+            out.append(c)
+    return f"(SELECT {', '.join(out)} FROM supplier, (VALUES {values(rows)}) v({columns}))"

@@ -11,113 +11,113 @@ from strandwork.functions import paths, text
 from strandwork.operators import diffs, evidence, extract, json_objects, python_source, ranking, script_source, semantic, verdict
 from strandwork.plans import retrieval
 from strandwork.plans.join_queries import PATH, part_edges
-from strandwork.plans.registry import query, values
-from strandwork.sources.tables import document_path, inline, table
+from strandwork.plans.registry import query, spread_sql, values
+from strandwork.sources.tables import document_path, spread, table
 
 SOURCES = [
-    ("shop/__init__.py", ""),
-    ("shop/models.py", "from dataclasses import dataclass\n\n\n@dataclass\nclass Invoice:\n    number: int\n\n    def total(self):\n        return self._sum(self.lines)\n\n    def _sum(self, rows):\n        return sum(rows)\n"),
-    ("shop/store.py", "import sqlite3\nfrom .models import Invoice\n\n\ndef save_invoice(invoice):\n    \"\"\"Keep it.\"\"\"\n    db = open_table('invoice table')\n    db.write(f'saved {invoice} rows')\n    return Invoice(1)\n\n\ndef open_table(name):\n    return sqlite3.connect(name)\n"),
-    ("shop/api.py", "from shop.store import save_invoice\nimport cli\n\n\n@cli.command(name='post-invoice')\ndef post(request):\n    return save_invoice(request.body)\n\n\nclass Handler:\n    def get(self):\n        return self.reply()\n\n    def reply(self):\n        return post(self)\n"),
-    ("web/cart.tsx", "import { api } from './api'\nexport const Cart = ({ items }) => {\n  const label = \"open } cart\"\n  return <ul>{items.map(i => <li>{i}</li>)}</ul>\n}\n\nexport class Box {\n  open() { return `a ${1 + 1} }` }\n}\nconst plain = 3\n"),
-    ("web/api.ts", "// a { brace\nexport function api(path: string) {\n  return fetch(path) /* } */\n}\n"),
-    ("tests/test_store.py", "from shop.store import save_invoice\n\n\ndef test_save():\n    assert save_invoice(1)\n"),
-    ("broken.py", "def broken(:\n"),
-    ("node_modules/x/index.js", "export function hidden() {}\n"),
+    ("t{n}/shop/__init__.py", ""),
+    ("t{n}/shop/models.py", "from dataclasses import dataclass\n\n\n@dataclass\nclass Invoice:\n    number: int\n\n    def total(self):\n        return self._sum(self.lines)\n\n    def _sum(self, rows):\n        return sum(rows)\n"),
+    ("t{n}/shop/store.py", "import sqlite3\nfrom .models import Invoice\n\n\ndef save_invoice(invoice):\n    \"\"\"Keep it.\"\"\"\n    db = open_table('invoice table')\n    db.write(f'saved {invoice} rows')\n    return Invoice(1)\n\n\ndef open_table(name):\n    return sqlite3.connect(name)\n"),
+    ("t{n}/shop/api.py", "from t{n}.shop.store import save_invoice\nimport cli\n\n\n@cli.command(name='post-invoice')\ndef post(request):\n    return save_invoice(request.body)\n\n\nclass Handler:\n    def get(self):\n        return self.reply()\n\n    def reply(self):\n        return post(self)\n"),
+    ("t{n}/web/cart.tsx", "import { api } from './api'\nexport const Cart = ({ items }) => {\n  const label = \"open } cart\"\n  return <ul>{items.map(i => <li>{i}</li>)}</ul>\n}\n\nexport class Box {\n  open() { return `a ${1 + 1} }` }\n}\nconst plain = 3\n"),
+    ("t{n}/web/api.ts", "// a { brace\nexport function api(path: string) {\n  return fetch(path) /* } */\n}\n"),
+    ("t{n}/tests/test_store.py", "from t{n}.shop.store import save_invoice\n\n\ndef test_save():\n    assert save_invoice(1)\n"),
+    ("t{n}/broken.py", "def broken(:\n"),
+    ("t{n}/node_modules/x/index.js", "export function hidden() {}\n"),
 ]
-WORK = [(1, "Save the invoice in the database table and show it on the cart page"), (2, "Fix shop/api.py: the handler should reply"), (3, "nothing matches here")]
+WORK = [(1, "Save the invoice in the database table and show it on the cart page"), (2, "Fix t{n}/shop/api.py: the handler should reply"), (3, "nothing matches here")]
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return inline(spark, "path string, content string", SOURCES)
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, "path string, content string", SOURCES)
 
 
-def indexed(spark: SparkSession) -> retrieval.Index:
-    return retrieval.build_index(sources(spark)).cached()
+def indexed(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    return retrieval.build_index(sources(spark, sf_dir)).cached()
 
 
-def tasks(spark: SparkSession) -> DataFrame:
-    return inline(spark, "task_id int, text string", WORK)
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, "task_id int, text string", WORK)
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/api.py', 'post', 'post', 'function', None), ('shop/api.py', 'post-invoice', 'post-invoice', 'command', 'post'), ('shop/api.py', 'Handler', 'Handler', 'class', None),
-    ('shop/api.py', 'get', 'Handler.get', 'method', None), ('shop/api.py', 'reply', 'Handler.reply', 'method', None), ('shop/models.py', 'Invoice', 'Invoice', 'class', None), ('shop/models.py', 'total', 'Invoice.total', 'method', None),
-    ('shop/models.py', '_sum', 'Invoice._sum', 'method', None), ('shop/store.py', 'save_invoice', 'save_invoice', 'function', None), ('shop/store.py', 'open_table', 'open_table', 'function', None), ('tests/test_store.py', 'test_save', 'test_save', 'function', None)])}) t(path, name, qualified_name, kind, definition_name)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/shop/api.py', 'post', 'post', 'function', None), ('t{n}/shop/api.py', 'post-invoice', 'post-invoice', 'command', 'post'), ('t{n}/shop/api.py', 'Handler', 'Handler', 'class', None),
+    ('t{n}/shop/api.py', 'get', 'Handler.get', 'method', None), ('t{n}/shop/api.py', 'reply', 'Handler.reply', 'method', None), ('t{n}/shop/models.py', 'Invoice', 'Invoice', 'class', None), ('t{n}/shop/models.py', 'total', 'Invoice.total', 'method', None),
+    ('t{n}/shop/models.py', '_sum', 'Invoice._sum', 'method', None), ('t{n}/shop/store.py', 'save_invoice', 'save_invoice', 'function', None), ('t{n}/shop/store.py', 'open_table', 'open_table', 'function', None), ('t{n}/tests/test_store.py', 'test_save', 'test_save', 'function', None)], "path, name, qualified_name, kind, definition_name")} t""")
 def q_py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of Python sources, commands under their own name."""
-    return python_source.symbols(sources(spark).where("path LIKE '%.py'")).drop("pos")
+    return python_source.symbols(sources(spark, sf_dir).where("path LIKE '%.py'")).drop("pos")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/models.py', 'dataclasses'), ('shop/models.py', 'dataclasses.dataclass'), ('shop/store.py', 'sqlite3'), ('shop/store.py', '.models'), ('shop/store.py', '.models.Invoice'), ('shop/api.py', 'shop.store'),
-    ('shop/api.py', 'shop.store.save_invoice'), ('shop/api.py', 'cli'), ('tests/test_store.py', 'shop.store'), ('tests/test_store.py', 'shop.store.save_invoice')])}) t(path, imported)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/shop/models.py', 'dataclasses'), ('t{n}/shop/models.py', 'dataclasses.dataclass'), ('t{n}/shop/store.py', 'sqlite3'), ('t{n}/shop/store.py', '.models'), ('t{n}/shop/store.py', '.models.Invoice'), ('t{n}/shop/api.py', 't{n}.shop.store'),
+    ('t{n}/shop/api.py', 't{n}.shop.store.save_invoice'), ('t{n}/shop/api.py', 'cli'), ('t{n}/tests/test_store.py', 't{n}.shop.store'), ('t{n}/tests/test_store.py', 't{n}.shop.store.save_invoice')], "path, imported")} t""")
 def q_py_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: imported names of Python sources."""
-    return python_source.imports(sources(spark).where("path LIKE '%.py'")).drop("pos")
+    return python_source.imports(sources(spark, sf_dir).where("path LIKE '%.py'")).drop("pos")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/models.py', 'Invoice', None, 'class', 4, 12), ('shop/models.py', 'Invoice.total', 'Invoice', 'method', 8, 9), ('shop/models.py', 'Invoice._sum', 'Invoice', 'method', 11, 12),
-    ('shop/store.py', 'save_invoice', None, 'function', 5, 9), ('shop/store.py', 'open_table', None, 'function', 12, 13), ('shop/api.py', 'post', None, 'function', 5, 7), ('shop/api.py', 'Handler', None, 'class', 10, 15),
-    ('shop/api.py', 'Handler.get', 'Handler', 'method', 11, 12), ('shop/api.py', 'Handler.reply', 'Handler', 'method', 14, 15), ('tests/test_store.py', 'test_save', None, 'function', 4, 5)])}) t(path, qualified_name, owner, kind, start_line, end_line)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/shop/models.py', 'Invoice', None, 'class', 4, 12), ('t{n}/shop/models.py', 'Invoice.total', 'Invoice', 'method', 8, 9), ('t{n}/shop/models.py', 'Invoice._sum', 'Invoice', 'method', 11, 12),
+    ('t{n}/shop/store.py', 'save_invoice', None, 'function', 5, 9), ('t{n}/shop/store.py', 'open_table', None, 'function', 12, 13), ('t{n}/shop/api.py', 'post', None, 'function', 5, 7), ('t{n}/shop/api.py', 'Handler', None, 'class', 10, 15),
+    ('t{n}/shop/api.py', 'Handler.get', 'Handler', 'method', 11, 12), ('t{n}/shop/api.py', 'Handler.reply', 'Handler', 'method', 14, 15), ('t{n}/tests/test_store.py', 'test_save', None, 'function', 4, 5)], "path, qualified_name, owner, kind, start_line, end_line")} t""")
 def q_py_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions with their lines, decorators included."""
-    return python_source.definitions(sources(spark).where("path LIKE '%.py'")).select("path", "qualified_name", "owner", "kind", "start_line", "end_line")
+    return python_source.definitions(sources(spark, sf_dir).where("path LIKE '%.py'")).select("path", "qualified_name", "owner", "kind", "start_line", "end_line")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/models.py', 'Invoice.total', 0, '_sum', 'self'), ('shop/models.py', 'Invoice._sum', 0, 'sum', 'bare'), ('shop/store.py', 'save_invoice', 0, 'open_table', 'bare'), ('shop/store.py', 'save_invoice', 1, 'write', 'qualified'),
-    ('shop/store.py', 'save_invoice', 2, 'Invoice', 'bare'), ('shop/store.py', 'open_table', 0, 'connect', 'qualified'), ('shop/api.py', 'post', 0, 'command', 'qualified'), ('shop/api.py', 'post', 1, 'save_invoice', 'bare'), ('shop/api.py', 'Handler.get', 0, 'reply', 'self'),
-    ('shop/api.py', 'Handler.reply', 0, 'post', 'bare'), ('tests/test_store.py', 'test_save', 0, 'save_invoice', 'bare')])}) t(path, definition, pos, callee, receiver)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/shop/models.py', 'Invoice.total', 0, '_sum', 'self'), ('t{n}/shop/models.py', 'Invoice._sum', 0, 'sum', 'bare'), ('t{n}/shop/store.py', 'save_invoice', 0, 'open_table', 'bare'), ('t{n}/shop/store.py', 'save_invoice', 1, 'write', 'qualified'),
+    ('t{n}/shop/store.py', 'save_invoice', 2, 'Invoice', 'bare'), ('t{n}/shop/store.py', 'open_table', 0, 'connect', 'qualified'), ('t{n}/shop/api.py', 'post', 0, 'command', 'qualified'), ('t{n}/shop/api.py', 'post', 1, 'save_invoice', 'bare'), ('t{n}/shop/api.py', 'Handler.get', 0, 'reply', 'self'),
+    ('t{n}/shop/api.py', 'Handler.reply', 0, 'post', 'bare'), ('t{n}/tests/test_store.py', 'test_save', 0, 'save_invoice', 'bare')], "path, definition, pos, callee, receiver")} t""")
 def q_py_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call edges in source order with the kind of their receiver."""
-    return python_source.calls(sources(spark).where("path LIKE '%.py'")).drop("owner")
+    return python_source.calls(sources(spark, sf_dir).where("path LIKE '%.py'")).drop("owner")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('save_invoice', 'invoice', 1), ('save_invoice', 'table', 1), ('save_invoice', 'saved', 2), ('save_invoice', 'rows', 2), ('post', 'post', 1), ('post', 'invoice', 1)])}) t(definition, word, weight)""")
+@query(f"""SELECT * FROM {spread_sql([('save_invoice', 'invoice', 1), ('save_invoice', 'table', 1), ('save_invoice', 'saved', 2), ('save_invoice', 'rows', 2), ('post', 'post', 1), ('post', 'invoice', 1)], "definition, word, weight")} t""")
 def q_py_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of string literals by definition, the docstring aside."""
-    return python_source.literal_terms(sources(spark).where("path LIKE '%.py'")).drop("path")
+    return python_source.literal_terms(sources(spark, sf_dir).where("path LIKE '%.py'")).drop("path")
 
 
-@query("SELECT 'broken.py' AS path, TRUE AS failed")
+@query("SELECT 't' || s_suppkey || '/broken.py' AS path, TRUE AS failed FROM supplier")
 def q_py_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that don't parse."""
-    return python_source.errors(sources(spark).where("path LIKE '%.py'")).select("path", F.col("error").contains("SyntaxError").alias("failed"))
+    return python_source.errors(sources(spark, sf_dir).where("path LIKE '%.py'")).select("path", F.col("error").contains("SyntaxError").alias("failed"))
 
 
-@query(f"""SELECT * FROM (VALUES {values([('web/cart.tsx', 'Cart', 'function', 2, 5), ('web/cart.tsx', 'Box', 'class', 7, 9), ('web/api.ts', 'api', 'function', 2, 4)])}) t(path, name, kind, start_line, end_line)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/web/cart.tsx', 'Cart', 'function', 2, 5), ('t{n}/web/cart.tsx', 'Box', 'class', 7, 9), ('t{n}/web/api.ts', 'api', 'function', 2, 4)], "path, name, kind, start_line, end_line")} t""")
 def q_script_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of script declarations, braces in strings and comments aside."""
-    return script_source.definitions(sources(spark).where("path LIKE 'web/%'")).select("path", "name", "kind", "start_line", "end_line")
+    return script_source.definitions(sources(spark, sf_dir).where("path LIKE '%/web/%'")).select("path", "name", "kind", "start_line", "end_line")
 
 
-LOCATORS = [("shop/api.py", "Handler.get", 0), ("shop/api.py", "post", 1), ("shop/api.py", "none", 2), ("shop/models.py", "total", 3)]
+LOCATORS = [("t{n}/shop/api.py", "Handler.get", 0), ("t{n}/shop/api.py", "post", 1), ("t{n}/shop/api.py", "none", 2), ("t{n}/shop/models.py", "total", 3)]
 
 
-@query(f"SELECT * FROM (VALUES {values([('shop/api.py', 'Handler.get', 11, 12), ('shop/api.py', 'post', 5, 7), ('shop/models.py', 'total', 8, 9)])}) t(path, locator, start_line, end_line)")
+@query(f"SELECT * FROM {spread_sql([('t{n}/shop/api.py', 'Handler.get', 11, 12), ('t{n}/shop/api.py', 'post', 5, 7), ('t{n}/shop/models.py', 'total', 8, 9)], "path, locator, start_line, end_line")} t")
 def q_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locators to the one definition each names."""
-    found = python_source.definitions(sources(spark).where("path LIKE '%.py'"))
-    return python_source.locate(found, inline(spark, "path string, locator string, pos int", LOCATORS)).select("path", "locator", "start_line", "end_line")
+    found = python_source.definitions(sources(spark, sf_dir).where("path LIKE '%.py'"))
+    return python_source.locate(found, spread(spark, sf_dir, "path string, locator string, pos int", LOCATORS)).select("path", "locator", "start_line", "end_line")
 
 
-@query("SELECT 'shop/store.py' AS path, 'open_table' AS name UNION ALL SELECT 'shop/store.py', 'close_table'")
+@query(f"SELECT * FROM {spread_sql([('t{n}/shop/store.py', 'open_table'), ('t{n}/shop/store.py', 'close_table')], 'path, name')} t")
 def q_changed_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions whose text differs between two states."""
-    old = sources(spark).where("path = 'shop/store.py'")
+    old = sources(spark, sf_dir).where("path LIKE '%/shop/store.py'")
     edited = F.concat(F.replace("content", F.lit("return sqlite3.connect(name)"), F.lit("return sqlite3.connect(name, 1)")), F.lit("\n\ndef close_table():\n    pass\n"))
     return python_source.changed_definitions(python_source.definitions(old), python_source.definitions(old.withColumn("content", edited)))
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/api.py', 'shop/store.py'), ('shop/store.py', 'shop/models.py'), ('tests/test_store.py', 'shop/store.py'), ('web/cart.tsx', 'web/api.ts')])}) t(src, dst)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/shop/api.py', 't{n}/shop/store.py'), ('t{n}/shop/store.py', 't{n}/shop/models.py'), ('t{n}/tests/test_store.py', 't{n}/shop/store.py'), ('t{n}/web/cart.tsx', 't{n}/web/api.ts')], "src, dst")} t""")
 def q_dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved dependencies of a whole source tree."""
-    return indexed(spark).deps.select("src", "dst")
+    return indexed(spark, sf_dir).deps.select("src", "dst")
 
 
-@query(f"""SELECT * FROM (VALUES {values([('shop/models.py', 'Invoice.total', 'shop/models.py', 'Invoice._sum'), ('shop/store.py', 'save_invoice', 'shop/store.py', 'open_table'), ('shop/store.py', 'save_invoice', 'shop/models.py', 'Invoice'),
-    ('shop/api.py', 'post', 'shop/store.py', 'save_invoice'), ('shop/api.py', 'Handler.get', 'shop/api.py', 'Handler.reply'), ('shop/api.py', 'Handler.reply', 'shop/api.py', 'post'), ('tests/test_store.py', 'test_save', 'shop/store.py', 'save_invoice')])}) t(src_path, src, dst_path, dst)""")
+@query(f"""SELECT * FROM {spread_sql([('t{n}/shop/models.py', 'Invoice.total', 't{n}/shop/models.py', 'Invoice._sum'), ('t{n}/shop/store.py', 'save_invoice', 't{n}/shop/store.py', 'open_table'), ('t{n}/shop/store.py', 'save_invoice', 't{n}/shop/models.py', 'Invoice'),
+    ('t{n}/shop/api.py', 'post', 't{n}/shop/store.py', 'save_invoice'), ('t{n}/shop/api.py', 'Handler.get', 't{n}/shop/api.py', 'Handler.reply'), ('t{n}/shop/api.py', 'Handler.reply', 't{n}/shop/api.py', 'post'), ('t{n}/tests/test_store.py', 'test_save', 't{n}/shop/store.py', 'save_invoice')], "src_path, src, dst_path, dst")} t""")
 def q_resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls to the definitions they reach."""
-    return retrieval.resolved_calls(indexed(spark)).select("src_path", "src", "dst_path", "dst")
+    return retrieval.resolved_calls(indexed(spark, sf_dir)).select("src_path", "src", "dst_path", "dst")
 
 
 def _closure_level(d: int) -> str:
@@ -153,21 +153,21 @@ def q_call_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files for every task by the whole retrieval pipeline."""
-    return retrieval.retrieve(indexed(spark), tasks(spark))
+    return retrieval.retrieve(indexed(spark, sf_dir), tasks(spark, sf_dir))
 
 
 @query()
 def q_coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions planned for every task under the caps of a coverage plan."""
-    index = indexed(spark)
-    return evidence.plan(retrieval.candidates(index, tasks(spark), retrieval.retrieve(index, tasks(spark))))
+    index = indexed(spark, sf_dir)
+    return evidence.plan(retrieval.candidates(index, tasks(spark, sf_dir), retrieval.retrieve(index, tasks(spark, sf_dir))))
 
 
 @query()
 def q_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document for each task within its budget."""
-    index = indexed(spark)
-    planned = evidence.plan(retrieval.candidates(index, tasks(spark), retrieval.retrieve(index, tasks(spark))))
+    index = indexed(spark, sf_dir)
+    planned = evidence.plan(retrieval.candidates(index, tasks(spark, sf_dir), retrieval.retrieve(index, tasks(spark, sf_dir))))
     return retrieval.materialise(index, planned)
 
 
@@ -197,16 +197,16 @@ class StubClient:
         path = json.loads(prompt.split("\n")[1])["path"]
         self.asked[path] = self.asked.get(path, 0) + 1
         answer = json.dumps({"summary": f"About {path}", "tags": "one", "important_symbols": ["keep", "unknown"]})
-        if path == "late":
+        if path.startswith("late"):
             raise TimeoutError
-        return {"fenced": f"```json\n{answer}\n```", "twice": answer if self.asked[path] > 1 else "no", "never": "no", "blank": " ", "list": "[]"}.get(path, answer)
+        return {"fenced": f"```json\n{answer}\n```", "twice": answer if self.asked[path] > 1 else "no", "never": "no", "blank": " ", "list": "[]"}.get(path.split("-")[0], answer)
 
 
-@query(f"""SELECT * FROM (VALUES {values([('plain', 'complete', None, 'About plain', 'one', 'keep', 1), ('fenced', 'complete', None, 'About fenced', 'one', 'keep', 1), ('twice', 'complete', None, 'About twice', 'one', 'keep', 2),
-    ('never', 'failed', 'invalid_json', None, '', '', 2), ('blank', 'failed', 'empty_response', None, '', '', 2), ('list', 'failed', 'invalid_json', None, '', '', 2), ('late', 'failed', 'timeout', None, '', '', 1)])}) t(path, status, reason, summary, tags, symbols, attempts)""")
+@query(f"""SELECT * FROM {spread_sql([('plain-{n}', 'complete', None, 'About plain-{n}', 'one', 'keep', 1), ('fenced-{n}', 'complete', None, 'About fenced-{n}', 'one', 'keep', 1), ('twice-{n}', 'complete', None, 'About twice-{n}', 'one', 'keep', 2),
+    ('never-{n}', 'failed', 'invalid_json', None, '', '', 2), ('blank-{n}', 'failed', 'empty_response', None, '', '', 2), ('list-{n}', 'failed', 'invalid_json', None, '', '', 2), ('late-{n}', 'failed', 'timeout', None, '', '', 1)], "path, status, reason, summary, tags, symbols, attempts")} t""")
 def q_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files described by an injected client, answers validated."""
-    files = inline(spark, "path string, names array<string>, text string", [(p, ["keep", "other"], "body") for p in ("plain", "fenced", "twice", "never", "blank", "list", "late")])
+    files = spread(spark, sf_dir, "path string, names array<string>, text string", [(p + "-{n}", ["keep", "other"], "body") for p in ("plain", "fenced", "twice", "never", "blank", "list", "late")])
     out = semantic.analyse(files, StubClient)
     return out.select("path", "status", "reason", "summary", F.array_join("tags", ",").alias("tags"), F.array_join("important_symbols", ",").alias("symbols"), "attempts")
 
@@ -214,10 +214,10 @@ def q_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS = [(1, '{"a": 1}'), (2, '```json\n{"b": "}"}\n```'), (3, 'so: {"c": {"d": 2}} done'), (4, '{"a": 1} {"b": 2}'), (5, "none"), (6, None), (7, '{"open": 1')]
 
 
-@query(f"""SELECT * FROM (VALUES {values([(1, '{"a": 1}'), (2, '{"b": "}"}'), (3, '{"c": {"d": 2}}'), (4, None), (5, None), (6, None), (7, None)])}) t(id, body)""")
+@query(f"""SELECT * FROM {spread_sql([(1, '{"a": 1}'), (2, '{"b": "}"}'), (3, '{"c": {"d": 2}}'), (4, None), (5, None), (6, None), (7, None)], "id, body")} t""")
 def q_json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one JSON object in a text."""
-    return inline(spark, "id int, answer string", ANSWERS).select("id", json_objects.load_object(F.col("answer")).alias("body"))
+    return spread(spark, sf_dir, "id int, answer string", ANSWERS).select("id", json_objects.load_object(F.col("answer")).alias("body"))
 
 
 CURRENT = "one\ntwo\nthree\nfour\nfive\nsix\nseven\neight\nnine\n"
@@ -229,10 +229,10 @@ REPAIRED = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + values(REPAIRED).replace("\n", "' || chr(10) || '") + ") t(id, patch)")
+@query(f"SELECT * FROM {spread_sql(REPAIRED, 'id, patch')} t")
 def q_hunk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thin and drifted hunks with the current source's lines around them."""
-    return inline(spark, "id int, body string", DRIFTED).select("id", diffs.repair(F.col("body"), F.create_map(F.lit("f"), F.lit(CURRENT))).alias("patch"))
+    return spread(spark, sf_dir, "id int, body string", DRIFTED).select("id", diffs.repair(F.col("body"), F.create_map(F.lit("f"), F.lit(CURRENT))).alias("patch"))
 
 
 @query("""WITH e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
@@ -249,19 +249,19 @@ def q_scored_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTPUTS = [(1, "a\nb\n"), (2, ""), (3, "  "), (4, "x" * 30)]
 
 
-@query(f"""SELECT id, CASE WHEN trim(body) = '' THEN '    (no output)' ELSE '    ' || replace(rtrim(body, ' ' || chr(10)), chr(10), chr(10) || '    ') END AS shown FROM (VALUES {values(OUTPUTS).replace(chr(10), "' || chr(10) || '")}) t(id, body)""")
+@query(f"""SELECT id, CASE WHEN trim(body) = '' THEN '    (no output)' ELSE '    ' || replace(rtrim(body, ' ' || chr(10)), chr(10), chr(10) || '    ') END AS shown FROM {spread_sql(OUTPUTS, 'id, body')} t""")
 def q_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output of a run, indented."""
-    return inline(spark, "id int, body string", OUTPUTS).select("id", text.indented(F.regexp_replace("body", r"[ \n]+$", "")).alias("shown"))
+    return spread(spark, sf_dir, "id int, body string", OUTPUTS).select("id", text.indented(F.regexp_replace("body", r"[ \n]+$", "")).alias("shown"))
 
 
 LISTS = [(1, ["  A  b ", "a B", "c", "", "d" * 200, "e"]), (2, [])]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'A b|c|' + 'd' * 120), (2, '')])}) t(id, kept)")
+@query(f"SELECT * FROM {spread_sql([(1, 'A b|c|' + 'd' * 120), (2, '')], "id, kept")} t")
 def q_bounded_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings collapsed, clipped and distinct, at most three."""
-    return inline(spark, "id int, v array<string>", LISTS).select("id", F.array_join(text.bounded_strings(F.col("v"), 3), "|").alias("kept"))
+    return spread(spark, sf_dir, "id int, v array<string>", LISTS).select("id", F.array_join(text.bounded_strings(F.col("v"), 3), "|").alias("kept"))
 
 
 @query(f"""SELECT doc_id, regexp_replace({PATH}, '^.*/', '') || '-' || left(sha256(lower({PATH})), 8) AS key FROM documents""")
@@ -271,32 +271,32 @@ def q_repository_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", paths.repository_key(paths.file_name(p), p).alias("key"))
 
 
-STATUS = " M src/a.py\x00?? .env\x00 M keys/x.pem\x00R  old.py -> new.py\x00R  .env.a -> b.py\x00"
+STATUS = " M src/a{n}.py\x00?? .env\x00 M keys/x.pem\x00R  old.py -> new.py\x00R  .env.a -> b.py\x00"
 
 
-@query(f"""SELECT * FROM (VALUES {values([('src/a.py', False), ('.env', True), ('keys/x.pem', True), ('old.py -> new.py', False), ('.env.a -> b.py', True)])}) t(path, hidden)""")
+@query(f"""SELECT * FROM {spread_sql([('src/a{n}.py', False), ('.env', True), ('keys/x.pem', True), ('old.py -> new.py', False), ('.env.a -> b.py', True)], "path, hidden")} t""")
 def q_status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NUL-separated status rows, hidden if either side of a move is."""
-    rows = inline(spark, "out string", [(STATUS,)]).select(F.explode(F.split("out", "\x00")).alias("row")).where("row <> ''").select(F.substring("row", 4, 10_000).alias("path"))
+    rows = spread(spark, sf_dir, "out string", [(STATUS,)]).select(F.explode(F.split("out", "\x00")).alias("row")).where("row <> ''").select(F.substring("row", 4, 10_000).alias("path"))
     return rows.select("path", F.exists(F.split("path", " -> "), paths.is_ignored).alias("hidden"))
 
 
 RANGES = [(1, "@@ -1,2 +3,4 @@\n x\n@@ -9 +20,0 @@\n@@ -5 +7 @@")]
 
 
-@query(f"SELECT * FROM (VALUES {values([(0, 3, 6), (1, 20, 20), (2, 7, 7)])}) t(pos, start_line, end_line)")
+@query(f"SELECT * FROM {spread_sql([(0, 3, 6), (1, 20, 20), (2, 7, 7)], "pos, start_line, end_line")} t")
 def q_hunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-side line ranges of hunk headers."""
-    return extract.hunk_ranges(inline(spark, "id int, body string", RANGES), "body", "id").drop("id")
+    return extract.hunk_ranges(spread(spark, sf_dir, "id int, body string", RANGES), "body", "id").drop("id")
 
 
-TRACE = [(1, 'Traceback:\n  File "a.py", line 3, in f\n  File "b.py", line 9, in g\n  File "a.py", line 7, in h\n')]
+TRACE = [(1, 'Traceback:\n  File "a{n}.py", line 3, in f\n  File "b.py", line 9, in g\n  File "a{n}.py", line 7, in h\n')]
 
 
-@query(f"SELECT * FROM (VALUES {values([('a.py', 3), ('b.py', 9)])}) t(path, line_no)")
+@query(f"SELECT * FROM {spread_sql([('a{n}.py', 3), ('b.py', 9)], "path, line_no")} t")
 def q_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a traceback with their first lines."""
-    return extract.traceback_paths(inline(spark, "id int, body string", TRACE), "body", "id").drop("id")
+    return extract.traceback_paths(spread(spark, sf_dir, "id int, body string", TRACE), "body", "id").drop("id")
 
 
 @query("""WITH e AS (SELECT user_id, list_sort(list_distinct(coalesce(list(event_type) FILTER (event_type <> 'error'), []))) AS fresh, count(*) FILTER (event_type = 'error') % 4 AS n FROM events GROUP BY user_id),
@@ -316,10 +316,10 @@ SURFACES = [(1, 0, "show the invoice table"), (1, 1, "save rows")]
 @query()
 def q_surface_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions that answer each clause of a task, the best four."""
-    s = inline(spark, "task_id int, pos int, text string", SURFACES)
+    s = spread(spark, sf_dir, "task_id int, pos int, text string", SURFACES)
     found = text.surface_tokens(F.col("text"))
     s = s.select("task_id", "pos", found.alias("tokens"), text.surface_roles(found).alias("roles"), F.lit(False).alias("single"), F.lit(True).alias("complex"))
-    index = indexed(spark)
+    index = indexed(spark, sf_dir)
     terms = python_source.literal_terms(index.files).groupBy("path", F.col("definition").alias("qualified_name")).agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("literals"))
     own = text.tokens(F.col("name"))
     symbols = index.definitions.join(terms, ["path", "qualified_name"], "left").select(

@@ -10,38 +10,43 @@ from strandwork.functions import paths, text, times
 from strandwork.operators import diffs, evidence, extract, history
 from strandwork.plans import repair
 from strandwork.plans.change_queries import diff_rows
-from strandwork.plans.registry import query, values
+from strandwork.plans.registry import query, spread_sql, values
 from strandwork.plans.source_queries import SOURCES, indexed, sources
 from strandwork.plans.text_queries import REPORTS, _WORDS
 from strandwork.sources import repository
-from strandwork.sources.tables import inline, table
+from strandwork.sources.tables import spread, table
 
-MAP_TEXT = '{"version":3,"files":{"a.py":{"hash":"1","tags":["x"]},"b.py":{"hash":"2"}}}'
+MAPS = [
+    (1, '{"version":3,"files":{"a{n}.py":{"hash":"1","tags":["x"]},"b{n}.py":{"hash":"2"}}}'), (2, "not json"), (3, '{"version":2,"files":{"c":{"hash":"3"}}}'), (4, '{"files":[]}'), (5, ""),
+]
 
 
-@query(f"SELECT * FROM (VALUES {values([('a.py', '1', 1), ('b.py', '2', 0)])}) t(path, hash, tags)")
+@query(f"SELECT * FROM {spread_sql([(1, 'a{n}.py', '1', 1), (1, 'b{n}.py', '2', 0)], 'map_id, path, hash, tags')} t")
 def q_load_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored map as rows; bad text, another version and another shape give none."""
-    rows = repository.load_map(spark, MAP_TEXT)
-    for other in ("not json", '{"version":2,"files":{"c":{"hash":"3"}}}', '{"files":[]}', ""):
-        rows = rows.union(repository.load_map(spark, other))
-    return rows.select("path", "entry.hash", F.coalesce(F.size("entry.tags"), F.lit(0)).alias("tags")).withColumn("tags", F.greatest("tags", F.lit(0)))
+    """Stored maps as rows; bad text, another version and another shape give none."""
+    rows = repository.maps(spread(spark, sf_dir, "map_id int, body string", MAPS), "body", "map_id")
+    return rows.select("map_id", "path", "entry.hash", F.greatest(F.coalesce(F.size("entry.tags"), F.lit(0)), F.lit(0)).alias("tags"))
+
 
+CHANGES = [(1, "src/a{n}.py\x00keys/k.pem\x00"), (1, "src/b.ts\x00"), (1, "new{n}.py\x00.env\x00"), (2, ""), (3, "only/x{n}.js\x00")]
+SCANNED = [(1, "src/a{n}.py"), (1, ".workspace/x.py"), (1, "readme.md"), (2, "z.py")]
 
-@query(f"SELECT * FROM (VALUES {values([('src/a.py',), ('src/b.ts',), ('new.py',)])}) t(path)")
+
+@query(f"SELECT * FROM {spread_sql([(1, 'src/a{n}.py'), (1, 'src/b.ts'), (1, 'new{n}.py'), (2, 'z.py'), (3, 'only/x{n}.js')], 'repo_id, path')} t")
 def q_index_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scanned and changed paths, indexable ones, from NUL-separated output."""
-    outputs = {"--cached": "src/b.ts\x00", "ls-files": "new.py\x00.env\x00"}
-    run = lambda args: next((v for k, v in outputs.items() if k in args), "src/a.py\x00keys/k.pem\x00")
-    changed = repository.changed_files(spark, run)
-    scanned = repository.without_workspace(inline(spark, "path string", [("src/a.py",), (".workspace/x.py",), ("readme.md",)]), ".workspace")
-    return repository.index_scope(scanned, changed)
+    """Scanned and changed paths of repositories, indexable ones, from NUL-separated output."""
+    changed = repository.nul_rows(spread(spark, sf_dir, "repo_id int, out string", CHANGES), "out", "repo_id").where(~paths.is_ignored(F.col("path")))
+    scanned = repository.without_workspace(spread(spark, sf_dir, "repo_id int, path string", SCANNED), ".workspace")
+    return repository.index_scope(scanned, changed, "repo_id")
+
 
+TOPS = [(1, "pyproject.toml"), (1, "package.json"), (1, "src/x.py"), (2, "setup.py"), (2, "composer.json"), (3, "readme.md"), (4, "build.gradle.kts"), (4, "pom.xml"), (5, "sub/pom.xml"), (5, "composer.json")]
 
-@query("SELECT 'npm test' AS command")
+
+@query(f"SELECT * FROM {spread_sql([(1, 'npm test'), (2, 'pytest'), (4, 'mvn test'), (5, 'composer test')], 'repo_id, command')} t")
 def q_test_command(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test command that the files of a repository suggest, the first detector that fits."""
-    return repository.test_command(inline(spark, "path string", [("pyproject.toml",), ("package.json",), ("src/x.py",)]))
+    """The test command that the files of each repository suggest, the first detector that fits."""
+    return repository.test_command(spread(spark, sf_dir, "repo_id int, path string", TOPS), "repo_id")
 
 
 WORK_ITEMS = [
@@ -49,22 +54,22 @@ WORK_ITEMS = [
 ]
 
 
-@query(f"""SELECT * FROM (VALUES {values([(1, 'src/app/main.py,lib/util.ts', 'invoice,ledger,main,open,util', 'persistence,domain,ui'), (2, '', '', 'domain'), (3, '', 'customers,widgets', 'ui')])}) t(id, files, terms, roles)""".replace("'persistence,domain,ui'", "'domain,persistence,ui'"))
+@query(f"""SELECT * FROM {spread_sql([(1, 'src/app/main.py,lib/util.ts', 'invoice,ledger,main,open,util', 'persistence,domain,ui'), (2, '', '', 'domain'), (3, '', 'customers,widgets', 'ui')], "id, files, terms, roles")} t""".replace("'persistence,domain,ui'", "'domain,persistence,ui'"))
 def q_requirement_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, domain terms and roles of requirements."""
     t = F.col("task")
-    return inline(spark, "id int, task string", WORK_ITEMS).select("id", F.array_join(paths.file_tokens(t), ",").alias("files"), F.array_join(F.array_sort(text.domain_terms(t)), ",").alias("terms"), F.array_join(text.requirement_roles(text.tokens(t)), ",").alias("roles"))
+    return spread(spark, sf_dir, "id int, task string", WORK_ITEMS).select("id", F.array_join(paths.file_tokens(t), ",").alias("files"), F.array_join(F.array_sort(text.domain_terms(t)), ",").alias("terms"), F.array_join(text.requirement_roles(text.tokens(t)), ",").alias("roles"))
 
 
-ROLE_PATHS = [("src/api/routes.py",), ("web/Button.tsx",), ("tests/test_store.py",), ("lib/plain.py",)]
+ROLE_PATHS = [("src{n}/api/routes.py",), ("web{n}/Button.tsx",), ("tests/test_store{n}.py",), ("lib{n}/plain.py",)]
 
 
-@query(f"SELECT * FROM (VALUES {values([('src/api/routes.py', 'transport', 'transport'), ('web/Button.tsx', 'ui', 'ui'), ('tests/test_store.py', 'persistence,tests', 'schema,persistence_crud,tests'), ('lib/plain.py', '', '')])}) t(path, roles, kinds)")
+@query(f"SELECT * FROM {spread_sql([('src{n}/api/routes.py', 'transport', 'transport'), ('web{n}/Button.tsx', 'ui', 'ui'), ('tests/test_store{n}.py', 'persistence,tests', 'schema,persistence_crud,tests'), ('lib{n}/plain.py', '', '')], "path, roles, kinds")} t")
 def q_path_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of paths and the evidence kinds they ask for."""
     roles = evidence.path_roles(F.col("path"))
     kinds = F.array_join(F.transform(evidence.kinds_of(roles), lambda k: k["kind"]), ",")
-    return inline(spark, "path string", ROLE_PATHS).select("path", F.array_join(roles, ",").alias("roles"), kinds.alias("kinds"))
+    return spread(spark, sf_dir, "path string", ROLE_PATHS).select("path", F.array_join(roles, ",").alias("roles"), kinds.alias("kinds"))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT unnest(list_filter({_WORDS}, lambda w: length(w) >= 8)) AS term FROM benchmark), l AS (SELECT list(term) AS terms FROM t)
@@ -80,13 +85,13 @@ def q_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(met, "doc_id", "left").select("doc_id", F.coalesce("terms", F.lit(0)).cast("long").alias("terms"))
 
 
-NAMES = [("20240102-030405.diff",), ("plain",), ("20240102-030405-000123",)]
+NAMES = [("20240102-030405.diff",), ("plain{n}",), ("20240102-030405-000123",)]
 
 
-@query(f"SELECT * FROM (VALUES {values([('20240102-030405.diff', '2024-01-02 03:04:05'), ('plain', 'plain'), ('20240102-030405-000123', '2024-01-02 03:04:05')])}) t(name, shown)")
+@query(f"SELECT * FROM {spread_sql([('20240102-030405.diff', '2024-01-02 03:04:05'), ('plain{n}', 'plain{n}'), ('20240102-030405-000123', '2024-01-02 03:04:05')], "name, shown")} t")
 def q_shown_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as display times."""
-    return inline(spark, "name string", NAMES).select("name", times.shown_time(F.col("name")).alias("shown"))
+    return spread(spark, sf_dir, "name string", NAMES).select("name", times.shown_time(F.col("name")).alias("shown"))
 
 
 @query("SELECT doc_id, strlen(text) BETWEEN 1 AND 60000 AND regexp_matches(text, '[A-Z][a-z]+') AS eligible FROM documents")
@@ -101,75 +106,72 @@ def q_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 HISTORY_ROWS = [(f"2024010{i}-000000", "APPLIED", f"2024-01-0{i} 00:00:00") for i in range(1, 7)] + [("20240108-000000", "PENDING", None)]
 
 
-@query(f"SELECT * FROM (VALUES {values([(f'2024010{i}-000000', 'APPLIED', 'NOT_RUN') for i in (3, 4, 5, 6)] + [('20240108-000000', 'APPLIED', 'PASSED')])}) t(id, status, test_status)")
+@query(f"SELECT * FROM {spread_sql([(f'2024010{i}-000000', 'APPLIED', 'NOT_RUN') for i in (3, 4, 5, 6)] + [('20240108-000000', 'APPLIED', 'PASSED')], "id, status, test_status")} t")
 def q_history_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry begun, applied and tested, another undone and put back; five stay."""
     stamp = lambda s: F.lit(s).cast("timestamp")
-    old = inline(spark, "id string, status string, at string", HISTORY_ROWS[:6])
+    old = spread(spark, sf_dir, "id string, status string, at string", HISTORY_ROWS[:6])
     none = F.lit(None).cast("timestamp")
     empty = F.array().cast("array<struct<path:string,before_exists:boolean,after_exists:boolean>>")
     rows = old.select("id", "status", F.to_timestamp("at").alias("applied_at"), none.alias("completed_at"), none.alias("undone_at"), F.lit("NOT_RUN").alias("test_status"), empty.alias("files"))
-    begun = history.begin("20240108-000000", inline(spark, "path string, exists boolean", [("a", True), ("b", False)]))
-    rows = history.finalize(rows.unionByName(begun), "20240108-000000", inline(spark, "path string, exists boolean", [("a", True), ("b", True)]), stamp("2024-01-08"))
+    begun = history.begin("20240108-000000", spread(spark, sf_dir, "path string, exists boolean", [("a", True), ("b", False)]))
+    rows = history.finalize(rows.unionByName(begun), "20240108-000000", spread(spark, sf_dir, "path string, exists boolean", [("a", True), ("b", True)]), stamp("2024-01-08"))
     rows = history.undo(rows, "20240102-000000", stamp("2024-01-09"))
     rows = history.tested(rows, "20240108-000000", "PASSED", stamp("2024-01-10"))
     return rows.where("status = 'APPLIED'").select("id", "status", "test_status")
 
 
-@query(f"SELECT * FROM (VALUES {values([('r1', False), ('r2', True), ('r3', False)])}) t(run_id, current)")
+@query(f"SELECT * FROM {spread_sql([('r1-{n}', False), ('r2-{n}', True), ('r3-{n}', False)], "run_id, current")} t")
 def q_completed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run is current only if it is the newest and its snapshot still stands."""
-    runs = inline(spark, "run_id string, snapshot string", [("r1", "s1"), ("r2", "s2"), ("r3", "s3")])
-    return history.completed_run(inline(spark, "run_id string", [("r2",), ("r3",)]), runs, inline(spark, "snapshot string", [("s1",), ("s2",)])).select("run_id", "current")
+    runs = spread(spark, sf_dir, "run_id string, snapshot string", [("r1-{n}", "s1-{n}"), ("r2-{n}", "s2-{n}"), ("r3-{n}", "s3-{n}")])
+    return history.completed_run(spread(spark, sf_dir, "run_id string", [("r2-{n}",), ("r3-{n}",)]), runs, spread(spark, sf_dir, "snapshot string", [("s1-{n}",), ("s2-{n}",)])).select("run_id", "current")
 
 
-@query(f"SELECT * FROM (VALUES {values([('r1', 1, 'pkg.tests.A.test_a,pkg.tests.B.test_b'), ('r2', 0, ''), ('r3', None, 'tests/test_x.py::test_one,tests/test_y.py::T::test_two'), ('r4', None, '')])}) t(run_id, exit_code, failures)")
+@query(f"SELECT * FROM {spread_sql([('r1-{n}', 1, 'pkg.tests.A{n}.test_a,pkg.tests.B.test_b'), ('r2-{n}', 0, ''), ('r3-{n}', None, 'tests/test_x{n}.py::test_one,tests/test_y.py::T::test_two'), ('r4-{n}', None, '')], "run_id, exit_code, failures")} t")
 def q_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exit codes and failures read back from saved reports."""
-    out = repair.reclassified(inline(spark, "run_id string, body string", REPORTS), "run_id")
+    out = repair.reclassified(spread(spark, sf_dir, "run_id string, body string", REPORTS), "run_id")
     return out.withColumn("failures", F.array_join("failures", ","))
 
 
-TRACES = [("r1", 'FAIL: x (t.T.x)\n  File "shop/store.py", line 6, in save_invoice\ntoken = "0123456789abcdef"\n')]
+TRACES = [("r{n}", 'FAIL: x (t.T.x)\n  File "t{n}/shop/store.py", line 6, in save_invoice\ntoken = "0123456789abcdef"\n')]
 
 
-@query(f"""SELECT * FROM (VALUES {values([('r1', 'shop/store.py', 'traceback', 1), ('r1', 'tests/test_store.py', 'test', 2), ('r1', 'shop/models.py', 'dependency', 3), ('r1', 'shop/api.py', 'patch', 4)])}) t(run_id, path, source, rank)""")
+@query(f"""SELECT * FROM {spread_sql([('r{n}', 't{n}/shop/store.py', 'traceback', 1), ('r{n}', 't{n}/tests/test_store.py', 'test', 2), ('r{n}', 't{n}/shop/models.py', 'dependency', 3), ('r{n}', 't{n}/shop/api.py', 'patch', 4)], "run_id, path, source, rank")} t""")
 def q_relevant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a repair: traceback, tests, what they depend on, the patch."""
-    one = lambda p: inline(spark, "run_id string, path string", [("r1", p)])
-    return repair.relevant_paths(inline(spark, "run_id string, body string", TRACES), indexed(spark).deps.select("src", "dst"), one("shop/api.py"), one("tests/test_store.py"), "run_id")
+    one = lambda p: spread(spark, sf_dir, "run_id string, path string", [("r{n}", p)])
+    return repair.relevant_paths(spread(spark, sf_dir, "run_id string, body string", TRACES), indexed(spark, sf_dir).deps.select("src", "dst"), one("t{n}/shop/api.py"), one("t{n}/tests/test_store.py"), "run_id")
 
 
-@query("SELECT 'r1' AS run_id, 5::BIGINT AS taken, 0::BIGINT AS skipped, TRUE AS redacted, TRUE AS whole")
+@query("SELECT 'r' || s_suppkey AS run_id, 5::BIGINT AS taken, 0::BIGINT AS skipped, TRUE AS redacted, TRUE AS whole FROM supplier")
 def q_failure_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document of failing output and current source, redacted, in its budget."""
-    reports = inline(spark, "run_id string, body string", TRACES)
-    doc = repair.failure_document(reports, sources(spark), q_relevant_paths(spark, sf_dir), "run_id")
+    reports = spread(spark, sf_dir, "run_id string, body string", TRACES)
+    doc = repair.failure_document(reports, sources(spark, sf_dir), q_relevant_paths(spark, sf_dir), "run_id")
     return doc.select("run_id", "taken", "skipped", (~F.contains("document", F.lit("0123456789abcdef"))).alias("redacted"), F.contains("document", F.lit(SOURCES[2][1].strip())).alias("whole"))
 
 
-@query("SELECT 1 AS id, 3::BIGINT AS lines")
+@query("SELECT (s_suppkey * 100 + 1)::INT AS id, 3::BIGINT AS lines FROM supplier")
 def q_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a diff from an error on up to the next section."""
-    near = repair.nearby(diff_rows(spark), inline(spark, "id int, error_line int", [(1, 8)]), "id")
+    near = repair.nearby(diff_rows(spark, sf_dir), spread(spark, sf_dir, "id int, error_line int", [(1, 8)]), "id")
     return near.groupBy("id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-GIT_LINES = [(1, 'diff --git a/x.py b/x.py'), (2, 'diff --git "a/with space" "b/with space"'), (3, "diff --git a/only")]
+GIT_LINES = [
+    (1, "diff --git a/x{n}.py b/x{n}.py"), (2, 'diff --git "a/with space" "b/with space"'), (3, "diff --git a/only"), (4, "diff --git 'a/it{n}' b/\"q\\\"d\".c"), (5, 'diff --git "a/open b/c'), (6, "diff --git a b c"), (7, "index 1..2"),
+]
+GIT_PATHS = [(1, "a/x{n}.py|b/x{n}.py"), (2, "a/with space|b/with space"), (3, None), (4, 'a/it{n}|b/q"d.c'), (5, None), (6, None), (7, None)]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'a/x.py|b/x.py'), (2, 'a/with space|b/with space'), (3, None)])}) t(id, paths)")
+@query(f"SELECT * FROM {spread_sql(GIT_PATHS, 'id, paths')} t")
 def q_git_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C20: the two paths of shell-quoted headers."""
-
-    def pair(line: str) -> str | None:
-        try:
-            return "|".join(diffs.git_paths(line))
-        except ValueError:
-            return None
-
-    rows = [(i, pair(line)) for i, line in GIT_LINES]
-    return inline(spark, "id int, paths string", rows)
+    rows = spread(spark, sf_dir, "id int, line string", GIT_LINES)
+    pair = diffs.git_path_pair(F.col("line"))
+    return rows.select("id", F.when(pair.isNotNull(), F.array_join(pair, "|")).alias("paths"))
 
 
 @query("""WITH RECURSIVE d AS (SELECT conv_id, turn, 1600 + 2800 * (length(coalesce(text, '')) % 5) AS need, length(coalesce(text, '')) * 40 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
@@ -205,49 +207,46 @@ def q_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUESTS = [(1, "symbol", "save_invoice"), (1, "concept", "open invoice table"), (1, "symbol", "missing"), (2, "symbol", "API")]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'shop/store.py', 136, 1), (2, 'web/api.ts', 100, 1)])}) t(task_id, path, score, rank)")
+@query("""WITH hit AS (
+        SELECT t.s_suppkey * 100 + 1 AS task_id, 't' || f.s_suppkey || '/shop/store.py' AS path, 136 AS score FROM supplier t, supplier f
+        UNION ALL SELECT t.s_suppkey * 100 + 2, 't' || f.s_suppkey || '/web/api.ts', 100 FROM supplier t, supplier f)
+    SELECT task_id::INT AS task_id, path, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, path) AS rank FROM hit QUALIFY rank <= 6""")
 def q_missing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested symbols and concepts to files not selected yet."""
-    selected = inline(spark, "task_id int, path string", [(1, "shop/api.py")])
-    return repair.missing_requests(inline(spark, "task_id int, kind string, value string", REQUESTS), indexed(spark).definitions, selected)
+    selected = spread(spark, sf_dir, "task_id int, path string", [(1, "t{n}/shop/api.py")])
+    return repair.missing_requests(spread(spark, sf_dir, "task_id int, kind string, value string", REQUESTS), indexed(spark, sf_dir).definitions, selected)
 
 
 TESTS = [(1, "A", "t1", 1, 2), (1, "A", "t2", 0, 1), (1, "B", "t3", 1, 9), (1, "C", "t4", 0, 0), (1, "D", "t5", 2, 0)]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'D', 1, 1), (1, 'A', 2, 2), (1, 'B', 1, 3)])}) t(task_id, owner, tests, rank)")
+@query(f"SELECT * FROM {spread_sql([(1, 'D', 1, 1), (1, 'A', 2, 2), (1, 'B', 1, 3)], "task_id, owner, tests, rank")} t")
 def q_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test suites by path overlap, size, terms and name, the best three."""
-    return repair.suites(inline(spark, "task_id int, owner string, name string, path_hits int, term_hits int", TESTS))
+    return repair.suites(spread(spark, sf_dir, "task_id int, owner string, name string, path_hits int, term_hits int", TESTS))
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'domain,transport,ui'), (2, 'tests')])}) t(task_id, roles)")
+@query(f"SELECT * FROM {spread_sql([(1, 'domain,transport,ui'), (2, 'tests')], "task_id, roles")} t")
 def q_effective_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9: roles widened by what anchored files show."""
-    wanted = inline(spark, "task_id int, roles array<string>", [(1, ["domain"]), (2, ["tests"])])
-    return repair.effective_roles(wanted, inline(spark, "task_id int, file_roles array<string>", [(1, ["ui"]), (1, ["transport", "ui"])])).select("task_id", F.array_join("roles", ",").alias("roles"))
+    wanted = spread(spark, sf_dir, "task_id int, roles array<string>", [(1, ["domain"]), (2, ["tests"])])
+    return repair.effective_roles(wanted, spread(spark, sf_dir, "task_id int, file_roles array<string>", [(1, ["ui"]), (1, ["transport", "ui"])])).select("task_id", F.array_join("roles", ",").alias("roles"))
 
 
-OWNERS = [("transport", "handle_save", "reads the request", "transport", 1, 2), ("transport", "plain", "nothing", "domain", 1, 2), ("ui", "Card", "<div>", "domain", 0, 1), ("tests", "test_a", "x", "tests", 0, 0)]
+OWNERS = [("transport", "handle_save{n}", "reads the request", "transport", 1, 2), ("transport", "plain{n}", "nothing", "domain", 1, 2), ("ui", "Card{n}", "<div>", "domain", 0, 1), ("tests", "test_a{n}", "x", "tests", 0, 0)]
 
 
-@query(f"SELECT * FROM (VALUES {values([('handle_save', 310), ('plain', -1000), ('Card', 180), ('test_a', 160)])}) t(name, score)")
+@query(f"SELECT * FROM {spread_sql([('handle_save{n}', 310), ('plain{n}', -1000), ('Card{n}', 180), ('test_a{n}', 160)], "name, score")} t")
 def q_owner_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well definitions own a role."""
-    df = inline(spark, "role string, name string, body string, roles string, path_hits int, term_hits int", OWNERS)
+    df = spread(spark, sf_dir, "role string, name string, body string, roles string, path_hits int, term_hits int", OWNERS)
     return df.select("name", evidence.owner_score(F.col("role"), name=F.col("name"), body=F.col("body"), roles=F.split("roles", ","), path_hits=F.col("path_hits"), term_hits=F.col("term_hits")).alias("score"))
 
 
-SAFE = [("src/a.py", "+token = 'abcdefghij'"), (".env", "+SECRET=1"), ("b.py", "+x")]
+SAFE = [(1, "src/a{n}.py", "+token = 'abcdefghij'"), (1, ".env", "+SECRET=1"), (1, "b.py", "+x"), (2, "only{n}.py", "+y"), (3, ".env", "+z"), (3, ".env.x", None)]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'src/a.py', '+token = [REDACTED]'), (2, 'b.py', '+x'), (3, '1 omitted', None)])}) t(pos, path, body)")
+@query(f"SELECT * FROM {spread_sql([(1, 1, 'src/a{n}.py', '+token = [REDACTED]'), (1, 2, 'b.py', '+x'), (1, 3, '1 omitted', None), (2, 1, 'only{n}.py', '+y'), (3, 1, '2 omitted', None)], 'repo_id, pos, path, body')} t")
 def q_safe_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diff's files without ignored ones, redacted, and how many were left out."""
-    from pyspark.sql.window import Window
-
-    rows = inline(spark, "path string, body string", SAFE)
-    hidden = paths.is_ignored(F.col("path"))
-    kept = rows.where(~hidden).select("path", text.redact(F.col("body")).alias("body")).orderBy(F.desc("path")).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("path"))).cast("int"))
-    note = rows.agg(F.count_if(hidden).alias("n"), F.count_if(~hidden).alias("k")).where("n > 0").select(F.concat(F.col("n").cast("string"), F.lit(" omitted")).alias("path"), F.lit(None).cast("string").alias("body"), (F.col("k") + 1).cast("int").alias("pos"))
-    return kept.select("pos", "path", "body").union(note.select("pos", "path", "body"))
+    """Each diff's files without ignored ones, redacted, and how many were left out."""
+    return diffs.safe_files(spread(spark, sf_dir, "repo_id int, path string, body string", SAFE), "repo_id")

@@ -10,8 +10,8 @@ from strandwork import config
 from strandwork.operators import extract, history, json_objects, python_source, ranking, targets
 from strandwork.plans import retrieval
 from strandwork.plans.join_queries import PATH
-from strandwork.plans.registry import query, values
-from strandwork.sources.tables import document_path, documents_as_files, inline, table
+from strandwork.plans.registry import query, spread_sql, values
+from strandwork.sources.tables import document_path, documents_as_files, spread, table
 
 
 def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +41,14 @@ def q_explicit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.explicit(tokens, symbols)
 
 
-COMMANDS = [("app.py", "go", "start"), ("app.py", "stop", None)]
-COMMAND_TASKS = [(1, "run `start` now"), (2, "the stop command"), (3, "unstoppable starts")]
+COMMANDS = [("app{n}.py", "go", "start{n}"), ("app{n}.py", "stop{n}", None)]
+COMMAND_TASKS = [(1, "run `start{n}` now"), (2, "the stop{n} command"), (3, "unstop{n}pable starts{n}")]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'app.py', 'go', 240), (2, 'app.py', 'stop', 240)])}) t(task_id, path, function_name, score)")
+@query(f"SELECT * FROM {spread_sql([(1, 'app{n}.py', 'go', 240), (2, 'app{n}.py', 'stop{n}', 240)], "task_id, path, function_name, score")} t")
 def q_command_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that a task names, by their own name or their function's."""
-    return targets.commands(inline(spark, "task_id int, text string", COMMAND_TASKS), inline(spark, "path string, function_name string, name string", COMMANDS))
+    return targets.commands(spread(spark, sf_dir, "task_id int, text string", COMMAND_TASKS), spread(spark, sf_dir, "path string, function_name string, name string", COMMANDS))
 
 
 WORDS = ("steel", "brass", "red", "blue", "nut", "promo", "ring", "green")
@@ -65,33 +65,33 @@ def q_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HANDLER = "class {0}:\n" + "".join(f"    def do_{m}(self): pass\n" for m in ("GET", "POST", "OPTIONS"))
 WEB = [
-    ("ui/form.js", "fetch('/x', {method: 'PATCH'})\nfetch('/y', { method : cond ? 'get' : \"x\" })"), ("ui/plain.js", "fetch('/x')"),
-    ("web/server.py", "import ui\n" + _HANDLER.format("Server") + "class Two:\n    def do_GET(self): pass\n    def do_PUT(self): pass\n"), ("web/other.py", _HANDLER.format("Other") + "    def do_PATCH(self): pass\n"), ("web/far.py", _HANDLER.format("Far")),
+    ("w{n}/ui/form.js", "fetch('/x', {method: 'PATCH'})\nfetch('/y', { method : cond ? 'get' : \"x\" })"), ("w{n}/ui/plain.js", "fetch('/x')"),
+    ("w{n}/web/server.py", "import ui\n" + _HANDLER.format("Server") + "class Two:\n    def do_GET(self): pass\n    def do_PUT(self): pass\n"), ("w{n}/web/other.py", _HANDLER.format("Other") + "    def do_PATCH(self): pass\n"), ("w{n}/web/far.py", _HANDLER.format("Far")),
 ]
-WEB_DEPS = [("web/server.py", "ui/form.js"), ("web/other.py", "ui/form.js"), ("web/other.py", "ui/plain.js"), ("web/far.py", "web/other.py")]
+WEB_DEPS = [("w{n}/web/server.py", "w{n}/ui/form.js"), ("w{n}/web/other.py", "w{n}/ui/form.js"), ("w{n}/web/other.py", "w{n}/ui/plain.js"), ("w{n}/web/far.py", "w{n}/web/other.py")]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'web/other.py', 'Other', 'do_GET,do_OPTIONS,do_PATCH,do_POST', 290, 1), (1, 'web/server.py', 'Server', 'do_GET,do_OPTIONS,do_POST', 310, 1)])}) t(task_id, path, owner, handlers, score, rank) WHERE owner = 'Server' UNION ALL SELECT 1, 'web/other.py', 'Other', 'do_GET,do_OPTIONS,do_PATCH,do_POST', 290, 2")
+@query(f"SELECT * FROM {spread_sql([(1, 'w{n}/web/other.py', 'Other', 'do_GET,do_OPTIONS,do_PATCH,do_POST', 290, 2), (1, 'w{n}/web/server.py', 'Server', 'do_GET,do_OPTIONS,do_POST', 310, 1)], "task_id, path, owner, handlers, score, rank")} t ")
 def q_transport_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Handler classes tied to code that sends requests: with a missing method 60 + 120 + 50 + 80, with all of them 80 + 120 + 50 + 40."""
-    files = inline(spark, "path string, content string", WEB)
-    found = targets.transport_roots(files, python_source.definitions(files.where("path LIKE '%.py'")), inline(spark, "src string, dst string", WEB_DEPS), inline(spark, "task_id int, path string", [(1, "ui/form.js"), (2, "ui/plain.js")]))
+    files = spread(spark, sf_dir, "path string, content string", WEB)
+    found = targets.transport_roots(files, python_source.definitions(files.where("path LIKE '%.py'")), spread(spark, sf_dir, "src string, dst string", WEB_DEPS), spread(spark, sf_dir, "task_id int, path string", [(1, "w{n}/ui/form.js"), (2, "w{n}/ui/plain.js")]))
     return found.withColumn("handlers", F.array_join("handlers", ","))
 
 
 BOT = [
-    ("bot/cmd.py", "@team.autocomplete(name=by_name)\nasync def show(ctx): pass\n\n@x.my_autocomplete(name=by_league, season=seasons)\ndef league(ctx): pass\n\n@command(name=ignored)\ndef other(): pass\n\ndef by_league():\n    return 'active teams'\n"),
-    ("tests/test_cmd.py", "@autocomplete(name=from_tests)\ndef t(): pass\n"), ("bot/more.py", "@autocomplete(name=all_names)\ndef show_all(): pass\n"),
+    ("b{n}/bot/cmd.py", "@team.autocomplete(name{n}=by{n}_name)\nasync def show(ctx): pass\n\n@x.my_autocomplete(name{n}=by{n}_league, season=seasons)\ndef league(ctx): pass\n\n@command(name{n}=ignored)\ndef other(): pass\n\ndef by{n}_league():\n    return 'active teams'\n"),
+    ("b{n}/tests/test_cmd.py", "@autocomplete(name{n}=from_tests{n})\ndef t(): pass\n"), ("b{n}/bot/more.py", "@autocomplete(name{n}=all{n}_names)\ndef show_all(): pass\n"),
 ]
 BOT_TASKS = [(1, "Only offer active teams of the league"), (2, "show the names")]
 
 
-@query(f"SELECT * FROM (VALUES {values([(1, 'bot/cmd.py', 'league', 'name', 'by_league', 660, 1), (1, 'bot/more.py', 'show_all', 'name', 'all_names', 300, 2), (2, 'bot/cmd.py', 'show', 'name', 'by_name', 350, 2), (2, 'bot/more.py', 'show_all', 'name', 'all_names', 420, 1)])}) t(task_id, path, command, parameter, callback, score, rank)")
+@query(f"SELECT * FROM {spread_sql([(1, 'b{n}/bot/cmd.py', 'league', 'name{n}', 'by{n}_league', 660, 1), (1, 'b{n}/bot/more.py', 'show_all', 'name{n}', 'all{n}_names', 300, 2), (2, 'b{n}/bot/cmd.py', 'show', 'name{n}', 'by{n}_name', 350, 2), (2, 'b{n}/bot/more.py', 'show_all', 'name{n}', 'all{n}_names', 420, 1)], "task_id, path, command, parameter, callback, score, rank")} t")
 def q_alt_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other callbacks for a parameter whose attempted one didn't do; a literal word weighs 120, a name's 70, a command's 50."""
-    files = inline(spark, "path string, content string", BOT)
-    attempted = inline(spark, "task_id int, callback string", [(1, "by_name"), (2, "by_league"), (3, "unknown")])
-    return targets.alternative_callbacks(python_source.bindings(files), python_source.literal_terms(files), inline(spark, "task_id int, text string", BOT_TASKS), attempted)
+    files = spread(spark, sf_dir, "path string, content string", BOT)
+    attempted = spread(spark, sf_dir, "task_id int, callback string", [(1, "by{n}_name"), (2, "by{n}_league"), (3, "unknown")])
+    return targets.alternative_callbacks(python_source.bindings(files), python_source.literal_terms(files), spread(spark, sf_dir, "task_id int, text string", BOT_TASKS), attempted)
 
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (nth <= 5) AS in_first FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) GROUP BY event_type""")

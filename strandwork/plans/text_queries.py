@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from strandwork import config
 from strandwork.functions import paths, text, times
 from strandwork.operators import extract, ranking
-from strandwork.plans.registry import query, values
-from strandwork.sources.tables import capitalised, documents_as_files, inline, table
+from strandwork.plans.registry import query, spread_sql, values
+from strandwork.sources.tables import capitalised, documents_as_files, spread, table
 
 PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
 PATHS = [
-    ("src/app/main.py",), ("src/app/Main.TSX",), ("node_modules/left/index.js",), ("pkg.egg-info/PKG-INFO",), (".env",),
-    ("conf/.env.local",), ("keys/server.PEM",), ("Build/out.js",), ("docs/readme.md",), ("pyproject.toml",), ("deep/a/b/c/Service.kt",),
-    ("tests/test_main.py",), ("web/button.spec.ts",), ("Makefile",), ("secrets.json",), ("../outside.py",), ("src/.hidden",), ("a/build.gradle.kts",),
+    ("src/app/main{n}.py",), ("src/app/Main{n}.TSX",), ("node_modules/left{n}/index.js",), ("pkg{n}.egg-info/PKG-INFO",), (".env",),
+    ("conf{n}/.env.local",), ("keys/server{n}.PEM",), ("Build/out{n}.js",), ("docs{n}/readme.md",), ("pyproject.toml",), ("deep/a/b{n}/c/Service.kt",),
+    ("tests/test_main{n}.py",), ("web/button{n}.spec.ts",), ("Makefile",), ("secrets.json",), ("../outside{n}.py",), ("src/.hidden{n}",), ("a{n}/build.gradle.kts",),
 ]
 
 
@@ -43,11 +43,11 @@ def q_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         {_NAME} IN {_list(config.PROJECT_FILES)} OR {_SUFFIX} IN {_list(config.SOURCE_SUFFIXES)} AS source_file,
         starts_with(lower(list_extract(string_split(path, '/'), -1)), 'test_')
             OR regexp_matches(lower(path), '(_test\\.py|\\.(test|spec)\\.(ts|js))$') AS test_file
-    FROM (VALUES {values(PATHS)}) t(path)""")
+    FROM {spread_sql(PATHS, "path")} t""")
 def q_path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each path is."""
     p = F.col("path")
-    return inline(spark, "path string", PATHS).select(
+    return spread(spark, sf_dir, "path string", PATHS).select(
         "path", paths.is_ignored(p).alias("ignored"), paths.is_indexable(p).alias("indexable"), paths.is_source(p).alias("source_file"), paths.is_test(p).alias("test_file")
     )
 
@@ -78,44 +78,44 @@ def q_textscan_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPORTS = [
-    ("r1", "Status: FAILED\nExit code: 1\nCommand: runner -q\nDuration: 2.50 s\n\nFAIL: test_a (pkg.tests.A.test_a)\nERROR: test_b (pkg.tests.B.test_b)\nFAILED (failures=1, errors=1)\n"),
-    ("r2", "Status: PASSED\nExit code: 0\nCommand: npm test\nDuration: 10 s\n"),
-    ("r3", "Status: FAILED\nCommand: pytest\nFAILED tests/test_x.py::test_one - boom\nFAILED tests/test_x.py::test_one - boom\nFAILED tests/test_y.py::T::test_two\n2 failed\n"),
-    ("r4", "nothing to see"),
+    ("r1-{n}", "Status: FAILED\nExit code: 1\nCommand: runner -q\nDuration: 2.50 s\n\nFAIL: test_a (pkg.tests.A{n}.test_a)\nERROR: test_b (pkg.tests.B.test_b)\nFAILED (failures=1, errors=1)\n"),
+    ("r2-{n}", "Status: PASSED\nExit code: 0\nCommand: npm test\nDuration: 10 s\n"),
+    ("r3-{n}", "Status: FAILED\nCommand: pytest\nFAILED tests/test_x{n}.py::test_one - boom\nFAILED tests/test_x{n}.py::test_one - boom\nFAILED tests/test_y.py::T::test_two\n2 failed\n"),
+    ("r4-{n}", "nothing to see"),
 ]
-_REPORTS = values(REPORTS).replace("\n", "' || chr(10) || '")
+_REPORTS = spread_sql(REPORTS, "run_id, body")
 
 
 @query(f"""SELECT run_id, nullif(regexp_extract(body, '(?m)^Status: *(.*)$', 1), '') AS status,
         try_cast(nullif(regexp_extract(body, '(?m)^Exit code: *(.*)$', 1), '') AS INT) AS exit_code,
         nullif(regexp_extract(body, '(?m)^Command: *(.*)$', 1), '') AS command,
         CAST(round(1000 * try_cast(regexp_replace(regexp_extract(body, '(?m)^Duration: *(.*)$', 1), ' *s$', '') AS DOUBLE)) AS BIGINT) AS millis
-    FROM (VALUES {_REPORTS}) t(run_id, body)""")
+    FROM {_REPORTS} t""")
 def q_report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved reports back into rows."""
     f = extract.report_fields(F.col("body"))
-    return inline(spark, "run_id string, body string", REPORTS).select("run_id", f["status"].alias("status"), f["exit_code"].alias("exit_code"), f["command"].alias("command"), F.round(f["duration"] * 1000).cast("long").alias("millis"))
+    return spread(spark, sf_dir, "run_id string, body string", REPORTS).select("run_id", f["status"].alias("status"), f["exit_code"].alias("exit_code"), f["command"].alias("command"), F.round(f["duration"] * 1000).cast("long").alias("millis"))
 
 
-@query(f"""WITH lines AS (SELECT run_id, unnest(string_split(body, chr(10))) AS line FROM (VALUES {_REPORTS}) t(run_id, body))
+@query(f"""WITH lines AS (SELECT run_id, unnest(string_split(body, chr(10))) AS line FROM {_REPORTS} t)
     SELECT DISTINCT run_id, coalesce(nullif(regexp_extract(line, '^(FAIL|ERROR): \\S+ \\(([^)]+)\\)', 2), ''), nullif(regexp_extract(line, '^FAILED (\\S+::\\S+)', 1), '')) AS test_id
     FROM lines WHERE test_id IS NOT NULL""")
 def q_failing_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct failing tests of each report."""
-    return extract.test_failures(inline(spark, "run_id string, body string", REPORTS), "body", "run_id")
+    return extract.test_failures(spread(spark, sf_dir, "run_id string, body string", REPORTS), "body", "run_id")
 
 
 SCRIPTS = [
-    ("a.ts", "import x from './b'\nexport class Alpha {}\nexport const run = async (a, b) => a\nconst plain = 3\ninterface Shape {}\n"),
-    ("b.js", "const fs = require('fs')\nfunction beta() {}\nexport default function gamma() {}\nimport 'side'\n"),
+    ("a{n}.ts", "import x from './b'\nexport class Alpha{n} {}\nexport const run = async (a, b) => a\nconst plain = 3\ninterface Shape {}\n"),
+    ("b{n}.js", "const fs = require('fs')\nfunction beta() {}\nexport default function gamma() {}\nimport 'side'\n"),
 ]
 
 
-@query(f"""SELECT * FROM (VALUES {values([('a.ts', 'Alpha', 'class'), ('a.ts', 'run', 'function'), ('a.ts', 'Shape', 'interface'), ('b.js', 'beta', 'function'), ('b.js', 'gamma', 'function'),
-    ('a.ts', './b', 'import'), ('b.js', 'fs', 'import'), ('b.js', 'side', 'import')])}) t(path, name, kind)""")
+@query(f"""SELECT * FROM {spread_sql([('a{n}.ts', 'Alpha{n}', 'class'), ('a{n}.ts', 'run', 'function'), ('a{n}.ts', 'Shape', 'interface'), ('b{n}.js', 'beta', 'function'), ('b{n}.js', 'gamma', 'function'),
+    ('a{n}.ts', './b', 'import'), ('b{n}.js', 'fs', 'import'), ('b{n}.js', 'side', 'import')], "path, name, kind")} t""")
 def q_script_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: declarations and imports of scripts."""
-    df = inline(spark, "path string, content string", SCRIPTS)
+    df = spread(spark, sf_dir, "path string, content string", SCRIPTS)
     names = df.select("path", F.explode(extract.generic_symbols(F.col("content"))).alias("s")).select("path", "s.name", "s.kind")
     return names.union(df.select("path", F.explode(extract.generic_imports(F.col("content"))).alias("name"), F.lit("import").alias("kind")))
 
@@ -156,7 +156,7 @@ def q_static_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESPONSES = [
-    (1, '{"summary": "short", "tags": ["a", "b"], "important_symbols": ["X"]}'), (2, ""), (3, "not json"), (4, '{"tags": []}'),
+    (1, '{"summary": "short {n}", "tags": ["a", "b"], "important_symbols": ["X"]}'), (2, ""), (3, "not json"), (4, '{"tags": []}'),
     (5, '{"summary": "s", "tags": "one", "important_symbols": []}'), (6, None), (7, '["list"]'),
 ]
 
@@ -165,12 +165,12 @@ RESPONSES = [
         WHEN json_type(body) <> 'OBJECT' OR json_extract_string(body, '$.summary') IS NULL THEN 'schema_validation_error' ELSE 'complete' END AS status,
         CASE WHEN json_valid(body) THEN left(json_extract_string(body, '$.summary'), 600) END AS summary,
         coalesce(CASE WHEN json_valid(body) THEN CASE json_type(body, '$.tags') WHEN 'ARRAY' THEN json_array_length(body, '$.tags') WHEN 'VARCHAR' THEN 1 ELSE 0 END END, 0)::BIGINT AS tags
-    FROM (VALUES {values(RESPONSES)}) t(id, body)""")
+    FROM {spread_sql(RESPONSES, "id, body")} t""")
 def q_json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses as validated rows or a reason."""
     from strandwork.operators.json_objects import validated
 
-    out = inline(spark, "id int, body string", RESPONSES).select("id", validated(F.col("body")).alias("v"))
+    out = spread(spark, sf_dir, "id int, body string", RESPONSES).select("id", validated(F.col("body")).alias("v"))
     return out.select("id", "v.status", "v.summary", F.size("v.tags").cast("long").alias("tags"))
 
 
@@ -223,7 +223,7 @@ def q_camel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TASKS = [
-    (1, "Add an endpoint to save invoices; show a button on the page and update the tests."), (2, "Fix the typo"),
+    (1, "Add an endpoint to save invoices; show a button on the page and update the tests."), (2, "Fix typo {n}"),
     (3, "1. Create the ledger table\n2. Render the screen, and add fixtures\n3. Use the store"), (4, "Do not change the request handler"), (5, "rename Widgets and Dialogs"),
 ]
 
@@ -234,11 +234,11 @@ def _roles_sql(tokens: str) -> str:
 
 @query(f"""SELECT id, array_to_string({_roles_sql(_tokens_sql('task'))}, ',') AS roles,
         regexp_matches(task, '(?i)\\b(do not|don''t|never|without) (change|changing|modify|modifying|touch|touching)\\b|\\binspect first\\b|\\bfollow\\b.*\\bpatterns?\\b') AS support_only
-    FROM (VALUES {values(TASKS)}) t(id, task)""")
+    FROM {spread_sql(TASKS, "id, task")} t""")
 def q_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles a task names, and whether it only constrains."""
     t = F.col("task")
-    return inline(spark, "id int, task string", TASKS).select("id", F.array_join(text.surface_roles(text.surface_tokens(t)), ",").alias("roles"), text.is_support_only(t).alias("support_only"))
+    return spread(spark, sf_dir, "id int, task string", TASKS).select("id", F.array_join(text.surface_roles(text.surface_tokens(t)), ",").alias("roles"), text.is_support_only(t).alias("support_only"))
 
 
 _VERBS = "|".join(config.ACTION_WORDS)
@@ -278,17 +278,17 @@ def q_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.union(pages).select("id", "kind", F.sha2("t", 256).alias("sha256"), F.length("t").cast("long").alias("n_chars"))
 
 
-ENTRIES = [("20240102-030405-applied", None), ("20240102-030405-000123.diff", None), ("misc", "2024-05-06T07:08:09+00:00"), ("notes", None), ("20241399-000000", None)]
+ENTRIES = [("20240102-030405-applied{n}", None), ("20240102-030405-000123.diff", None), ("misc", "2024-05-06T07:08:09+00:00"), ("notes{n}", None), ("20241399-000000", None)]
 
 
 @query(f"""SELECT name, coalesce(CAST(stamp AS TIMESTAMPTZ)::TIMESTAMP,
         try_strptime(regexp_extract(name, '^([0-9]{{8}}-[0-9]{{6}}-[0-9]{{6}})', 1), '%Y%m%d-%H%M%S-%f'),
         try_strptime(regexp_extract(name, '^([0-9]{{8}}-[0-9]{{6}})', 1), '%Y%m%d-%H%M%S'), TIMESTAMP '1970-01-01') AS entry_at
-    FROM (VALUES {values(ENTRIES)}) t(name, stamp)""")
+    FROM {spread_sql(ENTRIES, "name, stamp")} t""")
 def q_history_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry's time from metadata, else from its name."""
     at = times.entry_time([F.col("stamp")], F.col("name"), F.lit(None).cast("timestamp"))
-    return inline(spark, "name string, stamp string", ENTRIES).select("name", at.cast("timestamp_ntz").alias("entry_at"))
+    return spread(spark, sf_dir, "name string, stamp string", ENTRIES).select("name", at.cast("timestamp_ntz").alias("entry_at"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 2000 THEN '[cut]' || right(text, 2000) ELSE text END AS tail,
@@ -299,20 +299,23 @@ def q_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.keep_tail(t, 2000, "[cut]").alias("tail"), text.context_budget(F.length(t) * 40).cast("long").alias("budget"))
 
 
-PATCHES = [(1, "\n```diff\n--- a/x\n+++ b/x\n```\n"), (2, "--- a/y\n+++ b/y"), (3, "```\nplain\n```"), (4, "\n\n  \nbody\n\n")]
+PATCHES = [(1, "\n```diff\n--- a/x{n}\n+++ b/x\n```\n"), (2, "--- a/y\n+++ b/y"), (3, "```\nplain\n```"), (4, "\n\n  \nbody\n\n")]
 
 
-@query(f"""SELECT * FROM (VALUES (1, '--- a/x' || chr(10) || '+++ b/x' || chr(10)), (2, '--- a/y' || chr(10) || '+++ b/y' || chr(10)), (3, 'plain' || chr(10)), (4, 'body' || chr(10))) t(id, patch)""")
+PATCH_TEXTS = [(1, "--- a/x{n}\n+++ b/x\n"), (2, "--- a/y\n+++ b/y\n"), (3, "plain\n"), (4, "body\n")]
+
+
+@query(f"SELECT * FROM {spread_sql(PATCH_TEXTS, 'id, patch')} t")
 def q_patch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patch text without fence, ending with a new line."""
-    return inline(spark, "id int, body string", PATCHES).select("id", paths.normalized_patch(F.col("body")).alias("patch"))
+    return spread(spark, sf_dir, "id int, body string", PATCHES).select("id", paths.normalized_patch(F.col("body")).alias("patch"))
 
 
-SETTINGS = [("a", " Yes ", "12"), ("b", "0", "-3"), ("c", None, "x"), ("d", "ON", None)]
+SETTINGS = [("a{n}", " Yes ", "12"), ("b{n}", "0", "-3"), ("c{n}", None, "x"), ("d{n}", "ON", None)]
 
 
 @query(f"""SELECT name, coalesce(lower(trim(flag)) IN ('1', 'true', 'yes', 'on'), FALSE) AS flag, coalesce(nullif(greatest(try_cast(number AS INT), 0), 0), 7) AS number,
-        nullif(left(trim(flag), 500), '') AS clipped FROM (VALUES {values(SETTINGS)}) t(name, flag, number)""")
+        nullif(left(trim(flag), 500), '') AS clipped FROM {spread_sql(SETTINGS, "name, flag, number")} t""")
 def q_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags, positive numbers and clipped text of settings."""
-    return inline(spark, "name string, flag string, number string", SETTINGS).select("name", text.truthy(F.col("flag")).alias("flag"), text.positive_int(F.col("number"), 7).alias("number"), text.clipped_or_null(F.col("flag")).alias("clipped"))
+    return spread(spark, sf_dir, "name string, flag string, number string", SETTINGS).select("name", text.truthy(F.col("flag")).alias("flag"), text.positive_int(F.col("number"), 7).alias("number"), text.clipped_or_null(F.col("flag")).alias("clipped"))

@@ -79,9 +79,14 @@ def git(repo: str) -> Run:
     return run
 
 
+def nul_rows(outputs: DataFrame, out: str, *keys: str) -> DataFrame:
+    """(keys..., path) of NUL-separated outputs."""
+    return outputs.select(*keys, F.explode(F.split(out, "\x00")).alias("path")).where("path <> ''")
+
+
 def nul_separated(spark: SparkSession, output: str) -> DataFrame:
     """(path) of NUL-separated output."""
-    return spark.createDataFrame([(output,)], "out string").select(F.explode(F.split("out", "\x00")).alias("path")).where("path <> ''")
+    return nul_rows(spark.createDataFrame([(output,)], "out string"), "out")
 
 
 def changed_files(spark: SparkSession, run: Run, ignored: Callable[[Column], Column] = paths.is_ignored) -> DataFrame:
@@ -93,9 +98,9 @@ def changed_files(spark: SparkSession, run: Run, ignored: Callable[[Column], Col
     return rows.distinct().where(~ignored(F.col("path")))
 
 
-def index_scope(scanned: DataFrame, changed: DataFrame) -> DataFrame:
-    """(path) of the scan and of what has changed, indexable, in order."""
-    return scanned.select("path").union(changed.select("path")).distinct().where(paths.is_indexable(F.col("path"))).orderBy("path")
+def index_scope(scanned: DataFrame, changed: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., path) of the scan and of what has changed, indexable."""
+    return scanned.select(*keys, "path").union(changed.select(*keys, "path")).distinct().where(paths.is_indexable(F.col("path")))
 
 
 def diff_text(run: Run, names: list[str], staged: bool = False) -> str:
@@ -117,10 +122,15 @@ def write_text(path: str | Path, text: str) -> None:
         beside.unlink(missing_ok=True)
 
 
+def maps(stored: DataFrame, body: str, *keys: str) -> DataFrame:
+    """(keys..., path, entry) of stored maps; bad JSON, another version or another shape give no rows."""
+    parsed = stored.select(*keys, F.from_json(body, MAP).alias("m"))
+    return parsed.where(F.col("m.version") == MAP_VERSION).select(*keys, F.explode("m.files").alias("path", "entry"))
+
+
 def load_map(spark: SparkSession, text: str) -> DataFrame:
-    """(path, entry) of a stored map; bad JSON, another version or another shape give no rows."""
-    parsed = spark.createDataFrame([(text,)], "body string").select(F.from_json("body", MAP).alias("m"))
-    return parsed.where(F.col("m.version") == MAP_VERSION).select(F.explode("m.files").alias("path", "entry"))
+    """(path, entry) of one stored map."""
+    return maps(spark.createDataFrame([(text,)], "body string"), "body")
 
 
 def save_map(rows: DataFrame, path: str | Path) -> None:
@@ -169,7 +179,8 @@ def command_profile(toml: str, profile: str) -> list[str] | None:
 DETECTORS = (("package.json", "npm test"), ("pom.xml", "mvn test"), ("build.gradle", "gradle test"), ("build.gradle.kts", "gradle test"), ("pyproject.toml", "pytest"), ("setup.py", "pytest"), ("composer.json", "composer test"))
 
 
-def test_command(files: DataFrame) -> DataFrame:
-    """(command) that the files(path) of a repository suggest; no row if none does."""
-    known = files.sparkSession.createDataFrame([(i, *d) for i, d in enumerate(DETECTORS)], "prio int, path string, command string")
-    return files.join(F.broadcast(known), "path").groupBy().agg(F.min_by("command", "prio").alias("command")).where("command IS NOT NULL")
+def test_command(files: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., command) that the files(keys..., path) of repositories suggest; no row if none does."""
+    known = F.create_map(*[F.lit(x) for i, (path, command) in enumerate(DETECTORS) for x in (path, f"{i:02} {command}")])
+    found = files.withColumn("__c", known[F.col("path")]).groupBy(*keys).agg(F.min("__c").alias("command"))
+    return found.where("command IS NOT NULL").select(*keys, F.expr("substring(command, 4)").alias("command"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,26 @@ def capitalised(text: Column) -> Column:
 
 def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+
+def spread(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
+    """The rows as every supplier's own: its number stands for {n} in texts, and integer ids are a hundred times it and more.
+
+    A supplier's rows are made where the supplier is read, without a join.
+    """
+    kinds = spark.createDataFrame([], schema).schema
+    literal = lambda v, t: F.array(*[F.lit(x) for x in v]).cast(t) if isinstance(v, list) else F.lit(v).cast(t)
+    each = F.array(*[F.struct(*[literal(v, f.dataType).alias(f.name) for v, f in zip(r, kinds, strict=True)]) for r in rows])
+    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("__n"), F.explode(each).alias("r"))
+    number = F.col("__n").cast("string")
+
+    def own(f: T.StructField) -> Column:
+        c = F.col("r")[f.name]
+        if isinstance(f.dataType, T.StringType):
+            return F.replace(c, F.lit("{n}"), number).alias(f.name)
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            return F.transform(c, lambda x: F.replace(x, F.lit("{n}"), number)).alias(f.name)
+        whole = isinstance(f.dataType, (T.IntegerType, T.LongType)) and f.name.endswith("id")
+        return (F.col("__n") * 100 + c).cast(f.dataType).alias(f.name) if whole else c.alias(f.name)
+
+    return found.select(*[own(f) for f in kinds])
