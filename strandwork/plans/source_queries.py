@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import paths, text
 from strandwork.operators import diffs, evidence, extract, json_objects, python_source, ranking, script_source, semantic, verdict
+from strandwork.operators.settle import shared_folder
 from strandwork.plans import retrieval
 from strandwork.plans.join_queries import PATH, part_edges
-from strandwork.plans.registry import query, spread_sql, values
+from strandwork.plans.registry import query, spread_sql
+from strandwork.plans.versions import Versions
 from strandwork.sources.tables import document_path, spread, table
 
 SOURCES = [
@@ -185,6 +188,20 @@ def q_update_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.update_index(old, files, lambda df: df.select("path", "hash", F.lit("analysed").alias("state"))).select("path", "state", "renamed_from")
 
 
+@query(f"""WITH now AS (SELECT {PATH} AS path, text, sha256(text) AS hash FROM documents WHERE lang <> 'de' AND text IS NOT NULL),
+    old AS (SELECT {PATH} AS path, sha256(CASE WHEN source = 'src7' THEN text || '!' ELSE text END) AS hash FROM documents WHERE lang <> 'es' AND text IS NOT NULL)
+    SELECT n.path, CASE WHEN o.path IS NULL THEN 2 ELSE 1 END AS version, length(n.text) AS size FROM now n LEFT JOIN old o ON n.path = o.path AND n.hash = o.hash""")
+def q_index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index published in two versions: rows of the second come from the version that analysed their file."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(document_path().alias("path"), "text", "lang", "source")
+    old = docs.where("lang <> 'es'").select("path", F.concat("text", F.when(F.col("source") == "src7", "!").otherwise("")).alias("content"))
+    now = docs.where("lang <> 'de'").select("path", F.col("text").alias("content"))
+    index = Versions(spark, f"{shared_folder(spark)}/strandwork-index-{uuid.uuid4().hex}", 4)
+    for state in (old, now):
+        index.update(lambda state=state: state, lambda rows: rows.select("path", "hash", F.length("content").alias("size")))
+    return index.rows().select("path", "version", "size")
+
+
 class StubClient:
     """Answers from the path: well formed, fenced, wrong once, wrong always, or late."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork import config
 from strandwork.functions import paths, text, times
-from strandwork.operators import diffs, evidence, extract, history
+from strandwork.operators import diffs, evidence, extract, history, lifecycle
 from strandwork.plans import repair
 from strandwork.plans.change_queries import diff_rows
 from strandwork.plans.registry import query, spread_sql, values
@@ -103,22 +103,31 @@ def q_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", is_eligible(F.octet_length("text"), capitalised(F.col("text"))).alias("eligible"))
 
 
-HISTORY_ROWS = [(f"2024010{i}-000000", "APPLIED", f"2024-01-0{i} 00:00:00") for i in range(1, 7)] + [("20240108-000000", "PENDING", None)]
-
-
-@query(f"SELECT * FROM {spread_sql([(f'2024010{i}-000000', 'APPLIED', 'NOT_RUN') for i in (3, 4, 5, 6)] + [('20240108-000000', 'APPLIED', 'PASSED')], "id, status, test_status")} t")
+_ACTIONS = {"view": "begin", "click": "finalize", "purchase": "pass", "error": "fail", "signup": "undo"}
+_ACTION_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTIONS.items()) + " END"
+
+
+@query(f"""WITH RECURSIVE ev AS (
+        SELECT user_id * 8 + event_id % 8 AS entry, epoch_us(ts) // 1000 AS at_ms, {_ACTION_SQL} AS action,
+            row_number() OVER (PARTITION BY user_id * 8 + event_id % 8 ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+    w AS (
+        SELECT DISTINCT entry, 0::BIGINT AS r, 'NONE' AS status, 'NOT_RUN' AS tests, NULL::BIGINT AS since, 0 AS refused FROM ev
+        UNION ALL
+        SELECT entry, nr, CASE WHEN NOT fits OR action IN ('pass', 'fail') THEN s0 WHEN action = 'begin' THEN 'PENDING' WHEN action = 'finalize' THEN 'APPLIED' ELSE 'UNDONE' END,
+            CASE WHEN NOT fits THEN tests WHEN action = 'begin' THEN 'NOT_RUN' WHEN action = 'pass' THEN 'PASSED' WHEN action = 'fail' THEN 'FAILED' ELSE tests END,
+            CASE WHEN NOT fits OR action IN ('pass', 'fail') THEN since ELSE at_ms END, refused + CASE WHEN fits THEN 0 ELSE 1 END
+        FROM (
+            SELECT *, coalesce(action = 'begin' AND s0 IN ('NONE', 'UNDONE', 'EXPIRED') OR action = 'finalize' AND s0 = 'PENDING' OR action IN ('pass', 'fail', 'undo') AND s0 = 'APPLIED', false) AS fits
+            FROM (SELECT w.*, e.r AS nr, e.at_ms, e.action, CASE WHEN w.status = 'PENDING' AND e.at_ms - w.since > 86400000 THEN 'EXPIRED' ELSE w.status END AS s0 FROM w JOIN ev e ON e.entry = w.entry AND e.r = w.r + 1))),
+    last AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entry ORDER BY r DESC) = 1)
+    SELECT entry, CASE WHEN status = 'PENDING' AND (SELECT max(at_ms) FROM ev) - since > 86400000 THEN 'EXPIRED' ELSE status END AS status, tests AS test_status, since, refused FROM last""")
 def q_history_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An entry begun, applied and tested, another undone and put back; five stay."""
-    stamp = lambda s: F.lit(s).cast("timestamp")
-    old = spread(spark, sf_dir, "id string, status string, at string", HISTORY_ROWS[:6])
-    none = F.lit(None).cast("timestamp")
-    empty = F.array().cast("array<struct<path:string,before_exists:boolean,after_exists:boolean>>")
-    rows = old.select("id", "status", F.to_timestamp("at").alias("applied_at"), none.alias("completed_at"), none.alias("undone_at"), F.lit("NOT_RUN").alias("test_status"), empty.alias("files"))
-    begun = history.begin("20240108-000000", spread(spark, sf_dir, "path string, exists boolean", [("a", True), ("b", False)]))
-    rows = history.finalize(rows.unionByName(begun), "20240108-000000", spread(spark, sf_dir, "path string, exists boolean", [("a", True), ("b", True)]), stamp("2024-01-08"))
-    rows = history.undo(rows, "20240102-000000", stamp("2024-01-09"))
-    rows = history.tested(rows, "20240108-000000", "PASSED", stamp("2024-01-10"))
-    return rows.where("status = 'APPLIED'").select("id", "status", "test_status")
+    """Entries begun, applied, tested and undone by events; what is out of order is refused, what waits a day expires."""
+    found = table(spark, sf_dir, "events")
+    action = F.create_map(*[F.lit(x) for pair in _ACTIONS.items() for x in pair])[F.col("event_type")]
+    rows = found.select((F.col("user_id") * 8 + F.col("event_id") % 8).alias("entry"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", action.alias("action"))
+    now = F.lit(rows.agg(F.max("at")).first()[0])
+    return lifecycle.replayed(rows, "entry", now=now)
 
 
 @query(f"SELECT * FROM {spread_sql([('r1-{n}', False), ('r2-{n}', True), ('r3-{n}', False)], "run_id, current")} t")

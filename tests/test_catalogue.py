@@ -34,6 +34,12 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_query_reads_the_given_tables(spark, name, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        QUERIES[name](spark, str(tmp_path / "nowhere")).collect()
+
+
 def test_the_others_are_known():
     assert set(QUERIES) - set(ORACLE_SQL) == ROWS_ONLY
 
@@ -41,9 +47,11 @@ def test_the_others_are_known():
 def test_retrieval_finds_what_tasks_name(spark, sf):
     rows = QUERIES["q_retrieve"](spark, sf).collect()
     by = {(r.task_id, r.path): r for r in rows}
-    assert by[2, "shop/api.py"].source == "explicit" and by[2, "shop/api.py"].rank == 1
-    assert {"shop/store.py", "shop/models.py", "web/cart.tsx"} <= {p for t, p in by if t == 1}
-    assert not any(t == 3 for t, _ in by) and not any("node_modules" in p for _, p in by)
+    for n in (0, 3):
+        assert by[100 * n + 2, f"t{n}/shop/api.py"].source == "explicit" and by[100 * n + 2, f"t{n}/shop/api.py"].rank == 1
+    found = {p.split("/", 1)[1] for t, p in by if t % 100 == 1}
+    assert {"shop/store.py", "shop/models.py"} <= found
+    assert not any(t % 100 == 3 for t, _ in by) and not any("node_modules" in p for _, p in by)
 
 
 def test_plans_keep_to_their_caps(spark, sf):
@@ -51,7 +59,7 @@ def test_plans_keep_to_their_caps(spark, sf):
     assert plan and all(r.score >= 120 for r in plan)
     assert len({(r.task_id, r.path, r.name) for r in plan}) == len(plan)
     docs = {r.task_id: r for r in QUERIES["q_materialise"](spark, sf).collect()}
-    assert "def save_invoice" in docs[1].document and all(r.skipped == 0 for r in docs.values())
+    assert "def save_invoice" in docs[101].document and all(r.skipped == 0 for r in docs.values())
     spark.catalog.clearCache()
 
 
