@@ -2,7 +2,8 @@
 
 Source shares p become weights in proportion to p**a. The exponent a is searched between 0
 (all alike) and 1 (as found), by cutting the interval again and again: the largest at which
-the weights reach the target entropy, or, if sources would repeat too often there, the
+the weights reach the target entropy (half of what the found shares lack of the greatest one,
+by default), or, if sources would repeat too often there, the
 smallest that keeps to the repetition limit. Each cut sums over the sources where they are,
 so their number is not bounded by a task. The weights are realised by block permutations:
 each source is dealt into hashed blocks, every pass orders the blocks and the rows within
@@ -38,7 +39,7 @@ def _narrowed(bracket: tuple[float, float], holds: dict[float, bool], below: boo
     return lo, hi
 
 
-def temperature(sizes: DataFrame, entropy_share: float, max_repeats: float, budget_tokens: int | None) -> tuple[float, float, float] | None:
+def temperature(sizes: DataFrame, entropy_share: float, max_repeats: float, budget_tokens: int | None, entropy_gap: float) -> tuple[float, float, float] | None:
     """(exponent, sum of p**exponent over the largest p, tokens of the largest source) for sizes(tokens) over 0; None without any.
 
     What reaches the driver in each cut is one row for each exponent tried.
@@ -47,7 +48,7 @@ def temperature(sizes: DataFrame, entropy_share: float, max_repeats: float, budg
     k, top, least = classes.agg(F.sum("n"), F.max("tokens"), F.min("tokens")).first()
     if not k:
         return None
-    even, least = math.log(k) * entropy_share, math.log(least / top)
+    least = math.log(least / top)
     log = F.log(F.col("tokens") / F.lit(top))
 
     def sums(tried: list[float]) -> dict[float, tuple[float, float]]:
@@ -55,6 +56,10 @@ def temperature(sizes: DataFrame, entropy_share: float, max_repeats: float, budg
         each = each.groupBy("a").agg(F.sum(F.col("n") * F.exp(F.col("a") * F.col("x"))).alias("s"), F.sum(F.col("n") * F.col("x") * F.exp(F.col("a") * F.col("x"))).alias("m"))
         return {r["a"]: (r["s"], r["m"]) for r in each.collect()}  # a row for each exponent tried
 
+    total, weighted = sums([1.0])[1.0]
+    as_found = math.log(total) - weighted / total
+    even = max(math.log(k) * entropy_share, as_found + entropy_gap * (math.log(k) - as_found))
+
     def mixed_enough(a: float, s: float, m: float) -> bool:
         return math.log(s) - a * m / s >= even - 1e-12
 
@@ -72,17 +77,19 @@ def temperature(sizes: DataFrame, entropy_share: float, max_repeats: float, budg
     return exponent, sums([exponent])[exponent][0], top
 
 
-def source_weights(sizes: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget_tokens: int | None = None) -> DataFrame:
+def source_weights(sizes: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget_tokens: int | None = None, entropy_gap: float = 0.5) -> DataFrame:
     """(source, tokens, weight, repeats, quota, exponent) of sizes(source, tokens), which has one row a source.
 
-    entropy_share: the target as a share of the entropy of equal weights. Without a budget it
-    is the least at which every source is passed through once: the largest source repeats
-    once, none more than max_repeats times. With one, quotas are the weights' shares of it;
+    The target entropy is entropy_share of that of equal weights, and at least so much more than
+    the found shares have that entropy_gap of what they lack is made up, so unequal sources are
+    always evened out to some degree. Without a budget it is the least at which every source is
+    passed through once: the largest source repeats once, none more than max_repeats times. With
+    one, quotas are the weights' shares of it;
     a budget over max_repeats times all tokens ends there, for every source alike. Sources
     without tokens get no row.
     """
     full = sizes.where("tokens > 0")
-    found = temperature(full.select("tokens"), entropy_share, max_repeats, budget_tokens)
+    found = temperature(full.select("tokens"), entropy_share, max_repeats, budget_tokens, entropy_gap)
     exponent, total, top = found or (1.0, 1.0, 1)
     passes = 1.0 if budget_tokens is None else budget_tokens / (total * top)
     log = F.log(F.col("tokens") / F.lit(top))
@@ -93,7 +100,7 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.95, max_repeats: f
 
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *,
-    entropy_share: float = 0.95, max_repeats: float = 4.0, budget_tokens: int | None = None, seed: int = 0,
+    entropy_share: float = 0.95, entropy_gap: float = 0.5, max_repeats: float = 4.0, budget_tokens: int | None = None, seed: int = 0,
 ) -> DataFrame:
     """One row for each document and pass: (id, digest, source, n_tokens, epoch, block, position).
 
@@ -112,7 +119,7 @@ def mix_plan(
     sizes = units.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     # neither a source's blocks nor a block's rows grow faster than the root of its rows
     sizes = written(sizes.withColumn("blocks", F.ceil(F.col("rows") / F.greatest(F.lit(float(BLOCK)), F.sqrt("rows")))), "sizes")
-    weights = source_weights(sizes.select("source", "tokens"), entropy_share, max_repeats, budget_tokens)
+    weights = source_weights(sizes.select("source", "tokens"), entropy_share, max_repeats, budget_tokens, entropy_gap)
     # a source without words has no weight: one pass, in which each of its documents counts as one token
     wordless = F.col("tokens") == 0
     quotas = sizes.join(weights.select("source", "quota"), "source", "left").withColumn("wordless", wordless)

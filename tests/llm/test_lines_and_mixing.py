@@ -42,7 +42,7 @@ def sizes(spark, *tokens):
 def test_weights_meet_the_entropy_or_the_limit(spark):
     import math
 
-    rows = source_weights(sizes(spark, 1000, 100, 10), 0.9, 1000.0).collect()
+    rows = source_weights(sizes(spark, 1000, 100, 10), 0.9, 1000.0, entropy_gap=0.0).collect()
     w = [r.weight for r in rows]
     assert sum(w) == pytest.approx(1) and -sum(x * math.log(x) for x in w) == pytest.approx(0.9 * math.log(3), rel=1e-9)
     rows = {r.source: r for r in source_weights(sizes(spark, 1000, 100, 10), 1.0, 4.0).collect()}
@@ -94,7 +94,7 @@ def test_sources_without_words_come_once(spark):
     assert mix_sources(spark.createDataFrame(blank, DOCS)).count() == 9
 
 
-def plain_exponent(tokens, share, limit, budget=None):
+def plain_exponent(tokens, share, limit, budget=None, gap=0.0):
     """By halving, over plain lists."""
     import math
 
@@ -104,8 +104,10 @@ def plain_exponent(tokens, share, limit, budget=None):
         w = [(t / top) ** a for t in tokens]
         return [x / sum(w) for x in w]
 
+    entropy = lambda a: -sum(x * math.log(x) for x in weights(a))
+
     def spread(a):
-        return -sum(x * math.log(x) for x in weights(a)) >= share * math.log(k) - 1e-12
+        return entropy(a) >= max(share * math.log(k), entropy(1.0) + gap * (math.log(k) - entropy(1.0))) - 1e-12
 
     def within(a):
         w = weights(a)
@@ -126,11 +128,12 @@ def plain_exponent(tokens, share, limit, budget=None):
     return max(change(spread, True), change(within, False))
 
 
+@pytest.mark.parametrize("gap", [0.0, 0.5])
 @pytest.mark.parametrize(("share", "limit", "budget"), [(0.95, 4.0, None), (0.7, 50.0, None), (1.0, 2.0, None), (0.9, 3.0, 900), (0.9, 1.5, 2500), (0.9, 2.0, 10**6)])
-def test_exponent_is_that_of_plain_halving(spark, share, limit, budget):
+def test_exponent_is_that_of_plain_halving(spark, share, limit, budget, gap):
     tokens = [1000, 400, 400, 37, 12, 3]
-    rows = source_weights(sizes(spark, *tokens), share, limit, budget).collect()
-    want = plain_exponent(tokens, share, limit, budget)
+    rows = source_weights(sizes(spark, *tokens), share, limit, budget, gap).collect()
+    want = plain_exponent(tokens, share, limit, budget, gap)
     assert all(r.exponent == pytest.approx(want, abs=1e-9) for r in rows)
     if budget == 10**6:  # more than all sources may repeat
         assert all(r.quota == r.tokens * 2 for r in rows)
@@ -139,6 +142,20 @@ def test_exponent_is_that_of_plain_halving(spark, share, limit, budget):
         assert all(abs(r.quota - r.weight * budget) <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_the_target_binds_on_the_tables(spark, name):
+    from strandwork.llm.queries import op9_source_mixing
+    from strandwork.llm.support import words_of
+
+    docs = spark.read.parquet(f"/root/testdata/{name}/documents.parquet")
+    tokens = docs.groupBy("source").agg(F.sum(F.size(words_of(F.coalesce("text", F.lit(""))))).alias("tokens"))
+    rows = source_weights(tokens).collect()
+    want = plain_exponent([r.tokens for r in rows], 0.95, 4.0, gap=0.5)
+    assert all(r.exponent == pytest.approx(want, abs=1e-9) and r.exponent < 1 for r in rows) and max(r.repeats for r in rows) > 1
+    plan = op9_source_mixing(spark, f"/root/testdata/{name}")
+    assert plan.count() > docs.count() == plan.where("epoch = 0").count()
+
+
 def test_positions_are_places_in_the_quota_and_sources_run_side_by_side(spark):
     rows = [(i, " ".join(["w"] * (i * 7 % 6)), None, "big" if i < 2600 else f"s{i % 3}", None) for i in range(2900)]
     plan = mix_plan(spark.createDataFrame(rows, DOCS), max_repeats=3.0).collect()
