@@ -49,20 +49,22 @@ def without_containers(ranges: DataFrame, *keys: str, width: int = WIDTH) -> Dat
 def running(rows: DataFrame, keys: list[str], line: str, order: list[Column], values: dict[str, tuple[str, str]], width: int = WIDTH) -> DataFrame:
     """rows with running values in the order of line, then of order, within keys; rows of one line are in one slice.
 
-    values: name to (kind, column): sum adds up a number over the rows before and at a row, last
-    takes the last value that isn't null.
+    values: name to (kind, column): sum adds up a number over the rows before and at a row, min is
+    the least of them, last takes the last value that isn't null.
     """
     cut = rows.withColumn("__slice", _slice(line, width))
     inside = Window.partitionBy(*keys, "__slice").orderBy(line, *order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct(F.col(line), *[c for c in order])
-    total = {n: F.sum(c) if kind == "sum" else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)) for n, (kind, c) in values.items()}
+    at = F.struct(F.col(line), *order)
+    folds = {"sum": F.sum, "min": F.min}
+    total = {n: folds[kind](c) if kind in folds else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)) for n, (kind, c) in values.items()}
     sums = cut.groupBy(*keys, "__slice").agg(*[x.alias(f"__{n}") for n, x in total.items()])
-    carry = {f"__{n}": F.sum(f"__{n}").over(before) if kind == "sum" else F.last(f"__{n}", ignorenulls=True).over(before) for n, (kind, _) in values.items()}
+    carry = {f"__{n}": (folds[kind](f"__{n}") if kind in folds else F.last(f"__{n}", ignorenulls=True)).over(before) for n, (kind, _) in values.items()}
     sums = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__s"), *[x.alias(n) for n, x in carry.items()])
     met = cut.join(sums, _same(keys))
-    own = {n: F.sum(c).over(inside) if kind == "sum" else F.last(c, ignorenulls=True).over(inside) for n, (kind, c) in values.items()}
-    done = {n: F.coalesce(f"__{n}", F.lit(0)) + x if values[n][0] == "sum" else F.coalesce(x, F.col(f"__{n}")) for n, x in own.items()}
+    own = {n: (folds[kind](c) if kind in folds else F.last(c, ignorenulls=True)).over(inside) for n, (kind, c) in values.items()}
+    join = {"sum": lambda x, c: F.coalesce(c, F.lit(0)) + x, "min": lambda x, c: F.least(x, c), "last": lambda x, c: F.coalesce(x, c)}
+    done = {n: join[values[n][0]](x, F.col(f"__{n}")) for n, x in own.items()}
     return met.select(*rows.columns, *[x.alias(n) for n, x in done.items()])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import paths, text
-from strandwork.operators import diffs, evidence, extract, json_objects, python_source, ranking, script_source, semantic, verdict
+from strandwork.operators import balanced, diffs, evidence, extract, json_objects, python_source, ranking, script_source, semantic, verdict
 from strandwork.operators.settle import shared_folder
 from strandwork.plans import retrieval
 from strandwork.plans.join_queries import PATH, part_edges
@@ -237,6 +237,24 @@ def q_json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, "id int, answer string", ANSWERS).select("id", json_objects.load_object(F.col("answer")).alias("body"))
 
 
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'so: ' ELSE '}"{" ' END AS lead, props AS a, CASE WHEN event_id % 2 = 0 THEN ' "\\"{" ' || props ELSE ' {open' END AS b FROM events WHERE props IS NOT NULL)
+    SELECT event_id, (length(lead) + 1)::BIGINT AS start, (length(lead) + length(a))::BIGINT AS "end" FROM t
+    UNION ALL SELECT event_id, length(lead) + length(a) + 8, length(lead) + length(a) + length(b) FROM t WHERE event_id % 2 = 0""")
+def q_json_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outermost objects in texts around the events' properties: braces in strings, unmatched and unclosed ones among them."""
+    n = F.col("event_id")
+    lead, props = F.when(n % 3 == 0, "so: ").otherwise('}"{" '), F.col("props")
+    rows = table(spark, sf_dir, "events").where("props IS NOT NULL").select("event_id", F.concat(lead, props, F.when(n % 2 == 0, F.concat(F.lit(' "\\"{" '), props)).otherwise(" {open")).alias("body"))
+    return balanced.spans(rows, "body", "event_id", op=balanced.JSON)
+
+
+@query("""SELECT page_id, count(*) AS tags, sum(length(tag))::BIGINT AS size FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[^<>]*>')) AS tag FROM pages) GROUP BY page_id""")
+def q_markup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tags each page has and their size, by balanced angle brackets."""
+    found = balanced.spans(table(spark, sf_dir, "pages"), "html", "page_id", op=balanced.Lexer("", False, "<", ">"))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("tags"), F.sum(F.col("end") - F.col("start") + 1).alias("size"))
+
+
 CURRENT = "one\ntwo\nthree\nfour\nfive\nsix\nseven\neight\nnine\n"
 DRIFTED = [
     (1, "--- a/f\n+++ b/f\n@@ -2 +2 @@\n-two\n+2\n"), (2, "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n six\n-seven\n+7\n"), (3, "--- a/f\n+++ b/f\n@@ -1 +1 @@\n-absent\n+x\n"),
