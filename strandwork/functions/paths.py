@@ -62,11 +62,6 @@ def is_test(path: Column) -> Column:
     return name.startswith("test_") | name.rlike(r"(?:_test\.py|\.(?:test|spec)\.(?:ts|js))$")
 
 
-def canonical_path(path: Column, side: str) -> Column:
-    """One side prefix taken off and the given one put on; /dev/null stays."""
-    return F.when(path == "/dev/null", path).otherwise(F.concat(F.lit(side + "/"), F.regexp_replace(path, "^[ab]/", "")))
-
-
 def header_path(line: Column, prefix: str) -> Column:
     """Path of a diff header line: up to a tab, slashes forward; null if there is none."""
     rest = F.split_part(F.substr(line, F.lit(len(prefix) + 1)), F.lit("\t"), F.lit(1))

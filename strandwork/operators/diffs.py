@@ -69,10 +69,6 @@ def patch_paths(segmented: DataFrame, *keys: str) -> DataFrame:
     return head.where("path <> '/dev/null'").select(*keys, F.regexp_replace("path", "^[ab]/", "").alias("path")).distinct()
 
 
-def unsafe_paths(found: DataFrame) -> DataFrame:
-    return found.where(paths.is_unsafe_patch_path(F.col("path")))
-
-
 def safe_files(files: DataFrame, *keys: str) -> DataFrame:
     """(keys..., pos, path, body) of diffs' files(keys..., path, body): ignored ones left out, bodies redacted, last a note how many are missing."""
     hidden = paths.is_ignored(F.col("path"))

@@ -22,13 +22,6 @@ def around(content: Column, anchor: Column, full: int = FULL_FILE) -> Column:
     return F.when(F.length(content) <= full, content).otherwise(F.array_join(F.slice(rows, first, anchor + AFTER_ANCHOR - first + 1), "\n"))
 
 
-def hunk_anchor(source: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(path, hunk_no, anchor): first line of source(path, line_no, line) that equals the longest non-blank old line of the hunk that is there."""
-    old = hunks.where("kind IN (' ', '-') AND trim(substr(line, 2)) <> ''").select("path", "hunk_no", F.expr("substr(line, 2)").alias("line")).distinct()
-    met = old.join(source, ["path", "line"]).groupBy("path", "hunk_no", "line").agg(F.min("line_no").alias("line_no"))
-    return met.groupBy("path", "hunk_no").agg(F.max_by("line_no", F.struct(F.length("line"), -F.col("line_no"))).alias("anchor"))
-
-
 def nearby(segmented: DataFrame, errors: DataFrame, *keys: str) -> DataFrame:
     """Lines of segmented diffs from errors(keys..., error_line) on, up to the next file or hunk, at most ERROR_LINES."""
     df = segmented.join(errors, list(keys)).where("line_no >= error_line")
