@@ -35,11 +35,11 @@ def without_containers(ranges: DataFrame, *keys: str, width: int = WIDTH) -> Dat
     """
     cut = ranges.withColumn("__slice", _slice("start", width))
     ends = cut.groupBy(*keys, "__slice").agg(F.min("end").alias("__least"))
-    later = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__s"), F.min("__least").over(later).alias("__beyond"))
     met = cut.join(ends, _same(keys), "left")
-    own = Window.partitionBy(*keys, "__slice").orderBy("start")
-    behind = F.min("end").over(own.rangeBetween(1, Window.unboundedFollowing))
+    own = Window.partitionBy(*keys, "__slice").orderBy(F.desc("start"))  # from the end on, so that the least end is a running one
+    behind = F.min("end").over(own.rangeBetween(Window.unboundedPreceding, -1))
     beside = F.min("end").over(Window.partitionBy(*keys, "__slice", "start"))
     met = met.withColumns({"__behind": behind, "__beside": beside})
     holds = (F.least("__behind", "__beyond") <= F.col("end")) | (F.col("__beside") < F.col("end"))
