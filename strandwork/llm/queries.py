@@ -226,8 +226,9 @@ ORACLE_SQL: dict[str, str] = {
     "op13_repeat_index": r"""
         WITH hexed AS MATERIALIZED (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
-        starts AS (SELECT doc_id, h, unnest(range(0, n_bytes - 199)) AS i FROM hexed),
-        windows AS MATERIALIZED (SELECT doc_id, i, hash(h[2 * i + 1:2 * i + 400]) AS k FROM starts),
+        pieces AS MATERIALIZED (SELECT doc_id, n_bytes, j * 256 AS lo, h[512 * j + 1:512 * j + 910] AS h FROM (SELECT *, unnest(range(0, n_bytes // 256 + 1)) AS j FROM hexed)),
+        starts AS (SELECT doc_id, h, lo, unnest(range(0, least(256, n_bytes - 199 - lo))) AS i FROM pieces),
+        windows AS MATERIALIZED (SELECT doc_id, lo + i AS i, hash(h[2 * i + 1:2 * i + 400]) AS k FROM starts),
         again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
         marked AS (SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 200 AS opens FROM windows SEMI JOIN again USING (k)),
         numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
