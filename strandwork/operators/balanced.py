@@ -1,11 +1,8 @@
-"""Balanced brackets in texts, quoting and comments aside, by composing a lexer's transition functions.
-
-A text is cut into runs of its significant characters and gaps; what a run of tokens does to
-the lexer is a function from states to states, and such functions can be composed in any
-grouping. So each piece of a text is summed up on its own for every state that it may be
-entered in, the few sums of a text are composed in order, and then each piece is read with the
-state it is really entered in. Depths are running sums. A long text is spread over its pieces;
-nothing walks it in one loop.
+"""Balanced brackets in texts, quoting and comments aside, by a lexer's transition table.
+
+A text is cut into its significant characters and the gaps between them; the lexer's state,
+the depth and the open span are folded over them where the text lies, a piece at a time. Texts
+are spread over tasks as they are read; nothing is shuffled and no text meets another.
 """
 
 from __future__ import annotations
@@ -14,11 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from strandwork.operators import nesting
 
-#: Tokens of a piece.
+#: Tokens of a piece, whose spans are listed apart.
 PIECE = 256
 #: Classes of tokens: one significant character each, or a gap of any others.
 CLASSES = ('"', "'", "`", "\\", "/", "*", "\n", "open", "close", "gap")
@@ -61,51 +55,36 @@ class Lexer:
 SCRIPT, JSON = Lexer(), Lexer('"', False)
 
 
-def tokens(texts: DataFrame, text: str, *keys: str, op: Lexer = SCRIPT) -> DataFrame:
-    """(keys..., k, at, kind, char): the tokens of texts in order, k from 0, at from 1 in characters; kind is a place in CLASSES."""
-    special = "".join(f"\\{c}" for c in "\"'`\\/*" + op.opens + op.closes) + "\n"
-    found = F.regexp_extract_all(F.col(text), F.lit(f"[{special}]|[^{special}]+"), F.lit(0))
-    rows = texts.select(*keys, F.posexplode(found).alias("k", "token"))
-    char = F.left("token", F.lit(1))
-    classes = F.create_map(*[F.lit(x) for i, c in enumerate(CLASSES[:7]) for x in (c, i)], *[F.lit(x) for c in op.opens for x in (c, 7)], *[F.lit(x) for c in op.closes for x in (c, 8)])
-    rows = rows.withColumns({"char": char, "kind": F.coalesce(classes[char], F.lit(9)), "__n": F.char_length("token")})
-    swept = nesting.running(rows, list(keys), "k", [], {"__end": ("sum", "__n")}, PIECE)
-    return swept.select(*keys, "k", (F.col("__end") - F.col("__n") + 1).alias("at"), "kind", "char")
-
-
-def _applied(table: Column, f: Column, kind: Column) -> Column:
-    return F.transform(f, lambda s: F.get(F.get(table, kind), s))
-
-
-def states(found: DataFrame, *keys: str, op: Lexer = SCRIPT) -> DataFrame:
-    """tokens with state, the place in STATES in which each is read."""
-    table = F.array(*[F.array(*map(F.lit, row)) for row in op.table()])
-    same = F.array(*[F.lit(i) for i in range(len(STATES))])
-    cut = found.withColumn("__piece", F.floor(F.col("k") / PIECE))
-    pieces = cut.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(F.struct("k", "at", "kind", "char"))).alias("rows"))
-    pieces = pieces.withColumn("f", F.aggregate("rows", same, lambda f, t: _applied(table, f, t["kind"])))
-    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.aggregate(F.collect_list("f").over(before), F.lit(0), lambda s, f: F.get(f, s))
-    pieces = pieces.withColumn("entry", entry)
-    read = F.aggregate("rows", F.struct(F.col("entry").alias("s"), F.array().cast("array<int>").alias("all")), lambda a, t: F.struct(F.get(F.get(table, t["kind"]), a["s"]).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all")), lambda a: a["all"])
-    return pieces.select(*keys, F.explode(F.arrays_zip("rows", read.alias("state"))).alias("x")).select(*keys, "x.rows.*", F.col("x.state").alias("state"))
-
-
 def spans(texts: DataFrame, text: str, *keys: str, op: Lexer = SCRIPT) -> DataFrame:
     """(keys..., start, end): the outermost balanced spans of brackets, in characters from 1, both ends included.
 
     Brackets in strings and comments don't count; a closing one without its opening one counts
     for nothing, and a span that is never closed isn't returned. Null texts have no span.
     """
-    read = states(tokens(texts, text, *keys, op=op), *keys, op=op)
-    code = F.col("state") <= 1
-    step = F.when(code & (F.col("kind") == 7), 1).when(code & (F.col("kind") == 8), -1).otherwise(0)
-    marks = read.withColumn("step", step).where("step <> 0").select(*keys, "k", "at", "step")
-    swept = nesting.running(marks, list(keys), "k", [], {"sum": ("sum", "step")}, PIECE)
-    swept = nesting.running(swept, list(keys), "k", [], {"least": ("min", "sum")}, PIECE)
-    # an unmatched closing bracket is a new least sum, from which depth is counted on
-    swept = swept.withColumn("depth", F.col("sum") - F.least("least", F.lit(0)))
-    opens = (F.col("step") == 1) & (F.col("depth") == 1)
-    swept = nesting.running(swept.withColumn("opens", opens.cast("int")), list(keys), "k", [], {"span": ("sum", "opens")}, PIECE)
-    closes = F.min(F.when((F.col("step") == -1) & (F.col("depth") == 0), F.col("at")))
-    return swept.where("span > 0").groupBy(*keys, "span").agg(F.min("at").alias("start"), closes.alias("end")).where("end IS NOT NULL").select(*keys, "start", "end")
+    special = "".join(f"\\{c}" for c in "\"'`\\/*" + op.opens + op.closes) + "\n"
+    found = F.regexp_extract_all(F.col(text), F.lit(f"[{special}]|[^{special}]+"), F.lit(0))
+    classes = F.create_map(*[F.lit(x) for i, c in enumerate(CLASSES[:7]) for x in (c, i)], *[F.lit(x) for c in op.opens for x in (c, 7)], *[F.lit(x) for c in op.closes for x in (c, 8)])
+    after = F.array(*[F.array(*map(F.lit, row)) for row in op.table()])
+    token = lambda t: F.struct(F.coalesce(classes[F.left(t, F.lit(1))], F.lit(9)).alias("kind"), F.char_length(t).cast("long").alias("n"))
+    piece = lambda f, i: F.transform(F.sequence(i * PIECE, F.least(i * PIECE + PIECE, F.size(f)) - 1), lambda j: token(F.get(f, j)))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def at(a: Column, out: Column) -> Column:
+        return F.struct(*[a[c].alias(c) for c in ("at", "state", "depth", "start")], out.alias("out"))
+
+    def read(a: Column, t: Column) -> Column:
+        code = a["state"] <= 1
+        opens, closes = code & (t["kind"] == 7), code & (t["kind"] == 8) & (a["depth"] > 0)
+        whole = F.struct(a["start"].alias("start"), a["at"].alias("end"))
+        return F.struct(
+            (a["at"] + t["n"]).alias("at"), F.get(F.get(after, t["kind"]), a["state"]).alias("state"), F.when(opens, a["depth"] + 1).when(closes, a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
+            F.when(opens & (a["depth"] == 0), a["at"]).otherwise(a["start"]).alias("start"), F.when(closes & (a["depth"] == 1), F.concat(a["out"], F.array(whole))).otherwise(a["out"]).alias("out"),
+        )
+
+    first = F.struct(F.lit(1).cast("long").alias("at"), F.lit(0).alias("state"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("start"), F.array().cast("array<array<struct<start:bigint,end:bigint>>>").alias("out"))
+    numbers = lambda f: F.sequence(F.lit(0), F.floor((F.size(f) - 1) / PIECE).cast("int"))
+    # a piece's spans are a list of their own, so that no long list is copied for each of its members
+    folded = lambda f: F.when(F.size(f) > 0, F.aggregate(numbers(f), first, lambda a, i: F.aggregate(piece(f, i), at(a, none), read, lambda b: at(b, F.concat(a["out"], F.array(b["out"])))), lambda a: F.flatten(a["out"])))
+    every = F.get(F.transform(F.array(found), folded), F.lit(0))  # the list of tokens is made once and named
+    # outer: an inner one would have its list computed again for a filter on its size
+    return texts.select(*keys, F.explode_outer(every).alias("x")).where("x IS NOT NULL").select(*keys, "x.start", "x.end")

@@ -55,3 +55,16 @@ def test_the_lexer_composes():
         table = op.table()
         assert len(table) == len(balanced.CLASSES) and all(len(r) == len(balanced.STATES) for r in table)
     assert balanced.SCRIPT.next("slash", "*") == "block" and balanced.JSON.next("code", "/") == "code" and balanced.SCRIPT.next("double\\", '"') == "double"
+
+
+def test_spans_are_found_where_the_texts_lie(spark):
+    found = balanced.spans(spark.range(3).selectExpr("id", "'{a} {{b}} {' AS body"), "body", "id", op=balanced.JSON)
+    text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "Exchange" not in text and "Join" not in text  # summaries of every text were once joined back, by way of the driver
+    assert sorted(map(tuple, found.collect())) == [(i, *x) for i in range(3) for x in ((1, 3), (5, 9))]
+
+
+def test_a_long_text_is_read_once(spark):
+    n = 10_000
+    found = balanced.spans(spark.range(1).selectExpr("id", f"repeat('{{a \"}}\" }} ', {n}) AS body"), "body", "id", op=balanced.JSON).selectExpr("count(*) AS n", "sum(end - start) AS size", "max(end) AS last")
+    assert tuple(found.collect()[0]) == (n, 7 * n, 9 * n - 1)
