@@ -7,18 +7,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandwork import config
+from strandwork.operators.settle import settled
+
+
+#: Words with the same first three letters beyond which these are too common to look them up by.
+CROWDED = 64
+#: Tasks that ask for a key beyond which it is summed up once for all tasks that ask for the same.
+OFTEN = 64
 
 
 def containing(strings: DataFrame, words: DataFrame) -> DataFrame:
     """(word, s): which distinct words (of three letters or more) stand in which distinct strings s.
 
     A string that holds a word holds its first three letters, so the join is on those and
-    no string meets words it has nothing in common with.
+    no string meets words it has nothing in common with. Where many words begin alike, it is
+    on their first eight letters, or all of shorter ones.
     """
-    trigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substr("s", i, F.lit(3))))
-    pieces = strings.select("s").distinct().where("length(s) >= 3").select("s", F.explode(trigrams).alias("__key"))
-    keyed = words.select("word").distinct().select("word", F.left("word", F.lit(3)).alias("__key"))
-    return pieces.join(keyed, "__key").where(F.contains("s", F.col("word"))).select("word", "s")
+    position = F.sequence(F.lit(1), F.length("s") - 2)
+    pieces = strings.select("s").distinct().where("length(s) >= 3").select("s", F.explode(F.array_distinct(F.transform(position, lambda i: F.substr("s", i, F.lit(3))))).alias("__key"))
+    keyed = words.select("word").distinct().where("length(word) >= 3").select("word", F.left("word", F.lit(3)).alias("__key"))
+    crowded = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWDED).select("__key")
+    plain = pieces.join(keyed.join(crowded, "__key", "left_anti"), "__key").where(F.contains("s", F.col("word"))).select("word", "s")
+    starts = lambda s, key: F.filter(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3)) == key)
+    longer = F.flatten(F.transform(starts(F.col("s"), F.col("__key")), lambda i: F.transform(F.sequence(F.lit(3), F.least(F.lit(8), F.length("s") - i + 1)), lambda n: F.substr("s", i, n))))
+    fine = pieces.join(crowded, "__key", "left_semi").select("s", F.explode(F.array_distinct(longer)).alias("__key"))
+    many = keyed.join(crowded, "__key", "left_semi").select("word", F.left("word", F.lit(8)).alias("__key"))
+    return plain.union(fine.join(many, "__key").where(F.contains("s", F.col("word"))).select("word", "s"))
+
+
+def _strings(files: DataFrame, mode: str) -> DataFrame:
+    """(path, s, points): the lower-cased strings in which words count."""
+    points = lambda arr, n: F.transform(arr, lambda x: F.struct(F.lower(x).alias("s"), F.lit(n).alias("points")))
+    own = F.concat(points(F.array("path"), config.PATH_SCORE), points(F.col("symbols"), config.SYMBOL_SCORE))
+    ai = F.concat(points(F.col("tags"), config.TAG_SCORE), points(F.col("important"), config.IMPORTANT_SCORE), points(F.array("summary"), config.SUMMARY_SCORE))
+    rest = F.when(F.col("complete") & F.lit(mode == "ai"), ai).otherwise(points(F.col("imports"), config.IMPORT_SCORE))
+    strings = files.select("path", F.explode(F.concat(own, rest)).alias("x")).groupBy("path", "x.s").agg(F.sum("x.points").alias("points"))
+    return strings
+
+
+def word_points(words: DataFrame, files: DataFrame, *, mode: str = "static") -> DataFrame:
+    """(word, path, points): what each of words(word) counts in files, as word_scores has it."""
+    strings = _strings(files, mode)
+    return containing(strings, words).join(strings, "s").groupBy("word", "path").agg(F.sum("points").alias("points"))
 
 
 def word_scores(tasks: DataFrame, files: DataFrame, *, mode: str = "static") -> DataFrame:
@@ -27,14 +57,8 @@ def word_scores(tasks: DataFrame, files: DataFrame, *, mode: str = "static") ->
     A word counts in the path, in each symbol that holds it, and, where the row is complete
     and mode is ai, in tags, important symbols and summary, else in each import.
     """
-    points = lambda arr, n: F.transform(arr, lambda x: F.struct(F.lower(x).alias("s"), F.lit(n).alias("points")))
-    own = F.concat(points(F.array("path"), config.PATH_SCORE), points(F.col("symbols"), config.SYMBOL_SCORE))
-    ai = F.concat(points(F.col("tags"), config.TAG_SCORE), points(F.col("important"), config.IMPORTANT_SCORE), points(F.array("summary"), config.SUMMARY_SCORE))
-    rest = F.when(F.col("complete") & F.lit(mode == "ai"), ai).otherwise(points(F.col("imports"), config.IMPORT_SCORE))
-    strings = files.select("path", F.explode(F.concat(own, rest)).alias("x")).groupBy("path", "x.s").agg(F.sum("x.points").alias("points"))
     words = tasks.select("task_id", F.explode("words").alias("word"))
-    scored = containing(strings, words).join(strings, "s").groupBy("word", "path").agg(F.sum("points").alias("points"))
-    return words.join(scored, "word").groupBy("task_id", "path").agg(F.sum("points").alias("score"))
+    return words.join(word_points(words, files, mode=mode), "word").groupBy("task_id", "path").agg(F.sum("points").alias("score"))
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -42,6 +66,32 @@ def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def top_sums(wanted: DataFrame, held: DataFrame, k: int, order: list[Column], *node: str, extra: DataFrame | None = None, spare: int = 0) -> DataFrame:
+    """(task_id, node..., score, rank): each task's first k nodes by the sum of n * points over wanted(task_id, key, n) and held(key, node..., points).
+
+    extra(task_id, node..., points) adds to single nodes; it may take points from at most spare
+    nodes of a task. Nodes without a score above 0 go; order must be total. n and points are above 0.
+
+    The sums of keys that many tasks ask for are made once for each set of such keys, and
+    only the first k of them come to a task: a node that isn't among these, and that nothing else
+    of the task touches, has k others before it. So tasks don't meet all nodes of a common key.
+    """
+    wanted = settled(wanted.groupBy("task_id", "key").agg(F.sum("n").alias("n")))
+    common = settled(wanted.groupBy("key").agg(F.count(F.lit(1)).alias("__t")).where(F.col("__t") > OFTEN).select("key"))
+    asked = wanted.join(common, "key", "left_semi").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("__set"))
+    asked = settled(asked.withColumn("__class", F.sha2(F.to_json("__set"), 256)))
+    classes = asked.groupBy("__class").agg(F.first("__set").alias("__set")).select("__class", F.inline("__set"))
+    base = settled(classes.join(held, "key").groupBy("__class", *node).agg(F.sum(F.col("n") * F.col("points")).alias("score")))
+    first = top_k(base, k + spare, ["__class"], order, "__rank").drop("__rank")
+    of = asked.select("task_id", "__class")
+    touched = wanted.join(common, "key", "left_anti").join(held, "key").select("task_id", *node, (F.col("n") * F.col("points")).alias("points"))
+    touched = touched if extra is None else touched.union(extra.select("task_id", *node, "points"))
+    touched = settled(touched.groupBy("task_id", *node).agg(F.sum("points").alias("points")))
+    own = touched.join(of, "task_id", "left").join(base, ["__class", *node], "left").select("task_id", *node, (F.col("points") + F.coalesce("score", F.lit(0))).alias("score"))
+    rest = of.join(first, "__class").join(touched.select("task_id", *node), ["task_id", *node], "left_anti").select("task_id", *node, "score")
+    return top_k(own.union(rest).where("score > 0"), k, ["task_id"], order)
+
+
 def additive(hits: DataFrame, *keys: str) -> DataFrame:
     """(keys..., score, reasons) of hits(keys..., pos, points, reason): every hit adds, a reason is told once, at its first place."""
     first = hits.groupBy(*keys, "reason").agg(F.sum("points").alias("points"), F.min("pos").alias("pos"))

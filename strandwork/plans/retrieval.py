@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from strandwork import config
 from strandwork.functions import paths, text
 from strandwork.operators import evidence, extract, graph, joins, python_source, ranking, script_source
+from strandwork.operators.settle import settled
 
 
 @dataclass(frozen=True)
@@ -75,17 +76,18 @@ def retrieve(index: Index, tasks: DataFrame, limit: int = config.DEFAULT_FILES)
     )
     words = tasks.select("task_id", text.task_words(F.col("text")).alias("words"))
     order = [F.desc("score"), F.lower("path"), F.col("path")]
-    seeds = ranking.top_k(ranking.word_scores(words, files), config.SEEDS, ["task_id"], order).cache()
+    wanted = words.select("task_id", F.explode("words").alias("key")).withColumn("n", F.lit(1).cast("long"))
+    points = settled(ranking.word_points(wanted.select(F.col("key").alias("word")), files).withColumnRenamed("word", "key"))
+    seeds = settled(ranking.top_sums(wanted, points, config.SEEDS, order, "path"))
     named = tasks.select("task_id", F.posexplode(paths.file_tokens(F.col("text"))).alias("at", "token"))
     explicit = joins.file_references(named, index.files.select("path"), "task_id", "at")
     # roots of the call closure: definitions that share a token with the task, most first
-    found = tasks.select("task_id", F.explode(text.tokens(F.col("text"))).alias("token"))
-    own = index.definitions.select("path", "qualified_name", F.explode(text.tokens(F.col("name"))).alias("token"))
-    roots = found.join(own, "token").groupBy("task_id", "path", F.col("qualified_name").alias("name")).agg(F.count_distinct("token").alias("score"))
-    roots = ranking.top_k(roots, 4, ["task_id"], [F.desc("score"), F.col("path"), F.col("name")])
+    one = F.lit(1).cast("long")
+    found = tasks.select("task_id", F.explode(text.tokens(F.col("text"))).alias("key")).distinct().withColumn("n", one)
+    own = index.definitions.select("path", F.col("qualified_name").alias("name"), F.explode(text.tokens(F.col("name"))).alias("key")).distinct().withColumn("points", one)
+    roots = settled(ranking.top_sums(found, settled(own), 4, [F.desc("score"), F.col("path"), F.col("name")], "path", "name"))
     closure = evidence.rooted_closure(roots, resolved_calls(index).cache())
-    around = ranking.additive(graph.seed_neighbourhood(seeds, index.deps, index.definitions.select("path", "name")), "task_id", "path")
-    around = ranking.top_k(around, config.CANDIDATES, ["task_id"], order)
+    around = graph.best_neighbours(seeds, index.deps, index.definitions.select("path", "name"), config.CANDIDATES, order)
     ranked = lambda df, c: df.select("task_id", "path", F.col(c).cast("int").alias("at"))
     chosen = ranking.ordered_union(
         (ranked(explicit, "at"), "explicit"), (ranked(seeds, "rank"), "ranked"), (ranked(roots, "rank"), "root"), (ranked(closure, "rank"), "call"), (ranked(around, "rank"), "neighbour"), keys=["task_id"], value="path", order="at"

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -241,3 +242,33 @@ def test_repair_source_stands_around_the_failing_line(spark):
     report = 'boom\n  File "big.py", line 1500, in f\n'
     (r,) = repair.failure_document(inline(spark, "run int, body string", [(1, report)]), inline(spark, "path string, content string", [("big.py", content)]), inline(spark, "run int, path string, rank int", [(1, "big.py", 1)]), "run").collect()
     assert "line 1500 " in r.document and "line 1455 " in r.document and "line 1 x" not in r.document
+
+
+@pytest.mark.parametrize("often", [0, 2, 64])
+def test_top_sums_and_neighbours_equal_all_sums(spark, monkeypatch, often):
+    """Keys that many tasks ask for are summed up once, whatever counts as many."""
+    import random
+
+    from strandwork.operators import graph
+
+    monkeypatch.setattr(ranking, "OFTEN", often)
+    monkeypatch.setattr(ranking, "CROWDED", often)
+    rng = random.Random(often)
+    order = [F.desc("score"), F.col("path")]
+    seeds = spark.createDataFrame([(t, rng.randrange(30)) for t in range(12) for _ in range(1 + t % 3)], "task_id int, path int").distinct()
+    deps = spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(25)], "src int, dst int").distinct()
+    symbols = spark.createDataFrame([(rng.randrange(30), rng.choice("aaabbcdefg")) for _ in range(70)], "path int, name string")
+    want = ranking.top_k(ranking.additive(graph.seed_neighbourhood(seeds, deps, symbols), "task_id", "path"), 5, ["task_id"], order)
+    got = graph.best_neighbours(seeds, deps, symbols, 5, order)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    tasks = spark.createDataFrame([(t, sorted({"shop", f"t{t}", rng.choice(["cart", "carts", "cartographical"])})) for t in range(9)], "task_id int, words array<string>")
+    none = F.array().cast("array<string>")
+    files = spark.createDataFrame([(f"t{n}/{s}.py", [rng.choice(["Cartographically", "Shop"])]) for n in range(12) for s in ("shop", "cart", "x")], "path string, symbols array<string>")
+    files = files.select("path", "symbols", none.alias("imports"), none.alias("tags"), none.alias("important"), F.lit("").alias("summary"), F.lit(False).alias("complete"))
+    all_ = ranking.top_k(ranking.word_scores(tasks, files), 4, ["task_id"], order)
+    wanted = tasks.select("task_id", F.explode("words").alias("key")).withColumn("n", F.lit(1).cast("long"))
+    some = ranking.top_sums(wanted, ranking.word_points(wanted.select(F.col("key").alias("word")), files).withColumnRenamed("word", "key"), 4, order, "path")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, all_.select(*some.columns).collect()))
+    pairs = {(w, p.lower()) for (ws,) in tasks.select("words").collect() for w in ws if len(w) >= 3 for (p, _) in files.select("path", "symbols").collect() if w in p.lower()}
+    held = ranking.containing(files.select(F.col("path").alias("s")), tasks.select(F.explode("words").alias("word")))
+    assert sorted(map(tuple, held.collect())) == sorted(pairs)
