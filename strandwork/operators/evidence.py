@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from strandwork import config
 from strandwork.functions import paths, text
+from strandwork.operators import ranking
 from strandwork.operators.settle import settled
 
 # Evidence kinds of each role, in order, and how many definitions of each a plan takes.
@@ -76,6 +77,15 @@ def surface_scores(surfaces: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.withColumn("score", score).where((F.col("score") >= 70) & (~F.col("single") | (literal > 0))).select("task_id", "pos", "path", "name", "score")
 
 
+def surface_roots(surfaces: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
+    """(task_id, pos, path, name, score, rank): the best k symbols for each surface, by surface_scores. Surfaces that say the same are scored once."""
+    said = ["tokens", "roles", "single", "complex"]
+    asked = surfaces.withColumn("__class", F.sha2(F.to_json(F.struct(*said)), 256))
+    once = asked.groupBy("__class").agg(*[F.first(c).alias(c) for c in said]).select(F.col("__class").alias("task_id"), F.lit(0).alias("pos"), *said)
+    best = ranking.top_k(surface_scores(once, symbols), k, ["task_id"], [F.desc("score"), F.col("path"), F.col("name")])
+    return asked.select("task_id", "pos", "__class").join(best.withColumnRenamed("task_id", "__class").drop("pos"), "__class").select("task_id", "pos", "path", "name", "score", "rank")
+
+
 def plan(candidates: DataFrame, caps: Caps = COVERAGE, threshold: int = config.EVIDENCE_THRESHOLD) -> DataFrame:
     """(task_id, order_no, kind, path, name, score) taken from candidates(task_id, kind_no, kind, limit, path, name, score, lines).
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import paths, text
-from strandwork.operators import balanced, diffs, evidence, extract, json_objects, python_source, ranking, script_source, semantic, verdict
+from strandwork.operators import balanced, diffs, evidence, extract, json_objects, python_source, script_source, semantic, verdict
 from strandwork.operators.settle import shared_folder
 from strandwork.plans import retrieval
 from strandwork.plans.join_queries import PATH, part_edges
@@ -361,4 +361,4 @@ def q_surface_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", F.col("qualified_name").alias("name"), own.alias("tokens"), text.tokens(F.col("path")).alias("file_tokens"), F.array().cast("array<string>").alias("semantic_tokens"),
         F.coalesce("literals", F.create_map().cast("map<string,int>")).alias("literals"), text.surface_roles(own).alias("roles"), evidence.path_roles(F.col("path")).alias("file_roles"), F.lit(False).alias("important"), F.lit(False).alias("presents"),
     )
-    return ranking.top_k(evidence.surface_scores(s, symbols), 4, ["task_id", "pos"], [F.desc("score"), F.col("path"), F.col("name")])
+    return evidence.surface_roots(s, symbols, 4)

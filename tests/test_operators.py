@@ -272,3 +272,11 @@ def test_top_sums_and_neighbours_equal_all_sums(spark, monkeypatch, often):
     pairs = {(w, p.lower()) for (ws,) in tasks.select("words").collect() for w in ws if len(w) >= 3 for (p, _) in files.select("path", "symbols").collect() if w in p.lower()}
     held = ranking.containing(files.select(F.col("path").alias("s")), tasks.select(F.explode("words").alias("word")))
     assert sorted(map(tuple, held.collect())) == sorted(pairs)
+
+
+def test_surfaces_that_say_the_same_are_scored_once(spark):
+    surfaces = spark.sql("SELECT id AS task_id, CAST(id % 2 AS INT) AS pos, IF(id % 2 = 0, array('invoice'), array('save', 'rows')) AS tokens, array('ui') AS roles, false AS single, true AS complex FROM range(8)")
+    symbols = spark.sql("""SELECT concat('p', id) AS path, concat('n', id % 3) AS name, IF(id % 3 = 0, array('invoice'), array('save', 'x')) AS tokens, array('rows') AS file_tokens, CAST(array() AS array<string>) AS semantic_tokens,
+        CAST(map() AS map<string,int>) AS literals, array('ui') AS roles, array('ui') AS file_roles, id = 4 AS important, false AS presents FROM range(9)""")
+    want = ranking.top_k(evidence.surface_scores(surfaces, symbols), 2, ["task_id", "pos"], [F.desc("score"), F.col("path"), F.col("name")])
+    assert sorted(map(tuple, evidence.surface_roots(surfaces, symbols, 2).collect())) == sorted(map(tuple, want.collect())) != []
