@@ -68,8 +68,9 @@ ROLE_PATHS = [("src{n}/api/routes.py",), ("web{n}/Button.tsx",), ("tests/test_st
 def q_path_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of paths and the evidence kinds they ask for."""
     roles = evidence.path_roles(F.col("path"))
-    kinds = F.array_join(F.transform(evidence.kinds_of(roles), lambda k: k["kind"]), ",")
-    return spread(spark, sf_dir, "path string", ROLE_PATHS).select("path", F.array_join(roles, ",").alias("roles"), kinds.alias("kinds"))
+    kinds = F.array_join(F.transform(evidence.kinds_of(F.col("r")), lambda k: k["kind"]), ",")
+    found = spread(spark, sf_dir, "path string", ROLE_PATHS).select("path", F.explode_outer(F.array(roles)).alias("r"))  # so that roles are made once
+    return found.select("path", F.array_join("r", ",").alias("roles"), kinds.alias("kinds"))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT unnest(list_filter({_WORDS}, lambda w: length(w) >= 8)) AS term FROM benchmark), l AS (SELECT list(term) AS terms FROM t)
