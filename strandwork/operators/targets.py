@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions import paths
 from strandwork.operators import ranking
+from strandwork.operators.settle import settled
 
 # Request methods, and the points of each kind of evidence.
 METHODS = "GET|POST|PUT|PATCH|DELETE|OPTIONS"
@@ -18,7 +19,8 @@ CALLBACK_BASE, CALLBACK_POINTS, BOUND_POINTS, LITERAL_POINTS = 300, 70, 50, 120
 def hinted(symbols: DataFrame, hints: DataFrame, *keys: str) -> DataFrame:
     """(keys..., path, name) of symbols(path, name) that hints(keys..., hint) name, without regard to case."""
     wanted = hints.select(*keys, F.lower("hint").alias("__key")).distinct()
-    return symbols.select("path", "name", F.lower("name").alias("__key")).join(wanted, "__key").select(*keys, "path", "name").distinct()
+    # both sides are distinct, and a name has one key, so the join has no row twice
+    return symbols.select("path", "name").distinct().withColumn("__key", F.lower("name")).join(wanted, "__key").select(*keys, "path", "name")
 
 
 def explicit(tokens: DataFrame, symbols: DataFrame, top: int = 8) -> DataFrame:
@@ -26,10 +28,15 @@ def explicit(tokens: DataFrame, symbols: DataFrame, top: int = 8) -> DataFrame:
 
     A class token counts by name or qualified name, a call token by name; each distinct token adds its points.
     """
-    names = symbols.select("path", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("token"), "name").distinct()
-    met = tokens.distinct().join(names, "token").where("kind = 'class' OR token = name").select("task_id", "path", "token", "kind").distinct()
+    names = symbols.select("path", "name", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("token"))
+    names = names.groupBy("path", "token").agg(F.max(F.coalesce(F.col("token") == F.col("name"), F.lit(False))).alias("own"))
+    # files that define the same under the same names score alike: only the first of them are met with tasks
+    defined = names.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("token", "own"))).alias("__set")).withColumn("__class", F.sha2(F.to_json("__set"), 256))
+    first = settled(ranking.top_k(defined, top, ["__class"], [F.lower("path"), F.col("path")], "__n"))
+    held = first.where("__n = 1").select("__class", F.inline("__set"))
+    met = tokens.distinct().join(held, "token").where("kind = 'class' OR own")
     points = F.when(F.col("kind") == "class", CLASS_POINTS).otherwise(CALL_POINTS)
-    scored = met.groupBy("task_id", "path").agg(F.sum(points).alias("score"))
+    scored = met.groupBy("task_id", "__class").agg(F.sum(points).alias("score")).join(first.select("__class", "path"), "__class").select("task_id", "path", "score")
     return ranking.top_k(scored, top, ["task_id"], [F.desc("score"), F.lower("path"), F.col("path")])
 
 
