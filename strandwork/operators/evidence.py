@@ -32,13 +32,20 @@ COVERAGE = Caps()
 
 def path_roles(path: Column, roles=config.ROLE_TERMS) -> Column:
     """Roles of a path by prefix matching; page components are ui, test names tests. Python transport is ui only if a term says so."""
-    found = text.tokens(path)
+    return F.get(F.transform(F.array(text.tokens(path)), lambda found: _path_roles(path, found, roles)), F.lit(0))  # tokens are made once and named
+
+
+def _path_roles(path: Column, found: Column, roles) -> Column:
     matches = lambda terms: F.size(text.matching_terms(text.array_of(terms), found)) > 0
     hit = [F.when(matches(terms), F.lit(role)) for role, terms in sorted(roles.items())]
     hit = F.array_compact(F.array(*hit, F.when(paths.suffix(path).isin("tsx", "jsx"), F.lit("ui"))))
-    not_ui = F.array_contains(hit, "transport") & (paths.suffix(path) == "py") & ~matches(config.EXPLICIT_UI_TERMS)
-    hit = F.when(not_ui, F.array_remove(hit, "ui")).otherwise(hit)
-    return F.array_sort(F.array_distinct(F.array_compact(F.array_append(hit, F.when(paths.is_test(path), F.lit("tests"))))))
+
+    def decided(hit: Column) -> Column:
+        not_ui = F.array_contains(hit, "transport") & (paths.suffix(path) == "py") & ~matches(config.EXPLICIT_UI_TERMS)
+        kept = F.when(not_ui, F.array_remove(hit, "ui")).otherwise(hit)
+        return F.array_sort(F.array_distinct(F.array_compact(F.array_append(kept, F.when(paths.is_test(path), F.lit("tests"))))))
+
+    return F.get(F.transform(F.array(hit), decided), F.lit(0))
 
 
 def kinds_of(roles: Column) -> Column:
@@ -161,7 +168,15 @@ def rooted_closure(roots: DataFrame, calls: DataFrame, *, depth: int = 3, symbol
 
 
 def scored_hops(roots: DataFrame, edges: DataFrame, points: list[int], top: int = 8) -> DataFrame:
-    """(task_id, node, score, rank): nodes one hop further for each of points, scores added over the hops that reach them."""
+    """(task_id, node, score, rank): nodes one hop further for each of points, scores added over the hops that reach them. Tasks of the same roots are walked once."""
+    asked = roots.select("task_id", "node").distinct().groupBy("task_id").agg(F.array_sort(F.collect_list("node")).alias("__set")).withColumn("__class", F.sha2(F.to_json("__set"), 256))
+    asked = settled(asked)
+    once = asked.groupBy("__class").agg(F.first("__set").alias("__set")).select(F.col("__class").alias("task_id"), F.explode("__set").alias("node"))
+    best = _hops(settled(once), edges, points, top).withColumnRenamed("task_id", "__class")
+    return asked.select("task_id", "__class").join(best, "__class").select("task_id", "node", "score", "rank")
+
+
+def _hops(roots: DataFrame, edges: DataFrame, points: list[int], top: int) -> DataFrame:
     frontier, hits = roots.select("task_id", "node").distinct(), None
     for p in points:
         frontier = frontier.join(edges, F.col("node") == F.col("src")).select("task_id", F.col("dst").alias("node")).distinct()

@@ -280,3 +280,30 @@ def test_surfaces_that_say_the_same_are_scored_once(spark):
         CAST(map() AS map<string,int>) AS literals, array('ui') AS roles, array('ui') AS file_roles, id = 4 AS important, false AS presents FROM range(9)""")
     want = ranking.top_k(evidence.surface_scores(surfaces, symbols), 2, ["task_id", "pos"], [F.desc("score"), F.col("path"), F.col("name")])
     assert sorted(map(tuple, evidence.surface_roots(surfaces, symbols, 2).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_what_is_named_is_met_without_a_shuffle_of_all_pairs(spark):
+    from strandwork.operators import targets
+
+    symbols = spark.sql("SELECT id AS path, concat('N', id % 3) AS name, concat('q', id % 2) AS qualified_name FROM range(40)")
+    tokens = spark.createDataFrame([(1, "N0", "class"), (1, "q1", "class"), (1, "N1", "call"), (2, "q0", "call"), (2, "N2", "call")], "task_id int, token string, kind string")
+    score = lambda t, p: (200 * (p % 3 == 0) + 200 * (p % 2 == 1) + 180 * (p % 3 == 1)) if t == 1 else 180 * (p % 3 == 2)
+    want = [(t, p, score(t, p), i + 1) for t in (1, 2) for i, p in enumerate(sorted((p for p in range(40) if score(t, p)), key=lambda p: (-score(t, p), str(p), p))[:8])]
+    assert sorted(map(tuple, targets.explicit(tokens, symbols).collect())) == sorted(want)
+    hints = spark.createDataFrame([(1, "n0"), (1, "N0"), (2, "n1")], "task_id int, hint string")
+    found = targets.hinted(symbols.union(symbols), hints, "task_id")
+    assert sorted(map(tuple, found.collect())) == sorted([(1, p, "N0") for p in range(0, 40, 3)] + [(2, p, "N1") for p in range(1, 40, 3)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate")  # pairs were once shuffled to be made distinct
+
+
+def test_roots_that_tasks_share_are_walked_once(spark):
+    roots = spark.createDataFrame([(t, t % 2) for t in range(6)], "task_id int, node int")
+    edges = spark.createDataFrame([(0, 2), (2, 3), (2, 0), (1, 2), (3, 2), (0, 3)], "src int, dst int")
+    want = [(t, n, s, r) for t in range(6) for n, s, r in ([(2, 270, 1), (3, 270, 2)] if t % 2 == 0 else [(2, 150, 1), (0, 120, 2), (3, 120, 3)])]
+    assert sorted(map(tuple, evidence.scored_hops(roots, edges, [150, 120]).collect())) == sorted(want)
+
+
+def test_roles_of_a_path_cut_it_into_tokens_once(spark):
+    plan = spark.range(1).select(evidence.path_roles(F.concat(F.lit("api"), F.col("id").cast("string"), F.lit(".py"))))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") <= 2  # in the expression and in its name: every role once cut the path again
