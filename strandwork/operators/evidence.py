@@ -141,7 +141,7 @@ def rooted_closure(roots: DataFrame, calls: DataFrame, *, depth: int = 3, symbol
     `files` files are discovered: one in a further file is skipped, isn't counted and isn't
     walked through. Each level is kept, at most `symbols` rows a task.
     """
-    edges = calls.groupBy("src_path", "src", "dst_path", "dst").agg(F.min("pos").alias("pos"))
+    edges = settled(calls.groupBy("src_path", "src", "dst_path", "dst").agg(F.min("pos").alias("pos")))  # every level reads them
     own = ["task_id", "path", "name"]
     first = F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path", "name"))
     frontier = known = settled(roots.groupBy(*own).agg(F.min("rank").alias("rank")).withColumn("rank", first))

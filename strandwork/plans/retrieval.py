@@ -98,21 +98,30 @@ def retrieve(index: Index, tasks: DataFrame, limit: int = config.DEFAULT_FILES)
 def candidates(index: Index, tasks: DataFrame, chosen: DataFrame) -> DataFrame:
     """Scored definitions of the chosen files for every evidence kind of their task, as evidence.plan takes them."""
     wanted = tasks.select("task_id", text.domain_terms(F.col("text")).alias("terms"), text.requirement_roles(text.tokens(F.col("text"))).alias("roles"))
-    kinds = wanted.select("task_id", "terms", F.posexplode(evidence.kinds_of(F.array_union("roles", F.array(F.lit("domain"))))).alias("kind_no", "k")).select("task_id", "terms", "kind_no", "k.kind", "k.limit")
-    own = chosen.join(index.definitions.drop("kind"), "path").join(kinds, "task_id")
+    wanted = wanted.withColumn("__class", F.sha2(F.to_json(F.struct("terms", "roles")), 256))
+    asked = settled(chosen.join(wanted, "task_id").select("task_id", "__class", "terms", "roles", "path", (F.col("source") == "explicit").alias("existing")))
+    # tasks that want the same score a file's definitions once
+    once = asked.groupBy("__class", "path", "existing").agg(F.first("terms").alias("terms"), F.first("roles").alias("roles"))
+    own = index.definitions.select("path", "qualified_name", "text", "line_count", text.tokens(F.col("qualified_name")).alias("__name"))
+    kinds = F.posexplode(evidence.kinds_of(F.array_union("roles", F.array(F.lit("domain"))))).alias("kind_no", "k")
+    each = once.withColumn("__roles", evidence.path_roles(F.col("path"))).join(own, "path").select("*", kinds).select("*", "k.kind", "k.limit")
     score = evidence.kind_score(
-        F.col("kind"), name_tokens=text.tokens(F.col("name")), body=F.col("text"), path=F.col("path"), roles=evidence.path_roles(F.col("path")), terms=F.col("terms"), lines=F.col("line_count"), existing=F.col("source") == "explicit"
+        F.col("kind"), name_tokens=F.col("__name"), body=F.col("text"), path=F.col("path"), roles=F.col("__roles"), terms=F.col("terms"), lines=F.col("line_count"), existing=F.col("existing")
     )
-    return own.select("task_id", "kind_no", "kind", "limit", "path", F.col("qualified_name").alias("name"), score.alias("score"), F.col("line_count").alias("lines"))
+    scored = settled(each.select("__class", "path", "existing", "kind_no", "kind", "limit", F.col("qualified_name").alias("name"), score.alias("score"), F.col("line_count").alias("lines")))
+    return asked.select("task_id", "__class", "path", "existing").join(scored, ["__class", "path", "existing"]).select("task_id", "kind_no", "kind", "limit", "path", "name", "score", "lines")
 
 
 def materialise(index: Index, planned: DataFrame, budget: int = config.SOFT_BUDGET) -> DataFrame:
     """(task_id, document, blocks, skipped): the planned definitions' text, redacted, within the budget; what doesn't fit is skipped."""
-    own = index.definitions.select("path", F.col("qualified_name").alias("name"), F.col("text").alias("body"), "start_line", "end_line").groupBy("path", "name").agg(F.min_by(F.struct("body", "start_line", "end_line"), "start_line").alias("d"))
+    planned = settled(planned.select("task_id", "order_no", "path", "name"))
+    own = index.definitions.select("path", F.col("qualified_name").alias("name"), F.col("text").alias("body"), "start_line", "end_line").join(planned.select("path", "name").distinct(), ["path", "name"], "left_semi")
+    own = own.groupBy("path", "name").agg(F.min_by(F.struct("body", "start_line", "end_line"), "start_line").alias("d"))
     head = F.concat(F.lit("## "), F.col("path"), F.lit(" "), F.col("name"), F.lit(" lines "), F.col("d.start_line").cast("string"), F.lit("-"), F.col("d.end_line").cast("string"), F.lit("\n"))
-    blocks = planned.join(own, ["path", "name"]).select("task_id", "order_no", F.concat(head, text.redact(F.col("d.body"))).alias("block"))
-    fits = ranking.skip_budget(blocks.select("task_id", "order_no", F.length("block").alias("size")), "size", "order_no", budget, "task_id")
-    kept = blocks.join(fits.select("task_id", "order_no", "taken"), ["task_id", "order_no"])
+    blocks = settled(own.select("path", "name", F.concat(head, text.redact(F.col("d.body"))).alias("block")))  # once for all tasks that take it
+    sizes = planned.join(blocks.select("path", "name", F.length("block").alias("size")), ["path", "name"])
+    fits = ranking.skip_budget(sizes.select("task_id", "order_no", "size"), "size", "order_no", budget, "task_id")
+    kept = planned.join(blocks, ["path", "name"]).select("task_id", "order_no", "block").join(fits.select("task_id", "order_no", "taken"), ["task_id", "order_no"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("taken"), F.struct("order_no", "block")))), lambda x: x["block"]), "\n")
     return kept.groupBy("task_id").agg(joined.alias("document"), F.count_if("taken").alias("blocks"), F.count_if(~F.col("taken")).alias("skipped"))
 

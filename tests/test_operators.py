@@ -307,3 +307,22 @@ def test_roots_that_tasks_share_are_walked_once(spark):
 def test_roles_of_a_path_cut_it_into_tokens_once(spark):
     plan = spark.range(1).select(evidence.path_roles(F.concat(F.lit("api"), F.col("id").cast("string"), F.lit(".py"))))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= 2  # in the expression and in its name: every role once cut the path again
+
+
+def test_a_plan_is_read_once_for_its_documents(spark):
+    from strandwork.plans.retrieval import Index, materialise
+
+    own = spark.createDataFrame([("a.py", "f", "def f():\n    sk-abcdefghijabcdefghij", 1, 2), ("a.py", "g", "pass", 5, 5)], "path string, qualified_name string, text string, start_line int, end_line int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    planned = spark.createDataFrame([(1, 0, "a.py", "f"), (1, 1, "a.py", "g"), (2, 0, "a.py", "g")], "task_id int, order_no int, path string, name string")
+    index = Index(None, own, None, None, None, None)
+    got = {r.task_id: (r.document, r.blocks, r.skipped) for r in materialise(index, planned.mapInPandas(counted, planned.schema)).collect()}
+    first, second = "## a.py f lines 1-2\ndef f():\n    [REDACTED SECRET]", "## a.py g lines 5-5\npass"
+    assert got == {1: (f"{first}\n{second}", 2, 0), 2: (second, 1, 0)}
+    assert read.value == 3  # twice before, and all that leads to the plan with it
