@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 Files = Callable[[], DataFrame]
-PLAN = "path string, hash string, reason string, part int"
+PLAN = "path string, hash string, reason string, part int, parts int"
 HEADS = "path string, hash string, version int"
 
 
@@ -70,21 +70,23 @@ class Versions:
         pending = f"{self.target}/pending/{n}"
         if not self._there(f"pending/{n}/plan/_SUCCESS"):
             part = F.pmod(F.xxhash64("path"), F.lit(self.parts)).cast("int").alias("part")
-            self.state(files).select("path", "hash", "reason", part).write.mode("overwrite").parquet(f"{pending}/plan")
+            self.state(files).select("path", "hash", "reason", part, F.lit(self.parts).alias("parts")).write.mode("overwrite").parquet(f"{pending}/plan")
         plan = self.spark.read.schema(PLAN).parquet(f"{pending}/plan")
         now = files().select("path", F.sha2("content", 256).alias("hash"))
         gone = self.heads().join(now, "path", "left_anti")
-        wanted = sorted(r.part for r in plan.select("part").distinct().collect())  # at most self.parts of them
+        wanted = sorted((r.part, r.parts) for r in plan.select("part", "parts").distinct().collect())  # one for each part that the plan was cut into
         if not wanted and gone.isEmpty():
             self._fs.delete(self._path(f"pending/{n}"), True)
             return n - 1
-        for k in wanted:
+        for k, parts in wanted:
             if self._there(f"pending/{n}/rows/part={k}/_SUCCESS"):
                 continue  # done by a run that was stopped later
             mine = plan.where(F.col("part") == k).select("path", "hash")
-            before = files().withColumn("hash", F.sha2("content", 256)).join(mine, ["path", "hash"], "left_semi")
+            # only the part's texts are hashed and shuffled: a file travels once a version; a plan of older code doesn't say its parts
+            own = F.lit(True) if parts is None else F.pmod(F.xxhash64("path"), F.lit(parts)) == k
+            before = files().where(own).withColumn("hash", F.sha2("content", 256)).join(mine, ["path", "hash"], "left_semi")
             found = analyse(before.select("path", "content", "hash"))
-            after = files().select("path", F.sha2("content", 256).alias("hash"))
+            after = files().where(own).select("path", F.sha2("content", 256).alias("hash"))
             found.join(after, ["path", "hash"], "left_semi").write.mode("overwrite").parquet(f"{pending}/rows/part={k}")
         self._publish(n, files, bool(wanted))
         return n

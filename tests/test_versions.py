@@ -84,3 +84,19 @@ def test_files_that_change_meanwhile_wait_for_the_next_version(spark, tree, tmp_
     assert [(r.path, r.reason) for r in v.state(tree.read).collect()] == [("f5", "new_file")]
     tree.on_part = None
     assert v.update(tree.read, tree.analyse) == 2 and content(v)["f5"] == "CHANGED MEANWHILE"
+
+
+def test_a_part_hashes_its_own_files_only_and_a_plan_knows_its_parts(spark, tree, tmp_path):
+    v, plans = Versions(spark, str(tmp_path / "index"), 4), []
+
+    def analyse(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        if len(plans) == 2:
+            raise KeyboardInterrupt
+        return tree.analyse(rows)
+
+    with pytest.raises(KeyboardInterrupt):
+        v.update(tree.read, analyse)
+    assert all("pmod(xxhash64" in p for p in plans)  # every part's join shuffled all files once
+    assert Versions(spark, v.target, 7).update(tree.read, tree.analyse) == 1  # goes on with the plan's four parts
+    assert content(v) == {p: c.upper() for p, c in tree.files.items()} and sorted(tree.seen) == sorted(tree.files)
