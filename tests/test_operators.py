@@ -326,3 +326,26 @@ def test_a_plan_is_read_once_for_its_documents(spark):
     first, second = "## a.py f lines 1-2\ndef f():\n    [REDACTED SECRET]", "## a.py g lines 5-5\npass"
     assert got == {1: (f"{first}\n{second}", 2, 0), 2: (second, 1, 0)}
     assert read.value == 3  # twice before, and all that leads to the plan with it
+
+
+def _counted(spark, df):
+    """df and a count of the rows that are made of it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), read
+
+
+def test_walks_read_their_edges_once(spark):
+    from strandwork.operators import graph
+
+    edges, read = _counted(spark, spark.createDataFrame([(0, 1, 1), (1, 2, 2), (2, 3, 3), (0, 3, 3)], "src int, dst int, pos int"))
+    found = graph.bounded_bfs(spark.createDataFrame([(7, 0, 1)], "task_id int, node int, rank int"), edges, depth=3)
+    assert sorted(map(tuple, found.collect())) == [(7, 0, 0, 1), (7, 1, 1, 2), (7, 2, 2, 4), (7, 3, 1, 3)] and read.value == 4
+    calls, read = _counted(spark, spark.createDataFrame([("f", "a", 1, "f", "b"), ("f", "b", 1, "g", "c"), ("g", "c", 1, "f", "a")], "src_path string, src string, pos int, dst_path string, dst string"))
+    found = evidence.rooted_closure(spark.createDataFrame([(7, "f", "a", 1)], "task_id int, path string, name string, rank int"), calls)
+    assert sorted(map(tuple, found.collect())) == [(7, "f", "b", 1, 1), (7, "g", "c", 2, 2)] and read.value == 3
