@@ -12,6 +12,8 @@ from strandwork.operators.settle import settled
 
 #: Words with the same first three letters beyond which these are too common to look them up by.
 CROWDED = 64
+#: Tasks that words of texts are dealt to, so that one holds a small part of them.
+PARTS = 200
 #: Tasks that ask for a key beyond which it is summed up once for all tasks that ask for the same.
 OFTEN = 64
 
@@ -136,12 +138,14 @@ def line_weights(words: DataFrame, *keys: str) -> DataFrame:
     """(keys..., line_no, weight) of words(keys..., line_no, word), a row an occurrence: rarer and longer words weigh more.
 
     weight = min(5000, max(1, len**3 * 100 // max(1, floor(sqrt(df))))) * n, summed over a line's
-    words. Rows are dealt by keys once; every step after that works where they lie.
+    words. Rows are dealt by keys once, to PARTS tasks at least, which aren't merged into fewer;
+    every step after that works where they lie, and only a word's lines are held together.
     """
-    n = words.repartition(*keys).groupBy(*keys, "line_no", "word").agg(F.count(F.lit(1)).alias("n"))
-    df = n.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*keys, "word")))
-    one = F.least(F.lit(5000), F.greatest(F.lit(1), F.floor(F.pow(F.length("word"), F.lit(3)) * 100 / F.greatest(F.lit(1), F.floor(F.sqrt("df"))))))
-    return df.groupBy(*keys, "line_no").agg(F.sum(one.cast("long") * F.col("n")).alias("weight"))
+    parts = max(PARTS, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = words.repartition(parts, *keys).groupBy(*keys, "word").agg(F.collect_list("line_no").alias("__lines"))
+    df = F.size(F.array_distinct("__lines"))
+    one = F.least(F.lit(5000), F.greatest(F.lit(1), F.floor(F.pow(F.length("word"), F.lit(3)) * 100 / F.greatest(F.lit(1), F.floor(F.sqrt(df))))))
+    return met.select(*keys, one.cast("long").alias("__one"), F.explode("__lines").alias("line_no")).groupBy(*keys, "line_no").agg(F.sum("__one").alias("weight"))
 
 
 def retention(df: DataFrame, order: list[Column], *keys: str, keep: int = config.HISTORY_PER_STATUS) -> DataFrame:

@@ -349,3 +349,19 @@ def test_walks_read_their_edges_once(spark):
     calls, read = _counted(spark, spark.createDataFrame([("f", "a", 1, "f", "b"), ("f", "b", 1, "g", "c"), ("g", "c", 1, "f", "a")], "src_path string, src string, pos int, dst_path string, dst string"))
     found = evidence.rooted_closure(spark.createDataFrame([(7, "f", "a", 1)], "task_id int, path string, name string, rank int"), calls)
     assert sorted(map(tuple, found.collect())) == [(7, "f", "b", 1, 1), (7, "g", "c", 2, 2)] and read.value == 3
+
+
+def test_line_weights_hold_a_word_at_a_time(spark):
+    from math import isqrt
+
+    rows = [(d, i % 7, "w" * (6 + i % 3)) for d in (1, 2, None) for i in range(40)] + [(1, 9, "abcdefghijklmnopqrst")]
+    words = spark.createDataFrame(rows, "d int, line_no int, word string")
+    found = ranking.line_weights(words, "d")
+    seen, want = {}, {}
+    for d, n, w in rows:
+        seen.setdefault((d, w), set()).add(n)
+    for d, n, w in rows:
+        want[d, n] = want.get((d, n), 0) + min(5000, max(1, len(w) ** 3 * 100 // max(1, isqrt(len(seen[d, w])))))
+    assert {(r.d, r.line_no): r.weight for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and ", 200" in plan  # all words of a few large tasks were sorted once more
