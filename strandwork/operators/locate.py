@@ -1,4 +1,4 @@
-"""Where line sequences stand in a table of texts: an index of hashed line windows, joined by each sequence's rarest window.
+"""Where line sequences stand in a table of texts: in the text of their path, or anywhere by an index of hashed line windows, joined by each sequence's rarest window.
 
 Sequences are hunks' old sides, or any lists of lines. A window is one, two or four lines; a
 sequence asks for the windows of the largest size that fits it. The rarest of them gives its
@@ -50,16 +50,23 @@ def occurrences(needles: DataFrame, texts: DataFrame, *, anywhere: bool = False,
     """
     texts = texts.where(F.col("path").isNotNull()).select("path", _numbered(text_lines("text"), ignore_blank).alias("rows"))
     own = needles.select("id", F.col("path").alias("of"), _numbered(F.col("lines"), ignore_blank).alias("rows")).where(F.size("rows") > 0)
+    if not anywhere:  # a text meets its own sequences only: both are dealt by path once, and looked through where they lie
+        line = lambda c: F.transform(c, lambda x: x["line"])
+        met = texts.withColumn("found", line(F.col("rows"))).join(own.select("id", F.col("of").alias("path"), line(F.col("rows")).alias("want")), "path")
+        n = F.size("want")
+        places = F.when(F.size("found") >= n, F.sequence(F.lit(0), F.size("found") - n)).otherwise(F.array().cast("array<int>"))
+        here = F.filter(places, lambda i: (F.get("found", i) == F.get("want", F.lit(0))) & (F.slice("found", i + 1, n) == F.col("want")))
+        no = lambda at: F.get("rows", at)["no"]
+        runs = met.select("id", "path", "rows", n.alias("n"), F.explode(here).alias("first"))
+        return runs.select("id", "path", no(F.col("first")).alias("start"), no(F.col("first") + F.col("n") - 1).alias("end")).distinct()
     n = F.size("rows")
     size = F.when(n >= SIZES[2], SIZES[2]).when(n >= SIZES[1], SIZES[1]).otherwise(SIZES[0])
     asked = own.select("id", "of", F.explode(_windows(F.col("rows"), size)).alias("w")).select("id", "of", "w.*")
     every = texts.select("path", F.explode(F.concat(*[_windows(F.col("rows"), s) for s in SIZES])).alias("w")).select("path", "w.at", "w.hash")
-    keys = ["hash"] if anywhere else ["path", "hash"]
-    wanted = asked.select(F.col("of").alias("path"), "hash").select(*keys).distinct()
-    counts = every.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rare = asked.withColumnRenamed("of", "path").join(counts, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.groupBy("id", "path").agg(F.min(F.struct("n", "at", "hash")).alias("r")).where("r.n > 0").select("id", "path", F.col("r.at").alias("skip"), "r.hash")
-    met = (rare.drop("path") if anywhere else rare).join(every, keys).select("id", "path", (F.col("at") - F.col("skip")).alias("first")).where("first >= 0")
+    counts = every.join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    rare = asked.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = rare.groupBy("id", "of").agg(F.min(F.struct("n", "at", "hash")).alias("r")).where("r.n > 0").select("id", F.col("r.at").alias("skip"), "r.hash")
+    met = rare.join(every, "hash").select("id", "path", (F.col("at") - F.col("skip")).alias("first")).where("first >= 0")
     lines = own.select("id", F.size("rows").alias("want"), F.posexplode("rows").alias("k", "row")).select("id", "want", "k", F.col("row.line").alias("line"))
     there = texts.select("path", F.posexplode("rows").alias("place", "row")).select("path", "place", "row.no", F.col("row.line").alias("found"))
     runs = met.distinct().join(lines, "id").withColumn("place", F.col("first") + F.col("k")).join(there, ["path", "place"]).where("line = found")

@@ -108,17 +108,26 @@ def conflicts(found: DataFrame, texts: DataFrame, *keys: str, loose: bool = Fals
     there) or overlaps (another edit of the patch keeps or removes the line too). loose: runs of
     blanks are as good as one and those at a line's end as good as none.
     """
-    plain = (lambda c: F.rtrim(F.regexp_replace(c, r"[ \t]+", " "))) if loose else F.col
+    what = F.when(F.lit(loose), F.col("what_wide")).otherwise(F.col("what")).alias("what")
+    return _judged(found, texts, *keys).where("wide" if loose else "strict").select(*keys, "path", "hunk_no", "pos", what)
+
+
+def _judged(found: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
+    """The rows of conflicts with strict and wide: whether an edit is one with regard to blanks and without, by one pass over the texts."""
+    plain = lambda c: F.rtrim(F.regexp_replace(c, r"[ \t]+", " "))
     there = texts.select("path", F.posexplode(locate.text_lines("text")).alias("k", "found")).select("path", (F.col("k") + 1).cast("long").alias("old_no"), "found")
-    own = ["path", "old_no"]
-    unplaced = found.where("old_no IS NULL").select(*keys, "path", "hunk_no", "pos", F.lit("unplaced").alias("what"))
+    own, out = ["path", "old_no"], [*keys, "path", "hunk_no", "pos"]
+    both = lambda what: [F.lit(what).alias("what"), F.lit(what).alias("what_wide"), F.lit(True).alias("strict"), F.lit(True).alias("wide")]
+    unplaced = found.where("old_no IS NULL").select(*out, *both("unplaced"))
     old = found.where("old_no IS NOT NULL AND kind <> '+'")
-    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys, *own))
-    met = old.withColumn("__n", twice).join(there, own, "left")
-    what = F.when(F.col("found").isNull() | (plain("found") != plain("line")), "differs").when(F.col("__n") > 1, "overlaps")
-    met = met.select(*keys, "path", "hunk_no", "pos", what.alias("what")).where("what IS NOT NULL")
-    gone = found.join(texts.select("path").distinct(), "path", "left_anti").where("old_no IS NOT NULL AND kind = '+'")
-    return unplaced.unionByName(met).unionByName(gone.select(*keys, "path", "hunk_no", "pos", F.lit("missing").alias("what")))
+    met = old.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, *own))).join(there, own, "left")
+    met = met.withColumns({"__none": F.col("found").isNull(), "__differs": F.coalesce(F.col("found") != F.col("line"), F.lit(False)), "__twice": F.col("__n") > 1}).where("__none OR __differs OR __twice")
+    met = met.withColumn("__wide", F.coalesce(plain("found") != plain("line"), F.lit(False)))
+    what = F.when(F.col("__none") | F.col("__differs"), "differs").otherwise("overlaps")
+    loose = F.when(F.col("__none") | F.col("__wide"), "differs").otherwise("overlaps")
+    met = met.select(*out, what.alias("what"), loose.alias("what_wide"), F.lit(True).alias("strict"), (F.col("__none") | F.col("__wide") | F.col("__twice")).alias("wide"))
+    gone = found.join(texts.select("path").distinct(), "path", "left_anti").where("old_no IS NOT NULL AND kind = '+'").select(*out, *both("missing"))
+    return unplaced.unionByName(met).unionByName(gone)
 
 
 def applied(found: DataFrame, texts: DataFrame, bad: DataFrame | None = None) -> DataFrame:
@@ -148,7 +157,6 @@ def already_applied(found: DataFrame, texts: DataFrame, *keys: str) -> DataFrame
     """(keys..., applied): whether the patch could be taken back from texts: exactly, blank, if only without regard to blanks, or null."""
     back = reverse(found)
     every = found.select(*keys).distinct()
-    no = lambda loose: conflicts(back, texts, *keys, loose=loose).select(*keys).distinct()
-    strict, wide = no(False).withColumn("__strict", F.lit(True)), no(True).withColumn("__wide", F.lit(True))
+    bad = _judged(back, texts, *keys).groupBy(*keys).agg(F.lit(True).alias("__strict"), F.max(F.when(F.col("wide"), True)).alias("__wide"))
     how = F.when(F.col("__strict").isNull(), "exactly").when(F.col("__wide").isNull(), "blank")
-    return every.join(strict, list(keys), "left").join(wide, list(keys), "left").select(*keys, how.alias("applied"))
+    return every.join(bad, list(keys), "left").select(*keys, how.alias("applied"))

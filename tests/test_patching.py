@@ -94,3 +94,13 @@ def test_sequences_are_found_at_every_place(spark, blank):
                 if lines and (anywhere or path == of):
                     want |= {(i, path, rows[k][0], rows[k + len(lines) - 1][0]) for k in range(len(rows) - len(lines) + 1) if [x for _, x in rows[k : k + len(lines)]] == lines}
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_a_text_is_looked_through_where_it_lies(spark):
+    texts = spark.createDataFrame([("a", "x\nx\n\nx\ny\n"), ("b", "x\nx"), ("c", None)], "path string, text string")
+    needles = spark.createDataFrame([(1, "a", ["x", "x"]), (2, "a", ["x"]), (3, "b", ["x", "y"]), (4, "c", ["x"]), (5, "a", []), (6, "a", ["x", "y"]), (7, "b", ["x", "x", "x"]), (8, None, ["x"])], "id int, path string, lines array<string>")
+    found = locate.occurrences(needles, texts)
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1, 2), (2, "a", 1, 1), (2, "a", 2, 2), (2, "a", 4, 4), (6, "a", 4, 5)]
+    loose = locate.occurrences(needles, texts, ignore_blank=True)
+    assert sorted(map(tuple, loose.where("id IN (1, 6)").collect())) == [(1, "a", 1, 2), (1, "a", 2, 4), (6, "a", 4, 5)]
+    assert "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()  # windows of all texts were hashed and shuffled twice
