@@ -48,17 +48,23 @@ def occurrences(needles: DataFrame, texts: DataFrame, *, anywhere: bool = False,
     blank lines count on neither side and start and end are lines of the whole text. Sequences
     without lines, null texts and null paths have no place; a repeated path is one text more.
     """
-    texts = texts.where(F.col("path").isNotNull()).select("path", _numbered(text_lines("text"), ignore_blank).alias("rows"))
+    texts = texts.where(F.col("path").isNotNull())
     own = needles.select("id", F.col("path").alias("of"), _numbered(F.col("lines"), ignore_blank).alias("rows")).where(F.size("rows") > 0)
-    if not anywhere:  # a text meets its own sequences only: both are dealt by path once, and looked through where they lie
+    if not anywhere:  # a text meets its own sequences only, as one array, and is cut and looked through where it lies
         line = lambda c: F.transform(c, lambda x: x["line"])
-        met = texts.withColumn("found", line(F.col("rows"))).join(own.select("id", F.col("of").alias("path"), line(F.col("rows")).alias("want")), "path")
-        n = F.size("want")
-        places = F.when(F.size("found") >= n, F.sequence(F.lit(0), F.size("found") - n)).otherwise(F.array().cast("array<int>"))
-        here = F.filter(places, lambda i: (F.get("found", i) == F.get("want", F.lit(0))) & (F.slice("found", i + 1, n) == F.col("want")))
-        no = lambda at: F.get("rows", at)["no"]
-        runs = met.select("id", "path", "rows", n.alias("n"), F.explode(here).alias("first"))
-        return runs.select("id", "path", no(F.col("first")).alias("start"), no(F.col("first") + F.col("n") - 1).alias("end")).distinct()
+        asked = own.groupBy(F.col("of").alias("path")).agg(F.collect_list(F.struct("id", line(F.col("rows")).alias("want"))).alias("asks"))
+        met = texts.select("path", "text").join(asked, "path").select("path", "asks", _numbered(text_lines("text"), ignore_blank).alias("rows"))
+        met = met.select("path", "rows", line(F.col("rows")).alias("found"), "asks")
+
+        def runs(ask: Column) -> Column:
+            n = F.size(ask["want"])
+            places = F.when(F.size("found") >= n, F.sequence(F.lit(0), F.size("found") - n)).otherwise(F.array().cast("array<int>"))
+            here = F.filter(places, lambda i: (F.get("found", i) == F.get(ask["want"], F.lit(0))) & (F.slice("found", i + 1, n) == ask["want"]))
+            no = lambda at: F.get("rows", at)["no"]
+            return F.transform(here, lambda i: F.struct(ask["id"].alias("id"), no(i).alias("start"), no(i + n - 1).alias("end")))
+
+        return met.select("path", F.explode(F.flatten(F.transform("asks", runs))).alias("x")).select("x.id", "path", "x.start", "x.end").distinct()
+    texts = texts.select("path", _numbered(text_lines("text"), ignore_blank).alias("rows"))
     n = F.size("rows")
     size = F.when(n >= SIZES[2], SIZES[2]).when(n >= SIZES[1], SIZES[1]).otherwise(SIZES[0])
     asked = own.select("id", "of", F.explode(_windows(F.col("rows"), size)).alias("w")).select("id", "of", "w.*")

@@ -8,6 +8,9 @@ lines with its edits in the order of places; reversing it exchanges the sides.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,13 +26,16 @@ def hunk_lines(patches: DataFrame, text: str = "patch", *keys: str) -> DataFrame
     """
     rows = diffs.segments(patches, text, *keys)
     side = F.when(F.col("line").startswith("+++ "), 1).otherwise(0)
-    path = diffs.paths.header_path(F.col("line"), "+++ ")
-    old = diffs.paths.header_path(F.col("line"), "--- ")
-    heads = rows.where("kind = 'header'").select(*keys, "file_no", side.alias("side"), F.when(side == 1, path).otherwise(old).alias("path")).where("path <> '/dev/null'")
-    heads = heads.groupBy(*keys, "file_no").agg(F.max_by("path", "side").alias("path")).withColumn("path", F.regexp_replace("path", "^[ab]/", ""))
-    start = diffs.hunk_counts(rows, *keys).select(*keys, "file_no", "hunk_no", "old_start", "new_start")
-    body = rows.where("kind IN (' ', '-', '+')").select(*keys, "file_no", "hunk_no", F.col("line_no").alias("pos"), "kind", F.expr("substring(line, 2)").alias("line"))
-    return body.join(start, [*keys, "file_no", "hunk_no"]).join(heads, [*keys, "file_no"]).select(*keys, "file_no", "hunk_no", "path", "old_start", "new_start", "pos", "kind", "line")
+    path = F.when(side == 1, diffs.paths.header_path(F.col("line"), "+++ ")).otherwise(diffs.paths.header_path(F.col("line"), "--- "))
+    path = F.when(F.col("kind") == "header", F.nullif(path, F.lit("/dev/null")))
+    file, hunk = Window.partitionBy(*keys, "file_no"), Window.partitionBy(*keys, "file_no", "hunk_no")
+    # a patch lies in one task by now, so its files and hunks are told by windows that need no shuffle
+    rows = rows.withColumn("path", path).withColumn("path", F.max_by("path", F.when(F.col("path").isNotNull(), side)).over(file))
+    rows = rows.withColumn("__head", F.max(F.when(F.col("kind") == "hunk", F.col("line"))).over(hunk))
+    start = lambda i: F.regexp_extract("__head", diffs.HUNK, i).cast("int")
+    body = rows.where(reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("kind").isin(" ", "-", "+") & F.col("path").isNotNull()))
+    body = body.withColumn("path", F.regexp_replace("path", "^[ab]/", ""))
+    return body.select(*keys, "file_no", "hunk_no", "path", start(1).alias("old_start"), start(3).alias("new_start"), F.col("line_no").alias("pos"), "kind", F.expr("substring(line, 2)").alias("line"))
 
 
 def hunks(lines: DataFrame, *keys: str) -> DataFrame:
@@ -66,10 +72,10 @@ def _anchored(rows: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
     own = [*keys, "file_no", "hunk_no"]
     loose = rows.where("__loose")
     spans = loose.select("path", "start", "end", *own).distinct()
-    there = texts.select("path", F.posexplode(locate.text_lines("text")).alias("k", "found")).where(~locate.is_blank(F.col("found")))
-    there = there.select("path", (F.col("k") + 1).cast("long").alias("no"))
-    met = spans.join(there, "path").where("no >= start AND no <= end")
-    met = met.select(*own, "no", F.row_number().over(Window.partitionBy(*own).orderBy("no")).cast("long").alias("__solid"))
+    there = F.slice(locate.text_lines("text"), F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
+    solid = F.filter(F.transform(there, lambda x, i: F.struct((F.col("start") + i).cast("long").alias("no"), locate.is_blank(x).alias("blank"))), lambda x: ~x["blank"])
+    met = spans.join(texts.select("path", "text"), "path").select(*own, F.posexplode(solid).alias("k", "x"))
+    met = met.select(*own, F.col("x.no").alias("no"), (F.col("k") + 1).cast("long").alias("__solid"))
     at = loose.drop("old_no").join(met, [*own, "__solid"], "left")
     order = Window.partitionBy(*own).orderBy("pos")
     last = F.last("no", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -115,12 +121,15 @@ def conflicts(found: DataFrame, texts: DataFrame, *keys: str, loose: bool = Fals
 def _judged(found: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
     """The rows of conflicts with strict and wide: whether an edit is one with regard to blanks and without, by one pass over the texts."""
     plain = lambda c: F.rtrim(F.regexp_replace(c, r"[ \t]+", " "))
-    there = texts.select("path", F.posexplode(locate.text_lines("text")).alias("k", "found")).select("path", (F.col("k") + 1).cast("long").alias("old_no"), "found")
     own, out = ["path", "old_no"], [*keys, "path", "hunk_no", "pos"]
     both = lambda what: [F.lit(what).alias("what"), F.lit(what).alias("what_wide"), F.lit(True).alias("strict"), F.lit(True).alias("wide")]
     unplaced = found.where("old_no IS NULL").select(*out, *both("unplaced"))
     old = found.where("old_no IS NOT NULL AND kind <> '+'")
-    met = old.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, *own))).join(there, own, "left")
+    met = old.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, *own)))
+    asks = met.groupBy("path").agg(F.collect_list(F.struct(*[c for c in dict.fromkeys([*out, "old_no", "line", "__n"]) if c != "path"])).alias("__asks"))
+    met = asks.join(texts.select("path", "text"), "path", "left").select("path", "__asks", locate.text_lines("text").alias("__lines"))
+    line = lambda no: F.get("__lines", (no - 1).cast("int"))
+    met = met.select("path", F.explode(F.transform("__asks", lambda x: F.struct(x.alias("x"), line(x["old_no"]).alias("found")))).alias("y")).select("path", "y.x.*", "y.found")
     met = met.withColumns({"__none": F.col("found").isNull(), "__differs": F.coalesce(F.col("found") != F.col("line"), F.lit(False)), "__twice": F.col("__n") > 1}).where("__none OR __differs OR __twice")
     met = met.withColumn("__wide", F.coalesce(plain("found") != plain("line"), F.lit(False)))
     what = F.when(F.col("__none") | F.col("__differs"), "differs").otherwise("overlaps")
@@ -133,24 +142,32 @@ def _judged(found: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
 def applied(found: DataFrame, texts: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """(path, text, changed): texts(path, text) after the edits of one patch; a path with a conflict of bad(path) stays as it is.
 
-    A text's lines and its edits are merged by place in a running count; the result ends with a
-    newline if the text did, or if it had no lines. Texts without edits pass unread.
+    A path's edits meet its text as one array in the order of places, and the text is cut at
+    these where it lies: after an edit come the lines up to the next one. The result ends with a
+    newline if the text did, or if it had no lines.
     """
     good = found if bad is None else found.join(bad.select("path").distinct(), "path", "left_anti")
-    good = good.where("old_no IS NOT NULL")
-    touched = texts.join(good.select("path").distinct(), "path", "left_semi")
-    kept = touched.select("path", F.posexplode(locate.text_lines("text")).alias("k", "line")).select("path", (F.col("k") + 1).cast("long").alias("old_no"), "line")
-    removed = good.where("kind = '-'").select("path", "old_no").distinct()
-    kept = kept.join(removed, ["path", "old_no"], "left_anti").select("path", "old_no", F.lit(1).alias("side"), F.lit(0).cast("long").alias("hunk_no"), F.lit(0).cast("long").alias("pos"), "line")
-    added = good.where("kind = '+'").select("path", "old_no", F.lit(0).alias("side"), F.col("hunk_no").cast("long").alias("hunk_no"), F.col("pos").cast("long").alias("pos"), "line")
-    body = F.transform(F.array_sort(F.collect_list(F.struct("old_no", "side", "hunk_no", "pos", "line"))), lambda x: x["line"])
-    merged = kept.unionByName(added).groupBy("path").agg(F.array_join(body, "\n").alias("__body"))
+    places = good.where("old_no IS NOT NULL")
+    none = F.lit(None).cast("string")
+    edit = lambda side, hunk, pos, line: F.struct("old_no", F.lit(side).alias("side"), hunk.cast("long").alias("hunk_no"), pos.cast("long").alias("pos"), line.alias("line"))
+    added = F.collect_list(F.when(F.col("kind") == "+", edit(0, F.col("hunk_no"), F.col("pos"), F.col("line"))))
+    removed = F.collect_set(F.when(F.col("kind") == "-", edit(1, F.lit(0), F.lit(0), none)))
+    # without either, a path whose patch only keeps lines counts as changed
+    merged = places.groupBy("path").agg(F.array_sort(F.concat(added, removed)).alias("__edits"))
+    done = texts.select("path", "text").join(merged, "path", "left")
+    done = done.select("path", "text", "__edits", F.when(F.col("__edits").isNotNull(), locate.text_lines("text")).alias("__lines"))
+    lines = lambda start, stop: F.slice("__lines", F.greatest(start, F.lit(1)).cast("int"), F.greatest(stop - F.greatest(start, F.lit(1)), F.lit(0)).cast("int"))
+    at = lambda i: F.get("__edits", i)
+    beyond = F.size("__lines") + 1
+    after = F.transform("__edits", lambda x, i: F.concat(
+        F.when(x["side"] == 0, F.array(x["line"])).otherwise(F.array().cast("array<string>")),
+        lines(x["old_no"] + x["side"], F.coalesce(at(i + 1)["old_no"], beyond)),
+    ))
+    body = F.concat(lines(F.lit(1), F.coalesce(at(F.lit(0))["old_no"], beyond)), F.flatten(after))
     ends = F.coalesce(F.col("text"), F.lit("")).isin("") | F.col("text").endswith("\n")
-    done = touched.join(merged, "path", "left")
-    text = F.when(F.col("__body").isNull(), F.lit("")).otherwise(F.concat("__body", F.when(ends, "\n").otherwise("")))
-    done = done.select("path", text.alias("text"), F.lit(True).alias("changed"))
-    rest = texts.join(good.select("path").distinct(), "path", "left_anti").select("path", "text", F.lit(False).alias("changed"))
-    return done.unionByName(rest)
+    text = F.when(F.size("__body") == 0, F.lit("")).otherwise(F.concat(F.array_join("__body", "\n"), F.when(ends, "\n").otherwise("")))
+    done = done.select("path", "text", F.col("__edits").isNotNull().alias("changed"), F.when(F.col("__edits").isNotNull(), body).alias("__body"))
+    return done.select("path", F.when(F.col("changed"), text).otherwise(F.col("text")).alias("text"), "changed")
 
 
 def already_applied(found: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:

@@ -108,7 +108,7 @@ def q_patch_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_patch_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I16: patches applied, then taken back: every file has its text again."""
     files, found, bad = _patched(spark, sf_dir)
-    after = settled(patching.applied(found, files.select("path", "text"), bad))
+    after = patching.applied(found, files.select("path", "text"), bad)
     good = found.join(bad.select("path").distinct(), "path", "left_anti")
     back = patching.applied(patching.reverse(good), after.select("path", "text"))
     return back.select(F.col("path").cast("long").alias("doc_id"), F.col("changed").alias("undone"), F.sha2("text", 256).alias("hash"))

@@ -104,3 +104,16 @@ def test_a_text_is_looked_through_where_it_lies(spark):
     loose = locate.occurrences(needles, texts, ignore_blank=True)
     assert sorted(map(tuple, loose.where("id IN (1, 6)").collect())) == [(1, "a", 1, 2), (1, "a", 2, 4), (6, "a", 4, 5)]
     assert "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()  # windows of all texts were hashed and shuffled twice
+
+
+def test_a_text_is_patched_where_it_lies(spark):
+    texts = spark.createDataFrame([("a", "1\n2\n3\n4\n"), ("b", "1\n2"), ("c", None), ("d", ""), ("e", "x\ny\n"), ("f", "x\n"), (None, "n")], TEXTS)
+    rows = [("a", 1, 1, "+", "0", 1), ("a", 1, 2, "-", "1", 1), ("a", 2, 1, "+", "u", 3), ("a", 2, 2, "+", "v", 3), ("a", 3, 1, "-", "4", 4), ("a", 3, 2, "+", "end", 5), ("a", 4, 1, "-", "4", 4)]
+    rows += [("b", 1, 1, "-", "1", 1), ("b", 1, 2, "-", "2", 2), ("d", 1, 1, "+", "new", 1), ("e", 1, 1, " ", "x", 1), ("f", 1, 1, "+", "lost", None)]
+    found = spark.createDataFrame(rows, "path string, hunk_no long, pos int, kind string, line string, old_no long")
+    done = patching.applied(found, texts)
+    assert {r.path: (r.text, r.changed) for r in done.collect()} == {"a": ("0\n2\nu\nv\n3\nend\n", True), "b": ("", True), "c": (None, False), "d": ("new\n", True), "e": ("x\ny\n", True), "f": ("x\n", False), None: ("n", False)}
+    bad = patching.conflicts(found.withColumn("new_no", found.old_no), texts)
+    assert sorted((r.path, r.hunk_no, r.what) for r in bad.collect()) == [("a", 3, "overlaps"), ("a", 4, "overlaps"), ("f", 1, "unplaced")]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan and plan.count("Join") == 1  # lines of all texts were shuffled, texts read three times
