@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandwork.operators.settle import settled
+
 WIDTH = 4096
 
 
@@ -88,14 +90,43 @@ def enclosing(ranges: DataFrame, *keys: str, width: int = WIDTH) -> DataFrame:
 
     A running sum of openings and closings is a range's depth; the range that holds it is the
     last one a level higher that opened before it. Equal ranges nest in the order of their names.
+    A range without a start or an end holds nothing and lies in none (depth 0).
+
+    Ranges are shuffled once, to the slice of their start, and openings and closings are made of
+    them there; only one that ends in another slice goes to that too. What is open when a slice
+    begins comes as a row of it. Only ranges that end in another slice can hold one of another,
+    so a second sweep is over these and over what has no holder in its own slice.
     """
-    opens = ranges.select(*keys, F.col("start").alias("__at"), F.lit(1).alias("__step"), (-F.col("end")).alias("__tie"), "name", "start", "end")
-    closes = ranges.select(*keys, (F.col("end") + 1).alias("__at"), F.lit(-1).alias("__step"), F.col("end").cast("long").alias("__tie"), *[F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in ("name", "start", "end")])
-    both = opens.withColumn("__tie", F.col("__tie").cast("long")).unionByName(closes)
-    swept = running(both, list(keys), "__at", [F.col("__step"), F.col("__tie"), F.col("name")], {"__open": ("sum", "__step")}, width)
-    found = swept.where("__step = 1").withColumn("depth", (F.col("__open") - 1).cast("int"))
-    order = [F.col("__tie"), F.col("name"), F.col("__ask")]
-    asks = found.withColumns({"__level": F.col("depth"), "__ask": F.lit(0), "__holder": F.lit(None).cast(ranges.schema["name"].dataType)})
-    offers = found.withColumns({"__level": F.col("depth") + 1, "__ask": F.lit(1), "__holder": F.col("name")})
-    met = running(asks.unionByName(offers), [*keys, "__level"], "__at", order, {"inside": ("last", "__holder")}, width)
-    return met.where("__ask = 0").select(*keys, "name", "start", "end", "depth", F.when(F.col("depth") > 0, F.col("inside")).alias("inside"))
+    whole = F.col("start").isNotNull() & F.col("end").isNotNull()
+    first, last = _slice("start", width), _slice(F.col("end") + 1, width)
+    both = F.when(whole & (first != last), F.array(first, last)).otherwise(F.array(first))
+    cut = ranges.select(*keys, "name", "start", "end", F.explode(both).alias("__slice"))
+    opens, closes = whole & F.col("__slice").eqNullSafe(first), whole & F.col("__slice").eqNullSafe(last)
+    sums = cut.groupBy(*keys, "__slice").agg(F.sum(opens.cast("long") - closes.cast("long")).alias("__step"))
+    carry = F.sum("__step").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    empty = [F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in ("name", "start", "end")]
+    carried = sums.select(*keys, *empty, "__slice", carry.alias("__carry")).where("__carry <> 0")
+    dealt = cut.withColumn("__carry", F.lit(None).cast("long")).unionByName(carried).repartition(*keys, "__slice")
+
+    event = lambda at, step, tie, own: F.struct(at.cast("long").alias("at"), step.cast("long").alias("step"), tie.cast("long").alias("tie"), F.lit(own).alias("own"))
+    opening, closing = event(F.col("start"), F.when(whole, 1).otherwise(0), -F.col("end"), True), event(F.col("end") + 1, F.lit(-1), F.col("end"), False)
+    none = F.lit(None)
+    events = F.when(F.col("__carry").isNotNull(), F.array(event(none, F.col("__carry"), none, False))).otherwise(F.array_compact(F.array(F.when(opens | ~whole, opening), F.when(closes, closing))))
+    sweep = Window.partitionBy(*keys, "__slice").orderBy("x.at", "x.step", "x.tie", "name").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("x", F.explode(events)).withColumn("__open", F.sum("x.step").over(sweep)).where("x.own")
+    found = found.withColumn("depth", F.when(whole, F.col("__open") - 1).otherwise(0).cast("int")).select(*keys, "__slice", "name", "start", "end", "depth", F.col("x.tie").alias("__tie"))
+
+    order, holder = [F.col("__tie"), F.col("name"), F.col("__ask")], F.struct("name")
+    side = lambda level, ask, held: F.struct(level.alias("level"), F.lit(ask).alias("ask"), held.alias("held"))
+    sides = F.array(side(F.col("depth"), 0, F.when(F.lit(False), holder)), F.when(whole, side(F.col("depth") + 1, 1, holder)))
+    met = found.withColumn("x", F.explode(F.array_compact(sides))).withColumns({"__level": F.col("x.level"), "__ask": F.col("x.ask")})
+    inside = F.last("x.held", ignorenulls=True).over(Window.partitionBy(*keys, "__slice", "__level").orderBy("start", *order).rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumn("__inside", inside).where("__ask = 0")
+    lost = whole & (F.col("depth") > 0) & F.col("__inside").isNull()
+    out = [*keys, "name", "start", "end", "depth"]
+    left = settled(met.where(lost | (whole & (first != last))).select(*out, "__tie", lost.alias("__lost"), (first != last).alias("__wide")))
+    asks = left.where("__lost").withColumns({"__level": F.col("depth"), "__ask": F.lit(0), "__holder": F.when(F.lit(False), holder)})
+    offers = left.where("__wide").withColumns({"__level": F.col("depth") + 1, "__ask": F.lit(1), "__holder": holder})
+    late = running(asks.unionByName(offers), [*keys, "__level"], "start", order, {"__inside": ("last", "__holder")}, width).where("__ask = 0")
+    own = met.where(~lost).withColumn("__inside", F.when(F.col("depth") > 0, F.col("__inside")))
+    return own.select(*out, "__inside").unionByName(late.select(*out, "__inside")).select(*out, F.col("__inside.name").alias("inside"))

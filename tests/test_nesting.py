@@ -93,3 +93,13 @@ def test_a_root_with_calls_in_many_files_fills_the_file_cap_alone(spark):
     chain = [(a, a, 0, b, b) for a, b in zip("rabcd", "abcde", strict=True)]
     got = evidence.rooted_closure(spark.createDataFrame([(1, "r", "r", 0)], "task_id int, path string, name string, rank int"), spark.createDataFrame(chain, "src_path string, src string, pos int, dst_path string, dst string")).collect()
     assert sorted(r.name for r in got) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("width", [2, 4096])
+def test_ranges_go_to_their_slice_once(spark, width):
+    rows = [(None, "n1", 0, 9), (None, "n2", 2, 3), ("p", "out", 0, 20), ("p", None, 5, 19), ("p", "deep", 7, 7), ("p", "next", 21, 21), ("p", "open", 3, None), ("p", "lost", None, None)]
+    found = nesting.enclosing(spark.createDataFrame(rows, RANGES), "path", width=width)
+    want = [(None, "n1", 0, 9, 0, None), (None, "n2", 2, 3, 1, "n1"), ("p", "out", 0, 20, 0, None), ("p", None, 5, 19, 1, "out"), ("p", "deep", 7, 7, 2, None), ("p", "next", 21, 21, 0, None), ("p", "open", 3, None, 0, None), ("p", "lost", None, None, 0, None)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Join") == 1  # all rows were shuffled and joined twice, as openings and closings, then as asks and offers
