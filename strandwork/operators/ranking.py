@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,12 @@ PARTS = 200
 OFTEN = 64
 
 
+def _dealt(rows: DataFrame, *keys: str) -> GroupedData:
+    """rows grouped by keys, dealt by them to PARTS tasks at least, which aren't merged into fewer."""
+    parts = max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *keys).groupBy(*keys)
+
+
 def containing(strings: DataFrame, words: DataFrame) -> DataFrame:
     """(word, s): which distinct words (of three letters or more) stand in which distinct strings s.
 
@@ -50,7 +56,7 @@ def _strings(files: DataFrame, mode: str) -> DataFrame:
 def word_points(words: DataFrame, files: DataFrame, *, mode: str = "static") -> DataFrame:
     """(word, path, points): what each of words(word) counts in files, as word_scores has it."""
     strings = _strings(files, mode)
-    return containing(strings, words).join(strings, "s").groupBy("word", "path").agg(F.sum("points").alias("points"))
+    return _dealt(containing(strings, words).join(strings, "s").select("word", "path", "points"), "word", "path").agg(F.sum("points").alias("points"))
 
 
 def word_scores(tasks: DataFrame, files: DataFrame, *, mode: str = "static") -> DataFrame:
@@ -60,7 +66,8 @@ def word_scores(tasks: DataFrame, files: DataFrame, *, mode: str = "static") ->
     and mode is ai, in tags, important symbols and summary, else in each import.
     """
     words = tasks.select("task_id", F.explode("words").alias("word"))
-    return words.join(word_points(words, files, mode=mode), "word").groupBy("task_id", "path").agg(F.sum("points").alias("score"))
+    met = words.join(word_points(words, files, mode=mode), "word").select("task_id", "path", "points")
+    return _dealt(met, "task_id", "path").agg(F.sum("points").alias("score"))
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

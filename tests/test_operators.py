@@ -365,3 +365,11 @@ def test_line_weights_hold_a_word_at_a_time(spark):
     assert {(r.d, r.line_no): r.weight for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and ", 200" in plan  # all words of a few large tasks were sorted once more
+
+
+def test_word_scores_are_dealt_to_many_tasks(spark):
+    tasks = spark.createDataFrame([(1, ["one", "two"]), (2, ["one"])], "task_id int, words array<string>")
+    files = spark.createDataFrame([("one.py", ["TwoOne"], ["x"], [], [], "", False), ("b", ["nine"], ["two"], [], [], "", False)], "path string, symbols array<string>, imports array<string>, tags array<string>, important array<string>, summary string, complete boolean")
+    scores = ranking.word_scores(tasks, files)
+    assert {(r.task_id, r.path): r.score for r in scores.collect()} == {(1, "one.py"): 16, (1, "b"): 3, (2, "one.py"): 11}
+    assert scores.rdd.getNumPartitions() >= ranking.PARTS  # a task's memory was that of a part of 64 MB, packed, however many rows it holds
