@@ -18,10 +18,15 @@ PARTS = 200
 OFTEN = 64
 
 
-def _dealt(rows: DataFrame, *keys: str) -> GroupedData:
-    """rows grouped by keys, dealt by them to PARTS tasks at least, which aren't merged into fewer."""
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to PARTS tasks at least, which aren't merged into fewer."""
     parts = max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, *keys).groupBy(*keys)
+    return rows.repartition(parts, *keys)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> GroupedData:
+    """rows grouped by the keys that they are dealt by."""
+    return dealt(rows, *keys).groupBy(*keys)
 
 
 def containing(strings: DataFrame, words: DataFrame) -> DataFrame:

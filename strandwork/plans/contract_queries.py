@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.operators import contract
+from strandwork.operators import contract, ranking
 from strandwork.plans.registry import query
 from strandwork.sources.tables import table
 
@@ -25,7 +25,7 @@ def item_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     item = item.select(task.alias("task_id"), (F.col("l_linenumber") * 6 + F.col("l_orderkey") % 6).cast("int").alias("req_no"), path.alias("path"), name.alias("name"), F.pmod(F.col("l_partkey") + F.col("l_orderkey"), F.lit(len(KINDS))).cast("int").alias("kind_no"), F.col("l_quantity").cast("int").alias("q"), "l_returnflag", F.col("l_orderkey").cast("int").alias("o"), F.col("l_extendedprice").cast("long").alias("price"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     own = ["task_id", "req_no", "kind_no", "path", "name"]
-    found = item.where("l_returnflag <> 'R'").groupBy(*own).agg((F.max("q") * 7).cast("int").alias("score"), F.min("q").alias("lines"))
+    found = ranking.dealt(item.where("l_returnflag <> 'R'"), "task_id", "path", "name").groupBy(*own).agg((F.max("q") * 7).cast("int").alias("score"), F.min("q").alias("lines"))
     found = found.withColumns({"kind": F.get(kinds, F.col("kind_no")), "limit": F.lit(1) + F.col("kind_no") % 2})
     back = item.where("l_returnflag = 'R' AND o % 29 = 0").groupBy("task_id", "req_no", "path", "name").agg(F.min("o").alias("nth"), F.min("q").alias("q"))
     kind = F.when(F.col("q") % 4 == 0, "fixture").when(F.col("q") % 4 == 1, "tests").otherwise("ui")
