@@ -177,6 +177,7 @@ def scored_hops(roots: DataFrame, edges: DataFrame, points: list[int], top: int
 
 
 def _hops(roots: DataFrame, edges: DataFrame, points: list[int], top: int) -> DataFrame:
+    edges = edges.hint("merge")  # their size is guessed from a table's, of which they are many times as many: never sent whole to the driver
     frontier, hits = roots.select("task_id", "node").distinct(), None
     for p in points:
         frontier = frontier.join(edges, F.col("node") == F.col("src")).select("task_id", F.col("dst").alias("node")).distinct()

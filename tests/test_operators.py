@@ -304,6 +304,22 @@ def test_roots_that_tasks_share_are_walked_once(spark):
     assert sorted(map(tuple, evidence.scored_hops(roots, edges, [150, 120]).collect())) == sorted(want)
 
 
+def test_edges_made_of_few_rows_are_not_sent_whole_to_the_driver(spark):
+    """Spark takes what explode() makes for as small as its input, and would broadcast it."""
+    orders = spark.range(20).select(F.array(F.col("id") % 5, F.col("id") % 7, F.col("id") % 3).alias("parts"))
+    edges = orders.select("parts", F.explode("parts").alias("src")).select("src", F.explode("parts").alias("dst")).where("src <> dst").distinct()
+    roots = spark.createDataFrame([(1, 0), (2, 4)], "task_id int, node long")
+    found = evidence._hops(roots, edges, [150, 120], 8)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "BuildRight, false" not in plan.replace("LeftAnti, BuildRight, false", "")
+    pairs = {(a, b) for i in range(20) for a in (i % 5, i % 7, i % 3) for b in (i % 5, i % 7, i % 3) if a != b}
+    for t, root in ((1, 0), (2, 4)):
+        one = {b for a, b in pairs if a == root}
+        two = {b for a, b in pairs if a in one}
+        want = sorted(((150 * (n in one) + 120 * (n in two), n) for n in (one | two) - {root}), key=lambda x: (-x[0], x[1]))[:8]
+        assert [(r.score, r.node) for r in sorted(found.collect(), key=lambda r: r["rank"]) if r.task_id == t] == want
+
+
 def test_roles_of_a_path_cut_it_into_tokens_once(spark):
     plan = spark.range(1).select(evidence.path_roles(F.concat(F.lit("api"), F.col("id").cast("string"), F.lit(".py"))))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= 2  # in the expression and in its name: every role once cut the path again
