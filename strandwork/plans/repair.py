@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from strandwork import config
 from strandwork.functions import text
 from strandwork.operators import extract, joins, ranking
+from strandwork.operators.settle import settled
 
 REPAIR_BUDGET, FULL_FILE = 140_000, 35_000
 BEFORE_ANCHOR, AFTER_ANCHOR = 45, 65
@@ -98,14 +99,25 @@ def plan_excerpt(numbered: DataFrame, words: Column, key: str) -> DataFrame:
 
 
 def missing_requests(requests: DataFrame, definitions: DataFrame, selected: DataFrame, top: int = 6) -> DataFrame:
-    """(task_id, path, score, rank): files outside selected that answer requested symbols (100 each) or two words and more of a concept (12 each)."""
-    symbol = requests.where("kind = 'symbol'").join(definitions.select("path", F.lower("name").alias("key")).distinct(), F.lower("value") == F.col("key")).select("task_id", "path", F.lit(100).alias("points"))
-    words = requests.where("kind = 'concept'").select("task_id", "value", F.explode(text.raw_tokens(F.col("value"))).alias("token"))
+    """(task_id, path, score, rank): files outside selected that answer requested symbols (100 each) or two words and more of a concept (12 each).
+
+    What is asked for is looked up once, whoever asks, and requests that many tasks make aren't
+    met with all files that answer them (ranking.top_sums).
+    """
+    once = F.when(F.col("kind") == "symbol", F.count(F.lit(1))).otherwise(1).cast("long")  # a concept counts once, however often it is asked for
+    # symbols are told apart without regard to case, concepts by their words as they stand
+    asked = requests.where("kind IN ('symbol', 'concept') AND value IS NOT NULL").select("task_id", "kind", F.when(F.col("kind") == "symbol", F.lower("value")).otherwise(F.col("value")).alias("value"))
+    key = F.concat("kind", F.lit(" "), "value")
+    wanted = settled(asked.groupBy("task_id", "kind", "value").agg(once.alias("n")).select("task_id", "kind", "value", key.alias("key"), "n"))
+    values = wanted.select("kind", "value", "key").distinct()
+    symbol = values.where("kind = 'symbol'").join(definitions.select("path", F.lower("name").alias("value")).distinct(), "value").select("key", "path", F.lit(100).cast("long").alias("points"))
+    words = values.where("kind = 'concept'").select("key", F.explode(text.raw_tokens(F.col("value"))).alias("token"))
     own = definitions.select("path", F.explode(text.tokens(F.col("name"))).alias("token")).distinct()
-    concept = words.join(own, "token").groupBy("task_id", "value", "path").agg(F.count_distinct("token").alias("n")).where("n >= 2").select("task_id", "path", (12 * F.col("n")).cast("int").alias("points"))
-    scored = symbol.union(concept).groupBy("task_id", "path").agg(F.sum("points").alias("score")).where("score >= 24")
-    fresh = scored.join(selected.select("task_id", "path"), ["task_id", "path"], "left_anti")
-    return ranking.top_k(fresh, top, ["task_id"], [F.desc("score"), F.col("path")])
+    concept = words.join(own, "token").groupBy("key", "path").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key", "path", (12 * F.col("n")).alias("points"))
+    chosen = settled(selected.select("task_id", "path").distinct())
+    most = chosen.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    gone = chosen.withColumn("points", F.lit(-(1 << 40)).cast("long"))  # more than any requests add up to
+    return ranking.top_sums(wanted.select("task_id", "key", "n"), settled(symbol.union(concept)), top, [F.desc("score"), F.col("path")], "path", extra=gone, spare=most)
 
 
 def suites(tests: DataFrame, top: int = 3) -> DataFrame:

@@ -320,6 +320,58 @@ def test_edges_made_of_few_rows_are_not_sent_whole_to_the_driver(spark):
         assert [(r.score, r.node) for r in sorted(found.collect(), key=lambda r: r["rank"]) if r.task_id == t] == want
 
 
+@pytest.mark.parametrize("often", [0, 2, 64])
+def test_missing_requests_are_looked_up_once(spark, monkeypatch, often):
+    """The plain rule, and a request that all tasks make isn't met with all files that answer it."""
+    import random
+
+    monkeypatch.setattr(ranking, "OFTEN", often)
+    rng = random.Random(often)
+    asks = [("symbol", "Save_Invoice"), ("symbol", "save_invoice"), ("concept", "open invoice table"), ("concept", "save rows"), ("symbol", "gone"), ("concept", "one"), ("other", "save_invoice")]
+    requests = [(t, *rng.choice(asks)) for t in range(10) for _ in range(4)] + [(0, "symbol", None)]
+    names = ["save_invoice", "openTable", "InvoiceTable", "rows_saved", "saveRows", "plain"]
+    definitions = [(f"p{rng.randrange(12)}", rng.choice(names)) for _ in range(40)]
+    selected = [(t, f"p{rng.randrange(12)}") for t in range(10) for _ in range(t % 4)]
+    requested, defined, chosen = spark.createDataFrame(requests, "task_id int, kind string, value string"), spark.createDataFrame(definitions, "path string, name string"), spark.createDataFrame(selected, "task_id int, path string")
+    held = {n: set(t) for n, t in spark.createDataFrame([(n,) for n in names], "n string").select("n", text.tokens(F.col("n"))).collect()}
+    said = {v: set(t) for v, t in spark.createDataFrame([(v,) for _, v in asks], "v string").select("v", text.raw_tokens(F.col("v"))).collect()}
+    want = []
+    for t in range(10):
+        score = {}
+        for path in {p for p, _ in definitions} - {p for s, p in selected if s == t}:
+            own = {n for p, n in definitions if p == path}
+            n = sum(100 for s, k, v in requests if s == t and k == "symbol" and v and v.lower() in {x.lower() for x in own})
+            for v in {v for s, k, v in requests if s == t and k == "concept"}:
+                met = len(said[v] & set().union(*(held[x] for x in own)))
+                n += 12 * met if met >= 2 else 0
+            if n >= 24:
+                score[path] = n
+        want += [(t, p, score[p], i + 1) for i, p in enumerate(sorted(score, key=lambda p: (-score[p], p))[:3])]
+    found = repair.missing_requests(requested, defined, chosen, 3)
+    assert sorted(map(tuple, found.select("task_id", "path", "score", "rank").collect())) == sorted(want) != []
+
+
+def _most_rows(df):
+    """The most rows that any step of df's own plan makes."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind, below = node.getClass().getSimpleName(), node.children()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [below.apply(i) for i in range(below.size())]
+        n = node.metrics().get("numOutputRows")
+        most = max(most, n.get().value() if n.isDefined() else 0)
+    return most
+
+
+def test_a_request_that_all_tasks_make_is_not_met_with_all_files(spark):
+    files = spark.range(300).select(F.format_string("f%03d", "id").alias("path"), F.lit("save_invoice").alias("name"))
+    tasks = spark.range(300).select(F.col("id").cast("int").alias("task_id"), F.lit("symbol").alias("kind"), F.lit("save_invoice").alias("value"))
+    found = repair.missing_requests(tasks, files, tasks.select("task_id", F.format_string("f%03d", F.col("task_id") % 3).alias("path")))
+    assert _most_rows(found) <= 300 * 8  # 90,000 before
+    assert {(r.path, r.score, r.rank) for r in found.collect() if r.task_id == 4} == {(f"f{n:03d}", 100, i + 1) for i, n in enumerate((0, 2, 3, 4, 5, 6))}
+
+
 def test_roles_of_a_path_cut_it_into_tokens_once(spark):
     plan = spark.range(1).select(evidence.path_roles(F.concat(F.lit("api"), F.col("id").cast("string"), F.lit(".py"))))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= 2  # in the expression and in its name: every role once cut the path again
