@@ -140,3 +140,14 @@ def test_streamed_counters(spark, tmp_path):
     q = index_stream.windowed_counts(stream(), "at", "who", "5 minutes").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.sql("SELECT * FROM counts").collect()) == [1, 1, 5]
+
+
+def test_what_suppliers_spread_is_not_taken_for_as_small_as_their_file(spark, sf):
+    """Joins of it were broadcasts of tables that grow with the suppliers: a few bytes in their file, a tree of sources each."""
+    from strandwork.sources.tables import spread
+
+    files = spread(spark, sf, "path string, content string", [("a{n}.py", "x{n} = 1"), ("b.py", None)])
+    words = files.select("path", F.explode(F.split("content", " ")).alias("word")).distinct()
+    plan = files.join(words, "path")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {tuple(r) for r in files.where("path IN ('a3.py', 'b.py')").collect()} == {("a3.py", "x3 = 1"), ("b.py", None)}
