@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -133,21 +133,31 @@ def plan(candidates: DataFrame, caps: Caps = COVERAGE, threshold: int = config.E
     return rows.mapInPandas(fold, f"task_id {rows.schema['task_id'].dataType.simpleString()}, order_no int, kind string, path string, name string, score long")
 
 
-def rooted_closure(roots: DataFrame, calls: DataFrame, *, depth: int = 3, symbols: int = 24, files: int = 12) -> DataFrame:
+def rooted_closure(roots: DataFrame, calls: DataFrame | Callable[[DataFrame], DataFrame], *, depth: int = 3, symbols: int = 24, files: int = 12) -> DataFrame:
     """(task_id, path, name, depth, rank) discovered from roots(task_id, path, name, rank) over resolved calls(src_path, src, pos, dst_path, dst).
 
     Roots are walked through but not among the result, which is in the order of discovery: by
     level, the caller's rank and the call's position. At most `symbols` definitions in at most
     `files` files are discovered: one in a further file is skipped, isn't counted and isn't
-    walked through. Each level is kept, at most `symbols` rows a task.
+    walked through. Each level is kept, at most `symbols` rows a task. A task that has its
+    definitions goes no further. calls may be a function too, which gives all calls of given
+    definitions(path, name): for relations too large to keep.
     """
-    edges = settled(calls.groupBy("src_path", "src", "dst_path", "dst").agg(F.min("pos").alias("pos")))  # every level reads them
+    if not callable(calls):
+        # every level reads them; the hint keeps them from being sent whole to the driver by a guess of their size
+        edges = settled(calls.groupBy("src_path", "src", "dst_path", "dst").agg(F.min("pos").alias("pos"))).hint("merge")
     own = ["task_id", "path", "name"]
     first = F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "path", "name"))
     frontier = known = settled(roots.groupBy(*own).agg(F.min("rank").alias("rank")).withColumn("rank", first))
     found = None
     for level in range(1, depth + 1):
-        met = frontier.join(edges, (F.col("path") == F.col("src_path")) & (F.col("name") == F.col("src")))
+        if found is not None:
+            full = found.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= symbols)
+            frontier = frontier.join(full.select("task_id"), "task_id", "left_anti")
+            if frontier.isEmpty():
+                break
+        near = calls(frontier.select("path", "name").distinct()) if callable(calls) else edges
+        met = frontier.join(near, (F.col("path") == F.col("src_path")) & (F.col("name") == F.col("src")))
         met = met.select("task_id", F.col("dst_path").alias("path"), F.col("dst").alias("name"), F.struct("rank", "pos").alias("at"))
         step = met.join(known.select(*own), own, "left_anti").groupBy(*own).agg(F.min("at").alias("at"))
         none = F.array().cast("array<string>")

@@ -95,6 +95,42 @@ def test_a_root_with_calls_in_many_files_fills_the_file_cap_alone(spark):
     assert sorted(r.name for r in got) == ["a", "b", "c"]
 
 
+def test_calls_may_be_made_for_each_level(spark):
+    rng = np.random.default_rng(3)
+    node = lambda k: (f"f{k % 7}", f"n{k}")
+    rows = [(*node(a), int(p), *node(b)) for a, b, p in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.permutation(150), strict=True)]
+    calls = spark.createDataFrame(rows + rows[:9], "src_path string, src string, pos int, dst_path string, dst string")
+    roots = spark.createDataFrame([(t, *node(t * 7), 1) for t in range(6)] + [(9, "none", "none", 1)], "task_id int, path string, name string, rank int")
+    asked = []
+
+    def of(nodes):
+        asked.append(sorted(map(tuple, nodes.collect())))
+        return calls.join(nodes.withColumnsRenamed({"path": "src_path", "name": "src"}), ["src_path", "src"], "left_semi")
+
+    for symbols in (5, 24):
+        asked.clear()
+        want = evidence.rooted_closure(roots, calls, symbols=symbols)
+        got = evidence.rooted_closure(roots, of, symbols=symbols)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+        done = {t for t in range(6) if want.where(f"task_id = {t} AND depth = 1").count() >= symbols}
+        assert len(asked[0]) == 7 and set(asked[1]) == {(r.path, r.name) for r in want.collect() if r.depth == 1 and r.task_id not in done}
+
+
+def test_the_call_closure_follows_all_pairs(spark, tmp_path):
+    """Of the parts bought together only pairs with a sum divisible by nine were followed, in the SQL too."""
+    import duckdb
+
+    from strandwork.plans.catalogue import ORACLE_SQL, QUERIES
+
+    lines = [(1, 1, 7), (1, 2, 8), (2, 2, 8), (2, 3, 8), (3, 3, 9), (3, 4, 9), (3, 3, 9), (4, 4, 8), (4, 5, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(tuple, QUERIES["q_call_closure"](spark, str(tmp_path)).collect()))
+    assert [r for r in got if r[0] == 7] == [(7, "f2", "2", 1, 1), (7, "f3", "3", 2, 2), (7, "f4", "4", 3, 3)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["q_call_closure"]).fetchall()) == got
+
+
 @pytest.mark.parametrize("width", [2, 4096])
 def test_ranges_go_to_their_slice_once(spark, width):
     rows = [(None, "n1", 0, 9), (None, "n2", 2, 3), ("p", "out", 0, 20), ("p", None, 5, 19), ("p", "deep", 7, 7), ("p", "next", 21, 21), ("p", "open", 3, None), ("p", "lost", None, None)]
