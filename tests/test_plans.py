@@ -25,3 +25,18 @@ def test_no_cartesian_product(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     spark.catalog.clearCache()
+
+
+def test_definitions_of_spread_sources_are_not_broadcast(spark, sf):
+    """An index was taken for as small as the suppliers' file, and its definitions sent whole to the driver for each join."""
+    from pyspark.sql import functions as F
+
+    from strandwork.functions import text
+    from strandwork.plans import retrieval, source_queries
+
+    index = retrieval.build_index(source_queries.sources(spark, sf))
+    words = source_queries.tasks(spark, sf).select("task_id", F.explode(text.tokens(F.col("text"))).alias("key"))
+    own = index.definitions.select("path", "text", F.explode(text.tokens(F.col("name"))).alias("key"))
+    for met in (words.join(own, "key"), own.join(index.files, "path"), words.join(index.files.select("path", F.col("path").alias("key")), "key")):
+        plan = met._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
